@@ -34,8 +34,16 @@ _T = "t__"
 _S = "s__"
 
 
-def empty_state(spark: SparkSession, spec: TableSpec) -> DataFrame:
-    return spark.createDataFrame([], spec.schema)
+def empty_state(spark: SparkSession, spec: TableSpec, like: DataFrame | None = None) -> DataFrame:
+    """An empty state table. With ``like`` (a merge source) column types follow
+    the source, so the merge works for any table, not only the declared ones."""
+    if like is None:
+        return spark.createDataFrame([], spec.schema)
+    types = dict(like.dtypes)
+    cols = [F.lit(None).cast(types[c]).alias(c) for c in spec.keys + spec.attrs]
+    cols += [F.lit(None).cast("double").alias(c) for c in spec.extra]
+    cols += [F.lit(None).cast(types[NOW]).alias(c) for c in AUDIT]
+    return like.limit(0).select(*cols)
 
 
 def reduce_duplicates(source: DataFrame, keys, order=(), count_col: str | None = None) -> DataFrame:
@@ -80,9 +88,9 @@ def merge_snapshot(target: DataFrame | None, source: DataFrame, spec: TableSpec,
     spark = source.sparkSession
     keys = list(spec.keys)
     attrs = list(spec.attrs)
-    if target is None:
-        target = empty_state(spark, spec)
     src = source.select(*keys, *attrs, NOW)
+    if target is None:
+        target = empty_state(spark, spec, like=src)
     if dedupe:
         src = reduce_duplicates(src, keys, order=(NOW,) + tuple(dedupe_order))
 

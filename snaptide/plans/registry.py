@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from snaptide.operators import flatten as fl
 from snaptide.operators.merge import merge_snapshot, survivors
 from snaptide.plans.table_snapshots import (
-    CLUSTER, T0, T1, TOPICS_SQL, to_ntz, topic_snapshot_rows, two_snapshot_merge_sql,
+    CLUSTER, T0, T1, TOPICS_SQL, to_ntz, topic_snapshot_rows, ts, two_snapshot_merge_sql,
 )
 from snaptide.schemas import TABLES
 from snaptide.sources.tables import Tables
@@ -75,3 +75,210 @@ def merge_keep_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_delete_stale_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Same as ``merge_delete_stale`` with the full outer sort-merge plan forced."""
     return topics_merge(spark, sf_dir, delete=True, strategy="full")
+
+
+# ------------------------------------------------- generic two-capture merges --
+
+def two_capture_merge(a: DataFrame, b: DataFrame, spec, delete: bool, strategy: str = "auto",
+                      scope: DataFrame | None = None, dedupe_order=()) -> DataFrame:
+    """State from capture A, then capture B merged into it."""
+    spec = spec.__class__(**{**spec.__dict__, "delete_stale": delete})
+    state = survivors(merge_snapshot(None, a, spec, strategy=strategy, dedupe_order=dedupe_order))
+    if delete and scope is None:
+        scope = b.select("k_cluster_id", "refreshed_at").distinct()
+    merged = merge_snapshot(state, b, spec, scope=scope, strategy=strategy, dedupe_order=dedupe_order)
+    return to_ntz(merged, *AUDIT_NTZ)
+
+
+def _spec(name, keys, compare=()):
+    return TABLES["topics"].__class__(name=name, keys=tuple(keys), compare=tuple(compare))
+
+
+_ORDERS_KEYS = ["k_cluster_id", "o_orderkey"]
+
+
+def _orders(spark, sf_dir, *cols):
+    return Tables(spark, sf_dir).orders.select("o_orderkey", *cols)
+
+
+def _capture(df: DataFrame, which: str, **cols) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = df.filter(k % 10 != 0) if which == "A" else df.filter(k % 10 != 1)
+    at = ts(T0) if which == "A" else ts(T1)
+    return rows.select(F.lit(CLUSTER).alias("k_cluster_id"), "o_orderkey",
+                       *[c.alias(n) for n, c in cols.items()], at.alias("refreshed_at"))
+
+
+_KEY_SQL = {"A": "o_orderkey % 10 <> 0", "B": "o_orderkey % 10 <> 1"}
+
+
+@register("merge_touch", two_snapshot_merge_sql(
+    f"SELECT '{CLUSTER}' AS k_cluster_id, o_orderkey FROM orders WHERE {_KEY_SQL['A']}",
+    f"SELECT '{CLUSTER}' AS k_cluster_id, o_orderkey FROM orders WHERE {_KEY_SQL['B']}",
+    _ORDERS_KEYS, (), delete=None))
+def merge_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6 class: a match only moves refreshed_at."""
+    o = _orders(spark, sf_dir)
+    return two_capture_merge(_capture(o, "A"), _capture(o, "B"), _spec("touch", _ORDERS_KEYS), delete=False)
+
+
+def _prio_a():
+    return F.when(F.col("o_orderkey") % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("o_orderpriority"))
+
+
+def _prio_b():
+    return (F.when(F.col("o_orderkey") % 14 == 0, F.lit(None).cast("string"))
+            .when(F.col("o_orderkey") % 7 == 0, F.col("o_orderpriority"))
+            .when(F.col("o_orderkey") % 11 == 0, F.lit(None).cast("string"))
+            .otherwise(F.col("o_orderpriority")))
+
+
+def _status_b():
+    return F.when(F.col("o_orderkey") % 5 == 0, F.lit("X")).otherwise(F.col("o_orderstatus"))
+_CMP_A_SQL = (f"SELECT '{CLUSTER}' AS k_cluster_id, o_orderkey, o_orderstatus AS status, "
+              f"CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS priority "
+              f"FROM orders WHERE {_KEY_SQL['A']}")
+_CMP_B_SQL = (f"SELECT '{CLUSTER}' AS k_cluster_id, o_orderkey, "
+              f"CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS status, "
+              f"CASE WHEN o_orderkey % 14 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN o_orderpriority "
+              f"WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS priority "
+              f"FROM orders WHERE {_KEY_SQL['B']}")
+_CMP_NS = (("status", "="), ("priority", "<=>"))
+_CMP_PLAIN = (("status", "="), ("priority", "="))
+
+
+def _compare_merge(spark, sf_dir, compare, delete):
+    o = _orders(spark, sf_dir, "o_orderstatus", "o_orderpriority")
+    a = _capture(o, "A", status=F.col("o_orderstatus"), priority=_prio_a())
+    b = _capture(o, "B", status=_status_b(), priority=_prio_b())
+    return two_capture_merge(a, b, _spec("cmp", _ORDERS_KEYS, compare), delete=delete)
+
+
+@register("merge_compare_nullsafe", two_snapshot_merge_sql(_CMP_A_SQL, _CMP_B_SQL, _ORDERS_KEYS, _CMP_NS,
+                                                           delete=None))
+def merge_compare_nullsafe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 class: NULL <=> NULL is no change."""
+    return _compare_merge(spark, sf_dir, _CMP_NS, delete=False)
+
+
+@register("merge_compare_plain", two_snapshot_merge_sql(_CMP_A_SQL, _CMP_B_SQL, _ORDERS_KEYS, _CMP_PLAIN,
+                                                        delete="scope"))
+def merge_compare_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8 class with the plain ``=`` of Q3: a NULL on either side counts as a change."""
+    return _compare_merge(spark, sf_dir, _CMP_PLAIN, delete=True)
+
+
+_MC_A_SQL = ("SELECT 'c' || CAST(o_custkey % 3 AS VARCHAR) AS k_cluster_id, o_orderkey, o_orderstatus AS status "
+             f"FROM orders WHERE {_KEY_SQL['A']}")
+_MC_B_SQL = ("SELECT 'c' || CAST(o_custkey % 3 AS VARCHAR) AS k_cluster_id, o_orderkey, "
+             "CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS status "
+             f"FROM orders WHERE {_KEY_SQL['B']} AND o_custkey % 3 <> 2")
+
+
+@register("merge_other_cluster_untouched", two_snapshot_merge_sql(
+    _MC_A_SQL, _MC_B_SQL, _ORDERS_KEYS, (("status", "="),), delete="scope"))
+def merge_other_cluster_untouched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture B holds two of three clusters; the third keeps all its rows."""
+    o = _orders(spark, sf_dir, "o_custkey", "o_orderstatus")
+    cluster = F.concat(F.lit("c"), (F.col("o_custkey") % 3).cast("string"))
+    k = F.col("o_orderkey")
+    a = o.filter(k % 10 != 0).select(cluster.alias("k_cluster_id"), "o_orderkey",
+                                      F.col("o_orderstatus").alias("status"), ts(T0).alias("refreshed_at"))
+    b = (o.filter((k % 10 != 1) & (F.col("o_custkey") % 3 != 2))
+         .select(cluster.alias("k_cluster_id"), "o_orderkey", _status_b().alias("status"),
+                 ts(T1).alias("refreshed_at")))
+    return two_capture_merge(a, b, _spec("mc", _ORDERS_KEYS, (("status", "="),)), delete=True)
+
+
+# lineitem is not unique by (l_orderkey, l_linenumber): same-key rows are
+# reduced to the greatest by (l_partkey, l_suppkey, l_quantity).
+_LI_KEYS = ["k_cluster_id", "l_orderkey", "l_linenumber"]
+_LI_CMP = (("l_partkey", "="), ("l_suppkey", "="), ("l_quantity", "="))
+
+
+def _li_sql(where: str, qty: str) -> str:
+    return f"""SELECT k_cluster_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (
+        SELECT '{CLUSTER}' AS k_cluster_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, {qty} AS l_quantity,
+               row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+                                  ORDER BY l_partkey DESC, l_suppkey DESC, {qty} DESC) AS rn
+        FROM lineitem WHERE {where}) WHERE rn = 1"""
+
+
+_LI_QTY_B = "CASE WHEN l_orderkey % 7 = 0 THEN l_quantity + 1 ELSE l_quantity END"
+
+
+def _li_captures(spark, sf_dir):
+    li = Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    k = F.col("l_orderkey")
+    qty_b = F.when(k % 7 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
+    a = li.filter(k % 10 != 0).select(F.lit(CLUSTER).alias("k_cluster_id"), "l_orderkey", "l_linenumber",
+                                       "l_partkey", "l_suppkey", "l_quantity", ts(T0).alias("refreshed_at"))
+    b = li.filter(k % 10 != 1).select(F.lit(CLUSTER).alias("k_cluster_id"), "l_orderkey", "l_linenumber",
+                                       "l_partkey", "l_suppkey", qty_b.alias("l_quantity"),
+                                       ts(T1).alias("refreshed_at"))
+    return a, b
+
+
+@register("merge_duplicates", two_snapshot_merge_sql(
+    _li_sql("l_orderkey % 10 <> 0", "l_quantity"), _li_sql("l_orderkey % 10 <> 1", _LI_QTY_B),
+    _LI_KEYS, _LI_CMP, delete="scope"))
+def merge_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q9: same-key duplicates within a capture are reduced before the merge."""
+    a, b = _li_captures(spark, sf_dir)
+    return two_capture_merge(a, b, _spec("li", _LI_KEYS, _LI_CMP), delete=True)
+
+
+_ACC_SQL = f"""
+WITH src AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 10 <> 1),
+g AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM src GROUP BY ALL),
+m AS ({two_snapshot_merge_sql(_li_sql("l_orderkey % 10 <> 0", "l_quantity"),
+                              _li_sql("l_orderkey % 10 <> 1", _LI_QTY_B), _LI_KEYS, _LI_CMP, delete="scope")}),
+acts AS (SELECT * FROM (VALUES ('insert'), ('update'), ('touch'), ('keep'), ('delete')) v(action))
+SELECT 'lineitem' AS table_name, 'submitted' AS metric, CAST(sum(n) AS BIGINT) AS value FROM g
+UNION ALL SELECT 'lineitem', 'keys', count(*) FROM g
+UNION ALL SELECT 'lineitem', 'duplicate_keys', count(*) FILTER (WHERE n > 1) FROM g
+UNION ALL SELECT 'lineitem', acts.action, (SELECT count(*) FROM m WHERE m.action = acts.action) FROM acts
+"""
+
+
+@register("refresh_accounting", _ACC_SQL)
+def refresh_accounting_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows submitted, keys, duplicate keys and rows per action."""
+    from snaptide.operators.accounting import refresh_accounting
+    a, b = _li_captures(spark, sf_dir)
+    merged = two_capture_merge(a, b, _spec("li", _LI_KEYS, _LI_CMP), delete=True)
+    return refresh_accounting("lineitem", b, merged, _LI_KEYS)
+
+
+# Small capture into a large state: the state is never shuffled.
+_LS_KEYS = ["k_cluster_id", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+_LS_CMP = (("l_quantity", "="), ("l_discount", "="))
+# Fixed value: the recent-shipments capture holds lines shipped from this date on.
+_RECENT = "2001-10-01 00:00:00"
+
+
+def _ls_sql(where: str, qty: str) -> str:
+    return f"""SELECT k_cluster_id, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_discount FROM (
+        SELECT '{CLUSTER}' AS k_cluster_id, l_orderkey, l_partkey, l_suppkey, l_linenumber,
+               {qty} AS l_quantity, l_discount,
+               row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber
+                                  ORDER BY {qty} DESC, l_discount DESC) AS rn
+        FROM lineitem WHERE {where}) WHERE rn = 1"""
+
+
+@register("merge_small_source", two_snapshot_merge_sql(
+    _ls_sql("true", "l_quantity"), _ls_sql(f"l_shipdate >= TIMESTAMP '{_RECENT}'", _LI_QTY_B),
+    _LS_KEYS, _LS_CMP, delete=None))
+def merge_small_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """§4.3 broadcast plan: recent shipments merged into the state of all lines."""
+    li = Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                                "l_quantity", "l_discount", "l_shipdate")
+    k = F.col("l_orderkey")
+    cols = [F.lit(CLUSTER).alias("k_cluster_id"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    a = li.select(*cols, "l_quantity", "l_discount", ts(T0).alias("refreshed_at"))
+    b = (li.filter(F.col("l_shipdate") >= F.lit(_RECENT).cast("timestamp_ntz"))
+         .select(*cols, F.when(k % 7 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")).alias("l_quantity"),
+                 "l_discount", ts(T1).alias("refreshed_at")))
+    spec = _spec("ls", _LS_KEYS, _LS_CMP)
+    state = survivors(merge_snapshot(None, a, spec, strategy="full"))
+    return to_ntz(merge_snapshot(state, b, spec, strategy="small"), *AUDIT_NTZ)
