@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaptide.functions.scalars import in_list, quorum_flag
+from snaptide.functions.scalars import in_list
+from snaptide.operators import nodes as nodes_op
 from snaptide.operators.joins import DEFAULT_BROADCAST_ROWS, maybe_broadcast
 from snaptide.operators.merge import reduce_duplicates
 
@@ -48,37 +49,27 @@ def live_nodes(snap: DataFrame) -> DataFrame:
                     F.col("n.port").alias("port"), F.col("n.rack").alias("rack")))
 
 
+def _quorum_members(snap: DataFrame, field: str) -> DataFrame:
+    return (_base(snap, F.col("quorum").getField(field).alias("ids")).filter(F.col("ids").isNotNull())
+            .select(*SNAP_KEY, F.explode("ids").alias("k_node_id")).distinct())
+
+
 def quorum_ids(snap: DataFrame) -> DataFrame:
     """Distinct replica ids among quorum voters and observers."""
-    q = _base(snap, F.array_union(F.coalesce(F.col("quorum.voters"), F.array().cast("array<int>")),
-                                  F.coalesce(F.col("quorum.observers"), F.array().cast("array<int>")))
-              .alias("ids")).filter(F.col("ids").isNotNull())
-    return q.select(*SNAP_KEY, F.explode("ids").alias("k_node_id")).distinct()
+    return _quorum_members(snap, "voters").unionByName(_quorum_members(snap, "observers")).distinct()
 
 
 def missing_nodes(snap: DataFrame, bound: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """J12 + P12: quorum members that are not live nodes, as placeholder rows."""
-    live = live_nodes(snap).select(*SNAP_KEY, "k_node_id")
-    ids = quorum_ids(snap).join(maybe_broadcast(live, bound), SNAP_KEY + ["k_node_id"], "left_anti")
-    return ids.select(*SNAP_KEY, "k_node_id", F.lit(None).cast("string").alias("host"),
-                      F.lit(-1).alias("port"), F.lit(None).cast("string").alias("rack"))
+    return nodes_op.missing_nodes(quorum_ids(snap), live_nodes(snap), SNAP_KEY, bound)
 
 
 def all_nodes(snap: DataFrame, bound: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """U1 + P1 + P2: live nodes and missing quorum members with controller and
     quorum flags (flags NULL when the cluster reports no quorum)."""
-    nodes = live_nodes(snap).unionByName(missing_nodes(snap, bound))
-    meta = reduce_duplicates(_base(snap, "controller_id", "quorum"), SNAP_KEY)
-    n = nodes.join(maybe_broadcast(meta, bound), SNAP_KEY, "inner")
-    node = F.col("k_node_id")
-    q = F.col("quorum")
-    return n.select(
-        *SNAP_KEY, "k_node_id", "host", "port", "rack",
-        (node == F.col("controller_id")).alias("controller"),
-        quorum_flag(q, q.getField("leader_id") == node).alias("leader"),
-        quorum_flag(q, in_list(q.getField("voters"), node)).alias("voter"),
-        quorum_flag(q, in_list(q.getField("observers"), node)).alias("observer"),
-    )
+    meta = reduce_duplicates(_base(snap, "controller_id", F.col("quorum.leader_id").alias("leader_id")), SNAP_KEY)
+    return nodes_op.all_nodes(live_nodes(snap), meta, _quorum_members(snap, "voters"),
+                              _quorum_members(snap, "observers"), SNAP_KEY, bound)
 
 
 def _config_cols(prefix: str = "e"):

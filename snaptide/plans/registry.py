@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from snaptide.operators import flatten as fl
 from snaptide.operators.merge import merge_snapshot, survivors
 from snaptide.plans.table_snapshots import (
-    CLUSTER, T0, T1, TOPICS_SQL, to_ntz, topic_snapshot_rows, ts, two_snapshot_merge_sql,
+    CLUSTER, REPLICAS_SQL, T0, T1, TOPICS_SQL, replica_snapshot_rows, to_ntz, topic_snapshot_rows, ts,
+    two_snapshot_merge_sql,
 )
 from snaptide.schemas import TABLES
 from snaptide.sources.tables import Tables
@@ -282,3 +283,317 @@ def merge_small_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = _spec("ls", _LS_KEYS, _LS_CMP)
     state = survivors(merge_snapshot(None, a, spec, strategy="full"))
     return to_ntz(merge_snapshot(state, b, spec, strategy="small"), *AUDIT_NTZ)
+
+
+# ------------------------------------------------------------ cascade (K3) --
+
+_CASCADE_SQL = f"""
+WITH a AS (SELECT c_custkey FROM customer),
+b AS (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 1),
+rc AS (SELECT a.c_custkey FROM a LEFT JOIN b ON a.c_custkey = b.c_custkey WHERE b.c_custkey IS NULL),
+ro AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM rc)),
+rl AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem
+       WHERE l_orderkey IN (SELECT o_orderkey FROM ro))
+SELECT 'customer' AS table_name, c_custkey AS k1, CAST(NULL AS BIGINT) AS k2, CAST(NULL AS BIGINT) AS k3,
+       CAST(NULL AS INTEGER) AS k4 FROM rc
+UNION ALL SELECT 'orders', o_orderkey, NULL, NULL, NULL FROM ro
+UNION ALL SELECT 'lineitem', l_orderkey, l_partkey, l_suppkey, l_linenumber FROM rl
+"""
+
+
+@register("cascade_delete", _CASCADE_SQL)
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3 / Q4 / Q13: customers stale-deleted by a capture remove their orders,
+    which remove their lines (three levels, removed keys only)."""
+    from snaptide.operators.cascade import cascade_chain
+    from snaptide.operators.merge import deleted
+    t = Tables(spark, sf_dir)
+    cust = t.customer.select("c_custkey")
+    keys = ["k_cluster_id", "c_custkey"]
+    a = cust.select(F.lit(CLUSTER).alias("k_cluster_id"), "c_custkey", ts(T0).alias("refreshed_at"))
+    b = (cust.filter(F.col("c_custkey") % 10 != 1)
+         .select(F.lit(CLUSTER).alias("k_cluster_id"), "c_custkey", ts(T1).alias("refreshed_at")))
+    spec = _spec("customers", keys).__class__(name="customers", keys=tuple(keys), delete_stale=True)
+    state = survivors(merge_snapshot(None, a, spec))
+    gone_c = deleted(merge_snapshot(state, b, spec, scope=b.select("k_cluster_id", "refreshed_at").distinct()))
+    orders = t.orders.select(F.lit(CLUSTER).alias("k_cluster_id"), "o_custkey", "o_orderkey")
+    lines = t.lineitem.select(F.lit(CLUSTER).alias("k_cluster_id"), "l_orderkey", "l_partkey", "l_suppkey",
+                              "l_linenumber")
+    res = cascade_chain([
+        ("orders", orders, {"k_cluster_id": "k_cluster_id", "c_custkey": "o_custkey"}),
+        ("lineitem", lines, {"k_cluster_id": "k_cluster_id", "o_orderkey": "l_orderkey"}),
+    ], gone_c)
+    nl = F.lit(None)
+    return (gone_c.select(F.lit("customer").alias("table_name"), F.col("c_custkey").alias("k1"),
+                          nl.cast("bigint").alias("k2"), nl.cast("bigint").alias("k3"), nl.cast("int").alias("k4"))
+            .unionByName(res["orders"][1].select(F.lit("orders").alias("table_name"), F.col("o_orderkey").alias("k1"),
+                                                 nl.cast("bigint").alias("k2"), nl.cast("bigint").alias("k3"),
+                                                 nl.cast("int").alias("k4")))
+            .unionByName(res["lineitem"][1].select(F.lit("lineitem").alias("table_name"),
+                                                   F.col("l_orderkey").alias("k1"), F.col("l_partkey").alias("k2"),
+                                                   F.col("l_suppkey").alias("k3"), F.col("l_linenumber").alias("k4"))))
+
+
+# ------------------------------------------------------------ lookups (J*) ---
+# Parent states with some parents absent, chosen by their data: orders without
+# low-priority ones, customers outside one market segment, nations outside one
+# region.
+
+def _lookup_states(spark, sf_dir):
+    from snaptide.operators.joins import lookup  # noqa: F401
+    t = Tables(spark, sf_dir)
+    orders = t.orders.filter(F.col("o_orderpriority") != "5-LOW").select("o_orderkey", "o_custkey")
+    cust = t.customer.filter(F.col("c_mktsegment") != "MACHINERY").select("c_custkey", "c_nationkey", "c_name")
+    nation = t.nation.filter(F.col("n_regionkey") != 4).select("n_nationkey", "n_regionkey")
+    return t, orders, cust, nation
+
+
+_LK_ORDERS = "(SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority <> '5-LOW')"
+_LK_CUST = "(SELECT c_custkey, c_nationkey, c_name FROM customer WHERE c_mktsegment <> 'MACHINERY')"
+_LK_NATION = "(SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey <> 4)"
+
+
+@register("lookup_one", f"""
+SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, o.o_custkey
+FROM lineitem l JOIN {_LK_ORDERS} o ON l.l_orderkey = o.o_orderkey""")
+def lookup_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Child rows resolved against their parent; unknown parent drops the row."""
+    from snaptide.operators.joins import lookup
+    t, orders, _, _ = _lookup_states(spark, sf_dir)
+    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return lookup(lines, orders.withColumnRenamed("o_orderkey", "l_orderkey"), ["l_orderkey"]).select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "o_custkey")
+
+
+@register("lookup_chain", f"""
+SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, o.o_custkey, c.c_nationkey, n.n_regionkey
+FROM lineitem l JOIN {_LK_ORDERS} o ON l.l_orderkey = o.o_orderkey
+JOIN {_LK_CUST} c ON o.o_custkey = c.c_custkey
+JOIN {_LK_NATION} n ON c.c_nationkey = n.n_nationkey""")
+def lookup_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of inner lookups; the small nation level is broadcast
+    behind a size check, the rest are shuffle joins on the parent key."""
+    from snaptide.operators.joins import lookup
+    t, orders, cust, nation = _lookup_states(spark, sf_dir)
+    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    x = lookup(lines, orders.withColumnRenamed("o_orderkey", "l_orderkey"), ["l_orderkey"])
+    x = lookup(x, cust.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), ["o_custkey"])
+    x = lookup(x, nation.withColumnRenamed("n_nationkey", "c_nationkey"), ["c_nationkey"], bound=100_000)
+    return x.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "o_custkey", "c_nationkey",
+                    "n_regionkey")
+
+
+@register("lookup_drop_unknown", f"""
+SELECT o.o_orderkey, o.o_custkey FROM orders o
+WHERE NOT EXISTS (SELECT 1 FROM {_LK_CUST} c WHERE c.c_custkey = o.o_custkey)""")
+def lookup_drop_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows an inner lookup drops (a group whose coordinator is unknown)."""
+    from snaptide.operators.joins import lookup
+    t, _, cust, _ = _lookup_states(spark, sf_dir)
+    orders = t.orders.select("o_orderkey", "o_custkey")
+    return lookup(orders, cust.select(F.col("c_custkey").alias("o_custkey")), ["o_custkey"], how="left_anti")
+
+
+@register("lookup_binding", f"""
+WITH pairs AS (
+  SELECT DISTINCT s.s_name AS resource_name, c.c_name AS principal
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+  JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN customer c ON c.c_custkey = o.o_custkey)
+SELECT p.resource_name, p.principal, r.s_suppkey, e.c_custkey
+FROM pairs p JOIN (SELECT s_name, s_suppkey FROM supplier WHERE s_nationkey <> 3) r ON r.s_name = p.resource_name
+JOIN {_LK_CUST} e ON e.c_name = p.principal""")
+def lookup_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A binding resolves its resource and its entry by two equi-joins
+    from the binding row (never resource x entry)."""
+    from snaptide.operators.joins import lookup
+    t, _, cust, _ = _lookup_states(spark, sf_dir)
+    sup = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
+    pairs = (t.lineitem.select("l_orderkey", "l_suppkey")
+             .join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+             .join(sup.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("resource_name")),
+                   "l_suppkey")
+             .join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("principal")),
+                   "o_custkey")
+             .select("resource_name", "principal").distinct())
+    resources = sup.filter(F.col("s_nationkey") != 3).select(F.col("s_name").alias("resource_name"), "s_suppkey")
+    entries = cust.select(F.col("c_name").alias("principal"), "c_custkey")
+    x = lookup(pairs, resources, ["resource_name"], bound=1_000_000)
+    return lookup(x, entries, ["principal"]).select("resource_name", "principal", "s_suppkey", "c_custkey")
+
+
+# ----------------------------------------------------- assignments (J7/M10) --
+
+_ASSIGN_SQL = f"""
+WITH a AS (SELECT DISTINCT 'g' || CAST(user_id % 10 AS VARCHAR) AS group_id, 'u' || CAST(user_id AS VARCHAR) AS member_id,
+                  event_type AS topic, CAST(hour(ts) % 4 AS INTEGER) AS k_partition_id FROM events),
+members AS (SELECT DISTINCT 'g' || CAST(user_id % 10 AS VARCHAR) AS group_id, 'u' || CAST(user_id AS VARCHAR) AS member_id
+            FROM events WHERE event_type = 'signup'),
+topics AS (SELECT DISTINCT event_type AS name, 'topic-' || event_type AS k_topic_id FROM events WHERE event_type <> 'error'),
+parts AS (SELECT DISTINCT 'topic-' || event_type AS k_topic_id, CAST(hour(ts) % 4 AS INTEGER) AS k_partition_id
+          FROM events WHERE value > 5)
+SELECT '{CLUSTER}' AS k_cluster_id, a.group_id, a.member_id, t.k_topic_id, a.k_partition_id
+FROM a JOIN members m ON m.group_id = a.group_id AND m.member_id = a.member_id
+JOIN topics t ON t.name = a.topic
+JOIN parts p ON p.k_topic_id = t.k_topic_id AND p.k_partition_id = a.k_partition_id"""
+
+
+@register("assignments_per_member", _ASSIGN_SQL)
+def assignments_per_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An assignment resolves its own member (not every member of
+    the group), the topic by name, then the partition."""
+    from snaptide.operators.lookup_plans import resolve_assignments
+    ev = Tables(spark, sf_dir).events.select("user_id", "event_type", "ts", "value")
+    cl = F.lit(CLUSTER).alias("k_cluster_id")
+    group = F.concat(F.lit("g"), (F.col("user_id") % 10).cast("string")).alias("group_id")
+    member = F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("member_id")
+    part = (F.hour("ts") % 4).cast("int").alias("k_partition_id")
+    assignments = ev.select(cl, group, member, F.col("event_type").alias("topic"), part).distinct()
+    members = ev.filter(F.col("event_type") == "signup").select(cl, group, member).distinct()
+    topics = (ev.filter(F.col("event_type") != "error")
+              .select(cl, F.col("event_type").alias("name"),
+                      F.concat(F.lit("topic-"), F.col("event_type")).alias("k_topic_id")).distinct())
+    parts = (ev.filter(F.col("value") > 5)
+             .select(cl, F.concat(F.lit("topic-"), F.col("event_type")).alias("k_topic_id"), part).distinct())
+    return resolve_assignments(assignments, members, topics, parts)
+
+
+# ------------------------------------------------------ node completion (J11-J12, U1) --
+
+def _node_frames(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    cl = F.lit(CLUSTER).alias("k_cluster_id")
+    live = (t.supplier.filter(F.col("s_acctbal") >= 0)
+            .select(cl, F.col("s_suppkey").cast("int").alias("k_node_id"), F.col("s_name").alias("host"),
+                    (F.lit(9000) + F.col("s_nationkey")).alias("port"),
+                    F.concat(F.lit("rack-"), F.col("s_nationkey").cast("string")).alias("rack")))
+    li = t.lineitem
+    voters = (li.filter(F.col("l_returnflag") == "R")
+              .select(cl, F.col("l_suppkey").cast("int").alias("k_node_id")).distinct())
+    observers = (li.filter(F.col("l_linestatus") == "O")
+                 .select(cl, (F.col("l_partkey") % 150).cast("int").alias("k_node_id")).distinct())
+    return t, live, voters, observers
+
+
+_NODES_SQL = f"""
+live AS (SELECT '{CLUSTER}' AS k_cluster_id, CAST(s_suppkey AS INTEGER) AS k_node_id, s_name AS host,
+                9000 + s_nationkey AS port, 'rack-' || CAST(s_nationkey AS VARCHAR) AS rack
+         FROM supplier WHERE s_acctbal >= 0),
+voters AS (SELECT DISTINCT CAST(l_suppkey AS INTEGER) AS k_node_id FROM lineitem WHERE l_returnflag = 'R'),
+observers AS (SELECT DISTINCT CAST(l_partkey % 150 AS INTEGER) AS k_node_id FROM lineitem WHERE l_linestatus = 'O'),
+ids AS (SELECT k_node_id FROM voters UNION SELECT k_node_id FROM observers),
+missing AS (SELECT '{CLUSTER}' AS k_cluster_id, k_node_id, CAST(NULL AS VARCHAR) AS host, -1 AS port,
+                   CAST(NULL AS VARCHAR) AS rack
+            FROM ids WHERE k_node_id NOT IN (SELECT k_node_id FROM live))"""
+
+
+@register("missing_ids", f"WITH {_NODES_SQL} SELECT * FROM missing")
+def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J12 + P12: quorum members without a live node, as placeholder rows."""
+    from snaptide.operators.nodes import missing_nodes
+    _, live, voters, observers = _node_frames(spark, sf_dir)
+    return missing_nodes(voters.unionByName(observers), live, ["k_cluster_id"])
+
+
+@register("all_nodes", f"""WITH {_NODES_SQL},
+nodes AS (SELECT * FROM live UNION ALL SELECT * FROM missing),
+meta AS (SELECT (SELECT min(k_node_id) FROM live) AS controller_id, (SELECT max(k_node_id) FROM voters) AS leader_id)
+SELECT n.k_cluster_id, n.k_node_id, n.host, n.port, n.rack,
+       n.k_node_id = m.controller_id AS controller, n.k_node_id = m.leader_id AS leader,
+       n.k_node_id IN (SELECT k_node_id FROM voters) AS voter,
+       n.k_node_id IN (SELECT k_node_id FROM observers) AS observer
+FROM nodes n JOIN meta m ON true""")
+def all_nodes_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U1 + P1 + P2: live and missing nodes with controller / quorum flags."""
+    from snaptide.operators.nodes import all_nodes
+    _, live, voters, observers = _node_frames(spark, sf_dir)
+    meta = (live.groupBy("k_cluster_id").agg(F.min("k_node_id").alias("controller_id"))
+            .join(voters.groupBy("k_cluster_id").agg(F.max("k_node_id").alias("leader_id")), "k_cluster_id"))
+    return all_nodes(live, meta, voters, observers, ["k_cluster_id"])
+
+
+@register("live_only", """
+SELECT DISTINCT CAST(l_suppkey AS INTEGER) AS k_node_id, 'flag-' || l_returnflag AS name, l_linestatus AS value
+FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0)""")
+def live_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configs are kept for live nodes only (left semi join)."""
+    from snaptide.operators.joins import lookup
+    t, live, _, _ = _node_frames(spark, sf_dir)
+    configs = t.lineitem.select(F.col("l_suppkey").cast("int").alias("k_node_id"),
+                                F.concat(F.lit("flag-"), F.col("l_returnflag")).alias("name"),
+                                F.col("l_linestatus").alias("value")).distinct()
+    return lookup(configs, live.select("k_node_id"), ["k_node_id"], how="left_semi", bound=1_000_000)
+
+
+# ------------------------------------------ nested flatten, flags, log dirs --
+
+@register("flatten_replicas", REPLICAS_SQL)
+def flatten_replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5 + F6 + P3 + P4 + P5 (J13, L1, Q6): replicas flattened from nested
+    topic descriptions, leader / in-sync flags, size / lag / future from the
+    first log dir holding the replica."""
+    t = Tables(spark, sf_dir)
+    snap = replica_snapshot_rows(
+        t.orders.select("o_orderkey"),
+        t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", "l_linestatus"))
+    return fl.replicas(snap).drop("refreshed_at")
+
+
+@register("flatten_partitions", f"""
+SELECT '{CLUSTER}' AS k_cluster_id, 't' || CAST(l.l_orderkey AS VARCHAR) AS k_topic_id,
+       'topic-' || CAST(l.l_orderkey AS VARCHAR) AS topic, l.l_linenumber AS k_partition_id,
+       CASE WHEN l_returnflag = 'N' THEN NULL ELSE CAST(l_suppkey AS INTEGER) END AS leader_id
+FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey""")
+def flatten_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(topic, partition) rows from nested topic descriptions."""
+    t = Tables(spark, sf_dir)
+    snap = replica_snapshot_rows(
+        t.orders.select("o_orderkey"),
+        t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", "l_linestatus"))
+    return fl.partitions(snap).select("k_cluster_id", "k_topic_id", "topic", "k_partition_id", "leader_id")
+
+
+_ATTACH_SQL = """
+WITH dirs AS (SELECT l_orderkey AS o_orderkey, 'dir-' || CAST(l_linenumber AS VARCHAR) AS path,
+                     l_returnflag = 'R' AS future, l_partkey AS size, l_suppkey AS offset_lag FROM lineitem),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey
+                                                      ORDER BY future, path, size, offset_lag) AS rn FROM dirs)
+          WHERE rn = 1)
+SELECT o.o_orderkey, f.size, f.offset_lag, f.future FROM orders o LEFT JOIN first f ON f.o_orderkey = o.o_orderkey"""
+
+
+@register("attach_first_match", _ATTACH_SQL)
+def attach_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order gets the first of its lines by (current copy
+    first, smallest path) or NULLs when it has none (left outer join)."""
+    t = Tables(spark, sf_dir)
+    dirs = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"),
+                             F.concat(F.lit("dir-"), F.col("l_linenumber").cast("string")).alias("path"),
+                             (F.col("l_returnflag") == "R").alias("future"), F.col("l_partkey").alias("size"),
+                             F.col("l_suppkey").alias("offset_lag"))
+    first = fl.first_log_dir(dirs, ["o_orderkey"])
+    return t.orders.select("o_orderkey").join(first, "o_orderkey", "left")
+
+
+# ------------------------------------------------------------ scalars (P6, P7) --
+
+@register("negative_to_null", """
+SELECT c_custkey, CASE WHEN floor(c_acctbal) >= 0 THEN CAST(floor(c_acctbal) AS BIGINT) END AS "offset"
+FROM customer""")
+def negative_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A negative offset is stored as NULL."""
+    from snaptide.functions.scalars import offset_or_null
+    c = Tables(spark, sf_dir).customer
+    return c.select("c_custkey", offset_or_null(F.floor("c_acctbal").cast("bigint")).alias("offset"))
+
+
+@register("millis_to_timestamp", """
+WITH m AS (SELECT event_id, CASE WHEN event_id % 13 = 0 THEN -1 ELSE epoch_us(ts) // 1000 END AS timestamp_ms FROM events)
+SELECT event_id, timestamp_ms, CASE WHEN timestamp_ms >= 0 THEN epoch_ms(timestamp_ms) END AS "timestamp" FROM m""")
+def millis_to_timestamp_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epoch milliseconds to a timestamp; negative means unknown (NULL)."""
+    from snaptide.functions.scalars import millis_to_timestamp
+    ev = Tables(spark, sf_dir).events
+    ms = F.when(F.col("event_id") % 13 == 0, F.lit(-1).cast("bigint")).otherwise(
+        F.unix_millis(F.col("ts").cast("timestamp")))
+    m = ev.select("event_id", ms.alias("timestamp_ms"))
+    return to_ntz(m.withColumn("timestamp", millis_to_timestamp(F.col("timestamp_ms"))), "timestamp")

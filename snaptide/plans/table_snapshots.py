@@ -119,3 +119,50 @@ SELECT {", ".join(keys)}{out_attrs},
        CASE WHEN action IN ('insert', 'update', 'touch') THEN {T1s} ELSE {T0s} END AS refreshed_at,
        action
 FROM k"""
+
+
+def replica_snapshot_rows(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """Snapshot chunk rows, one per order line: the order is a topic, the line
+    a partition with two replicas (supplier and part as node ids), and the
+    supplier's log dir holds a copy. Chunks of one capture share
+    (k_cluster_id, captured_at); no row holds more than one line."""
+    li = lineitem.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    sup = F.col("l_suppkey").cast("int")
+    prt = F.col("l_partkey").cast("int")
+    name = F.concat(F.lit("topic-"), F.col("l_orderkey").cast("string"))
+    part = F.struct(F.col("l_linenumber").alias("partition"),
+                    F.when(F.col("l_returnflag") == "N", F.lit(None).cast("int")).otherwise(sup).alias("leader"),
+                    F.array(sup, prt).alias("replicas"),
+                    F.when(F.col("l_linestatus") == "O", F.array(sup)).otherwise(F.array(prt)).alias("isr"))
+    topic = F.struct(F.concat(F.lit("t"), F.col("l_orderkey").cast("string")).alias("k_topic_id"),
+                     name.alias("name"), F.array(part).alias("partitions"))
+    rep = F.struct(name.alias("topic"), F.col("l_linenumber").alias("partition"), F.col("l_partkey").alias("size"),
+                   (F.col("l_linenumber").cast("bigint") * 10).alias("offset_lag"),
+                   (F.col("l_returnflag") == "A").alias("future"))
+    ldir = F.struct(sup.alias("node_id"), F.concat(F.lit("dir-"), F.col("l_linestatus")).alias("path"),
+                    F.array(rep).alias("replicas"))
+    return li.select(F.lit(CLUSTER).alias("k_cluster_id"), F.lit(CLUSTER).alias("cluster_name"),
+                     ts(T0).alias("captured_at"), F.lit(0).alias("controller_id"),
+                     F.array(topic).alias("topic_descriptions"), F.array(ldir).alias("log_dirs"))
+
+
+REPLICAS_SQL = f"""
+WITH li AS (SELECT l.* FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey),
+p AS (SELECT l_orderkey, l_linenumber, CAST(l_suppkey AS INTEGER) AS s, CAST(l_partkey AS INTEGER) AS pk,
+             CASE WHEN l_returnflag = 'N' THEN NULL ELSE CAST(l_suppkey AS INTEGER) END AS leader_id,
+             CASE WHEN l_linestatus = 'O' THEN [CAST(l_suppkey AS INTEGER)] ELSE [CAST(l_partkey AS INTEGER)] END AS isr
+      FROM li),
+reps AS (SELECT l_orderkey, l_linenumber, s AS node, leader_id, isr FROM p
+         UNION ALL SELECT l_orderkey, l_linenumber, pk AS node, leader_id, isr FROM p),
+dirs AS (SELECT l_orderkey, l_linenumber, CAST(l_suppkey AS INTEGER) AS node, 'dir-' || l_linestatus AS path,
+                l_partkey AS size, CAST(l_linenumber AS BIGINT) * 10 AS offset_lag, l_returnflag = 'A' AS future
+         FROM li),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, node
+                                                      ORDER BY future, path, size, offset_lag) AS rn FROM dirs)
+          WHERE rn = 1)
+SELECT '{CLUSTER}' AS k_cluster_id, 't' || CAST(r.l_orderkey AS VARCHAR) AS k_topic_id,
+       r.l_linenumber AS k_partition_id, r.node AS k_node_id,
+       coalesce(r.node = r.leader_id, false) AS leader, list_contains(r.isr, r.node) AS in_sync,
+       f.size, f.offset_lag, f.future
+FROM reps r LEFT JOIN first f ON f.l_orderkey = r.l_orderkey AND f.l_linenumber = r.l_linenumber AND f.node = r.node
+"""
