@@ -597,3 +597,141 @@ def millis_to_timestamp_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.unix_millis(F.col("ts").cast("timestamp")))
     m = ev.select("event_id", ms.alias("timestamp_ms"))
     return to_ntz(m.withColumn("timestamp", millis_to_timestamp(F.col("timestamp_ms"))), "timestamp")
+
+
+# ------------------------------------------------------------------ offsets --
+# Record log from events: topic = event type, partition = user_id % 4,
+# offset = event_id (sparse within a partition, like a compacted log).
+
+def _log(spark, sf_dir):
+    ev = Tables(spark, sf_dir).events
+    return ev.select(F.col("event_type").alias("topic"), (F.col("user_id") % 4).cast("int").alias("partition"),
+                     F.col("event_id").alias("offset"), F.col("ts").alias("timestamp"))
+
+
+_LOG_SQL = """log AS (SELECT event_type AS topic, CAST(user_id % 4 AS INTEGER) AS "partition",
+                       event_id AS "offset", ts AS "timestamp" FROM events)"""
+
+
+@register("offset_types", f"""WITH {_LOG_SQL},
+agg AS (SELECT topic, "partition", min("offset") AS e, max("offset") + 1 AS l FROM log GROUP BY ALL),
+mx AS (SELECT topic, "partition", "offset", "timestamp" FROM (
+         SELECT *, row_number() OVER (PARTITION BY topic, "partition" ORDER BY "timestamp" DESC, "offset") AS rn
+         FROM log) WHERE rn = 1)
+SELECT topic, "partition", 'EARLIEST' AS offset_type, e AS "offset", CAST(NULL AS TIMESTAMP) AS "timestamp" FROM agg
+UNION ALL SELECT topic, "partition", 'LATEST', l, NULL FROM agg
+UNION ALL SELECT topic, "partition", 'MAX_TIMESTAMP', "offset", "timestamp" FROM mx""")
+def offset_types_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S13 + U3: EARLIEST, LATEST and MAX_TIMESTAMP offsets per partition, long form."""
+    from snaptide.operators.offsets import offset_types
+    return offset_types(_log(spark, sf_dir))
+
+
+def _commits(spark, sf_dir, exact: bool):
+    ev = Tables(spark, sf_dir).events
+    g = (ev.groupBy("user_id", "event_type").agg(F.max("event_id").alias("_m")))
+    u = F.col("user_id")
+    if exact:
+        off = F.col("_m")
+    else:
+        off = F.when(u % 5 == 0, F.lit(-5).cast("bigint")).when(u % 5 == 1, F.lit(1_000_000_000).cast("bigint")) \
+            .otherwise(F.col("_m") + 1)
+    return g.select(F.concat(F.lit("g"), u.cast("string")).alias("group_id"), F.col("event_type").alias("topic"),
+                    (u % 4).cast("int").alias("partition"), off.alias("offset"))
+
+
+def _commits_sql(exact: bool) -> str:
+    off = "m" if exact else "CASE WHEN user_id % 5 = 0 THEN -5 WHEN user_id % 5 = 1 THEN 1000000000 ELSE m + 1 END"
+    return f"""commits AS (SELECT 'g' || CAST(user_id AS VARCHAR) AS group_id, event_type AS topic,
+                           CAST(user_id % 4 AS INTEGER) AS "partition", CAST({off} AS BIGINT) AS "offset"
+                    FROM (SELECT user_id, event_type, max(event_id) AS m FROM events GROUP BY ALL))"""
+
+
+_BOUNDS_SQL = """bounds AS (SELECT topic, "partition", min("offset") AS beginning_offset,
+                                   max("offset") + 1 AS end_offset FROM log GROUP BY ALL)"""
+
+
+@register("offset_bounds_filter", f"""WITH {_LOG_SQL}, {_commits_sql(False)}, {_BOUNDS_SQL}
+SELECT c.topic, c."partition", c.group_id, c."offset", b.beginning_offset, b.end_offset
+FROM commits c JOIN bounds b ON b.topic = c.topic AND b."partition" = c."partition"
+WHERE c."offset" >= b.beginning_offset AND c."offset" < b.end_offset""")
+def offset_bounds_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S11 + W1 + W2 + J18: committed offsets within [beginning, end)."""
+    from snaptide.operators.offsets import partition_bounds, within_bounds
+    log = _log(spark, sf_dir)
+    return within_bounds(_commits(spark, sf_dir, exact=False), partition_bounds(log))
+
+
+def _asof_sql(exact: bool) -> str:
+    return f"""WITH {_LOG_SQL}, {_commits_sql(exact)}, {_BOUNDS_SQL},
+t AS (SELECT DISTINCT c.topic, c."partition", c."offset" FROM commits c
+      JOIN bounds b ON b.topic = c.topic AND b."partition" = c."partition"
+      WHERE c."offset" >= b.beginning_offset AND c."offset" < b.end_offset),
+f AS (SELECT t.topic, t."partition", t."offset", min_by(l."timestamp", l."offset") AS offset_timestamp
+      FROM t JOIN log l ON l.topic = t.topic AND l."partition" = t."partition" AND l."offset" >= t."offset"
+      GROUP BY ALL)
+SELECT c.topic, c."partition", c."offset", c.group_id, f.offset_timestamp
+FROM commits c LEFT JOIN f ON f.topic = c.topic AND f."partition" = c."partition" AND f."offset" = c."offset" """
+
+
+# Fixed value: offset range per bucket of the as-of lookup in these queries.
+_ASOF_BUCKET = 256
+
+
+@register("offset_timestamp_exact", _asof_sql(True))
+def offset_timestamp_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J15 + J16: every commit points at an existing record."""
+    from snaptide.operators.asof import attach_offset_timestamps
+    return attach_offset_timestamps(_commits(spark, sf_dir, exact=True), _log(spark, sf_dir), ["topic", "partition"],
+                                    bucket=_ASOF_BUCKET)
+
+
+@register("offset_timestamp_gaps", _asof_sql(False))
+def offset_timestamp_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J15 + J16 + W1/W2: commits between records, below the beginning and at
+    or past the end (the last two get NULL)."""
+    from snaptide.operators.asof import attach_offset_timestamps
+    return attach_offset_timestamps(_commits(spark, sf_dir, exact=False), _log(spark, sf_dir),
+                                    ["topic", "partition"], bucket=_ASOF_BUCKET)
+
+
+# --------------------------------------------------------------- velocity --
+# The two capture times of the velocity queries (day ends).
+_D1 = "2024-01-10 00:00:00"
+_D2 = "2024-01-11 00:00:00"
+
+
+def _types_capture_sql(day: str) -> str:
+    return f"""WITH log AS (SELECT event_type AS topic, CAST(user_id % 4 AS INTEGER) AS "partition",
+                                event_id AS "offset", ts AS "timestamp" FROM events
+                         WHERE ts < TIMESTAMP '{day}'),
+agg AS (SELECT topic, "partition", min("offset") AS e, max("offset") + 1 AS l FROM log GROUP BY ALL),
+mx AS (SELECT topic, "partition", "offset", "timestamp" FROM (
+         SELECT *, row_number() OVER (PARTITION BY topic, "partition" ORDER BY "timestamp" DESC, "offset") AS rn
+         FROM log) WHERE rn = 1)
+SELECT '{CLUSTER}' AS k_cluster_id, topic, "partition", 'EARLIEST' AS offset_type, e AS "offset",
+       CAST(NULL AS TIMESTAMP) AS "timestamp" FROM agg
+UNION ALL SELECT '{CLUSTER}', topic, "partition", 'LATEST', l, NULL FROM agg
+UNION ALL SELECT '{CLUSTER}', topic, "partition", 'MAX_TIMESTAMP', "offset", "timestamp" FROM mx"""
+
+
+_PO_KEYS = ["k_cluster_id", "topic", "partition", "offset_type"]
+_PO_CMP = (("offset", "<=>"), ("timestamp", "<=>"))
+
+
+@register("velocity_latest", two_snapshot_merge_sql(
+    _types_capture_sql(_D1), _types_capture_sql(_D2), _PO_KEYS, _PO_CMP, delete=None, t0=_D1, t1=_D2,
+    velocity="LATEST"))
+def velocity_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M12 + V2: partition offsets of two day-end captures; only LATEST gets a velocity."""
+    from snaptide.operators.offsets import offset_types
+    log = _log(spark, sf_dir)
+
+    def cap(day):
+        t = offset_types(log.filter(F.col("timestamp") < F.lit(day).cast("timestamp_ntz")))
+        return t.select(F.lit(CLUSTER).alias("k_cluster_id"), "*", ts(day).alias("refreshed_at"))
+
+    spec = TABLES["partition_offsets"].__class__(name="po", keys=tuple(_PO_KEYS), compare=_PO_CMP,
+                                                 extra=("velocity",), velocity="LATEST")
+    state = survivors(merge_snapshot(None, cap(_D1), spec))
+    return to_ntz(merge_snapshot(state, cap(_D2), spec), *AUDIT_NTZ)

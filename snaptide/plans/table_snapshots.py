@@ -78,34 +78,42 @@ TOPICS_SQL = {
 
 
 def two_snapshot_merge_sql(a_sql: str, b_sql: str, keys, compare, delete: str | None,
-                           t0: str = T0, t1: str = T1, scope_sql: str | None = None) -> str:
+                           t0: str = T0, t1: str = T1, scope_sql: str | None = None,
+                           velocity: str | None = None) -> str:
     """SQL restatement of merging capture B (at t1) into the state built from
     capture A (at t0): full outer join on the key and CASE per clause.
 
     ``compare``: (column, op) with op ``=`` or ``<=>``. ``delete``: None (keep
     rows missing from B) or ``"scope"`` (delete them when their cluster appears
     in ``scope_sql``, default: the clusters of B)."""
-    on = " AND ".join(f"a.{k} = b.{k}" for k in keys)
-    key_sel = ", ".join(f"coalesce(a.{k}, b.{k}) AS {k}" for k in keys)
+    on = " AND ".join(f'a."{k}" = b."{k}"' for k in keys)
+    key_sel = ", ".join(f'coalesce(a."{k}", b."{k}") AS "{k}"' for k in keys)
     attrs = [c for c, _ in compare]
-    attr_sel = "".join(f", a.{c} AS a_{c}, b.{c} AS b_{c}" for c in attrs)
+    attr_sel = "".join(f', a."{c}" AS a_{c}, b."{c}" AS b_{c}' for c in attrs)
     same = " AND ".join(
         (f"a_{c} IS NOT DISTINCT FROM b_{c}" if op == "<=>" else f"coalesce(a_{c} = b_{c}, false)")
         for c, op in compare) or "true"
     scope_sql = scope_sql or "SELECT DISTINCT k_cluster_id FROM b"
     if delete:
-        stale = f"k_cluster_id IN (SELECT k_cluster_id FROM scope)"
+        stale = "k_cluster_id IN (SELECT k_cluster_id FROM scope)"
     else:
         stale = "false"
     out_attrs = "".join(
-        f", CASE WHEN action IN ('insert','update') THEN b_{c} ELSE a_{c} END AS {c}" for c in attrs)
+        f""", CASE WHEN action IN ('insert','update') THEN b_{c} ELSE a_{c} END AS "{c}\"""" for c in attrs)
     T0s, T1s = sql_ts(t0), sql_ts(t1)
+    if velocity:
+        applies = "true" if velocity == "all" else f"offset_type = '{velocity}'"
+        secs = f"nullif(CAST(date_diff('microsecond', {T0s}, {T1s}) AS DOUBLE) / 1e6, 0)"
+        out_attrs += (f""",
+       CASE WHEN action = 'touch' THEN CASE WHEN {applies} THEN 0.0 END
+            WHEN action = 'update' THEN CASE WHEN {applies} THEN CAST(b_offset - a_offset AS DOUBLE) / {secs} END
+            ELSE CAST(NULL AS DOUBLE) END AS velocity""")
     return f"""
 WITH a AS ({a_sql}),
 b AS ({b_sql}),
 scope AS ({scope_sql}),
 j AS (SELECT {key_sel}{attr_sel},
-             a.{keys[-1]} IS NOT NULL AS in_a, b.{keys[-1]} IS NOT NULL AS in_b
+             a."{keys[-1]}" IS NOT NULL AS in_a, b."{keys[-1]}" IS NOT NULL AS in_b
       FROM a FULL OUTER JOIN b ON {on}),
 k AS (SELECT *, CASE WHEN in_a AND in_b AND {same} THEN 'touch'
                      WHEN in_a AND in_b THEN 'update'
@@ -113,7 +121,7 @@ k AS (SELECT *, CASE WHEN in_a AND in_b AND {same} THEN 'touch'
                      WHEN {stale} THEN 'delete'
                      ELSE 'keep' END AS action
       FROM j)
-SELECT {", ".join(keys)}{out_attrs},
+SELECT {", ".join(f'"{k}"' for k in keys)}{out_attrs},
        CASE WHEN action = 'insert' THEN {T1s} ELSE {T0s} END AS discovered_at,
        CASE WHEN action IN ('insert', 'update') THEN {T1s} ELSE {T0s} END AS modified_at,
        CASE WHEN action IN ('insert', 'update', 'touch') THEN {T1s} ELSE {T0s} END AS refreshed_at,
