@@ -735,3 +735,121 @@ def velocity_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                  extra=("velocity",), velocity="LATEST")
     state = survivors(merge_snapshot(None, cap(_D1), spec))
     return to_ntz(merge_snapshot(state, cap(_D2), spec), *AUDIT_NTZ)
+
+
+_GO_KEYS = ["k_cluster_id", "group_id", "topic", "partition"]
+_GO_CMP = (("offset", "<=>"),)
+
+
+def _group_capture_sql(day: str) -> str:
+    return f"""SELECT '{CLUSTER}' AS k_cluster_id, 'g' || CAST(user_id AS VARCHAR) AS group_id, event_type AS topic,
+                      CAST(user_id % 4 AS INTEGER) AS "partition", max(event_id) + 1 AS "offset"
+               FROM events WHERE ts < TIMESTAMP '{day}' GROUP BY ALL"""
+
+
+def _group_capture(ev: DataFrame, day: str) -> DataFrame:
+    u = F.col("user_id")
+    return (ev.filter(F.col("ts") < F.lit(day).cast("timestamp_ntz"))
+            .groupBy("user_id", "event_type").agg((F.max("event_id") + 1).alias("offset"))
+            .select(F.lit(CLUSTER).alias("k_cluster_id"), F.concat(F.lit("g"), u.cast("string")).alias("group_id"),
+                    F.col("event_type").alias("topic"), (u % 4).cast("int").alias("partition"), "offset",
+                    ts(day).alias("refreshed_at")))
+
+
+@register("velocity_group", two_snapshot_merge_sql(
+    _group_capture_sql(_D1), _group_capture_sql(_D2), _GO_KEYS, _GO_CMP, delete="scope", t0=_D1, t1=_D2,
+    velocity="all"))
+def velocity_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M11 + V1 + X5: committed offsets of two day-end captures; velocity on every row."""
+    ev = Tables(spark, sf_dir).events.select("user_id", "event_type", "event_id", "ts")
+    spec = TABLES["consumer_group_offsets"].__class__(name="go", keys=tuple(_GO_KEYS), compare=_GO_CMP,
+                                                      extra=("velocity",), velocity="all", delete_stale=True)
+    b = _group_capture(ev, _D2)
+    state = survivors(merge_snapshot(None, _group_capture(ev, _D1), spec))
+    return to_ntz(merge_snapshot(state, b, spec, scope=b.select("k_cluster_id", "refreshed_at").distinct()),
+                  *AUDIT_NTZ)
+
+
+# History replay: one capture per day, at the day's end. A partition's LATEST
+# offset is captured on the days it received records; a group's commit on the
+# days the user produced that event type (absent otherwise: a gap).
+
+def _daily(ev: DataFrame, group: bool) -> DataFrame:
+    day_end = F.date_trunc("day", F.col("ts")) + F.expr("INTERVAL 1 DAY")
+    u = F.col("user_id")
+    if group:
+        g = ev.groupBy("user_id", "event_type", day_end.alias("_d")).agg((F.max("event_id") + 1).alias("offset"))
+        return g.select(F.lit(CLUSTER).alias("k_cluster_id"), F.concat(F.lit("g"), u.cast("string")).alias("group_id"),
+                        F.col("event_type").alias("topic"), (u % 4).cast("int").alias("partition"), "offset",
+                        F.col("_d").cast("timestamp").alias("refreshed_at"))
+    g = (ev.groupBy("event_type", (u % 4).cast("int").alias("partition"), day_end.alias("_d"))
+         .agg((F.max("event_id") + 1).alias("offset")))
+    return g.select(F.lit(CLUSTER).alias("k_cluster_id"), F.col("event_type").alias("topic"), "partition",
+                    F.lit("LATEST").alias("offset_type"), "offset",
+                    F.col("_d").cast("timestamp").alias("refreshed_at"))
+
+
+def _replay_sql(group: bool) -> str:
+    if group:
+        keys = ["k_cluster_id", "group_id", "topic", '"partition"']
+        caps = f"""SELECT '{CLUSTER}' AS k_cluster_id, 'g' || CAST(user_id AS VARCHAR) AS group_id, event_type AS topic,
+                          CAST(user_id % 4 AS INTEGER) AS "partition", max(event_id) + 1 AS "offset",
+                          date_trunc('day', ts) + INTERVAL 1 DAY AS captured_at
+                   FROM events GROUP BY user_id, event_type, date_trunc('day', ts)"""
+        start = "(pr IS NULL OR r - pr > 1)"
+        applies = "true"
+    else:
+        keys = ["k_cluster_id", "topic", '"partition"', "offset_type"]
+        caps = f"""SELECT '{CLUSTER}' AS k_cluster_id, event_type AS topic, CAST(user_id % 4 AS INTEGER) AS "partition",
+                          'LATEST' AS offset_type, max(event_id) + 1 AS "offset",
+                          date_trunc('day', ts) + INTERVAL 1 DAY AS captured_at
+                   FROM events GROUP BY event_type, user_id % 4, date_trunc('day', ts)"""
+        start = "(pc IS NULL)"
+        applies = "offset_type = 'LATEST'"
+    k = ", ".join(keys)
+    return f"""
+WITH caps AS ({caps}),
+ranks AS (SELECT k_cluster_id, captured_at, dense_rank() OVER (PARTITION BY k_cluster_id ORDER BY captured_at) AS r
+          FROM (SELECT DISTINCT k_cluster_id, captured_at FROM caps)),
+x AS (SELECT c.*, r.r FROM caps c JOIN ranks r ON r.k_cluster_id = c.k_cluster_id AND r.captured_at = c.captured_at),
+y AS (SELECT *, lag(r) OVER (PARTITION BY {k} ORDER BY captured_at) AS pr,
+                lag("offset") OVER (PARTITION BY {k} ORDER BY captured_at) AS po,
+                lag(captured_at) OVER (PARTITION BY {k} ORDER BY captured_at) AS pc FROM x),
+z AS (SELECT *, {start} AS st, {start} OR "offset" IS DISTINCT FROM po AS changed FROM y),
+z2 AS (SELECT *, sum(CASE WHEN st THEN 1 ELSE 0 END) OVER (PARTITION BY {k} ORDER BY captured_at
+                                                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island
+       FROM z),
+z3 AS (SELECT *, max(CASE WHEN changed THEN captured_at END) OVER (PARTITION BY {k} ORDER BY captured_at
+                                                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                 AS modified_at,
+                 min(captured_at) OVER (PARTITION BY {k}, island) AS discovered_at FROM z2),
+z4 AS (SELECT *, lag(modified_at) OVER (PARTITION BY {k} ORDER BY captured_at) AS pm FROM z3)
+SELECT {k}, "offset",
+       CASE WHEN st THEN CAST(NULL AS DOUBLE)
+            WHEN NOT changed THEN CASE WHEN {applies} THEN 0.0 END
+            ELSE CASE WHEN {applies} THEN CAST("offset" - po AS DOUBLE)
+                      / nullif(CAST(date_diff('microsecond', pm, captured_at) AS DOUBLE) / 1e6, 0) END END AS velocity,
+       discovered_at, modified_at, captured_at AS refreshed_at,
+       CASE WHEN st THEN 'insert' WHEN changed THEN 'update' ELSE 'touch' END AS action
+FROM z4"""
+
+
+@register("velocity_replay", _replay_sql(group=False))
+def velocity_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3 over 30 daily partition-offset captures (no stale delete: a missing row is no gap)."""
+    from snaptide.operators.replay import replay
+    ev = Tables(spark, sf_dir).events.select("user_id", "event_type", "event_id", "ts")
+    spec = TABLES["partition_offsets"].__class__(name="po", keys=("k_cluster_id", "topic", "partition", "offset_type"),
+                                                 compare=(("offset", "<=>"),), extra=("velocity",), velocity="LATEST")
+    return to_ntz(replay(_daily(ev, group=False), spec, gaps=False), *AUDIT_NTZ)
+
+
+@register("velocity_replay_gaps", _replay_sql(group=True))
+def velocity_replay_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3 over daily group-offset captures with stale delete: a day without
+    the key deletes it, its return starts a new island (insert, NULL velocity)."""
+    from snaptide.operators.replay import replay
+    ev = Tables(spark, sf_dir).events.select("user_id", "event_type", "event_id", "ts")
+    spec = TABLES["consumer_group_offsets"].__class__(name="go", keys=tuple(_GO_KEYS), compare=(("offset", "<=>"),),
+                                                      extra=("velocity",), velocity="all", delete_stale=True)
+    return to_ntz(replay(_daily(ev, group=True), spec), *AUDIT_NTZ)
