@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from snaptide.operators import flatten as fl
 from snaptide.operators.merge import merge_snapshot, survivors
 from snaptide.plans.table_snapshots import (
-    CLUSTER, REPLICAS_SQL, T0, T1, TOPICS_SQL, replica_snapshot_rows, to_ntz, topic_snapshot_rows, ts,
+    CLUSTER, REPLICAS_SQL, REPORT_SQL, T0, T1, TOPICS_SQL, region_snapshot_rows, replica_snapshot_rows, to_ntz,
+    topic_snapshot_rows, ts,
     two_snapshot_merge_sql,
 )
 from snaptide.schemas import TABLES
@@ -853,3 +854,13 @@ def velocity_replay_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = TABLES["consumer_group_offsets"].__class__(name="go", keys=tuple(_GO_KEYS), compare=(("offset", "<=>"),),
                                                       extra=("velocity",), velocity="all", delete_stale=True)
     return to_ntz(replay(_daily(ev, group=True), spec), *AUDIT_NTZ)
+
+
+# ------------------------------------------------------------------- report --
+
+@register("snapshot_report", REPORT_SQL)
+def snapshot_report_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 + A3: twelve counts per region capture (chunked snapshot rows)."""
+    from snaptide.operators.report import snapshot_report
+    snap = region_snapshot_rows(Tables(spark, sf_dir))
+    return to_ntz(snapshot_report(snap), "refreshed_at")

@@ -174,3 +174,122 @@ SELECT '{CLUSTER}' AS k_cluster_id, 't' || CAST(r.l_orderkey AS VARCHAR) AS k_to
        f.size, f.offset_lag, f.future
 FROM reps r LEFT JOIN first f ON f.l_orderkey = r.l_orderkey AND f.l_linenumber = r.l_linenumber AND f.node = r.node
 """
+
+
+def chunk(df: DataFrame, **sections: Column) -> DataFrame:
+    """Rows of the SNAPSHOT schema: the given columns, every other section NULL."""
+    from snaptide.schemas import SNAPSHOT, relaxed
+    cols = []
+    for f in SNAPSHOT.fields:
+        c = sections.get(f.name)
+        cols.append((c if c is not None else F.lit(None)).cast(relaxed(f.dataType)).alias(f.name))
+    return df.select(*cols)
+
+
+def region_snapshot_rows(t) -> DataFrame:
+    """One capture per region (the cluster), split into chunk rows: one per
+    supplier (node + its config), per order (topic, its config, the
+    customer's group with the order as member) and per line (partition with
+    two replicas, the member's assignment, an ACL binding). The quorum of a
+    region lists its nations' keys as voters."""
+    nation = t.nation.select("n_nationkey", "n_regionkey", "n_name")
+    region = t.region.select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("k_cluster_id"))
+    quorum = (nation.groupBy("n_regionkey")
+              .agg(F.min("n_nationkey").alias("leader_id"), F.sort_array(F.collect_list("n_nationkey")).alias("voters")))
+    meta = region.join(quorum, "n_regionkey").select(
+        "n_regionkey", "k_cluster_id",
+        F.struct("leader_id", "voters", F.array().cast("array<int>").alias("observers")).alias("quorum"),
+        F.col("leader_id").alias("controller_id"))
+    base = dict(cluster_name=F.col("k_cluster_id"), captured_at=ts(T0), controller_id=F.col("controller_id"),
+                quorum=F.col("quorum"), k_cluster_id=F.col("k_cluster_id"))
+    nodes_of = F.array().cast("array<struct<id:int,host:string,port:int,rack:string>>")
+
+    sup = (t.supplier.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+           .join(nation.withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey").join(meta, "n_regionkey"))
+    sid = F.col("s_suppkey").cast("int")
+    entry = F.struct(F.lit("acctbal").alias("name"), F.col("s_acctbal").cast("string").alias("value"),
+                     F.lit("DYNAMIC_BROKER_CONFIG").alias("source"), F.lit(False).alias("sensitive"),
+                     F.lit(False).alias("read_only"), F.lit("DOUBLE").alias("type"),
+                     F.lit(None).cast("string").alias("documentation"))
+    sup_rows = chunk(sup, **base,
+                     nodes=F.array(F.struct(sid.alias("id"), F.col("s_name").alias("host"), F.lit(9092).alias("port"),
+                                            F.col("n_name").alias("rack"))),
+                     node_configs=F.array(F.struct(sid.alias("node_id"), F.array(entry).alias("entries"))))
+
+    cust = (t.customer.select("c_custkey", "c_nationkey")
+            .join(nation.withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey"))
+    orders = (t.orders.select("o_orderkey", "o_custkey", "o_orderpriority")
+              .join(cust.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").join(meta, "n_regionkey"))
+    tid = F.concat(F.lit("t"), F.col("o_orderkey").cast("string"))
+    tname = F.concat(F.lit("topic-"), F.col("o_orderkey").cast("string"))
+    tentry = F.struct(F.lit("priority").alias("name"), F.col("o_orderpriority").alias("value"),
+                      F.lit("DYNAMIC_TOPIC_CONFIG").alias("source"), F.lit(False).alias("sensitive"),
+                      F.lit(False).alias("read_only"), F.lit("STRING").alias("type"),
+                      F.lit(None).cast("string").alias("documentation"))
+
+    def group(assignments):
+        member = F.struct(F.concat(F.lit("m"), F.col("o_orderkey").cast("string")).alias("member_id"),
+                          F.lit(None).cast("string").alias("group_instance_id"),
+                          F.lit("client").alias("client_id"), F.lit("host").alias("host"),
+                          assignments.alias("assignments"))
+        return F.array(F.struct(F.concat(F.lit("g"), F.col("o_custkey").cast("string")).alias("group_id"),
+                                F.lit(False).alias("simple"), F.lit("STABLE").alias("state"),
+                                F.lit("range").alias("partition_assignor"),
+                                F.col("controller_id").alias("coordinator_id"), F.array(member).alias("members")))
+
+    order_rows = chunk(orders, **base, nodes=nodes_of,
+                       topics=F.array(F.struct(tid.alias("k_topic_id"), tname.alias("name"),
+                                               F.lit(False).alias("internal"))),
+                       topic_configs=F.array(F.struct(tid.alias("k_topic_id"), F.array(tentry).alias("entries"))),
+                       consumer_groups=group(F.array().cast("array<struct<topic:string,partition:int>>")))
+
+    lines = (t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", "l_linestatus")
+             .join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderkey", "o_custkey",
+                                 "k_cluster_id", "quorum", "controller_id"), "l_orderkey"))
+    part = F.struct(F.col("l_linenumber").alias("partition"), F.col("l_suppkey").cast("int").alias("leader"),
+                    F.array(F.col("l_suppkey").cast("int"), F.col("l_partkey").cast("int")).alias("replicas"),
+                    F.array(F.col("l_suppkey").cast("int")).alias("isr"))
+    binding = F.struct(F.lit("TOPIC").alias("resource_type"),
+                       F.concat(F.lit("topic-"), F.col("l_returnflag")).alias("name"),
+                       F.lit("LITERAL").alias("pattern_type"),
+                       F.concat(F.lit("User:"), F.col("l_linestatus")).alias("principal"), F.lit("*").alias("host"),
+                       F.lit("READ").alias("operation"), F.lit("ALLOW").alias("permission_type"))
+    line_rows = chunk(lines, **base, nodes=nodes_of,
+                      topic_descriptions=F.array(F.struct(tid.alias("k_topic_id"), tname.alias("name"),
+                                                          F.array(part).alias("partitions"))),
+                      consumer_groups=group(F.array(F.struct(tname.alias("topic"),
+                                                             F.col("l_linenumber").alias("partition")))),
+                      acl_bindings=F.array(binding))
+    return sup_rows.unionByName(order_rows).unionByName(line_rows)
+
+
+REPORT_SQL = f"""
+WITH reg AS (SELECT n.n_nationkey, r.r_name AS k_cluster_id FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey),
+sup AS (SELECT s.s_suppkey, reg.* FROM supplier s JOIN reg ON reg.n_nationkey = s.s_nationkey),
+ord AS (SELECT o.o_orderkey, o.o_custkey, reg.k_cluster_id FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
+        JOIN reg ON reg.n_nationkey = c.c_nationkey),
+lin AS (SELECT l.*, ord.k_cluster_id FROM lineitem l JOIN ord ON ord.o_orderkey = l.l_orderkey),
+miss AS (SELECT reg.k_cluster_id, reg.n_nationkey FROM reg
+         WHERE NOT EXISTS (SELECT 1 FROM sup WHERE sup.k_cluster_id = reg.k_cluster_id
+                                                AND sup.s_suppkey = reg.n_nationkey)),
+counts AS (
+  SELECT k_cluster_id, 'Nodes' AS metric, count(DISTINCT s_suppkey) AS value FROM sup GROUP BY 1
+  UNION ALL SELECT k_cluster_id, 'Nodes (missing)', count(DISTINCT n_nationkey) FROM miss GROUP BY 1
+  UNION ALL SELECT k_cluster_id, 'Node Configs', count(DISTINCT s_suppkey) FROM sup GROUP BY 1
+  UNION ALL SELECT k_cluster_id, 'Topics', count(DISTINCT o_orderkey) FROM ord GROUP BY 1
+  UNION ALL SELECT k_cluster_id, 'Topic Configs', count(DISTINCT o_orderkey) FROM ord GROUP BY 1
+  UNION ALL SELECT k_cluster_id, 'Partitions', count(DISTINCT (l_orderkey, l_linenumber)) FROM lin GROUP BY 1
+  UNION ALL SELECT k_cluster_id, 'Replicas', count(*) FROM (
+      SELECT DISTINCT k_cluster_id, l_orderkey, l_linenumber, l_suppkey AS node FROM lin
+      UNION SELECT DISTINCT k_cluster_id, l_orderkey, l_linenumber, l_partkey FROM lin) GROUP BY 1
+  UNION ALL SELECT k_cluster_id, 'Consumer Groups', count(DISTINCT o_custkey) FROM ord GROUP BY 1
+  UNION ALL SELECT k_cluster_id, 'Consumer Group Members', count(DISTINCT o_orderkey) FROM ord GROUP BY 1
+  UNION ALL SELECT k_cluster_id, 'Consumer Group Assignments', count(DISTINCT (l_orderkey, l_linenumber)) FROM lin GROUP BY 1
+  UNION ALL SELECT k_cluster_id, 'ACL Resources', count(DISTINCT l_returnflag) FROM lin GROUP BY 1
+  UNION ALL SELECT k_cluster_id, 'ACL Entries', count(DISTINCT l_linestatus) FROM lin GROUP BY 1),
+grid AS (SELECT r_name AS k_cluster_id, m.metric FROM region, (VALUES ('Nodes'), ('Nodes (missing)'), ('Node Configs'),
+           ('Topics'), ('Topic Configs'), ('Partitions'), ('Replicas'), ('Consumer Groups'),
+           ('Consumer Group Members'), ('Consumer Group Assignments'), ('ACL Resources'), ('ACL Entries')) m(metric))
+SELECT g.k_cluster_id, {sql_ts(T0)} AS refreshed_at, g.metric, CAST(coalesce(c.value, 0) AS BIGINT) AS value
+FROM grid g LEFT JOIN counts c ON c.k_cluster_id = g.k_cluster_id AND c.metric = g.metric
+"""

@@ -305,3 +305,15 @@ REFRESH_ORDER = (
     "consumer_group_member_assignments", "acl_resources", "acl_entries", "acl_bindings",
 )
 OFFSET_TABLES = ("consumer_group_offsets", "partition_offsets")
+
+
+def relaxed(dt: T.DataType) -> T.DataType:
+    """The same type with every nested field and element nullable (what Spark
+    file sources produce; casts into it always resolve)."""
+    if isinstance(dt, T.StructType):
+        return T.StructType([T.StructField(f.name, relaxed(f.dataType), True) for f in dt.fields])
+    if isinstance(dt, T.ArrayType):
+        return T.ArrayType(relaxed(dt.elementType), True)
+    if isinstance(dt, T.MapType):
+        return T.MapType(relaxed(dt.keyType), relaxed(dt.valueType), True)
+    return dt
