@@ -7,8 +7,10 @@ removing stale rows where the table does so and cascading removals to
 children. ``refresh_offsets`` does the same for the two offset tables from
 flat captures, with offset timestamps looked up in a record log.
 
-Everything is lazy DataFrame work; the caller persists the result with
-``StateStore.publish`` (one write per table, then one commit record).
+Each table's new state is written once into the new version of a
+``StateStore`` and read back for the steps after it (a lineage cut); the
+commit record is written last, so a failed refresh leaves the previous
+version in place.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from snaptide.operators.asof import DEFAULT_BUCKET, attach_offset_timestamps
 from snaptide.operators.cascade import cascade
 from snaptide.operators.joins import DEFAULT_BROADCAST_ROWS, maybe_broadcast
 from snaptide.operators.lookup_plans import resolve_group_offsets, resolve_partition_offsets, resolve_topic
-from snaptide.operators.merge import deleted, empty_state, merge_snapshot, reduce_duplicates, survivors
+from snaptide.operators.merge import deleted, empty_state, merge_snapshot, survivors
 from snaptide.operators.offsets import clean_partition_offsets
+from snaptide.plans.state import StateStore
 from snaptide.schemas import EXTRA_PARENTS, TABLES
 
 CK = "k_cluster_id"
@@ -38,6 +41,7 @@ class RefreshResult:
     tables: dict[str, DataFrame]
     removed: dict[str, DataFrame] = field(default_factory=dict)
     accounting: DataFrame | None = None
+    version: int | None = None
 
 
 def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
@@ -45,22 +49,16 @@ def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
 
 
 def newest_per_cluster(snap: DataFrame, clusters: DataFrame | None, bound: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Keep, per cluster, the captures of its newest capture time, and only if
-    that time is after the cluster's state (a replayed or older capture
-    changes nothing). Chunk rows of one capture all survive."""
+    """Keep, per cluster, the rows of its newest capture, and only if that
+    capture is after the cluster's state (a replayed or older capture changes
+    nothing). All chunk rows of the capture survive."""
     times = snap.groupBy(CK).agg(F.max("captured_at").alias("_newest"))
     if clusters is not None:
         seen = clusters.select(CK, F.col(NOW).alias("_seen"))
         times = times.join(seen, CK, "left").filter(F.col("_seen").isNull() | (F.col("_newest") > F.col("_seen")))
         times = times.drop("_seen")
     times = maybe_broadcast(times, bound)
-    return (snap.join(times, CK, "inner").filter(F.col("captured_at") == F.col("_newest")).drop("_newest"))
-
-
-def _merge(name, state, source, scope=None, strategy="auto", bound=DEFAULT_BROADCAST_ROWS):
-    spec = TABLES[name]
-    return merge_snapshot(state.get(name), source, spec, scope=scope if spec.delete_stale else None,
-                          strategy=strategy, broadcast_rows=bound)
+    return snap.join(times, CK, "inner").filter(F.col("captured_at") == F.col("_newest")).drop("_newest")
 
 
 def _semi(rows: DataFrame, parent: DataFrame, keys, bound=None) -> DataFrame:
@@ -70,101 +68,132 @@ def _semi(rows: DataFrame, parent: DataFrame, keys, bound=None) -> DataFrame:
     return rows.join(p, list(keys), "left_semi")
 
 
-def refresh_metadata(state: dict[str, DataFrame] | None, snapshots: DataFrame, *, strategy: str = "auto",
-                     bound: int = DEFAULT_BROADCAST_ROWS) -> RefreshResult:
-    spark = snapshots.sparkSession
-    state = dict(state or empty_tables(spark))
-    snap = newest_per_cluster(snapshots, state.get("clusters"), bound)
-    merged: dict[str, DataFrame] = {}
-    sources: dict[str, DataFrame] = {}
-    new: dict[str, DataFrame] = {}
-
-    def run(name, source, scope=None):
-        sources[name] = source
-        merged[name] = _merge(name, state, source, scope, strategy, bound)
-        new[name] = survivors(merged[name])
-
-    run("clusters", fl.clusters(snap))
-    run("nodes", fl.all_nodes(snap, bound))
-    run("node_configs", _semi(fl.node_configs(snap, bound), new["nodes"], [CK, "k_node_id"], bound))
-    run("topics", fl.topics(snap), fl.section_scope(snap, "topics"))
-    run("topic_configs", _semi(fl.topic_configs(snap), new["topics"], [CK, "k_topic_id"]))
-    parts = fl.partitions(snap)
-    run("topic_partitions", _semi(parts.select(CK, NOW, "k_topic_id", "k_partition_id"), new["topics"],
-                                  [CK, "k_topic_id"]))
-    reps = _semi(fl.replicas(snap), new["topic_partitions"], [CK, "k_topic_id", "k_partition_id"])
-    run("partition_replicas", _semi(reps, new["nodes"], [CK, "k_node_id"], bound))
-    groups = fl.consumer_groups(snap)
-    coord = new["nodes"].select(CK, F.col("k_node_id").alias("coordinator_id"))
-    run("consumer_groups", _semi(groups, coord, [CK, "coordinator_id"], bound),
-        fl.section_scope(snap, "consumer_groups"))
-    run("consumer_group_members", _semi(fl.group_members(snap), new["consumer_groups"], [CK, "group_id"]),
-        fl.section_scope(snap, "consumer_groups"))
-    assigned = resolve_topic(fl.member_assignments(snap), new["topics"], bound)
-    assigned = _semi(assigned, new["consumer_group_members"], [CK, "group_id", "member_id"])
-    assigned = _semi(assigned, new["topic_partitions"], [CK, "k_topic_id", "k_partition_id"])
-    run("consumer_group_member_assignments", assigned, fl.section_scope(snap, "consumer_groups"))
-    acl_scope = fl.section_scope(snap, "acl_bindings")
-    run("acl_resources", fl.acl_resources(snap), acl_scope)
-    run("acl_entries", fl.acl_entries(snap), acl_scope)
-    bindings = _semi(fl.acl_bindings(snap), new["acl_resources"].withColumnRenamed("name", "resource_name"),
-                     [CK, "resource_type", "resource_name", "pattern_type"])
-    bindings = _semi(bindings, new["acl_entries"], [CK, "principal", "host", "operation", "permission_type"])
-    run("acl_bindings", bindings, acl_scope)
-
-    for name in ("consumer_group_offsets", "partition_offsets"):
-        new[name] = state[name]
-    removed = {name: deleted(m) for name, m in merged.items()}
-    tables, removed = cascade_all(new, removed, bound)
-    acct = reduce(DataFrame.unionByName, [
-        refresh_accounting(name, sources[name].select(*TABLES[name].keys), merged[name], TABLES[name].keys)
-        for name in merged])
-    return RefreshResult(tables, removed, acct)
-
-
-def cascade_all(tables: dict[str, DataFrame], removed: dict[str, DataFrame],
-                bound: int = DEFAULT_BROADCAST_ROWS) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    """Remove the children of removed rows, level by level (parents first),
-    through the declared parent of each table and the extra parents without
-    a relational cascade (members, assignments, offsets, bindings)."""
-    tables = dict(tables)
-    removed = dict(removed)
-    order = ["topics", "topic_configs", "topic_partitions", "partition_offsets", "partition_replicas",
-             "consumer_groups", "consumer_group_members", "consumer_group_member_assignments",
-             "consumer_group_offsets", "acl_resources", "acl_entries", "acl_bindings", "nodes", "node_configs"]
-    for name in order:
+class _Run:
+    """One refresh in progress: merges, cascades and staged writes."""
+
+    def __init__(self, store: StateStore, epoch, strategy, bound):
+        self.store, self.epoch, self.strategy, self.bound = store, epoch, strategy, bound
+        self.version, self.where = store.begin()
+        self.state = store.read_all()
+        self.new: dict[str, DataFrame] = {}
+        self.removed: dict[str, DataFrame] = {}
+        self.counts: list[DataFrame] = []
+
+    def _cascade(self, name: str, table: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        """Drop rows whose parent (declared or extra) was removed earlier in this run."""
+        lost = []
         spec = TABLES[name]
-        links = []
-        if spec.parent and spec.parent != "clusters":
-            links.append((spec.parent, spec.parent_keys))
+        links = [(spec.parent, spec.parent_keys)] if spec.parent and spec.parent != "clusters" else []
         links += [(p, keys) for p, keys, _ in EXTRA_PARENTS.get(name, [])]
         for parent, keys in links:
-            gone = removed.get(parent)
+            gone = self.removed.get(parent)
             if gone is None:
                 continue
-            p_gone = gone
             if parent == "acl_resources":
-                p_gone = gone.withColumnRenamed("name", "resource_name")
-            kept, lost = cascade(tables[name], p_gone, list(keys), bound)
-            tables[name] = kept
-            prior = removed.get(name)
-            removed[name] = lost if prior is None else prior.unionByName(lost)
-    return tables, removed
+                gone = gone.withColumnRenamed("name", "resource_name")
+            table, out = cascade(table, gone, list(keys), self.bound)
+            lost.append(out)
+        return table, lost
+
+    def _stage(self, name: str, table: DataFrame, removed: list[DataFrame]) -> None:
+        cols = list(TABLES[name].columns)
+        self.new[name] = self.store.stage(self.version, name, table)
+        self.where[name] = self.version
+        if removed:
+            gone = reduce(DataFrame.unionByName, [r.select(*cols) for r in removed])
+            self.removed[name] = self.store.stage(self.version, f"_removed/{name}", gone, columns=cols)
+
+    def merge(self, name: str, source: DataFrame, scope: DataFrame | None = None) -> None:
+        spec = TABLES[name]
+        merged = merge_snapshot(self.state[name], source, spec, scope=scope if spec.delete_stale else None,
+                                strategy=self.strategy, broadcast_rows=self.bound).persist()
+        try:
+            kept, lost = self._cascade(name, survivors(merged))
+            self._stage(name, kept, [deleted(merged)] + lost)
+            acct = refresh_accounting(name, source.select(*spec.keys), merged, spec.keys)
+            # a handful of rows, computed while the merged frame is cached
+            self.counts.append(acct.sparkSession.createDataFrame(acct.collect(), acct.schema))
+        finally:
+            merged.unpersist()
+
+    def carry(self, name: str) -> None:
+        """A table this refresh does not merge: only cascades may remove rows."""
+        kept, lost = self._cascade(name, self.state[name])
+        if lost:
+            self._stage(name, kept, lost)
+        else:
+            self.new[name] = kept
+
+    def finish(self) -> RefreshResult:
+        for name in TABLES:
+            self.new.setdefault(name, self.state[name])
+        self.store.commit(self.version, self.where, self.epoch)
+        acct = reduce(DataFrame.unionByName, self.counts) if self.counts else None
+        return RefreshResult(dict(self.new), dict(self.removed), acct, self.version)
+
+
+def refresh_metadata(store: StateStore, snapshots: DataFrame, *, epoch: int | None = None,
+                     strategy: str = "auto", bound: int = DEFAULT_BROADCAST_ROWS) -> RefreshResult:
+    """Apply the newest capture per cluster to the state in ``store`` and
+    commit a new version. Tables are processed parents first; each table's
+    final state (merge, then removal of children of removed parents) is
+    written once and read back for the tables after it."""
+    run = _Run(store, epoch, strategy, bound)
+    snap = newest_per_cluster(snapshots, run.state["clusters"], bound).persist()
+    new = run.new
+    try:
+        run.merge("clusters", fl.clusters(snap))
+        run.merge("nodes", fl.all_nodes(snap, bound))
+        run.merge("node_configs", _semi(fl.node_configs(snap, bound), new["nodes"], [CK, "k_node_id"], bound))
+        run.merge("topics", fl.topics(snap), fl.section_scope(snap, "topics"))
+        run.merge("topic_configs", _semi(fl.topic_configs(snap), new["topics"], [CK, "k_topic_id"]))
+        parts = fl.partitions(snap).select(CK, NOW, "k_topic_id", "k_partition_id")
+        run.merge("topic_partitions", _semi(parts, new["topics"], [CK, "k_topic_id"]))
+        run.carry("partition_offsets")
+        reps = _semi(fl.replicas(snap), new["topic_partitions"], [CK, "k_topic_id", "k_partition_id"])
+        run.merge("partition_replicas", _semi(reps, new["nodes"], [CK, "k_node_id"], bound))
+        coord = new["nodes"].select(CK, F.col("k_node_id").alias("coordinator_id"))
+        group_scope = fl.section_scope(snap, "consumer_groups")
+        run.merge("consumer_groups", _semi(fl.consumer_groups(snap), coord, [CK, "coordinator_id"], bound),
+                  group_scope)
+        run.merge("consumer_group_members",
+                  _semi(fl.group_members(snap), new["consumer_groups"], [CK, "group_id"]), group_scope)
+        assigned = resolve_topic(fl.member_assignments(snap), new["topics"], bound)
+        assigned = _semi(assigned, new["consumer_group_members"], [CK, "group_id", "member_id"])
+        assigned = _semi(assigned, new["topic_partitions"], [CK, "k_topic_id", "k_partition_id"])
+        run.merge("consumer_group_member_assignments", assigned, group_scope)
+        run.carry("consumer_group_offsets")
+        acl_scope = fl.section_scope(snap, "acl_bindings")
+        run.merge("acl_resources", fl.acl_resources(snap), acl_scope)
+        run.merge("acl_entries", fl.acl_entries(snap), acl_scope)
+        bindings = _semi(fl.acl_bindings(snap), new["acl_resources"].withColumnRenamed("name", "resource_name"),
+                         [CK, "resource_type", "resource_name", "pattern_type"])
+        bindings = _semi(bindings, new["acl_entries"], [CK, "principal", "host", "operation", "permission_type"])
+        run.merge("acl_bindings", bindings, acl_scope)
+        return run.finish()
+    finally:
+        snap.unpersist()
+
+
+def _newest_capture(captures: DataFrame, bound: int) -> DataFrame:
+    times = maybe_broadcast(captures.groupBy(CK).agg(F.max("captured_at").alias("_newest")), bound)
+    return captures.join(times, CK).filter(F.col("captured_at") == F.col("_newest")).drop("_newest")
 
 
-def refresh_offsets(state: dict[str, DataFrame], group_offsets: DataFrame | None = None,
+def refresh_offsets(store: StateStore, group_offsets: DataFrame | None = None,
                     partition_offsets: DataFrame | None = None, record_log: DataFrame | None = None, *,
-                    strategy: str = "auto", bucket: int = DEFAULT_BUCKET,
+                    epoch: int | None = None, strategy: str = "auto", bucket: int = DEFAULT_BUCKET,
                     bound: int = DEFAULT_BROADCAST_ROWS) -> RefreshResult:
-    """Offset refresh (M11 + V1 + X5, M12 + V2) against the metadata state.
+    """Offset refresh (M11 + V1 + X5, M12 + V2) against the committed
+    metadata state; commits a new version holding the two offset tables.
 
-    ``group_offsets``: GROUP_OFFSETS rows of one or more captures (the newest
-    per cluster is applied). ``record_log``: (topic, partition, offset,
-    timestamp) used to find the time of the record at each committed offset;
+    ``group_offsets``: GROUP_OFFSETS rows (the newest capture per cluster is
+    applied). ``record_log``: (k_cluster_id?, topic, partition, offset,
+    timestamp), used to find the time of the record at each committed offset;
     without it offset timestamps are NULL. ``partition_offsets``:
     PARTITION_OFFSETS rows."""
-    tables = dict(state)
-    merged, sources = {}, {}
+    run = _Run(store, epoch, strategy, bound)
+    tables = run.state
     if group_offsets is not None:
         go = _newest_capture(group_offsets, bound)
         if record_log is not None:
@@ -179,28 +208,11 @@ def refresh_offsets(state: dict[str, DataFrame], group_offsets: DataFrame | None
         src = resolve_group_offsets(src, tables["consumer_groups"], tables["topics"], tables["topic_partitions"],
                                     bound)
         scope = go.select(CK, F.col("captured_at").alias(NOW)).distinct()
-        sources["consumer_group_offsets"] = src
-        merged["consumer_group_offsets"] = _merge("consumer_group_offsets", tables, src, scope, strategy, bound)
+        run.merge("consumer_group_offsets", src, scope)
     if partition_offsets is not None:
         po = clean_partition_offsets(_newest_capture(partition_offsets, bound))
-        src = resolve_partition_offsets(po, tables["topic_partitions"])
-        sources["partition_offsets"] = src
-        merged["partition_offsets"] = _merge("partition_offsets", tables, src, None, strategy, bound)
-    for name, m in merged.items():
-        tables[name] = survivors(m)
-    removed = {name: deleted(m) for name, m in merged.items()}
-    acct = None
-    if merged:
-        acct = reduce(DataFrame.unionByName, [
-            refresh_accounting(name, sources[name].select(*TABLES[name].keys), merged[name], TABLES[name].keys)
-            for name in merged])
-    return RefreshResult(tables, removed, acct)
-
-
-def _newest_capture(captures: DataFrame, bound: int) -> DataFrame:
-    times = maybe_broadcast(captures.groupBy(CK).agg(F.max("captured_at").alias("_newest")), bound)
-    return captures.join(times, CK).filter(F.col("captured_at") == F.col("_newest")).drop("_newest")
+        run.merge("partition_offsets", resolve_partition_offsets(po, tables["topic_partitions"]))
+    return run.finish()
 
 
-__all__ = ["refresh_metadata", "refresh_offsets", "cascade_all", "newest_per_cluster", "empty_tables",
-           "RefreshResult", "reduce_duplicates"]
+__all__ = ["refresh_metadata", "refresh_offsets", "newest_per_cluster", "empty_tables", "RefreshResult"]

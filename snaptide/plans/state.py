@@ -75,6 +75,30 @@ class StateStore:
         return self.commits().filter(F.col("epoch") == epoch).limit(1).count() > 0
 
     # ------------------------------------------------------------ writing --
+    def begin(self) -> tuple[int, dict]:
+        """Start a version: its number and the table locations it starts from."""
+        head = self.latest()
+        version = 0 if head is None else head["version"] + 1
+        return version, dict((head or {}).get("tables") or {})
+
+    def stage(self, version: int, name: str, df: DataFrame, columns=None) -> DataFrame:
+        """Write one table (or side output) of an uncommitted version and
+        return it read back: the written files cut the lineage for the steps
+        that use it. Invisible to readers until ``commit``."""
+        cols = columns or (TABLES[name].columns if name in TABLES else df.columns)
+        path = f"{self.root}/v={version}/{name}"
+        out = df.select(*cols)
+        out.write.mode("errorifexists").parquet(path)
+        return self.spark.read.schema(out.schema).parquet(path)
+
+    def commit(self, version: int, where: dict, epoch: int | None = None) -> int:
+        """Write the commit record; from now on the version is the newest."""
+        record = self.spark.createDataFrame(
+            [(version, epoch, where)], "version long, epoch long, tables map<string,long>"
+        ).withColumn("committed_at", F.current_timestamp())
+        record.coalesce(1).write.mode("errorifexists").json(f"{self.root}/_commits/v={version}")
+        return version
+
     def publish(self, tables: dict[str, DataFrame], epoch: int | None = None) -> int:
         """K4: write the changed tables of a new version, then its commit
         record; tables not given keep their previous location."""
