@@ -109,7 +109,8 @@ class _Run:
                                 strategy=self.strategy, broadcast_rows=self.bound).persist()
         try:
             kept, lost = self._cascade(name, survivors(merged))
-            self._stage(name, kept, [deleted(merged)] + lost)
+            can_delete = spec.delete_stale and scope is not None
+            self._stage(name, kept, ([deleted(merged)] if can_delete else []) + lost)
             acct = refresh_accounting(name, source.select(*spec.keys), merged, spec.keys)
             # a handful of rows, computed while the merged frame is cached
             self.counts.append(acct.sparkSession.createDataFrame(acct.collect(), acct.schema))
