@@ -68,6 +68,19 @@ def reduce_duplicates(source: DataFrame, keys, order=(), count_col: str | None =
     return out.drop("_n")
 
 
+def choose_strategy(source: DataFrame, target: DataFrame, broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                    ratio: int = 10) -> str:
+    """``small`` when the snapshot has at most ``broadcast_rows`` rows and the
+    state at least ``ratio`` times as many (both checked with bounded
+    counts), else ``full``. A full capture is about as large as the state,
+    so only incremental captures take the broadcast path."""
+    n = bounded_count(source, broadcast_rows)
+    if n > broadcast_rows:
+        return "full"
+    need = max(ratio * max(n, 1), 1)
+    return "small" if bounded_count(target, need) >= need else "full"
+
+
 def merge_snapshot(target: DataFrame | None, source: DataFrame, spec: TableSpec, *,
                    scope: DataFrame | None = None, strategy: str = "auto",
                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS, dedupe: bool = True,
@@ -82,8 +95,7 @@ def merge_snapshot(target: DataFrame | None, source: DataFrame, spec: TableSpec,
     ``strategy``: ``full`` = full outer sort-merge join (both sides shuffled on
     the whole natural key); ``small`` = the state is never shuffled: state
     left-joins a broadcast of the snapshot, inserts are the snapshot rows
-    whose key matched nothing; ``auto`` = ``small`` when the snapshot has at
-    most ``broadcast_rows`` rows (checked by a bounded count), else ``full``.
+    whose key matched nothing; ``auto`` = ``choose_strategy``.
     """
     spark = source.sparkSession
     keys = list(spec.keys)
@@ -99,7 +111,7 @@ def merge_snapshot(target: DataFrame | None, source: DataFrame, spec: TableSpec,
     s = src.select(*keys, *[F.col(c).alias(_S + c) for c in attrs + [NOW]], F.lit(True).alias(_S + "present"))
 
     if strategy == "auto":
-        strategy = "small" if bounded_count(src, broadcast_rows) <= broadcast_rows else "full"
+        strategy = choose_strategy(src, target, broadcast_rows)
     if strategy == "full":
         joined = t.join(s, keys, "full_outer")
     elif strategy == "small":

@@ -1,8 +1,11 @@
 """Snapshot report (A1, A3): twelve counts per capture, in long form.
 
-Counts are of distinct natural keys, so a capture split over several chunk
-rows counts each item once. Each metric is one grouped aggregation with
-partial (map-side) counting.
+Every metric explodes only its own section (Parquet reads only that column)
+and counts distinct item keys per capture (a distinct on the typed key
+columns, then a grouped count, both with map-side partial aggregation).
+Counting distinct keys makes a capture split over several chunk rows count
+each item once. Missing nodes are |quorum members and live nodes| - |live
+nodes|, so no join is needed.
 """
 
 from __future__ import annotations
@@ -20,34 +23,52 @@ SNAP_KEY = fl.SNAP_KEY
 METRICS = ("Nodes", "Nodes (missing)", "Node Configs", "Topics", "Topic Configs", "Partitions", "Replicas",
            "Consumer Groups", "Consumer Group Members", "Consumer Group Assignments", "ACL Resources",
            "ACL Entries")
+_ALL_NODES = "_quorum_or_live"
 
 
-def _count(df: DataFrame, metric: str, keys) -> DataFrame:
-    return (df.select(*SNAP_KEY, *keys).distinct().groupBy(*SNAP_KEY)
-            .agg(F.count(F.lit(1)).alias("value"))
+def _items(df: DataFrame, metric: str, *keys) -> DataFrame:
+    """Distinct item count of one metric per capture."""
+    return (df.select(*SNAP_KEY, *keys).distinct().groupBy(*SNAP_KEY).agg(F.count(F.lit(1)).alias("value"))
             .select(*SNAP_KEY, F.lit(metric).alias("metric"), "value"))
 
 
+def _replica_rows(snap: DataFrame) -> DataFrame:
+    parts = fl.partitions(snap)
+    return parts.select(*SNAP_KEY, "k_topic_id", "k_partition_id", F.explode("replica_ids").alias("k_node_id"))
+
+
+def _node_config_rows(snap: DataFrame) -> DataFrame:
+    """Every configured entry, live node or not (the report counts them all)."""
+    return (snap.select("k_cluster_id", F.col("captured_at").alias("refreshed_at"),
+                        F.explode("node_configs").alias("nc"))
+            .select(*SNAP_KEY, F.col("nc.node_id").alias("k_node_id"), F.explode("nc.entries").alias("e"))
+            .select(*SNAP_KEY, "k_node_id", F.col("e.name").alias("name")))
+
+
 def snapshot_report(snap: DataFrame) -> DataFrame:
     """(k_cluster_id, refreshed_at, metric, value) for every capture; a metric
     with nothing to count is 0."""
-    parts = [
-        _count(fl.live_nodes(snap), "Nodes", ["k_node_id"]),
-        _count(fl.missing_nodes(snap), "Nodes (missing)", ["k_node_id"]),
-        _count(fl.node_configs(snap), "Node Configs", ["k_node_id", "name"]),
-        _count(fl.topics(snap), "Topics", ["k_topic_id"]),
-        _count(fl.topic_configs(snap), "Topic Configs", ["k_topic_id", "name"]),
-        _count(fl.partitions(snap), "Partitions", ["k_topic_id", "k_partition_id"]),
-        _count(fl.replicas(snap), "Replicas", ["k_topic_id", "k_partition_id", "k_node_id"]),
-        _count(fl.consumer_groups(snap), "Consumer Groups", ["group_id"]),
-        _count(fl.group_members(snap), "Consumer Group Members", ["group_id", "member_id"]),
-        _count(fl.member_assignments(snap), "Consumer Group Assignments",
-               ["group_id", "member_id", "topic", "k_partition_id"]),
-        _count(fl.acl_resources(snap), "ACL Resources", ["resource_type", "name", "pattern_type"]),
-        _count(fl.acl_entries(snap), "ACL Entries", ["principal", "host", "operation", "permission_type"]),
+    live = fl.live_nodes(snap)
+    branches = [
+        _items(live, "Nodes", "k_node_id"),
+        _items(live.select(*SNAP_KEY, "k_node_id").unionByName(fl.quorum_ids(snap)), _ALL_NODES, "k_node_id"),
+        _items(_node_config_rows(snap), "Node Configs", "k_node_id", "name"),
+        _items(fl.topics(snap), "Topics", "k_topic_id"),
+        _items(fl.topic_configs(snap), "Topic Configs", "k_topic_id", "name"),
+        _items(fl.partitions(snap), "Partitions", "k_topic_id", "k_partition_id"),
+        _items(_replica_rows(snap), "Replicas", "k_topic_id", "k_partition_id", "k_node_id"),
+        _items(fl.consumer_groups(snap), "Consumer Groups", "group_id"),
+        _items(fl.group_members(snap), "Consumer Group Members", "group_id", "member_id"),
+        _items(fl.member_assignments(snap), "Consumer Group Assignments", "group_id", "member_id", "topic",
+               "k_partition_id"),
+        _items(fl.acl_bindings(snap), "ACL Resources", "resource_type", "resource_name", "pattern_type"),
+        _items(fl.acl_bindings(snap), "ACL Entries", "principal", "host", "operation", "permission_type"),
     ]
-    counted = reduce(DataFrame.unionByName, parts)
+    counted = (reduce(DataFrame.unionByName, branches)
+               .groupBy(*SNAP_KEY).pivot("metric", list(METRICS) + [_ALL_NODES]).agg(F.first("value")))
     captures = snap.select("k_cluster_id", F.col("captured_at").alias("refreshed_at")).distinct()
-    grid = captures.select(*SNAP_KEY, F.explode(F.array(*[F.lit(m) for m in METRICS])).alias("metric"))
-    return (grid.join(counted, SNAP_KEY + ["metric"], "left")
-            .select(*SNAP_KEY, "metric", F.coalesce("value", F.lit(0)).cast("bigint").alias("value")))
+    wide = captures.join(counted, SNAP_KEY, "left")
+    val = {m: F.coalesce(F.col(f"`{m}`"), F.lit(0)) for m in list(METRICS) + [_ALL_NODES]}
+    val["Nodes (missing)"] = val[_ALL_NODES] - val["Nodes"]
+    grid = F.array(*[F.struct(F.lit(m).alias("metric"), val[m].cast("bigint").alias("value")) for m in METRICS])
+    return wide.select(*SNAP_KEY, F.inline(grid))
