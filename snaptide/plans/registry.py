@@ -17,7 +17,7 @@ from snaptide.operators.merge import merge_snapshot, survivors
 from snaptide.plans.table_snapshots import (
     CLUSTER, REPLICAS_SQL, REPORT_SQL, T0, T1, TOPICS_SQL, region_snapshot_rows, replica_snapshot_rows, to_ntz,
     topic_snapshot_rows, ts,
-    two_snapshot_merge_sql,
+    two_snapshot_merge_sql, cluster_of, cluster_sql,
 )
 from snaptide.schemas import TABLES
 from snaptide.sources.tables import Tables
@@ -42,7 +42,7 @@ def register(name: str, sql: str | None = None):
 def topics_merge(spark: SparkSession, sf_dir: str, delete: bool, strategy: str = "auto") -> DataFrame:
     """Minimum slice: flatten the topics of two captures (F3), merge the second
     into the state built from the first (M4), remove stale topics (X1)."""
-    orders = Tables(spark, sf_dir).orders.select("o_orderkey", "o_orderpriority")
+    orders = Tables(spark, sf_dir).orders.select("o_orderkey", "o_custkey", "o_orderpriority")
     snap_a = topic_snapshot_rows(orders, "A")
     snap_b = topic_snapshot_rows(orders, "B")
     spec = TABLES["topics"]
@@ -100,23 +100,25 @@ _ORDERS_KEYS = ["k_cluster_id", "o_orderkey"]
 
 
 def _orders(spark, sf_dir, *cols):
-    return Tables(spark, sf_dir).orders.select("o_orderkey", *cols)
+    return Tables(spark, sf_dir).orders.select("o_orderkey", "o_custkey", *cols)
 
 
 def _capture(df: DataFrame, which: str, **cols) -> DataFrame:
     k = F.col("o_orderkey")
     rows = df.filter(k % 10 != 0) if which == "A" else df.filter(k % 10 != 1)
     at = ts(T0) if which == "A" else ts(T1)
-    return rows.select(F.lit(CLUSTER).alias("k_cluster_id"), "o_orderkey",
+    return rows.select(cluster_of("o_custkey").alias("k_cluster_id"), "o_orderkey",
                        *[c.alias(n) for n, c in cols.items()], at.alias("refreshed_at"))
 
 
 _KEY_SQL = {"A": "o_orderkey % 10 <> 0", "B": "o_orderkey % 10 <> 1"}
+_OC = cluster_sql("o_custkey")
+_LC = cluster_sql("l_orderkey")
 
 
 @register("merge_touch", two_snapshot_merge_sql(
-    f"SELECT '{CLUSTER}' AS k_cluster_id, o_orderkey FROM orders WHERE {_KEY_SQL['A']}",
-    f"SELECT '{CLUSTER}' AS k_cluster_id, o_orderkey FROM orders WHERE {_KEY_SQL['B']}",
+    f"SELECT {_OC} AS k_cluster_id, o_orderkey FROM orders WHERE {_KEY_SQL['A']}",
+    f"SELECT {_OC} AS k_cluster_id, o_orderkey FROM orders WHERE {_KEY_SQL['B']}",
     _ORDERS_KEYS, (), delete=None))
 def merge_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6 class: a match only moves refreshed_at."""
@@ -137,10 +139,10 @@ def _prio_b():
 
 def _status_b():
     return F.when(F.col("o_orderkey") % 5 == 0, F.lit("X")).otherwise(F.col("o_orderstatus"))
-_CMP_A_SQL = (f"SELECT '{CLUSTER}' AS k_cluster_id, o_orderkey, o_orderstatus AS status, "
+_CMP_A_SQL = (f"SELECT {_OC} AS k_cluster_id, o_orderkey, o_orderstatus AS status, "
               f"CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS priority "
               f"FROM orders WHERE {_KEY_SQL['A']}")
-_CMP_B_SQL = (f"SELECT '{CLUSTER}' AS k_cluster_id, o_orderkey, "
+_CMP_B_SQL = (f"SELECT {_OC} AS k_cluster_id, o_orderkey, "
               f"CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS status, "
               f"CASE WHEN o_orderkey % 14 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN o_orderpriority "
               f"WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS priority "
@@ -200,7 +202,7 @@ _LI_CMP = (("l_partkey", "="), ("l_suppkey", "="), ("l_quantity", "="))
 
 def _li_sql(where: str, qty: str) -> str:
     return f"""SELECT k_cluster_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (
-        SELECT '{CLUSTER}' AS k_cluster_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, {qty} AS l_quantity,
+        SELECT {_LC} AS k_cluster_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, {qty} AS l_quantity,
                row_number() OVER (PARTITION BY l_orderkey, l_linenumber
                                   ORDER BY l_partkey DESC, l_suppkey DESC, {qty} DESC) AS rn
         FROM lineitem WHERE {where}) WHERE rn = 1"""
@@ -213,9 +215,9 @@ def _li_captures(spark, sf_dir):
     li = Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     k = F.col("l_orderkey")
     qty_b = F.when(k % 7 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
-    a = li.filter(k % 10 != 0).select(F.lit(CLUSTER).alias("k_cluster_id"), "l_orderkey", "l_linenumber",
+    a = li.filter(k % 10 != 0).select(cluster_of("l_orderkey").alias("k_cluster_id"), "l_orderkey", "l_linenumber",
                                        "l_partkey", "l_suppkey", "l_quantity", ts(T0).alias("refreshed_at"))
-    b = li.filter(k % 10 != 1).select(F.lit(CLUSTER).alias("k_cluster_id"), "l_orderkey", "l_linenumber",
+    b = li.filter(k % 10 != 1).select(cluster_of("l_orderkey").alias("k_cluster_id"), "l_orderkey", "l_linenumber",
                                        "l_partkey", "l_suppkey", qty_b.alias("l_quantity"),
                                        ts(T1).alias("refreshed_at"))
     return a, b
@@ -261,7 +263,7 @@ _RECENT = "2001-10-01 00:00:00"
 
 def _ls_sql(where: str, qty: str) -> str:
     return f"""SELECT k_cluster_id, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_discount FROM (
-        SELECT '{CLUSTER}' AS k_cluster_id, l_orderkey, l_partkey, l_suppkey, l_linenumber,
+        SELECT {_LC} AS k_cluster_id, l_orderkey, l_partkey, l_suppkey, l_linenumber,
                {qty} AS l_quantity, l_discount,
                row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber
                                   ORDER BY {qty} DESC, l_discount DESC) AS rn
@@ -276,7 +278,7 @@ def merge_small_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                                                 "l_quantity", "l_discount", "l_shipdate")
     k = F.col("l_orderkey")
-    cols = [F.lit(CLUSTER).alias("k_cluster_id"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    cols = [cluster_of("l_orderkey").alias("k_cluster_id"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
     a = li.select(*cols, "l_quantity", "l_discount", ts(T0).alias("refreshed_at"))
     b = (li.filter(F.col("l_shipdate") >= F.lit(_RECENT).cast("timestamp_ntz"))
          .select(*cols, F.when(k % 7 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")).alias("l_quantity"),
@@ -311,15 +313,16 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     cust = t.customer.select("c_custkey")
     keys = ["k_cluster_id", "c_custkey"]
-    a = cust.select(F.lit(CLUSTER).alias("k_cluster_id"), "c_custkey", ts(T0).alias("refreshed_at"))
+    a = cust.select(cluster_of("c_custkey").alias("k_cluster_id"), "c_custkey", ts(T0).alias("refreshed_at"))
     b = (cust.filter(F.col("c_custkey") % 10 != 1)
-         .select(F.lit(CLUSTER).alias("k_cluster_id"), "c_custkey", ts(T1).alias("refreshed_at")))
+         .select(cluster_of("c_custkey").alias("k_cluster_id"), "c_custkey", ts(T1).alias("refreshed_at")))
     spec = _spec("customers", keys).__class__(name="customers", keys=tuple(keys), delete_stale=True)
     state = survivors(merge_snapshot(None, a, spec))
     gone_c = deleted(merge_snapshot(state, b, spec, scope=b.select("k_cluster_id", "refreshed_at").distinct()))
-    orders = t.orders.select(F.lit(CLUSTER).alias("k_cluster_id"), "o_custkey", "o_orderkey")
-    lines = t.lineitem.select(F.lit(CLUSTER).alias("k_cluster_id"), "l_orderkey", "l_partkey", "l_suppkey",
-                              "l_linenumber")
+    orders = t.orders.select(cluster_of("o_custkey").alias("k_cluster_id"), "o_custkey", "o_orderkey")
+    # a line carries its order's cluster (children carry their parents' keys)
+    lines = (t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+             .join(orders.select("k_cluster_id", F.col("o_orderkey").alias("l_orderkey")), "l_orderkey"))
     res = cascade_chain([
         ("orders", orders, {"k_cluster_id": "k_cluster_id", "c_custkey": "o_custkey"}),
         ("lineitem", lines, {"k_cluster_id": "k_cluster_id", "o_orderkey": "l_orderkey"}),
@@ -461,29 +464,36 @@ def assignments_per_member(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------ node completion (J11-J12, U1) --
 
 def _node_frames(spark, sf_dir):
+    """Nodes are suppliers; a node's cluster is its id mod 3. Voters and
+    observers come from the lines, in the cluster of their node id."""
     t = Tables(spark, sf_dir)
-    cl = F.lit(CLUSTER).alias("k_cluster_id")
+    node_cluster = F.concat(F.lit("c"), (F.col("k_node_id") % 3).cast("string")).alias("k_cluster_id")
     live = (t.supplier.filter(F.col("s_acctbal") >= 0)
-            .select(cl, F.col("s_suppkey").cast("int").alias("k_node_id"), F.col("s_name").alias("host"),
+            .select(F.col("s_suppkey").cast("int").alias("k_node_id"), F.col("s_name").alias("host"),
                     (F.lit(9000) + F.col("s_nationkey")).alias("port"),
-                    F.concat(F.lit("rack-"), F.col("s_nationkey").cast("string")).alias("rack")))
+                    F.concat(F.lit("rack-"), F.col("s_nationkey").cast("string")).alias("rack"))
+            .select(node_cluster, "*"))
     li = t.lineitem
     voters = (li.filter(F.col("l_returnflag") == "R")
-              .select(cl, F.col("l_suppkey").cast("int").alias("k_node_id")).distinct())
+              .select(F.col("l_suppkey").cast("int").alias("k_node_id")).distinct().select(node_cluster, "k_node_id"))
     observers = (li.filter(F.col("l_linestatus") == "O")
-                 .select(cl, (F.col("l_partkey") % 150).cast("int").alias("k_node_id")).distinct())
+                 .select((F.col("l_partkey") % 150).cast("int").alias("k_node_id")).distinct()
+                 .select(node_cluster, "k_node_id"))
     return t, live, voters, observers
 
 
+_NC = cluster_sql("k_node_id")
 _NODES_SQL = f"""
-live AS (SELECT '{CLUSTER}' AS k_cluster_id, CAST(s_suppkey AS INTEGER) AS k_node_id, s_name AS host,
-                9000 + s_nationkey AS port, 'rack-' || CAST(s_nationkey AS VARCHAR) AS rack
-         FROM supplier WHERE s_acctbal >= 0),
-voters AS (SELECT DISTINCT CAST(l_suppkey AS INTEGER) AS k_node_id FROM lineitem WHERE l_returnflag = 'R'),
-observers AS (SELECT DISTINCT CAST(l_partkey % 150 AS INTEGER) AS k_node_id FROM lineitem WHERE l_linestatus = 'O'),
-ids AS (SELECT k_node_id FROM voters UNION SELECT k_node_id FROM observers),
-missing AS (SELECT '{CLUSTER}' AS k_cluster_id, k_node_id, CAST(NULL AS VARCHAR) AS host, -1 AS port,
-                   CAST(NULL AS VARCHAR) AS rack
+live0 AS (SELECT CAST(s_suppkey AS INTEGER) AS k_node_id, s_name AS host,
+                 9000 + s_nationkey AS port, 'rack-' || CAST(s_nationkey AS VARCHAR) AS rack
+          FROM supplier WHERE s_acctbal >= 0),
+live AS (SELECT {_NC} AS k_cluster_id, * FROM live0),
+voters AS (SELECT {_NC} AS k_cluster_id, k_node_id FROM (
+             SELECT DISTINCT CAST(l_suppkey AS INTEGER) AS k_node_id FROM lineitem WHERE l_returnflag = 'R')),
+observers AS (SELECT {_NC} AS k_cluster_id, k_node_id FROM (
+             SELECT DISTINCT CAST(l_partkey % 150 AS INTEGER) AS k_node_id FROM lineitem WHERE l_linestatus = 'O')),
+ids AS (SELECT k_cluster_id, k_node_id FROM voters UNION SELECT k_cluster_id, k_node_id FROM observers),
+missing AS (SELECT k_cluster_id, k_node_id, CAST(NULL AS VARCHAR) AS host, -1 AS port, CAST(NULL AS VARCHAR) AS rack
             FROM ids WHERE k_node_id NOT IN (SELECT k_node_id FROM live))"""
 
 
@@ -497,12 +507,15 @@ def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("all_nodes", f"""WITH {_NODES_SQL},
 nodes AS (SELECT * FROM live UNION ALL SELECT * FROM missing),
-meta AS (SELECT (SELECT min(k_node_id) FROM live) AS controller_id, (SELECT max(k_node_id) FROM voters) AS leader_id)
+meta AS (SELECT c.k_cluster_id, c.controller_id, v.leader_id
+         FROM (SELECT k_cluster_id, min(k_node_id) AS controller_id FROM live GROUP BY 1) c
+         JOIN (SELECT k_cluster_id, max(k_node_id) AS leader_id FROM voters GROUP BY 1) v
+           ON v.k_cluster_id = c.k_cluster_id)
 SELECT n.k_cluster_id, n.k_node_id, n.host, n.port, n.rack,
        n.k_node_id = m.controller_id AS controller, n.k_node_id = m.leader_id AS leader,
        n.k_node_id IN (SELECT k_node_id FROM voters) AS voter,
        n.k_node_id IN (SELECT k_node_id FROM observers) AS observer
-FROM nodes n JOIN meta m ON true""")
+FROM nodes n JOIN meta m ON m.k_cluster_id = n.k_cluster_id""")
 def all_nodes_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U1 + P1 + P2: live and missing nodes with controller / quorum flags."""
     from snaptide.operators.nodes import all_nodes
@@ -743,8 +756,8 @@ _GO_CMP = (("offset", "<=>"),)
 
 
 def _group_capture_sql(day: str) -> str:
-    return f"""SELECT '{CLUSTER}' AS k_cluster_id, 'g' || CAST(user_id AS VARCHAR) AS group_id, event_type AS topic,
-                      CAST(user_id % 4 AS INTEGER) AS "partition", max(event_id) + 1 AS "offset"
+    return f"""SELECT {cluster_sql("user_id")} AS k_cluster_id, 'g' || CAST(user_id AS VARCHAR) AS group_id,
+                      event_type AS topic, CAST(user_id % 4 AS INTEGER) AS "partition", max(event_id) + 1 AS "offset"
                FROM events WHERE ts < TIMESTAMP '{day}' GROUP BY ALL"""
 
 
@@ -752,7 +765,8 @@ def _group_capture(ev: DataFrame, day: str) -> DataFrame:
     u = F.col("user_id")
     return (ev.filter(F.col("ts") < F.lit(day).cast("timestamp_ntz"))
             .groupBy("user_id", "event_type").agg((F.max("event_id") + 1).alias("offset"))
-            .select(F.lit(CLUSTER).alias("k_cluster_id"), F.concat(F.lit("g"), u.cast("string")).alias("group_id"),
+            .select(cluster_of("user_id").alias("k_cluster_id"),
+                    F.concat(F.lit("g"), u.cast("string")).alias("group_id"),
                     F.col("event_type").alias("topic"), (u % 4).cast("int").alias("partition"), "offset",
                     ts(day).alias("refreshed_at")))
 

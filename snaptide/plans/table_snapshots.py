@@ -18,6 +18,16 @@ T1 = "2024-02-02 00:00:00"
 CLUSTER = "cluster-0"
 
 
+def cluster_of(col: str) -> Column:
+    """Cluster id derived from a key column, so captures span three clusters
+    and every per-cluster join has a real key."""
+    return F.concat(F.lit("c"), (F.col(col) % 3).cast("string"))
+
+
+def cluster_sql(col: str) -> str:
+    return f"'c' || CAST({col} % 3 AS VARCHAR)"
+
+
 def ts(text: str) -> Column:
     """A capture time in the session zone (UTC)."""
     return F.to_timestamp(F.lit(text))
@@ -58,18 +68,18 @@ def topic_snapshot_rows(orders: DataFrame, which: str) -> DataFrame:
         at = ts(T1)
     topic = F.struct(F.concat(F.lit("t"), keyname).alias("k_topic_id"), name.alias("name"),
                      internal.alias("internal"))
-    return rows.select(F.lit(CLUSTER).alias("k_cluster_id"), F.lit(CLUSTER).alias("cluster_name"),
+    return rows.select(cluster_of("o_custkey").alias("k_cluster_id"), cluster_of("o_custkey").alias("cluster_name"),
                        at.alias("captured_at"), F.lit(0).alias("controller_id"),
                        F.array().cast("array<struct<id:int,host:string,port:int,rack:string>>").alias("nodes"),
                        F.array(topic).alias("topics"))
 
 
 TOPICS_SQL = {
-    "A": f"""SELECT '{CLUSTER}' AS k_cluster_id, 't' || CAST(o_orderkey AS VARCHAR) AS k_topic_id,
+    "A": f"""SELECT {cluster_sql("o_custkey")} AS k_cluster_id, 't' || CAST(o_orderkey AS VARCHAR) AS k_topic_id,
                     'topic-' || CAST(o_orderkey AS VARCHAR) AS name,
                     o_orderpriority = '1-URGENT' AS internal
              FROM orders WHERE o_orderkey % 10 <> 0""",
-    "B": f"""SELECT '{CLUSTER}' AS k_cluster_id, 't' || CAST(o_orderkey AS VARCHAR) AS k_topic_id,
+    "B": f"""SELECT {cluster_sql("o_custkey")} AS k_cluster_id, 't' || CAST(o_orderkey AS VARCHAR) AS k_topic_id,
                     CASE WHEN o_orderkey % 7 = 0 THEN 'renamed-' ELSE 'topic-' END
                       || CAST(o_orderkey AS VARCHAR) AS name,
                     (o_orderpriority = '1-URGENT') <> (o_orderkey % 5 = 0) AS internal
