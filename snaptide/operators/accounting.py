@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 from snaptide.operators.merge import ACTIONS
 
 
+def accounting_metrics():
+    """The same counts as ``refresh_accounting`` as aggregate expressions over
+    a merge output made with ``dup_counts=True``, for ``DataFrame.observe``
+    (collected while the merge result is written, without another job)."""
+    dups = F.col("_dups")
+    return ([F.coalesce(F.sum(dups), F.lit(0)).alias("submitted"), F.count(dups).alias("keys"),
+             F.count_if(dups > 1).alias("duplicate_keys")]
+            + [F.count_if(F.col("action") == a).alias(a) for a in ACTIONS])
+
+
 def refresh_accounting(table: str, source: DataFrame, merged: DataFrame, keys) -> DataFrame:
     """Long-form counts: ``table_name, metric, value``."""
     per_key = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

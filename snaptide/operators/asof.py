@@ -52,8 +52,11 @@ def first_at_or_after(targets: DataFrame, log: DataFrame, keys, *, offset: str =
     inb = _fill(rows, keys + ["_b"], offset, "_v").select(*keys, "_b", offset, F.col("_found").alias(out))
 
     # step 3: unresolved targets look at the first record of later buckets
-    firsts = (rec.groupBy(*keys, "_b").agg(F.min(F.struct(F.col(offset).alias("o"), F.col(value).alias("v")))
-                                           .alias("_f"))
+    # per-bucket first records, only for partitions that have a target
+    parts = maybe_broadcast(t.select(*keys).distinct(), bound)
+    firsts = (rec.join(parts, keys, "left_semi")
+              .groupBy(*keys, "_b").agg(F.min(F.struct(F.col(offset).alias("o"), F.col(value).alias("v")))
+                                        .alias("_f"))
               .select(*keys, "_b", F.col("_f.v").alias("_v"), F.lit(0).alias("_rec")))
     todo = inb.filter(F.col(out).isNull())
     later = (firsts.unionByName(todo.select(*keys, "_b", F.lit(None).cast(log.schema[value].dataType).alias("_v"),

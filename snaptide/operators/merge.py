@@ -84,7 +84,7 @@ def choose_strategy(source: DataFrame, target: DataFrame, broadcast_rows: int =
 def merge_snapshot(target: DataFrame | None, source: DataFrame, spec: TableSpec, *,
                    scope: DataFrame | None = None, strategy: str = "auto",
                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS, dedupe: bool = True,
-                   dedupe_order=()) -> DataFrame:
+                   dedupe_order=(), dup_counts: bool = False) -> DataFrame:
     """Merge ``source`` (keys, compared attributes, ``refreshed_at``) into ``target``.
 
     ``scope``: rows of scope columns (a prefix of the key, normally
@@ -104,11 +104,14 @@ def merge_snapshot(target: DataFrame | None, source: DataFrame, spec: TableSpec,
     if target is None:
         target = empty_state(spark, spec, like=src)
     if dedupe:
-        src = reduce_duplicates(src, keys, order=(NOW,) + tuple(dedupe_order))
+        src = reduce_duplicates(src, keys, order=(NOW,) + tuple(dedupe_order), count_col="_dups")
+    else:
+        src = src.withColumn("_dups", F.lit(1).cast("bigint"))
 
     t_cols = [c for c in spec.columns if c not in keys]
     t = target.select(*keys, *[F.col(c).alias(_T + c) for c in t_cols], F.lit(True).alias(_T + "present"))
-    s = src.select(*keys, *[F.col(c).alias(_S + c) for c in attrs + [NOW]], F.lit(True).alias(_S + "present"))
+    s = src.select(*keys, *[F.col(c).alias(_S + c) for c in attrs + [NOW, "_dups"]],
+                   F.lit(True).alias(_S + "present"))
 
     if strategy == "auto":
         strategy = choose_strategy(src, target, broadcast_rows)
@@ -133,10 +136,10 @@ def merge_snapshot(target: DataFrame | None, source: DataFrame, spec: TableSpec,
         stale = F.col(_T + NOW) < F.col("_scope_at")
     else:
         stale = F.lit(False)
-    return _project(joined, spec, stale)
+    return _project(joined, spec, stale, dup_counts)
 
 
-def _project(joined: DataFrame, spec: TableSpec, stale) -> DataFrame:
+def _project(joined: DataFrame, spec: TableSpec, stale, dup_counts: bool = False) -> DataFrame:
     keys = list(spec.keys)
     t_present = F.coalesce(F.col(_T + "present"), F.lit(False))
     s_present = F.coalesce(F.col(_S + "present"), F.lit(False))
@@ -171,6 +174,9 @@ def _project(joined: DataFrame, spec: TableSpec, stale) -> DataFrame:
     out.append(F.when(writes, now).otherwise(F.col(_T + "modified_at")).alias("modified_at"))
     out.append(F.when(a.isin("insert", "update", "touch"), now).otherwise(F.col(_T + NOW)).alias(NOW))
     out.append(a)
+    if dup_counts:
+        # rows given for the key in the snapshot (NULL for state-only keys)
+        out.append(F.col(_S + "_dups").alias("_dups"))
     return joined.withColumn("action", action).select(*out)
 
 

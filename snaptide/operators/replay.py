@@ -1,11 +1,10 @@
 """Replay a history of captures set-wise (V3).
 
 Equivalent to merging the captures one after another with ``merge_snapshot``,
-but computed for all captures at once with windows per natural key ordered by
-capture time:
+but computed for all captures at once:
 
 * ``changed``: first row of an island, or any compared attribute differs from
-  the previous capture (``<=>`` / ``=`` per column);
+  the previous capture of the key (``<=>`` / ``=`` per column);
 * ``modified_at``: time of the last change so far; ``discovered_at``: start of
   the island;
 * ``velocity``: NULL at an island start, 0 when unchanged, else
@@ -13,8 +12,13 @@ capture time:
 
 For tables with stale delete a key missing from a capture of its cluster
 starts a new island. Capture ranks come from the small distinct
-(cluster, capture time) table, ranked there and joined back by broadcast;
-no window ever spans all rows of a cluster.
+(cluster, capture time) table, ranked there and joined back by broadcast.
+
+Two-level scan, so that no task holds a key's whole history: captures are
+cut into segments of ``segment`` consecutive capture ranks; windows run per
+(key, segment), and one small summary row per (key, segment) carries the
+previous row, the last change time and the last island start across
+segments (a window per key over the summaries only).
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from snaptide.operators.joins import DEFAULT_BROADCAST_ROWS, maybe_broadcast
 from snaptide.schemas import TableSpec
 
 NOW = "refreshed_at"
+DEFAULT_SEGMENT = 1 << 16
 
 
 def capture_ranks(history: DataFrame, cluster: str = "k_cluster_id") -> DataFrame:
@@ -35,48 +40,81 @@ def capture_ranks(history: DataFrame, cluster: str = "k_cluster_id") -> DataFram
     return caps.withColumn("_rank", F.dense_rank().over(Window.partitionBy(cluster).orderBy(NOW)))
 
 
-def replay(history: DataFrame, spec: TableSpec, *, gaps: bool | None = None,
+def replay(history: DataFrame, spec: TableSpec, *, gaps: bool | None = None, segment: int = DEFAULT_SEGMENT,
            bound: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """State rows after every capture: keys, attributes, velocity (if the
     table has one), audit triple and ``action`` (insert / update / touch)."""
     keys = list(spec.keys)
+    attrs = list(spec.attrs)
     gaps = spec.delete_stale if gaps is None else gaps
-    rows = history.select(*keys, *spec.attrs, NOW)
-    w = Window.partitionBy(*keys).orderBy(NOW)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prev = {c: F.lag(c).over(w) for c in spec.attrs}
-    if gaps:
-        ranks = maybe_broadcast(capture_ranks(rows, keys[0]), bound)
-        rows = rows.join(ranks, [keys[0], NOW], "inner")
-        start = F.lag("_rank").over(w).isNull() | (F.col("_rank") - F.lag("_rank").over(w) > 1)
-    else:
-        start = F.lag(NOW).over(w).isNull()
-    x = rows.select("*", start.alias("_start"),
-                    *[prev[c].alias("_p_" + c) for c in spec.attrs])
-    same = unchanged({c: F.col("_p_" + c) for c in spec.attrs}, {c: F.col(c) for c in spec.attrs}, spec.compare)
-    x = x.withColumn("_changed", F.col("_start") | ~same)
-    x = x.withColumn("_island", F.sum(F.col("_start").cast("int")).over(run))
-    x = (x.withColumn("modified_at", F.max(F.when(F.col("_changed"), F.col(NOW))).over(run))
-         .withColumn("discovered_at", F.min(NOW).over(Window.partitionBy(*keys, "_island"))))
-    x = x.withColumn("_pm", F.lag("modified_at").over(w))
-    action = F.when(F.col("_start"), F.lit("insert")).when(F.col("_changed"), F.lit("update")).otherwise(F.lit("touch"))
-    out = [*keys, *spec.attrs]
+    ranks = maybe_broadcast(capture_ranks(history.select(keys[0], NOW), keys[0]), bound)
+    rows = (history.select(*keys, *attrs, NOW).join(ranks, [keys[0], NOW], "inner")
+            .withColumn("_seg", F.floor((F.col("_rank") - 1) / F.lit(segment))))
+
+    # pass 1: flags that need only the previous row inside the segment
+    ws = Window.partitionBy(*keys, "_seg").orderBy(NOW)
+    run = ws.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = rows.select("*", *[F.lag(c).over(ws).alias("_p_" + c) for c in attrs],
+                    F.lag("_rank").over(ws).alias("_p_rank"), F.lag(NOW).over(ws).alias("_p_now"))
+    first = F.col("_p_now").isNull()
+    gap = (F.col("_rank") - F.col("_p_rank") > 1) if gaps else F.lit(False)
+    same_inner = unchanged({c: F.col("_p_" + c) for c in attrs}, {c: F.col(c) for c in attrs}, spec.compare)
+    x = x.withColumns({"_first": first,
+                       "_start_in": ~first & gap,
+                       "_chg_in": ~first & (gap | ~same_inner)})
+
+    # per-segment summary and the carry across segments (one row per key and segment)
+    row_struct = F.struct(F.col(NOW).alias("t"), F.col("_rank").alias("r"), *[F.col(c).alias(c) for c in attrs])
+    seg = x.groupBy(*keys, "_seg").agg(
+        F.min(row_struct).alias("_f"), F.max(row_struct).alias("_l"),
+        F.max(F.when(F.col("_chg_in"), F.col(NOW))).alias("_in_chg"),
+        F.max(F.when(F.col("_start_in"), F.col(NOW))).alias("_in_start"))
+    wk = Window.partitionBy(*keys).orderBy("_seg")
+    before = wk.rowsBetween(Window.unboundedPreceding, -1)
+    seg = seg.withColumn("_pl", F.lag("_l").over(wk))
+    f_start = F.col("_pl").isNull() | ((F.col("_f.r") - F.col("_pl.r") > 1) if gaps else F.lit(False))
+    f_same = unchanged({c: F.col("_pl").getField(c) for c in attrs}, {c: F.col("_f").getField(c) for c in attrs},
+                       spec.compare)
+    seg = seg.withColumns({"_f_start": f_start, "_f_chg": f_start | ~f_same})
+    seg = seg.withColumns({
+        "_seg_chg": F.greatest(F.col("_in_chg"), F.when(F.col("_f_chg"), F.col("_f.t"))),
+        "_seg_start": F.greatest(F.col("_in_start"), F.when(F.col("_f_start"), F.col("_f.t")))})
+    seg = seg.select(*keys, "_seg", "_f_start", "_f_chg",
+                     *[F.col("_pl").getField(c).alias("_pl_" + c) for c in attrs],
+                     F.max("_seg_chg").over(before).alias("_carry_mod"),
+                     F.max("_seg_start").over(before).alias("_carry_disc"))
+
+    # pass 2: final columns inside each segment
+    y = x.join(seg, keys + ["_seg"], "inner")
+    is_first = F.col("_first")
+    y = y.withColumns({
+        "_start": F.when(is_first, F.col("_f_start")).otherwise(F.col("_start_in")),
+        "_changed": F.when(is_first, F.col("_f_chg")).otherwise(F.col("_chg_in")),
+        **{"_prev_" + c: F.when(is_first, F.col("_pl_" + c)).otherwise(F.col("_p_" + c)) for c in attrs}})
+    y = y.withColumns({
+        "modified_at": F.coalesce(F.max(F.when(F.col("_changed"), F.col(NOW))).over(run), F.col("_carry_mod")),
+        "discovered_at": F.coalesce(F.max(F.when(F.col("_start"), F.col(NOW))).over(run), F.col("_carry_disc"))})
+    y = y.withColumn("_pm", F.when(is_first, F.col("_carry_mod")).otherwise(F.lag("modified_at").over(ws)))
+    action = (F.when(F.col("_start"), F.lit("insert")).when(F.col("_changed"), F.lit("update"))
+              .otherwise(F.lit("touch")))
+    out = [*keys, *attrs]
     cols = {}
     if spec.velocity:
         applies = F.lit(True) if spec.velocity == "all" else (F.col("offset_type") == F.lit(spec.velocity))
-        v = velocity(F.col("offset"), F.col("_p_offset"), F.col(NOW), F.col("_pm"))
+        v = velocity(F.col("offset"), F.col("_prev_offset"), F.col(NOW), F.col("_pm"))
         cols["velocity"] = (F.when(F.col("_start"), F.lit(None).cast("double"))
                             .when(~F.col("_changed"), F.when(applies, F.lit(0.0)))
                             .otherwise(F.when(applies, v)))
         out.append("velocity")
     cols["action"] = action
-    return x.withColumns(cols).select(*out, "discovered_at", "modified_at", NOW, "action")
+    return y.withColumns(cols).select(*out, "discovered_at", "modified_at", NOW, "action")
 
 
 def latest_state(replayed: DataFrame, spec: TableSpec, cluster_last: DataFrame | None = None) -> DataFrame:
-    """The state after the last capture: per key its last row, dropped when
-    the table removes stale rows and the key is absent from its cluster's
-    last capture (``cluster_last``: k_cluster_id, refreshed_at)."""
+    """The state after the last capture: per key its last row (grouped
+    ``max`` of a struct, combined map-side), dropped when the table removes
+    stale rows and the key is absent from its cluster's last capture
+    (``cluster_last``: k_cluster_id, refreshed_at)."""
     keys = list(spec.keys)
     cols = [c for c in replayed.columns if c not in keys]
     last = (replayed.groupBy(*keys).agg(F.max(F.struct(F.col(NOW).alias("_t"), *cols)).alias("_r"))

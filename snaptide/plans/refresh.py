@@ -18,11 +18,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from snaptide.operators import flatten as fl
-from snaptide.operators.accounting import refresh_accounting
+from snaptide.operators.accounting import accounting_metrics
 from snaptide.operators.asof import DEFAULT_BUCKET, attach_offset_timestamps
 from snaptide.operators.cascade import cascade
 from snaptide.operators.joins import DEFAULT_BROADCAST_ROWS, maybe_broadcast
@@ -77,7 +77,7 @@ class _Run:
         self.state = store.read_all()
         self.new: dict[str, DataFrame] = {}
         self.removed: dict[str, DataFrame] = {}
-        self.counts: list[DataFrame] = []
+        self.counts: list[tuple[str, str, int]] = []
 
     def _cascade(self, name: str, table: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         """Drop rows whose parent (declared or extra) was removed earlier in this run."""
@@ -106,14 +106,15 @@ class _Run:
     def merge(self, name: str, source: DataFrame, scope: DataFrame | None = None) -> None:
         spec = TABLES[name]
         merged = merge_snapshot(self.state[name], source, spec, scope=scope if spec.delete_stale else None,
-                                strategy=self.strategy, broadcast_rows=self.bound).persist()
+                                strategy=self.strategy, broadcast_rows=self.bound, dup_counts=True).persist()
         try:
-            kept, lost = self._cascade(name, survivors(merged))
+            # A5 / A6 counted while the table is written (no extra job)
+            obs = Observation(f"refresh_{name}_{self.version}")
+            watched = merged.observe(obs, *accounting_metrics())
+            kept, lost = self._cascade(name, survivors(watched))
             can_delete = spec.delete_stale and scope is not None
             self._stage(name, kept, ([deleted(merged)] if can_delete else []) + lost)
-            acct = refresh_accounting(name, source.select(*spec.keys), merged, spec.keys)
-            # a handful of rows, computed while the merged frame is cached
-            self.counts.append(acct.sparkSession.createDataFrame(acct.collect(), acct.schema))
+            self.counts += [(name, m, int(v or 0)) for m, v in obs.get.items()]
         finally:
             merged.unpersist()
 
@@ -129,7 +130,9 @@ class _Run:
         for name in TABLES:
             self.new.setdefault(name, self.state[name])
         self.store.commit(self.version, self.where, self.epoch)
-        acct = reduce(DataFrame.unionByName, self.counts) if self.counts else None
+        acct = None
+        if self.counts:
+            acct = self.store.spark.createDataFrame(self.counts, "table_name string, metric string, value long")
         return RefreshResult(dict(self.new), dict(self.removed), acct, self.version)
 
 

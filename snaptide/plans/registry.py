@@ -81,9 +81,11 @@ def merge_delete_stale_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------- generic two-capture merges --
 
-def two_capture_merge(a: DataFrame, b: DataFrame, spec, delete: bool, strategy: str = "auto",
+def two_capture_merge(a: DataFrame, b: DataFrame, spec, delete: bool, strategy: str = "full",
                       scope: DataFrame | None = None, dedupe_order=()) -> DataFrame:
-    """State from capture A, then capture B merged into it."""
+    """State from capture A, then capture B merged into it. Both are full
+    captures (about as large as the state), so the full outer plan is the
+    right one and is stated, not probed."""
     spec = spec.__class__(**{**spec.__dict__, "delete_stale": delete})
     state = survivors(merge_snapshot(None, a, spec, strategy=strategy, dedupe_order=dedupe_order))
     if delete and scope is None:
@@ -317,8 +319,9 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = (cust.filter(F.col("c_custkey") % 10 != 1)
          .select(cluster_of("c_custkey").alias("k_cluster_id"), "c_custkey", ts(T1).alias("refreshed_at")))
     spec = _spec("customers", keys).__class__(name="customers", keys=tuple(keys), delete_stale=True)
-    state = survivors(merge_snapshot(None, a, spec))
-    gone_c = deleted(merge_snapshot(state, b, spec, scope=b.select("k_cluster_id", "refreshed_at").distinct()))
+    state = survivors(merge_snapshot(None, a, spec, strategy="full"))
+    gone_c = deleted(merge_snapshot(state, b, spec, scope=b.select("k_cluster_id", "refreshed_at").distinct(),
+                                    strategy="full"))
     orders = t.orders.select(cluster_of("o_custkey").alias("k_cluster_id"), "o_custkey", "o_orderkey")
     # a line carries its order's cluster (children carry their parents' keys)
     lines = (t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
@@ -747,8 +750,8 @@ def velocity_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spec = TABLES["partition_offsets"].__class__(name="po", keys=tuple(_PO_KEYS), compare=_PO_CMP,
                                                  extra=("velocity",), velocity="LATEST")
-    state = survivors(merge_snapshot(None, cap(_D1), spec))
-    return to_ntz(merge_snapshot(state, cap(_D2), spec), *AUDIT_NTZ)
+    state = survivors(merge_snapshot(None, cap(_D1), spec, strategy="full"))
+    return to_ntz(merge_snapshot(state, cap(_D2), spec, strategy="full"), *AUDIT_NTZ)
 
 
 _GO_KEYS = ["k_cluster_id", "group_id", "topic", "partition"]
@@ -780,9 +783,9 @@ def velocity_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = TABLES["consumer_group_offsets"].__class__(name="go", keys=tuple(_GO_KEYS), compare=_GO_CMP,
                                                       extra=("velocity",), velocity="all", delete_stale=True)
     b = _group_capture(ev, _D2)
-    state = survivors(merge_snapshot(None, _group_capture(ev, _D1), spec))
-    return to_ntz(merge_snapshot(state, b, spec, scope=b.select("k_cluster_id", "refreshed_at").distinct()),
-                  *AUDIT_NTZ)
+    state = survivors(merge_snapshot(None, _group_capture(ev, _D1), spec, strategy="full"))
+    return to_ntz(merge_snapshot(state, b, spec, scope=b.select("k_cluster_id", "refreshed_at").distinct(),
+                                 strategy="full"), *AUDIT_NTZ)
 
 
 # History replay: one capture per day, at the day's end. A partition's LATEST
@@ -849,6 +852,11 @@ SELECT {k}, "offset",
 FROM z4"""
 
 
+# Fixed value: captures per replay segment in these queries (30 daily
+# captures span five segments, so the carry across segments is exercised).
+_REPLAY_SEGMENT = 7
+
+
 @register("velocity_replay", _replay_sql(group=False))
 def velocity_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3 over 30 daily partition-offset captures (no stale delete: a missing row is no gap)."""
@@ -856,7 +864,7 @@ def velocity_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = Tables(spark, sf_dir).events.select("user_id", "event_type", "event_id", "ts")
     spec = TABLES["partition_offsets"].__class__(name="po", keys=("k_cluster_id", "topic", "partition", "offset_type"),
                                                  compare=(("offset", "<=>"),), extra=("velocity",), velocity="LATEST")
-    return to_ntz(replay(_daily(ev, group=False), spec, gaps=False), *AUDIT_NTZ)
+    return to_ntz(replay(_daily(ev, group=False), spec, gaps=False, segment=_REPLAY_SEGMENT), *AUDIT_NTZ)
 
 
 @register("velocity_replay_gaps", _replay_sql(group=True))
@@ -867,7 +875,7 @@ def velocity_replay_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = Tables(spark, sf_dir).events.select("user_id", "event_type", "event_id", "ts")
     spec = TABLES["consumer_group_offsets"].__class__(name="go", keys=tuple(_GO_KEYS), compare=(("offset", "<=>"),),
                                                       extra=("velocity",), velocity="all", delete_stale=True)
-    return to_ntz(replay(_daily(ev, group=True), spec), *AUDIT_NTZ)
+    return to_ntz(replay(_daily(ev, group=True), spec, segment=_REPLAY_SEGMENT), *AUDIT_NTZ)
 
 
 # ------------------------------------------------------------------- report --

@@ -119,7 +119,8 @@ def test_duplicates_reduce_to_greatest(spark):
     assert got == {1: ("b", 2, 3), 2: ("z", 1, 1)}
 
 
-def test_replay_matches_sequential_merges(spark):
+@pytest.mark.parametrize("segment", [1, 2, 1 << 16])
+def test_replay_matches_sequential_merges(spark, segment):
     caps = captures(11, n_caps=5)
     model, per_step = {}, []
     for now, rows in caps:
@@ -128,7 +129,7 @@ def test_replay_matches_sequential_merges(spark):
         per_step += [dict(r) for k, r in m.items() if r["refreshed_at"] == now and r["action"] != "delete"]
         model = model_survivors(m)
     hist = spark.createDataFrame([r for _, rows in caps for r in rows], SCHEMA)
-    got = [r.asDict() for r in replay(hist, SPEC).collect()]
+    got = [r.asDict() for r in replay(hist, SPEC, segment=segment).collect()]
     key = lambda r: (r["k_cluster_id"], r["id"], r["refreshed_at"].replace(tzinfo=None))
     want = {key(r): r for r in per_step}
     have = {key(r): r for r in got}
