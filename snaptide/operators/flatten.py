@@ -77,13 +77,14 @@ def _config_cols(prefix: str = "e"):
             ("name", "value", "source", "sensitive", "read_only", "type", "documentation")]
 
 
-def node_configs(snap: DataFrame, bound: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """F2 + J11: config entries of live nodes only."""
+def node_configs(snap: DataFrame) -> DataFrame:
+    """F2 + J11: config entries of live nodes only (semi join on capture and
+    node id)."""
     rows = (_base(snap, F.explode("node_configs").alias("nc"))
             .select(*SNAP_KEY, F.col("nc.node_id").alias("k_node_id"), F.explode("nc.entries").alias("e"))
             .select(*SNAP_KEY, "k_node_id", *_config_cols()))
     live = live_nodes(snap).select(*SNAP_KEY, "k_node_id")
-    return rows.join(maybe_broadcast(live, bound), SNAP_KEY + ["k_node_id"], "left_semi")
+    return rows.join(live, SNAP_KEY + ["k_node_id"], "left_semi")
 
 
 def topics(snap: DataFrame) -> DataFrame:

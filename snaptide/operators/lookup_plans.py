@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaptide.operators.joins import DEFAULT_BROADCAST_ROWS, maybe_broadcast
+from snaptide.operators.joins import maybe_broadcast
 
 CK = "k_cluster_id"
 
@@ -27,14 +27,18 @@ def duplicate_topic_names(topics: DataFrame) -> DataFrame:
             .filter(F.col("n") > 1))
 
 
-def resolve_topic(rows: DataFrame, topics: DataFrame, bound: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Replace the ``topic`` name column by ``k_topic_id``; unknown names drop."""
-    ids = maybe_broadcast(topic_ids_by_name(topics), bound)
+def resolve_topic(rows: DataFrame, topics: DataFrame, bound: int | None = None) -> DataFrame:
+    """Replace the ``topic`` name column by ``k_topic_id``; unknown names
+    drop. The join key is (cluster, name); with ``bound`` the name table is
+    broadcast behind a row count, else Spark sizes it."""
+    ids = topic_ids_by_name(topics)
+    if bound:
+        ids = maybe_broadcast(ids, bound)
     return rows.join(ids, [CK, "topic"], "inner").drop("topic")
 
 
 def resolve_assignments(assignments: DataFrame, members: DataFrame, topics: DataFrame,
-                        partitions: DataFrame, bound: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                        partitions: DataFrame, bound: int | None = None) -> DataFrame:
     """Assignment (group, member, topic name, partition) -> member exists ->
     topic id by name -> partition exists. Each assignment stays with its own
     member."""
@@ -46,7 +50,7 @@ def resolve_assignments(assignments: DataFrame, members: DataFrame, topics: Data
 
 
 def resolve_group_offsets(offsets: DataFrame, groups: DataFrame, topics: DataFrame, partitions: DataFrame,
-                          bound: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                          bound: int | None = None) -> DataFrame:
     """Committed offset -> group exists -> topic id by name -> partition exists."""
     x = offsets.join(groups.select(CK, "group_id"), [CK, "group_id"], "left_semi")
     x = resolve_topic(x, topics, bound)

@@ -84,7 +84,7 @@ def choose_strategy(source: DataFrame, target: DataFrame, broadcast_rows: int =
 def merge_snapshot(target: DataFrame | None, source: DataFrame, spec: TableSpec, *,
                    scope: DataFrame | None = None, strategy: str = "auto",
                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS, dedupe: bool = True,
-                   dedupe_order=(), dup_counts: bool = False) -> DataFrame:
+                   dedupe_order=(), dup_counts: bool = False, scope_small: bool = False) -> DataFrame:
     """Merge ``source`` (keys, compared attributes, ``refreshed_at``) into ``target``.
 
     ``scope``: rows of scope columns (a prefix of the key, normally
@@ -130,7 +130,9 @@ def merge_snapshot(target: DataFrame | None, source: DataFrame, spec: TableSpec,
         scope_cols = [c for c in scope.columns if c != NOW]
         sc = scope.select(*scope_cols, F.col(NOW).alias("_scope_at"))
         sc = reduce_duplicates(sc, scope_cols)
-        if bounded_count(sc, broadcast_rows) <= broadcast_rows:
+        # the scope is joined on the cluster alone: broadcast it (size known
+        # to the caller, or checked here) so no cluster is shuffled to one task
+        if scope_small or bounded_count(sc, broadcast_rows) <= broadcast_rows:
             sc = F.broadcast(sc)
         joined = joined.join(sc, scope_cols, "left")
         stale = F.col(_T + NOW) < F.col("_scope_at")

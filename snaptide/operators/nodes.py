@@ -16,7 +16,7 @@ def missing_nodes(quorum_ids: DataFrame, live: DataFrame, keys,
     (host NULL, port -1, rack NULL)."""
     keys = list(keys)
     ids = quorum_ids.select(*keys, "k_node_id").distinct()
-    gone = ids.join(maybe_broadcast(live.select(*keys, "k_node_id"), bound), keys + ["k_node_id"], "left_anti")
+    gone = ids.join(live.select(*keys, "k_node_id"), keys + ["k_node_id"], "left_anti")
     return gone.select(*keys, "k_node_id", F.lit(None).cast("string").alias("host"),
                        F.lit(-1).alias("port"), F.lit(None).cast("string").alias("rack"))
 
@@ -38,9 +38,11 @@ def all_nodes(live: DataFrame, meta: DataFrame, voters: DataFrame, observers: Da
     v = voters.select(*nk).distinct().withColumn("_v", F.lit(True))
     o = observers.select(*nk).distinct().withColumn("_o", F.lit(True))
     m = meta.select(*keys, "controller_id", "leader_id")
+    # meta is one row per capture and joined on the capture alone: broadcast
+    # behind a row count so no cluster is ever shuffled into one task
     n = (nodes.join(maybe_broadcast(m, bound), keys, "inner")
-         .join(maybe_broadcast(v, bound), nk, "left")
-         .join(maybe_broadcast(o, bound), nk, "left"))
+         .join(v, nk, "left")
+         .join(o, nk, "left"))
     has_q = F.col("leader_id").isNotNull()
     node = F.col("k_node_id")
     return n.select(*keys, "k_node_id", "host", "port", "rack",

@@ -61,24 +61,56 @@ def newest_per_cluster(snap: DataFrame, clusters: DataFrame | None, bound: int =
     return snap.join(times, CK, "inner").filter(F.col("captured_at") == F.col("_newest")).drop("_newest")
 
 
-def _semi(rows: DataFrame, parent: DataFrame, keys, bound=None) -> DataFrame:
-    p = parent.select(*keys)
-    if bound:
-        p = maybe_broadcast(p, bound)
-    return rows.join(p, list(keys), "left_semi")
+def _semi(rows: DataFrame, parent: DataFrame, keys) -> DataFrame:
+    """Existence check on the parent's whole natural key. The parent is a
+    staged Parquet table, so Spark sizes it from its files and broadcasts it
+    when under the broadcast threshold (AQE re-checks at run time); no join
+    here is on the cluster alone."""
+    return rows.join(parent.select(*keys), list(keys), "left_semi")
 
 
 class _Run:
     """One refresh in progress: merges, cascades and staged writes."""
 
-    def __init__(self, store: StateStore, epoch, strategy, bound):
-        self.store, self.epoch, self.strategy, self.bound = store, epoch, strategy, bound
+    def __init__(self, store: StateStore, epoch, strategy, bound, stream=None):
+        self.store, self.epoch, self.strategy, self.bound, self.stream = store, epoch, strategy, bound, stream
         self.version, self.where = store.begin()
         self.state = store.read_all()
+        self.scopes: dict[str, DataFrame] = {}
         self.new: dict[str, DataFrame] = {}
         self.removed: dict[str, DataFrame] = {}
         self.counts: list[tuple[str, str, int]] = []
 
+    def resolve_strategy(self, batch_clusters: DataFrame) -> None:
+        """Pick the merge plan once per refresh from the two small cluster
+        tables: a batch holding under a tenth of the known clusters is an
+        incremental capture (per table: broadcast plan if the snapshot rows
+        are within the bound), anything else is a full capture (full outer
+        plan, no per-table counts)."""
+        if self.strategy != "auto":
+            return
+        n_batch = batch_clusters.select(CK).distinct().count()
+        known = self.state["clusters"].select(CK)
+        need = 10 * max(n_batch, 1)
+        self.strategy = "incremental" if known.limit(need).count() >= need else "full"
+
+    def _merge_strategy(self, source: DataFrame) -> str:
+        if self.strategy != "incremental":
+            return self.strategy
+        from snaptide.operators.joins import bounded_count
+        return "small" if bounded_count(source, self.bound) <= self.bound else "full"
+
+    def scope(self, snap: DataFrame, section: str) -> DataFrame:
+        """Scope of a section: one row per cluster whose capture read it,
+        collected once (bounded) into a small local frame."""
+        if section not in self.scopes:
+            sc = fl.section_scope(snap, section)
+            rows = sc.limit(self.bound + 1).collect()
+            if len(rows) > self.bound:
+                raise ValueError(f"more than {self.bound} clusters in one refresh")
+            self.scopes[section] = sc.sparkSession.createDataFrame(rows, sc.schema)
+        return self.scopes[section]
+
     def _cascade(self, name: str, table: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         """Drop rows whose parent (declared or extra) was removed earlier in this run."""
         lost = []
@@ -99,6 +131,10 @@ class _Run:
         cols = list(TABLES[name].columns)
         self.new[name] = self.store.stage(self.version, name, table)
         self.where[name] = self.version
+        self._stage_removed(name, removed)
+
+    def _stage_removed(self, name: str, removed: list[DataFrame]) -> None:
+        cols = list(TABLES[name].columns)
         if removed:
             gone = reduce(DataFrame.unionByName, [r.select(*cols) for r in removed])
             self.removed[name] = self.store.stage(self.version, f"_removed/{name}", gone, columns=cols)
@@ -106,15 +142,18 @@ class _Run:
     def merge(self, name: str, source: DataFrame, scope: DataFrame | None = None) -> None:
         spec = TABLES[name]
         merged = merge_snapshot(self.state[name], source, spec, scope=scope if spec.delete_stale else None,
-                                strategy=self.strategy, broadcast_rows=self.bound, dup_counts=True).persist()
+                                strategy=self._merge_strategy(source), broadcast_rows=self.bound,
+                                dup_counts=True, scope_small=scope is not None).persist()
         try:
             # A5 / A6 counted while the table is written (no extra job)
             obs = Observation(f"refresh_{name}_{self.version}")
             watched = merged.observe(obs, *accounting_metrics())
             kept, lost = self._cascade(name, survivors(watched))
-            can_delete = spec.delete_stale and scope is not None
-            self._stage(name, kept, ([deleted(merged)] if can_delete else []) + lost)
-            self.counts += [(name, m, int(v or 0)) for m, v in obs.get.items()]
+            self.new[name] = self.store.stage(self.version, name, kept)
+            self.where[name] = self.version
+            metrics = obs.get
+            self.counts += [(name, m, int(v or 0)) for m, v in metrics.items()]
+            self._stage_removed(name, ([deleted(merged)] if metrics.get("delete") else []) + lost)
         finally:
             merged.unpersist()
 
@@ -129,7 +168,7 @@ class _Run:
     def finish(self) -> RefreshResult:
         for name in TABLES:
             self.new.setdefault(name, self.state[name])
-        self.store.commit(self.version, self.where, self.epoch)
+        self.store.commit(self.version, self.where, self.epoch, self.stream)
         acct = None
         if self.counts:
             acct = self.store.spark.createDataFrame(self.counts, "table_name string, metric string, value long")
@@ -137,37 +176,38 @@ class _Run:
 
 
 def refresh_metadata(store: StateStore, snapshots: DataFrame, *, epoch: int | None = None,
-                     strategy: str = "auto", bound: int = DEFAULT_BROADCAST_ROWS) -> RefreshResult:
+                     strategy: str = "auto", bound: int = DEFAULT_BROADCAST_ROWS,
+                     stream: str | None = None) -> RefreshResult:
     """Apply the newest capture per cluster to the state in ``store`` and
     commit a new version. Tables are processed parents first; each table's
     final state (merge, then removal of children of removed parents) is
     written once and read back for the tables after it."""
-    run = _Run(store, epoch, strategy, bound)
+    run = _Run(store, epoch, strategy, bound, stream)
     snap = newest_per_cluster(snapshots, run.state["clusters"], bound).persist()
     new = run.new
     try:
+        run.resolve_strategy(snap)
         run.merge("clusters", fl.clusters(snap))
         run.merge("nodes", fl.all_nodes(snap, bound))
-        run.merge("node_configs", _semi(fl.node_configs(snap, bound), new["nodes"], [CK, "k_node_id"], bound))
-        run.merge("topics", fl.topics(snap), fl.section_scope(snap, "topics"))
+        run.merge("node_configs", _semi(fl.node_configs(snap), new["nodes"], [CK, "k_node_id"]))
+        run.merge("topics", fl.topics(snap), run.scope(snap, "topics"))
         run.merge("topic_configs", _semi(fl.topic_configs(snap), new["topics"], [CK, "k_topic_id"]))
         parts = fl.partitions(snap).select(CK, NOW, "k_topic_id", "k_partition_id")
         run.merge("topic_partitions", _semi(parts, new["topics"], [CK, "k_topic_id"]))
         run.carry("partition_offsets")
         reps = _semi(fl.replicas(snap), new["topic_partitions"], [CK, "k_topic_id", "k_partition_id"])
-        run.merge("partition_replicas", _semi(reps, new["nodes"], [CK, "k_node_id"], bound))
+        run.merge("partition_replicas", _semi(reps, new["nodes"], [CK, "k_node_id"]))
         coord = new["nodes"].select(CK, F.col("k_node_id").alias("coordinator_id"))
-        group_scope = fl.section_scope(snap, "consumer_groups")
-        run.merge("consumer_groups", _semi(fl.consumer_groups(snap), coord, [CK, "coordinator_id"], bound),
-                  group_scope)
+        group_scope = run.scope(snap, "consumer_groups")
+        run.merge("consumer_groups", _semi(fl.consumer_groups(snap), coord, [CK, "coordinator_id"]), group_scope)
         run.merge("consumer_group_members",
                   _semi(fl.group_members(snap), new["consumer_groups"], [CK, "group_id"]), group_scope)
-        assigned = resolve_topic(fl.member_assignments(snap), new["topics"], bound)
+        assigned = resolve_topic(fl.member_assignments(snap), new["topics"])
         assigned = _semi(assigned, new["consumer_group_members"], [CK, "group_id", "member_id"])
         assigned = _semi(assigned, new["topic_partitions"], [CK, "k_topic_id", "k_partition_id"])
         run.merge("consumer_group_member_assignments", assigned, group_scope)
         run.carry("consumer_group_offsets")
-        acl_scope = fl.section_scope(snap, "acl_bindings")
+        acl_scope = run.scope(snap, "acl_bindings")
         run.merge("acl_resources", fl.acl_resources(snap), acl_scope)
         run.merge("acl_entries", fl.acl_entries(snap), acl_scope)
         bindings = _semi(fl.acl_bindings(snap), new["acl_resources"].withColumnRenamed("name", "resource_name"),
@@ -187,7 +227,8 @@ def _newest_capture(captures: DataFrame, bound: int) -> DataFrame:
 def refresh_offsets(store: StateStore, group_offsets: DataFrame | None = None,
                     partition_offsets: DataFrame | None = None, record_log: DataFrame | None = None, *,
                     epoch: int | None = None, strategy: str = "auto", bucket: int = DEFAULT_BUCKET,
-                    bound: int = DEFAULT_BROADCAST_ROWS) -> RefreshResult:
+                    bound: int = DEFAULT_BROADCAST_ROWS, metadata: StateStore | None = None,
+                    stream: str | None = None) -> RefreshResult:
     """Offset refresh (M11 + V1 + X5, M12 + V2) against the committed
     metadata state; commits a new version holding the two offset tables.
 
@@ -195,11 +236,17 @@ def refresh_offsets(store: StateStore, group_offsets: DataFrame | None = None,
     applied). ``record_log``: (k_cluster_id?, topic, partition, offset,
     timestamp), used to find the time of the record at each committed offset;
     without it offset timestamps are NULL. ``partition_offsets``:
-    PARTITION_OFFSETS rows."""
-    run = _Run(store, epoch, strategy, bound)
-    tables = run.state
+    PARTITION_OFFSETS rows. ``metadata``: a separate store holding the
+    metadata tables (so a metadata stream and an offset stream each write
+    their own store); by default ``store`` itself."""
+    run = _Run(store, epoch, strategy, bound, stream)
+    tables = dict(run.state)
+    if metadata is not None:
+        meta = metadata.read_all()
+        tables.update({n: meta[n] for n in TABLES if n not in ("consumer_group_offsets", "partition_offsets")})
     if group_offsets is not None:
         go = _newest_capture(group_offsets, bound)
+        run.resolve_strategy(go)
         if record_log is not None:
             keys = ([CK] if CK in record_log.columns else []) + ["topic", "partition"]
             log = record_log.select(*keys, "offset", "timestamp")
@@ -209,12 +256,15 @@ def refresh_offsets(store: StateStore, group_offsets: DataFrame | None = None,
         src = go.select(CK, F.col("captured_at").alias(NOW), "group_id", "topic",
                         F.col("partition").alias("k_partition_id"), "offset", "offset_timestamp", "metadata",
                         F.col("leader_epoch").cast("bigint").alias("leader_epoch"))
-        src = resolve_group_offsets(src, tables["consumer_groups"], tables["topics"], tables["topic_partitions"],
-                                    bound)
+        src = resolve_group_offsets(src, tables["consumer_groups"], tables["topics"], tables["topic_partitions"])
         scope = go.select(CK, F.col("captured_at").alias(NOW)).distinct()
-        run.merge("consumer_group_offsets", src, scope)
+        rows = scope.limit(bound + 1).collect()
+        if len(rows) > bound:
+            raise ValueError(f"more than {bound} clusters in one refresh")
+        run.merge("consumer_group_offsets", src, scope.sparkSession.createDataFrame(rows, scope.schema))
     if partition_offsets is not None:
         po = clean_partition_offsets(_newest_capture(partition_offsets, bound))
+        run.resolve_strategy(po)
         run.merge("partition_offsets", resolve_partition_offsets(po, tables["topic_partitions"]))
     return run.finish()
 

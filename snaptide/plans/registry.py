@@ -17,7 +17,7 @@ from snaptide.operators.merge import merge_snapshot, survivors
 from snaptide.plans.table_snapshots import (
     CLUSTER, REPLICAS_SQL, REPORT_SQL, T0, T1, TOPICS_SQL, region_snapshot_rows, replica_snapshot_rows, to_ntz,
     topic_snapshot_rows, ts,
-    two_snapshot_merge_sql, cluster_of, cluster_sql,
+    two_snapshot_merge_sql, cluster_of, cluster_sql, sql_ts,
 )
 from snaptide.schemas import TABLES
 from snaptide.sources.tables import Tables
@@ -886,3 +886,38 @@ def snapshot_report_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from snaptide.operators.report import snapshot_report
     snap = region_snapshot_rows(Tables(spark, sf_dir))
     return to_ntz(snapshot_report(snap), "refreshed_at")
+
+
+# ------------------------------------------------------- end-to-end refresh --
+
+@register("refresh_region_replicas", f"""
+WITH reg AS (SELECT n.n_nationkey, r.r_name AS k_cluster_id FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey),
+sup AS (SELECT CAST(s.s_suppkey AS INTEGER) AS node, reg.k_cluster_id FROM supplier s
+        JOIN reg ON reg.n_nationkey = s.s_nationkey),
+nodes AS (SELECT k_cluster_id, node FROM sup UNION SELECT k_cluster_id, CAST(n_nationkey AS INTEGER) FROM reg),
+lin AS (SELECT l.l_orderkey, l.l_linenumber, CAST(l.l_suppkey AS INTEGER) AS s, CAST(l.l_partkey AS INTEGER) AS p,
+               reg.k_cluster_id
+        FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey
+        JOIN reg ON reg.n_nationkey = c.c_nationkey),
+reps AS (SELECT k_cluster_id, l_orderkey, l_linenumber, s AS node, s AS leader_id FROM lin
+         UNION ALL SELECT k_cluster_id, l_orderkey, l_linenumber, p, s FROM lin)
+SELECT r.k_cluster_id, 't' || CAST(r.l_orderkey AS VARCHAR) AS k_topic_id, r.l_linenumber AS k_partition_id,
+       r.node AS k_node_id, bool_or(r.node = r.leader_id) AS leader, bool_or(r.node = r.leader_id) AS in_sync,
+       CAST(NULL AS BIGINT) AS size, CAST(NULL AS BIGINT) AS offset_lag, CAST(NULL AS BOOLEAN) AS future,
+       {sql_ts(T0)} AS discovered_at, {sql_ts(T0)} AS modified_at, {sql_ts(T0)} AS refreshed_at
+FROM reps r JOIN nodes n ON n.k_cluster_id = r.k_cluster_id AND n.node = r.node
+GROUP BY r.k_cluster_id, r.l_orderkey, r.l_linenumber, r.node""")
+def refresh_region_replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """End to end (S1-S9, F*, J1-J10, M1-M15, K4): one capture per region,
+    split into chunk rows, refreshed into a new state store; the committed
+    ``partition_replicas`` table. Replicas on nodes that are neither live nor
+    quorum members are dropped by the lookup (J4); duplicate lines reduce
+    to one row per key (Q9)."""
+    import uuid
+
+    from snaptide.plans.refresh import refresh_metadata
+    from snaptide.plans.state import StateStore
+    from snaptide.session import checkpoint_dir
+    store = StateStore(spark, f"{checkpoint_dir(spark)}/registry-state-{uuid.uuid4().hex}")
+    refresh_metadata(store, region_snapshot_rows(Tables(spark, sf_dir)))
+    return to_ntz(store.read("partition_replicas"), *AUDIT_NTZ)

@@ -27,6 +27,7 @@ from snaptide.schemas import TABLES
 COMMIT = T.StructType([
     T.StructField("version", T.LongType(), False),
     T.StructField("epoch", T.LongType(), True),
+    T.StructField("stream", T.StringType(), True),
     T.StructField("tables", T.MapType(T.StringType(), T.LongType()), False),
     T.StructField("committed_at", T.TimestampType(), False),
 ])
@@ -36,15 +37,12 @@ class StateStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        # an empty commit folder, so the first read finds a (empty) log
+        spark.createDataFrame([], COMMIT).coalesce(1).write.mode("ignore").json(f"{self.root}/_commits/v=-1")
 
     # ------------------------------------------------------------ reading --
     def commits(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(COMMIT).json(f"{self.root}/_commits")
-        except Exception as exc:  # no commit folder yet
-            if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-                return self.spark.createDataFrame([], COMMIT)
-            raise
+        return self.spark.read.schema(COMMIT).json(f"{self.root}/_commits").select(*COMMIT.fieldNames())
 
     def latest(self) -> dict | None:
         """The newest commit record (a one-row aggregate on the driver)."""
@@ -70,9 +68,12 @@ class StateStore:
         head = self._head(version)
         return {name: self.read(name, head=head) for name in TABLES}
 
-    def committed_epoch(self, epoch: int) -> bool:
-        """True when a micro-batch epoch was already published (retry guard)."""
-        return self.commits().filter(F.col("epoch") == epoch).limit(1).count() > 0
+    def committed_epoch(self, epoch: int, stream: str | None = None) -> bool:
+        """True when a micro-batch epoch of ``stream`` was already published
+        (retry guard)."""
+        c = self.commits().filter(F.col("epoch") == epoch)
+        c = c.filter(F.col("stream").isNull()) if stream is None else c.filter(F.col("stream") == stream)
+        return c.limit(1).count() > 0
 
     # ------------------------------------------------------------ writing --
     def begin(self) -> tuple[int, dict]:
@@ -91,15 +92,16 @@ class StateStore:
         out.write.mode("errorifexists").parquet(path)
         return self.spark.read.schema(out.schema).parquet(path)
 
-    def commit(self, version: int, where: dict, epoch: int | None = None) -> int:
-        """Write the commit record; from now on the version is the newest."""
+    def commit(self, version: int, where: dict, epoch: int | None = None, stream: str | None = None) -> int:
+        """Write the commit record; from now on the version is the newest.
+        One writer per store: versions are numbered by the writer."""
         record = self.spark.createDataFrame(
-            [(version, epoch, where)], "version long, epoch long, tables map<string,long>"
+            [(version, epoch, stream, where)], "version long, epoch long, stream string, tables map<string,long>"
         ).withColumn("committed_at", F.current_timestamp())
         record.coalesce(1).write.mode("errorifexists").json(f"{self.root}/_commits/v={version}")
         return version
 
-    def publish(self, tables: dict[str, DataFrame], epoch: int | None = None) -> int:
+    def publish(self, tables: dict[str, DataFrame], epoch: int | None = None, stream: str | None = None) -> int:
         """K4: write the changed tables of a new version, then its commit
         record; tables not given keep their previous location."""
         head = self.latest()
@@ -108,8 +110,4 @@ class StateStore:
         for name, df in tables.items():
             df.select(*TABLES[name].columns).write.mode("errorifexists").parquet(f"{self.root}/v={version}/{name}")
             where[name] = version
-        record = self.spark.createDataFrame(
-            [(version, epoch, where)], "version long, epoch long, tables map<string,long>"
-        ).withColumn("committed_at", F.current_timestamp())
-        record.coalesce(1).write.mode("errorifexists").json(f"{self.root}/_commits/v={version}")
-        return version
+        return self.commit(version, where, epoch, stream)

@@ -11,8 +11,10 @@
   the same state set-wise. It needs no Python callback, so it also runs
   where ``foreachBatch`` cannot.
 
-Retries are safe: a micro-batch whose epoch is already committed is skipped,
-and a capture not newer than its cluster's state changes nothing.
+Retries are safe: a micro-batch whose epoch (per stream name) is already
+committed is skipped, and a capture not newer than its cluster's state
+changes nothing. Each stream writes its own store (one writer per store);
+the offset streams read the metadata store for key resolution.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ def _trigger(writer, trigger: str | None, available_now: bool):
 
 def start_metadata_refresh(spark: SparkSession, source: str, store_root: str, checkpoint: str, *,
                            fmt: str = "json", trigger: str = "30 seconds", available_now: bool = False,
-                           max_files: int | None = None) -> StreamingQuery:
+                           max_files: int | None = None, name: str = "metadata") -> StreamingQuery:
     reader = spark.readStream.schema(SNAPSHOT).format(fmt)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -41,32 +43,36 @@ def start_metadata_refresh(spark: SparkSession, source: str, store_root: str, ch
 
     def batch(df: DataFrame, epoch: int) -> None:
         store = StateStore(df.sparkSession, store_root)
-        if not store.committed_epoch(epoch):
-            refresh_metadata(store, df, epoch=epoch)
+        if not store.committed_epoch(epoch, name):
+            refresh_metadata(store, df, epoch=epoch, stream=name)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return _trigger(writer, trigger, available_now).start()
 
 
-def start_offset_refresh(spark: SparkSession, group_offsets: str, store_root: str, checkpoint: str, *,
-                         partition_offsets: str | None = None, record_log: str | None = None,
-                         fmt: str = "parquet", trigger: str = "2 seconds",
-                         available_now: bool = False) -> StreamingQuery:
-    stream = spark.readStream.schema(GROUP_OFFSETS).format(fmt).load(group_offsets)
+def start_offset_refresh(spark: SparkSession, source: str, store_root: str, checkpoint: str, *,
+                         kind: str = "group", metadata_root: str | None = None, record_log: str | None = None,
+                         fmt: str = "parquet", trigger: str = "2 seconds", available_now: bool = False,
+                         name: str | None = None) -> StreamingQuery:
+    """``kind``: "group" (GROUP_OFFSETS captures, with offset timestamps
+    from ``record_log``) or "partition" (PARTITION_OFFSETS captures). Each
+    offset stream should write its own store; ``metadata_root`` names the
+    store the metadata stream writes (the stream-static lookup, Y4)."""
+    schema = GROUP_OFFSETS if kind == "group" else PARTITION_OFFSETS
+    name = name or f"{kind}_offsets"
+    stream = spark.readStream.schema(schema).format(fmt).load(source)
 
     def batch(df: DataFrame, epoch: int) -> None:
         s = df.sparkSession
         store = StateStore(s, store_root)
-        if store.committed_epoch(epoch):
+        if store.committed_epoch(epoch, name):
             return
-        po = None
-        if partition_offsets:
-            # the partition listing captured with the same refresh times
-            times = df.select("k_cluster_id", "captured_at").distinct()
-            po = s.read.schema(PARTITION_OFFSETS).format(fmt).load(partition_offsets) \
-                .join(times, ["k_cluster_id", "captured_at"], "left_semi")
+        meta = StateStore(s, metadata_root) if metadata_root else None
         log = s.read.parquet(record_log) if record_log else None
-        refresh_offsets(store, df, po, log, epoch=epoch)
+        if kind == "group":
+            refresh_offsets(store, df, None, log, epoch=epoch, metadata=meta, stream=name)
+        else:
+            refresh_offsets(store, None, df, None, epoch=epoch, metadata=meta, stream=name)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return _trigger(writer, trigger, available_now).start()

@@ -120,3 +120,18 @@ def test_state_store_carries_unchanged_tables(spark, tmp_root):
     assert (v0, v1) == (0, 1) and head["tables"]["topics"] == 1 and head["tables"]["nodes"] == 0
     assert store.read("nodes").count() == 3
     assert store.committed_epoch(1) and not store.committed_epoch(2)
+
+
+def test_offsets_into_their_own_store(spark, tmp_root):
+    """An offset stream writes its own store and resolves keys against the
+    metadata store (one writer per store)."""
+    meta = StateStore(spark, f"{tmp_root}/meta")
+    offs = StateStore(spark, f"{tmp_root}/offsets")
+    refresh_metadata(meta, snaps(spark, snapshot(later(0))), epoch=0, stream="metadata")
+    go = spark.createDataFrame([("k1", later(1), "g1", "alpha", 0, 7, None, None),
+                                ("k1", later(1), "g1", "gone", 0, 1, None, None)], relaxed(GROUP_OFFSETS))
+    res = refresh_offsets(offs, go, metadata=meta, epoch=0, stream="group_offsets")
+    assert rows(res.tables["consumer_group_offsets"], "group_id", "k_topic_id", "offset") == [("g1", "T-a", 7)]
+    assert offs.committed_epoch(0, "group_offsets") and not offs.committed_epoch(0, "metadata")
+    assert meta.committed_epoch(0, "metadata")
+    assert offs.read("topics").count() == 0 and meta.read("consumer_group_offsets").count() == 0
