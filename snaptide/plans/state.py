@@ -89,7 +89,9 @@ class StateStore:
         cols = columns or (TABLES[name].columns if name in TABLES else df.columns)
         path = f"{self.root}/v={version}/{name}"
         out = df.select(*cols)
-        out.write.mode("errorifexists").parquet(path)
+        # an uncommitted version is invisible to readers, so a retried refresh
+        # (same version number, leftovers of the failed attempt) overwrites it
+        out.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(out.schema).parquet(path)
 
     def commit(self, version: int, where: dict, epoch: int | None = None, stream: str | None = None) -> int:
@@ -108,6 +110,6 @@ class StateStore:
         version = 0 if head is None else head["version"] + 1
         where = dict((head or {}).get("tables") or {})
         for name, df in tables.items():
-            df.select(*TABLES[name].columns).write.mode("errorifexists").parquet(f"{self.root}/v={version}/{name}")
+            df.select(*TABLES[name].columns).write.mode("overwrite").parquet(f"{self.root}/v={version}/{name}")
             where[name] = version
         return self.commit(version, where, epoch, stream)

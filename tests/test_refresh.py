@@ -135,3 +135,15 @@ def test_offsets_into_their_own_store(spark, tmp_root):
     assert offs.committed_epoch(0, "group_offsets") and not offs.committed_epoch(0, "metadata")
     assert meta.committed_epoch(0, "metadata")
     assert offs.read("topics").count() == 0 and meta.read("consumer_group_offsets").count() == 0
+
+
+def test_retry_after_failed_refresh(spark, tmp_root):
+    """A refresh that died after staging some tables (no commit record) is
+    invisible; the retry reuses the version number and overwrites the leftovers."""
+    store = StateStore(spark, tmp_root)
+    refresh_metadata(store, snaps(spark, snapshot(later(0))))
+    version, _ = store.begin()
+    store.stage(version, "topics", store.read("topics").limit(0))          # leftover of a failed attempt
+    assert store.latest()["version"] == version - 1 and store.read("topics").count() == 2
+    res = refresh_metadata(store, snaps(spark, snapshot(later(1), drop_topic=True)))
+    assert res.version == version and rows(store.read("topics"), "k_topic_id") == [("T-a",)]
