@@ -29,6 +29,14 @@ def _base(snap: DataFrame, *cols) -> DataFrame:
     return snap.select("k_cluster_id", F.col("captured_at").alias("refreshed_at"), *cols)
 
 
+def _with(snap: DataFrame, section: str) -> DataFrame:
+    """Rows whose ``section`` has elements. Changes no result (``explode``
+    drops empty and NULL arrays) but lets Catalyst prune inputs: pushed
+    through a union of chunk kinds, it folds to false where a section is a
+    literal empty or NULL array, and that branch is never computed."""
+    return snap.filter(F.size(F.col(section)) > 0)
+
+
 def section_scope(snap: DataFrame, section: str | None) -> DataFrame:
     """(k_cluster_id, refreshed_at) of snapshots that read ``section``.
 
@@ -44,7 +52,7 @@ def clusters(snap: DataFrame) -> DataFrame:
 
 def live_nodes(snap: DataFrame) -> DataFrame:
     """one row per live node."""
-    return (_base(snap, F.explode("nodes").alias("n"))
+    return (_base(_with(snap, "nodes"), F.explode("nodes").alias("n"))
             .select(*SNAP_KEY, F.col("n.id").alias("k_node_id"), F.col("n.host").alias("host"),
                     F.col("n.port").alias("port"), F.col("n.rack").alias("rack")))
 
@@ -80,7 +88,7 @@ def _config_cols(prefix: str = "e"):
 def node_configs(snap: DataFrame) -> DataFrame:
     """F2 + J11: config entries of live nodes only (semi join on capture and
     node id)."""
-    rows = (_base(snap, F.explode("node_configs").alias("nc"))
+    rows = (_base(_with(snap, "node_configs"), F.explode("node_configs").alias("nc"))
             .select(*SNAP_KEY, F.col("nc.node_id").alias("k_node_id"), F.explode("nc.entries").alias("e"))
             .select(*SNAP_KEY, "k_node_id", *_config_cols()))
     live = live_nodes(snap).select(*SNAP_KEY, "k_node_id")
@@ -89,21 +97,21 @@ def node_configs(snap: DataFrame) -> DataFrame:
 
 def topics(snap: DataFrame) -> DataFrame:
     """topic listings."""
-    return (_base(snap, F.explode("topics").alias("t"))
+    return (_base(_with(snap, "topics"), F.explode("topics").alias("t"))
             .select(*SNAP_KEY, F.col("t.k_topic_id").alias("k_topic_id"), F.col("t.name").alias("name"),
                     F.col("t.internal").alias("internal")))
 
 
 def topic_configs(snap: DataFrame) -> DataFrame:
     """config entries per topic."""
-    return (_base(snap, F.explode("topic_configs").alias("tc"))
+    return (_base(_with(snap, "topic_configs"), F.explode("topic_configs").alias("tc"))
             .select(*SNAP_KEY, F.col("tc.k_topic_id").alias("k_topic_id"), F.explode("tc.entries").alias("e"))
             .select(*SNAP_KEY, "k_topic_id", *_config_cols()))
 
 
 def partitions(snap: DataFrame) -> DataFrame:
     """One row per (topic, partition) with its leader, replica and ISR lists."""
-    return (_base(snap, F.explode("topic_descriptions").alias("td"))
+    return (_base(_with(snap, "topic_descriptions"), F.explode("topic_descriptions").alias("td"))
             .select(*SNAP_KEY, F.col("td.k_topic_id").alias("k_topic_id"), F.col("td.name").alias("topic"),
                     F.explode("td.partitions").alias("p"))
             .select(*SNAP_KEY, "k_topic_id", "topic", F.col("p.partition").alias("k_partition_id"),
@@ -113,7 +121,7 @@ def partitions(snap: DataFrame) -> DataFrame:
 
 def log_dir_replicas(snap: DataFrame) -> DataFrame:
     """Replica entries of every log dir: (node, path, topic name, partition, size, lag, future)."""
-    return (_base(snap, F.explode("log_dirs").alias("d"))
+    return (_base(_with(snap, "log_dirs"), F.explode("log_dirs").alias("d"))
             .select(*SNAP_KEY, F.col("d.node_id").alias("k_node_id"), F.col("d.path").alias("path"),
                     F.explode("d.replicas").alias("r"))
             .select(*SNAP_KEY, "k_node_id", "path", F.col("r.topic").alias("topic"),
@@ -150,7 +158,7 @@ def replicas(snap: DataFrame) -> DataFrame:
 
 def consumer_groups(snap: DataFrame) -> DataFrame:
     """F7."""
-    return (_base(snap, F.explode("consumer_groups").alias("g"))
+    return (_base(_with(snap, "consumer_groups"), F.explode("consumer_groups").alias("g"))
             .select(*SNAP_KEY, F.col("g.group_id").alias("group_id"),
                     F.col("g.coordinator_id").alias("coordinator_id"), F.col("g.simple").alias("simple"),
                     F.col("g.state").alias("state"), F.col("g.partition_assignor").alias("partition_assignor")))
@@ -158,7 +166,7 @@ def consumer_groups(snap: DataFrame) -> DataFrame:
 
 def group_members(snap: DataFrame) -> DataFrame:
     """F8."""
-    return (_base(snap, F.explode("consumer_groups").alias("g"))
+    return (_base(_with(snap, "consumer_groups"), F.explode("consumer_groups").alias("g"))
             .select(*SNAP_KEY, F.col("g.group_id").alias("group_id"), F.explode("g.members").alias("m"))
             .select(*SNAP_KEY, "group_id", F.col("m.member_id").alias("member_id"),
                     F.col("m.group_instance_id").alias("group_instance_id"),
@@ -167,7 +175,7 @@ def group_members(snap: DataFrame) -> DataFrame:
 
 def member_assignments(snap: DataFrame) -> DataFrame:
     """(group, member, topic name, partition)."""
-    return (_base(snap, F.explode("consumer_groups").alias("g"))
+    return (_base(_with(snap, "consumer_groups"), F.explode("consumer_groups").alias("g"))
             .select(*SNAP_KEY, F.col("g.group_id").alias("group_id"), F.explode("g.members").alias("m"))
             .select(*SNAP_KEY, "group_id", F.col("m.member_id").alias("member_id"),
                     F.explode("m.assignments").alias("a"))
@@ -177,7 +185,7 @@ def member_assignments(snap: DataFrame) -> DataFrame:
 
 def acl_bindings(snap: DataFrame) -> DataFrame:
     """one row per binding (resource pattern + entry)."""
-    return (_base(snap, F.explode("acl_bindings").alias("b"))
+    return (_base(_with(snap, "acl_bindings"), F.explode("acl_bindings").alias("b"))
             .select(*SNAP_KEY, F.col("b.resource_type").alias("resource_type"),
                     F.col("b.name").alias("resource_name"), F.col("b.pattern_type").alias("pattern_type"),
                     F.col("b.principal").alias("principal"), F.col("b.host").alias("host"),

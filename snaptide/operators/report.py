@@ -39,8 +39,8 @@ def _replica_rows(snap: DataFrame) -> DataFrame:
 
 def _node_config_rows(snap: DataFrame) -> DataFrame:
     """Every configured entry, live node or not (the report counts them all)."""
-    return (snap.select("k_cluster_id", F.col("captured_at").alias("refreshed_at"),
-                        F.explode("node_configs").alias("nc"))
+    return (snap.filter(F.size("node_configs") > 0)
+            .select("k_cluster_id", F.col("captured_at").alias("refreshed_at"), F.explode("node_configs").alias("nc"))
             .select(*SNAP_KEY, F.col("nc.node_id").alias("k_node_id"), F.explode("nc.entries").alias("e"))
             .select(*SNAP_KEY, "k_node_id", F.col("e.name").alias("name")))
 
