@@ -33,34 +33,20 @@ def _trigger(writer, trigger: str | None, available_now: bool):
     return writer.trigger(processingTime=trigger) if trigger else writer
 
 
-def start_metadata_refresh(spark: SparkSession, source: str, store_root: str, checkpoint: str, *,
-                           fmt: str = "json", trigger: str = "30 seconds", available_now: bool = False,
-                           max_files: int | None = None, name: str = "metadata") -> StreamingQuery:
-    reader = spark.readStream.schema(SNAPSHOT).format(fmt)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    stream = reader.load(source)
-
+def metadata_batch(store_root: str, name: str = "metadata"):
+    """The micro-batch body of the metadata stream: one refresh per epoch,
+    skipped when the epoch is already committed (a retried batch)."""
     def batch(df: DataFrame, epoch: int) -> None:
         store = StateStore(df.sparkSession, store_root)
         if not store.committed_epoch(epoch, name):
             refresh_metadata(store, df, epoch=epoch, stream=name)
+    return batch
 
-    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return _trigger(writer, trigger, available_now).start()
 
-
-def start_offset_refresh(spark: SparkSession, source: str, store_root: str, checkpoint: str, *,
-                         kind: str = "group", metadata_root: str | None = None, record_log: str | None = None,
-                         fmt: str = "parquet", trigger: str = "2 seconds", available_now: bool = False,
-                         name: str | None = None) -> StreamingQuery:
-    """``kind``: "group" (GROUP_OFFSETS captures, with offset timestamps
-    from ``record_log``) or "partition" (PARTITION_OFFSETS captures). Each
-    offset stream should write its own store; ``metadata_root`` names the
-    store the metadata stream writes (the stream-static lookup, Y4)."""
-    schema = GROUP_OFFSETS if kind == "group" else PARTITION_OFFSETS
+def offset_batch(store_root: str, *, kind: str = "group", metadata_root: str | None = None,
+                 record_log: str | None = None, name: str | None = None):
+    """The micro-batch body of an offset stream (see ``start_offset_refresh``)."""
     name = name or f"{kind}_offsets"
-    stream = spark.readStream.schema(schema).format(fmt).load(source)
 
     def batch(df: DataFrame, epoch: int) -> None:
         s = df.sparkSession
@@ -73,8 +59,32 @@ def start_offset_refresh(spark: SparkSession, source: str, store_root: str, chec
             refresh_offsets(store, df, None, log, epoch=epoch, metadata=meta, stream=name)
         else:
             refresh_offsets(store, None, df, None, epoch=epoch, metadata=meta, stream=name)
+    return batch
 
-    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+def start_metadata_refresh(spark: SparkSession, source: str, store_root: str, checkpoint: str, *,
+                           fmt: str = "json", trigger: str = "30 seconds", available_now: bool = False,
+                           max_files: int | None = None, name: str = "metadata") -> StreamingQuery:
+    reader = spark.readStream.schema(SNAPSHOT).format(fmt)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    writer = (reader.load(source).writeStream.foreachBatch(metadata_batch(store_root, name))
+              .option("checkpointLocation", checkpoint))
+    return _trigger(writer, trigger, available_now).start()
+
+
+def start_offset_refresh(spark: SparkSession, source: str, store_root: str, checkpoint: str, *,
+                         kind: str = "group", metadata_root: str | None = None, record_log: str | None = None,
+                         fmt: str = "parquet", trigger: str = "2 seconds", available_now: bool = False,
+                         name: str | None = None) -> StreamingQuery:
+    """``kind``: "group" (GROUP_OFFSETS captures, with offset timestamps
+    from ``record_log``) or "partition" (PARTITION_OFFSETS captures). Each
+    offset stream should write its own store; ``metadata_root`` names the
+    store the metadata stream writes (the stream-static lookup, Y4)."""
+    schema = GROUP_OFFSETS if kind == "group" else PARTITION_OFFSETS
+    body = offset_batch(store_root, kind=kind, metadata_root=metadata_root, record_log=record_log, name=name)
+    writer = (spark.readStream.schema(schema).format(fmt).load(source).writeStream.foreachBatch(body)
+              .option("checkpointLocation", checkpoint))
     return _trigger(writer, trigger, available_now).start()
 
 
