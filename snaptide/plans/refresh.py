@@ -219,9 +219,11 @@ def refresh_metadata(store: StateStore, snapshots: DataFrame, *, epoch: int | No
         snap.unpersist()
 
 
-def _newest_capture(captures: DataFrame, bound: int) -> DataFrame:
-    times = maybe_broadcast(captures.groupBy(CK).agg(F.max("captured_at").alias("_newest")), bound)
-    return captures.join(times, CK).filter(F.col("captured_at") == F.col("_newest")).drop("_newest")
+def _newest_capture(captures: DataFrame, state: DataFrame, bound: int) -> DataFrame:
+    """The newest capture per cluster, if newer than the cluster's rows in
+    ``state`` (a grouped max, tiny): re-running an old capture changes nothing."""
+    seen = state.groupBy(CK).agg(F.max(NOW).alias(NOW))
+    return newest_per_cluster(captures, seen, bound)
 
 
 def refresh_offsets(store: StateStore, group_offsets: DataFrame | None = None,
@@ -245,7 +247,7 @@ def refresh_offsets(store: StateStore, group_offsets: DataFrame | None = None,
         meta = metadata.read_all()
         tables.update({n: meta[n] for n in TABLES if n not in ("consumer_group_offsets", "partition_offsets")})
     if group_offsets is not None:
-        go = _newest_capture(group_offsets, bound)
+        go = _newest_capture(group_offsets, tables["consumer_group_offsets"], bound)
         run.resolve_strategy(go)
         if record_log is not None:
             keys = ([CK] if CK in record_log.columns else []) + ["topic", "partition"]
@@ -263,7 +265,7 @@ def refresh_offsets(store: StateStore, group_offsets: DataFrame | None = None,
             raise ValueError(f"more than {bound} clusters in one refresh")
         run.merge("consumer_group_offsets", src, scope.sparkSession.createDataFrame(rows, scope.schema))
     if partition_offsets is not None:
-        po = clean_partition_offsets(_newest_capture(partition_offsets, bound))
+        po = clean_partition_offsets(_newest_capture(partition_offsets, tables["partition_offsets"], bound))
         run.resolve_strategy(po)
         run.merge("partition_offsets", resolve_partition_offsets(po, tables["topic_partitions"]))
     return run.finish()

@@ -110,6 +110,10 @@ def test_offsets_refresh_with_record_log(spark, tmp_root):
     assert set(cgo2) == {"T-a"} and cgo2["T-a"].velocity == 0.5
     pos2 = {r.offset_type: r for r in r2.tables["partition_offsets"].collect()}
     assert pos2["LATEST"].velocity == 2.0 and pos2["EARLIEST"].velocity is None
+    # re-running the older capture changes nothing (no re-insert of the vanished commit)
+    before = sorted(map(tuple, store.read("consumer_group_offsets").collect()))
+    refresh_offsets(store, go, po, log)
+    assert sorted(map(tuple, store.read("consumer_group_offsets").collect())) == before
 
 
 def test_state_store_carries_unchanged_tables(spark, tmp_root):
