@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from snaptide.functions.scalars import in_list
 from snaptide.operators import nodes as nodes_op
-from snaptide.operators.joins import DEFAULT_BROADCAST_ROWS, maybe_broadcast
+from snaptide.operators.joins import DEFAULT_BROADCAST_ROWS
 from snaptide.operators.merge import reduce_duplicates
 
 SNAP_KEY = ["k_cluster_id", "refreshed_at"]
