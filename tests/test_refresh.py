@@ -151,3 +151,42 @@ def test_retry_after_failed_refresh(spark, tmp_root):
     assert store.latest()["version"] == version - 1 and store.read("topics").count() == 2
     res = refresh_metadata(store, snaps(spark, snapshot(later(1), drop_topic=True)))
     assert res.version == version and rows(store.read("topics"), "k_topic_id") == [("T-a",)]
+
+
+def test_empty_snapshot_removes_only_what_delete_tables_hold(spark, tmp_root):
+    store = StateStore(spark, tmp_root)
+    refresh_metadata(store, snaps(spark, snapshot(later(0))))
+    empty = dict(snapshot(later(1)), nodes=[], quorum=None, node_configs=[], log_dirs=[], topics=[],
+                 topic_configs=[], topic_descriptions=[], consumer_groups=[], acl_bindings=[])
+    refresh_metadata(store, snaps(spark, empty))
+    t = store.read_all()
+    for name in ("topics", "topic_configs", "topic_partitions", "partition_replicas", "consumer_groups",
+                 "consumer_group_members", "consumer_group_member_assignments", "acl_resources", "acl_entries",
+                 "acl_bindings"):
+        assert t[name].count() == 0, name
+    # nodes are never stale-deleted: they keep their old refreshed_at
+    assert t["nodes"].count() == 3 and {r.refreshed_at for r in t["nodes"].collect()} == {
+        t["nodes"].collect()[0].discovered_at}
+
+
+def test_topic_recreated_under_the_same_name(spark, tmp_root):
+    store = StateStore(spark, tmp_root)
+    refresh_metadata(store, snaps(spark, snapshot(later(0))))
+    go = spark.createDataFrame([("k1", later(1), "g1", "alpha", 0, 5, None, None)], relaxed(GROUP_OFFSETS))
+    refresh_offsets(store, go)
+    assert rows(store.read("consumer_group_offsets"), "k_topic_id", "offset") == [("T-a", 5)]
+    s2 = snapshot(later(2))
+    for section in ("topics", "topic_configs", "topic_descriptions"):
+        for item in s2[section]:
+            if item["k_topic_id"] == "T-a":
+                item["k_topic_id"] = "T-a2"          # same name "alpha", new id
+    res = refresh_metadata(store, snaps(spark, s2))
+    assert rows(store.read("topics"), "k_topic_id", "name") == [("T-a2", "alpha"), ("T-b", "beta")]
+    # the old id's partitions and the commits resolved through them went with it
+    assert {r.k_topic_id for r in store.read("topic_partitions").collect()} == {"T-a2", "T-b"}
+    assert store.read("consumer_group_offsets").count() == 0
+    assert res.removed["consumer_group_offsets"].count() == 1
+    go2 = spark.createDataFrame([("k1", later(3), "g1", "alpha", 0, 9, None, None)], relaxed(GROUP_OFFSETS))
+    refresh_offsets(store, go2)
+    r = store.read("consumer_group_offsets").collect()
+    assert [(x.k_topic_id, x.offset, x.velocity) for x in r] == [("T-a2", 9, None)]   # a new row, no velocity
