@@ -95,7 +95,8 @@ def merge_snapshot(target: DataFrame | None, source: DataFrame, spec: TableSpec,
     ``strategy``: ``full`` = full outer sort-merge join (both sides shuffled on
     the whole natural key); ``small`` = the state is never shuffled: state
     left-joins a broadcast of the snapshot, inserts are the snapshot rows
-    whose key matched nothing; ``auto`` = ``choose_strategy``.
+    whose key matched nothing (the snapshot is counted first and the full
+    plan used if it exceeds ``broadcast_rows``); ``auto`` = ``choose_strategy``.
     """
     spark = source.sparkSession
     keys = list(spec.keys)
@@ -115,6 +116,10 @@ def merge_snapshot(target: DataFrame | None, source: DataFrame, spec: TableSpec,
 
     if strategy == "auto":
         strategy = choose_strategy(src, target, broadcast_rows)
+    elif strategy == "small" and bounded_count(src, broadcast_rows) > broadcast_rows:
+        # a forced broadcast plan still needs a snapshot within the bound;
+        # beyond it the full outer plan is the way
+        strategy = "full"
     if strategy == "full":
         joined = t.join(s, keys, "full_outer")
     elif strategy == "small":

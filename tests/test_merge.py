@@ -141,3 +141,15 @@ def test_replay_matches_sequential_merges(spark, segment):
             assert want[k][c].replace(tzinfo=None) == have[k][c].replace(tzinfo=None), (k, c)
         wv, hv = want[k]["velocity"], have[k]["velocity"]
         assert (wv is None and hv is None) or wv == pytest.approx(hv), (k, wv, hv)
+
+
+def test_forced_small_plan_checks_the_bound(spark):
+    (now, rows), = captures(5, n_caps=1)
+    src = spark.createDataFrame(rows, SCHEMA)
+    state = survivors(merge_snapshot(None, src, SPEC, strategy="full"))
+    later_src = src.withColumn("refreshed_at", F.col("refreshed_at") + F.expr("INTERVAL 1 MINUTE"))
+    over = merge_snapshot(state, later_src, SPEC, strategy="small", broadcast_rows=3)
+    plan = over._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" in plan                      # more than 3 snapshot rows: no broadcast of them
+    within = merge_snapshot(state, later_src, SPEC, strategy="small")
+    assert sorted(map(tuple, over.collect())) == sorted(map(tuple, within.collect()))
