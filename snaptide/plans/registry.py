@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from snaptide.operators import flatten as fl
 from snaptide.operators.merge import merge_snapshot, survivors
 from snaptide.plans.table_snapshots import (
-    CLUSTER, REPLICAS_SQL, REPORT_SQL, T0, T1, TOPICS_SQL, region_snapshot_rows, replica_snapshot_rows, to_ntz,
+    CLUSTER, REPLICAS_SQL, REPORT_SQL, T0, T1, TOPICS_SQL, events_snapshot_rows, region_snapshot_rows,
+    replica_snapshot_rows, to_ntz,
     topic_snapshot_rows, ts,
     two_snapshot_merge_sql, cluster_of, cluster_sql, sql_ts,
 )
@@ -921,3 +922,53 @@ def refresh_region_replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = StateStore(spark, f"{checkpoint_dir(spark)}/registry-state-{uuid.uuid4().hex}")
     refresh_metadata(store, region_snapshot_rows(Tables(spark, sf_dir)))
     return to_ntz(store.read("partition_replicas"), *AUDIT_NTZ)
+
+
+@register("refresh_group_offsets", f"""
+WITH log AS (SELECT {cluster_sql("user_id")} AS k_cluster_id, event_type AS topic,
+                    CAST(user_id % 4 AS INTEGER) AS "partition", event_id AS "offset", ts AS "timestamp"
+             FROM events),
+commits AS (SELECT {cluster_sql("user_id")} AS k_cluster_id, 'g' || CAST(user_id AS VARCHAR) AS group_id,
+                   event_type AS topic, CAST(user_id % 4 AS INTEGER) AS "partition", max(event_id) + 1 AS "offset"
+            FROM events GROUP BY user_id, event_type),
+bounds AS (SELECT k_cluster_id, topic, "partition", min("offset") AS b, max("offset") + 1 AS e FROM log GROUP BY ALL),
+t AS (SELECT DISTINCT c.k_cluster_id, c.topic, c."partition", c."offset" FROM commits c
+      JOIN bounds x ON x.k_cluster_id = c.k_cluster_id AND x.topic = c.topic AND x."partition" = c."partition"
+      WHERE c."offset" >= x.b AND c."offset" < x.e),
+f AS (SELECT t.k_cluster_id, t.topic, t."partition", t."offset", min_by(l."timestamp", l."offset") AS offset_timestamp
+      FROM t JOIN log l ON l.k_cluster_id = t.k_cluster_id AND l.topic = t.topic AND l."partition" = t."partition"
+                        AND l."offset" >= t."offset"
+      GROUP BY ALL)
+SELECT c.k_cluster_id, c.group_id, 'T-' || c.topic AS k_topic_id, c."partition" AS k_partition_id, c."offset",
+       f.offset_timestamp, CAST(NULL AS VARCHAR) AS metadata, CAST(NULL AS BIGINT) AS leader_epoch,
+       CAST(NULL AS DOUBLE) AS velocity,
+       {sql_ts(T1)} AS discovered_at, {sql_ts(T1)} AS modified_at, {sql_ts(T1)} AS refreshed_at
+FROM commits c LEFT JOIN f ON f.k_cluster_id = c.k_cluster_id AND f.topic = c.topic
+                          AND f."partition" = c."partition" AND f."offset" = c."offset"
+""")
+def refresh_group_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """End to end offset refresh (S10, S11, J8, J14, W1/W2, J15/J16, M11,
+    X5, K4): metadata derived from events is refreshed into a new store,
+    then every user's committed offset (last event + 1) is resolved by
+    group, topic name and partition, gets the time of the first record at
+    or after it in the events log (only within the partition's bounds), and
+    is merged into ``consumer_group_offsets``."""
+    import uuid
+
+    from snaptide.plans.refresh import refresh_metadata, refresh_offsets
+    from snaptide.plans.state import StateStore
+    from snaptide.session import checkpoint_dir
+    ev = Tables(spark, sf_dir).events.select("event_id", "ts", "user_id", "event_type")
+    store = StateStore(spark, f"{checkpoint_dir(spark)}/registry-state-{uuid.uuid4().hex}")
+    refresh_metadata(store, events_snapshot_rows(ev))
+    u = F.col("user_id")
+    commits = (ev.groupBy("user_id", "event_type").agg((F.max("event_id") + 1).alias("offset"))
+               .select(cluster_of("user_id").alias("k_cluster_id"), ts(T1).alias("captured_at"),
+                       F.concat(F.lit("g"), u.cast("string")).alias("group_id"), F.col("event_type").alias("topic"),
+                       (u % 4).cast("int").alias("partition"), "offset",
+                       F.lit(None).cast("string").alias("metadata"), F.lit(None).cast("bigint").alias("leader_epoch")))
+    log = ev.select(cluster_of("user_id").alias("k_cluster_id"), F.col("event_type").alias("topic"),
+                    (u % 4).cast("int").alias("partition"), F.col("event_id").alias("offset"),
+                    F.col("ts").cast("timestamp").alias("timestamp"))
+    refresh_offsets(store, commits, None, log, bucket=_ASOF_BUCKET)
+    return to_ntz(store.read("consumer_group_offsets"), "offset_timestamp", *AUDIT_NTZ)

@@ -303,3 +303,36 @@ grid AS (SELECT r_name AS k_cluster_id, m.metric FROM region, (VALUES ('Nodes'),
 SELECT g.k_cluster_id, {sql_ts(T0)} AS refreshed_at, g.metric, CAST(coalesce(c.value, 0) AS BIGINT) AS value
 FROM grid g LEFT JOIN counts c ON c.k_cluster_id = g.k_cluster_id AND c.metric = g.metric
 """
+
+
+def events_snapshot_rows(events: DataFrame) -> DataFrame:
+    """Metadata captures derived from events, as chunk rows: cluster
+    ``'c' || user_id % 3`` with one broker (node 0); a topic per event type
+    with the partitions (``user_id % 4``) that hold its events; a consumer
+    group per user, coordinated by node 0."""
+    ev = events.select(cluster_of("user_id").alias("k_cluster_id"), "event_type",
+                       (F.col("user_id") % 4).cast("int").alias("p"), "user_id")
+    base = dict(cluster_name=F.col("k_cluster_id"), captured_at=ts(T0), controller_id=F.lit(0),
+                k_cluster_id=F.col("k_cluster_id"))
+    nodes_of = F.array().cast("array<struct<id:int,host:string,port:int,rack:string>>")
+    node_rows = chunk(ev.select("k_cluster_id").distinct(), **base,
+                      nodes=F.array(F.struct(F.lit(0).alias("id"), F.lit("broker-0").alias("host"),
+                                             F.lit(9092).alias("port"), F.lit(None).cast("string").alias("rack"))))
+    tid = F.concat(F.lit("T-"), F.col("event_type"))
+    topic_rows = chunk(ev.select("k_cluster_id", "event_type").distinct(), **base, nodes=nodes_of,
+                       topics=F.array(F.struct(tid.alias("k_topic_id"), F.col("event_type").alias("name"),
+                                               F.lit(False).alias("internal"))))
+    part = F.struct(F.col("p").alias("partition"), F.lit(0).alias("leader"), F.array(F.lit(0)).alias("replicas"),
+                    F.array(F.lit(0)).alias("isr"))
+    part_rows = chunk(ev.select("k_cluster_id", "event_type", "p").distinct(), **base, nodes=nodes_of,
+                      topic_descriptions=F.array(F.struct(tid.alias("k_topic_id"), F.col("event_type").alias("name"),
+                                                          F.array(part).alias("partitions"))))
+    group = F.struct(F.concat(F.lit("g"), F.col("user_id").cast("string")).alias("group_id"),
+                     F.lit(False).alias("simple"), F.lit("STABLE").alias("state"),
+                     F.lit("range").alias("partition_assignor"), F.lit(0).alias("coordinator_id"),
+                     F.array().cast("array<struct<member_id:string,group_instance_id:string,client_id:string,"
+                                    "host:string,assignments:array<struct<topic:string,partition:int>>>>")
+                     .alias("members"))
+    group_rows = chunk(ev.select("k_cluster_id", "user_id").distinct(), **base, nodes=nodes_of,
+                       consumer_groups=F.array(group))
+    return node_rows.unionByName(topic_rows).unionByName(part_rows).unionByName(group_rows)
