@@ -15,6 +15,8 @@ version in place.
 
 from __future__ import annotations
 
+import threading
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -80,6 +82,7 @@ class _Run:
         self.new: dict[str, DataFrame] = {}
         self.removed: dict[str, DataFrame] = {}
         self.counts: list[tuple[str, str, int]] = []
+        self.lock = threading.Lock()
 
     def resolve_strategy(self, batch_clusters: DataFrame) -> None:
         """Pick the merge plan once per refresh from the two small cluster
@@ -152,7 +155,8 @@ class _Run:
             self.new[name] = self.store.stage(self.version, name, kept)
             self.where[name] = self.version
             metrics = obs.get
-            self.counts += [(name, m, int(v or 0)) for m, v in metrics.items()]
+            with self.lock:
+                self.counts += [(name, m, int(v or 0)) for m, v in metrics.items()]
             self._stage_removed(name, ([deleted(merged)] if metrics.get("delete") else []) + lost)
         finally:
             merged.unpersist()
@@ -175,45 +179,79 @@ class _Run:
         return RefreshResult(dict(self.new), dict(self.removed), acct, self.version)
 
 
+def _run_level(steps) -> None:
+    """Run the merges of one dependency level; independent tables are
+    submitted as concurrent Spark jobs from a few driver threads."""
+    if len(steps) == 1:
+        steps[0]()
+        return
+    with ThreadPoolExecutor(max_workers=len(steps)) as pool:
+        for f in [pool.submit(step) for step in steps]:
+            f.result()
+
+
 def refresh_metadata(store: StateStore, snapshots: DataFrame, *, epoch: int | None = None,
                      strategy: str = "auto", bound: int = DEFAULT_BROADCAST_ROWS,
-                     stream: str | None = None) -> RefreshResult:
+                     stream: str | None = None, parallel: bool = True) -> RefreshResult:
     """Apply the newest capture per cluster to the state in ``store`` and
-    commit a new version. Tables are processed parents first; each table's
-    final state (merge, then removal of children of removed parents) is
-    written once and read back for the tables after it."""
+    commit a new version. Tables are processed parents first, level by level
+    (tables of one level do not depend on each other and run concurrently
+    when ``parallel``); each table's final state (merge, then removal of
+    children of removed parents) is written once and read back for the
+    tables after it."""
     run = _Run(store, epoch, strategy, bound, stream)
     snap = newest_per_cluster(snapshots, run.state["clusters"], bound).persist()
     new = run.new
     try:
         run.resolve_strategy(snap)
-        run.merge("clusters", fl.clusters(snap))
-        run.merge("nodes", fl.all_nodes(snap, bound))
-        run.merge("node_configs", _semi(fl.node_configs(snap), new["nodes"], [CK, "k_node_id"]))
-        run.merge("topics", fl.topics(snap), run.scope(snap, "topics"))
-        run.merge("topic_configs", _semi(fl.topic_configs(snap), new["topics"], [CK, "k_topic_id"]))
-        parts = fl.partitions(snap).select(CK, NOW, "k_topic_id", "k_partition_id")
-        run.merge("topic_partitions", _semi(parts, new["topics"], [CK, "k_topic_id"]))
-        run.carry("partition_offsets")
-        reps = _semi(fl.replicas(snap), new["topic_partitions"], [CK, "k_topic_id", "k_partition_id"])
-        run.merge("partition_replicas", _semi(reps, new["nodes"], [CK, "k_node_id"]))
-        coord = new["nodes"].select(CK, F.col("k_node_id").alias("coordinator_id"))
+        topic_scope = run.scope(snap, "topics")
         group_scope = run.scope(snap, "consumer_groups")
-        run.merge("consumer_groups", _semi(fl.consumer_groups(snap), coord, [CK, "coordinator_id"]), group_scope)
-        run.merge("consumer_group_members",
-                  _semi(fl.group_members(snap), new["consumer_groups"], [CK, "group_id"]), group_scope)
-        assigned = resolve_topic(fl.member_assignments(snap), new["topics"])
-        assigned = _semi(assigned, new["consumer_group_members"], [CK, "group_id", "member_id"])
-        assigned = _semi(assigned, new["topic_partitions"], [CK, "k_topic_id", "k_partition_id"])
-        run.merge("consumer_group_member_assignments", assigned, group_scope)
-        run.carry("consumer_group_offsets")
         acl_scope = run.scope(snap, "acl_bindings")
-        run.merge("acl_resources", fl.acl_resources(snap), acl_scope)
-        run.merge("acl_entries", fl.acl_entries(snap), acl_scope)
-        bindings = _semi(fl.acl_bindings(snap), new["acl_resources"].withColumnRenamed("name", "resource_name"),
-                         [CK, "resource_type", "resource_name", "pattern_type"])
-        bindings = _semi(bindings, new["acl_entries"], [CK, "principal", "host", "operation", "permission_type"])
-        run.merge("acl_bindings", bindings, acl_scope)
+
+        def bindings():
+            b = _semi(fl.acl_bindings(snap), new["acl_resources"].withColumnRenamed("name", "resource_name"),
+                      [CK, "resource_type", "resource_name", "pattern_type"])
+            b = _semi(b, new["acl_entries"], [CK, "principal", "host", "operation", "permission_type"])
+            run.merge("acl_bindings", b, acl_scope)
+
+        def replicas():
+            reps = _semi(fl.replicas(snap), new["topic_partitions"], [CK, "k_topic_id", "k_partition_id"])
+            run.merge("partition_replicas", _semi(reps, new["nodes"], [CK, "k_node_id"]))
+
+        def groups():
+            coord = new["nodes"].select(CK, F.col("k_node_id").alias("coordinator_id"))
+            run.merge("consumer_groups", _semi(fl.consumer_groups(snap), coord, [CK, "coordinator_id"]), group_scope)
+
+        def assignments():
+            a = resolve_topic(fl.member_assignments(snap), new["topics"])
+            a = _semi(a, new["consumer_group_members"], [CK, "group_id", "member_id"])
+            a = _semi(a, new["topic_partitions"], [CK, "k_topic_id", "k_partition_id"])
+            run.merge("consumer_group_member_assignments", a, group_scope)
+
+        levels = [
+            [lambda: run.merge("clusters", fl.clusters(snap)),
+             lambda: run.merge("nodes", fl.all_nodes(snap, bound)),
+             lambda: run.merge("topics", fl.topics(snap), topic_scope),
+             lambda: run.merge("acl_resources", fl.acl_resources(snap), acl_scope),
+             lambda: run.merge("acl_entries", fl.acl_entries(snap), acl_scope)],
+            [lambda: run.merge("node_configs", _semi(fl.node_configs(snap), new["nodes"], [CK, "k_node_id"])),
+             lambda: run.merge("topic_configs", _semi(fl.topic_configs(snap), new["topics"], [CK, "k_topic_id"])),
+             lambda: run.merge("topic_partitions",
+                               _semi(fl.partitions(snap).select(CK, NOW, "k_topic_id", "k_partition_id"),
+                                     new["topics"], [CK, "k_topic_id"])),
+             groups, bindings],
+            [replicas, lambda: run.carry("partition_offsets"),
+             lambda: run.merge("consumer_group_members",
+                               _semi(fl.group_members(snap), new["consumer_groups"], [CK, "group_id"]),
+                               group_scope)],
+            [assignments, lambda: run.carry("consumer_group_offsets")],
+        ]
+        for level in levels:
+            if parallel:
+                _run_level(level)
+            else:
+                for step in level:
+                    step()
         return run.finish()
     finally:
         snap.unpersist()
