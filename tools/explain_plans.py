@@ -27,8 +27,8 @@ def main(argv):
     spark.sparkContext.setLogLevel("ERROR")
     out = ["# PLANS", "", f"Executed physical plans at `{sf}` (local[8], AQE on), generated by "
            "`tools/explain_plans.py`. Counts are operator occurrences in the final adaptive plan; "
-           "no query has a nested-loop join or cartesian product. `refresh_region_replicas` does its work "
-           "(13 merges, staged writes) while it is built; its returned frame only reads the committed table.", "",
+           "no query has a nested-loop join or cartesian product. `refresh_region_replicas` and `refresh_group_offsets` do their work "
+           "(refreshes with staged writes) while they are built; their returned frames only read the committed tables.", "",
            "| query | " + " | ".join(o.replace("Exchange hashpartitioning", "shuffle") for o in OPS) + " |",
            "|---|" + "---|" * len(OPS)]
     formatted = {}
