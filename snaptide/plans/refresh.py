@@ -131,7 +131,6 @@ class _Run:
         return table, lost
 
     def _stage(self, name: str, table: DataFrame, removed: list[DataFrame]) -> None:
-        cols = list(TABLES[name].columns)
         self.new[name] = self.store.stage(self.version, name, table)
         self.where[name] = self.version
         self._stage_removed(name, removed)
