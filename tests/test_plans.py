@@ -40,3 +40,15 @@ def test_asof_window_is_bucketed(spark):
             break
     else:
         pytest.fail("no bucketed window found")
+
+
+def test_replay_windows_are_segmented(spark):
+    p = plan(E.queries()["velocity_replay_gaps"](spark, SF))
+    specs = [line for line in p.splitlines() if line.strip().startswith(("Window [", "+- Window [", ":- Window ["))
+             or " Window [" in line]
+    row_windows = [s for s in specs if "modified_at" in s or "_p_offset" in s or "lag(offset" in s]
+    assert row_windows, "no window over capture rows"
+    # every window over capture rows is partitioned by the natural key plus the segment
+    for s in row_windows:
+        part = s.split("], [", 1)[-1]
+        assert "_seg" in part, s[:300]
