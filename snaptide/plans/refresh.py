@@ -76,8 +76,9 @@ class _Run:
 
     def __init__(self, store: StateStore, epoch, strategy, bound, stream=None):
         self.store, self.epoch, self.strategy, self.bound, self.stream = store, epoch, strategy, bound, stream
-        self.version, self.where = store.begin()
-        self.state = store.read_all()
+        head = store.latest()                 # one read of the commit log per refresh
+        self.version, self.where = store.begin(head)
+        self.state = store.read_all(head=head)
         self.scopes: dict[str, DataFrame] = {}
         self.new: dict[str, DataFrame] = {}
         self.removed: dict[str, DataFrame] = {}

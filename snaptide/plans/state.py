@@ -64,8 +64,8 @@ class StateStore:
             return empty_state(self.spark, TABLES[table])
         return self.spark.read.schema(TABLES[table].schema).parquet(f"{self.root}/v={where}/{table}")
 
-    def read_all(self, version: int | None = None) -> dict[str, DataFrame]:
-        head = self._head(version)
+    def read_all(self, version: int | None = None, head: dict | None = None) -> dict[str, DataFrame]:
+        head = head or self._head(version)
         return {name: self.read(name, head=head) for name in TABLES}
 
     def committed_epoch(self, epoch: int, stream: str | None = None) -> bool:
@@ -76,9 +76,9 @@ class StateStore:
         return c.limit(1).count() > 0
 
     # ------------------------------------------------------------ writing --
-    def begin(self) -> tuple[int, dict]:
+    def begin(self, head: dict | None = None) -> tuple[int, dict]:
         """Start a version: its number and the table locations it starts from."""
-        head = self.latest()
+        head = head or self.latest()
         version = 0 if head is None else head["version"] + 1
         return version, dict((head or {}).get("tables") or {})
 
