@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from snaptide.llm import bpe, chat, exact_dedup, licenses, quality, site_quality, urls
+from snaptide.llm import bpe, chat, exact_dedup, licenses, near_dedup, packing, quality, site_quality, substrings, urls
 
 QUERIES = {
+    "op1_best_fit_packing": packing.query,
+    "op2_repeated_substrings": substrings.query,
     "op3_license_scan": licenses.query,
     "op4_quality_rules": quality.query,
+    "op5_minhash_near_dedup": near_dedup.query,
     "op6_bpe_round_trip": bpe.query,
     "op7_site_quality": site_quality.query,
     "op8_chat_format": chat.query,
