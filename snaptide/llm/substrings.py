@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaptide.llm.common import map_rows, read_table, texts, written
+from snaptide.llm.common import fresh, map_rows, read_table, texts, written
 
 LENGTH = 400
 CELL = 256
