@@ -14,7 +14,9 @@ points, ``read_back`` parses rendered text again. Control strings inside roles a
 ``%`` to ``%25`` and ``<|`` to ``%3C|`` (in roles also the line feed to ``%0A``), so rendered text holds
 ``<|`` in control strings only and every escape can be undone.
 
-Cases: a null text is empty, a null role is the empty role, a null kind is a delta. Null ``conv_id`` or
+A message's role is the last one that any of its events names.
+
+Cases: a null text is empty, a message without a role has the empty one, a null kind is a delta. Null ``conv_id`` or
 ``message_id`` values form a conversation or message of their own. Events of equal ``seq`` are taken in
 the order delete, edit, regenerate, delta (deltas by text); repeated events are applied again. Conversations without messages left have
 no row. Rows of one conversation meet in one task: its rendered text is one value.
@@ -63,7 +65,8 @@ def reconstruct(events: DataFrame) -> DataFrame:
     message = Window.partitionBy("conv_id", "message_id")
     # read backwards, so that the frame over later events is a running minimum
     later = Window.partitionBy("conv_id").orderBy(F.desc("seq")).rangeBetween(Window.unboundedPreceding, -1)
-    first = log.withColumn("position", F.min("seq").over(message))
+    first = (log.withColumn("position", F.min("seq").over(message))
+             .withColumn("spoken", F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).over(message)))
     cut = F.min(F.when(F.col("kind") == "regenerate", F.col("position"))).over(later)
     alive = (first.withColumn("cut", cut)
              .where(F.col("cut").isNull() | (F.col("cut") > F.col("position"))).drop("cut"))
@@ -73,11 +76,11 @@ def reconstruct(events: DataFrame) -> DataFrame:
             .where(F.col("reset").isNull() | (F.col("seq") >= F.col("reset.seq"))))
     folded = (live.groupBy("conv_id", "message_id")
               .agg(F.min("position").alias("position"), F.max("reset").alias("reset"),
-                   F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).alias("role"),
+                   F.max("spoken").alias("spoken"),
                    F.sort_array(F.collect_list(F.when(~resets, F.struct("seq", "text")))).alias("deltas")))
     gone = (F.col("reset.kind") == "delete") & (F.size("deltas") == 0)
     return folded.where(~F.coalesce(gone, F.lit(False))).select(
-        "conv_id", "message_id", "position", F.coalesce("role", F.lit("")).alias("role"),
+        "conv_id", "message_id", "position", F.coalesce("spoken.role", F.lit("")).alias("role"),
         F.concat(F.when(F.col("reset.kind") == "delete", "").otherwise(F.coalesce("reset.text", F.lit(""))),
                  F.array_join(F.transform("deltas", lambda d: d["text"]), "")).alias("text"))
 

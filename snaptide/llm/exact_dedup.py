@@ -50,7 +50,7 @@ def build_index(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, id_col: str = "
     """Write the index to the shared folder; return (buckets, directory) as read back.
 
     buckets: bucket, local_depth, hash, chain, digest, n_bytes, keep_id, group_size.
-    directory: slot, bucket, local_depth. Only one number for each doubling (are there overfull
+    directory: slot, bucket, local_depth (slots whose bucket is empty have no row). Only one number for each doubling (are there overfull
     buckets?) reaches the driver.
     """
     spark, root = docs.sparkSession, scratch(docs.sparkSession, "hash-index")
