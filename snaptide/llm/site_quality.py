@@ -158,32 +158,32 @@ def evidence(docs: DataFrame, model: tuple, host: Column, path: Column, id_col:
     return map_rows(rows, make, "doc_id bigint, host string, path string, llr double")
 
 
-def _strength(groups: DataFrame, rate: Column) -> DataFrame:
-    """One row: prior strength in documents, from the spread of group rates beyond sampling (method of moments)."""
-    own = F.col("good") / F.col("n")
-    within = rate * (1 - rate)
-    one = groups.where(F.col("n") > 0).agg(
-        F.sum(F.col("n") * (own - rate) ** 2).alias("between"), F.sum(within).alias("expected"),
-        F.sum("n").alias("n"), F.sum(F.col("n") * within).alias("variance"))
-    spread = F.greatest((F.col("between") - F.col("expected")) / F.col("n"), F.col("variance") / F.col("n") * 1e-4)
-    return one.select(F.coalesce(F.col("variance") / F.col("n") / spread, F.lit(1.0)).alias("strength"))
+def _strength(groups: DataFrame, rate: Column) -> float:
+    """Prior strength in documents, from the spread of group rates beyond sampling (method of moments)."""
+    own, within = F.col("good") / F.col("n"), rate * (1 - rate)
+    one = groups.agg(F.sum(F.col("n") * (own - rate) ** 2).alias("between"), F.sum(within).alias("expected"),
+                     F.sum("n").alias("n"), F.sum(F.col("n") * within).alias("variance")).first()
+    if not one.n:
+        return 1.0
+    spread = max((one.between - one.expected) / one.n, one.variance / one.n * 1e-4, 1e-12)
+    return max(one.variance / one.n / spread, 1e-6)
 
 
 def site_posteriors(scored: DataFrame) -> DataFrame:
-    """host, path, n, good, host_rate, path_rate, path_prior, strength — every group shrunk toward its parent."""
+    """host, path, n, good, host_rate, path_rate, strength — every group shrunk toward its parent. Three numbers
+    (the global rate and the two strengths) pass through the driver."""
     own = 1 / (1 + F.exp(-F.col("llr")))
     paths = written(scored.groupBy("host", "path").agg(F.sum(own).alias("good"), F.count(F.lit(1)).alias("n")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    total = hosts.agg((F.sum("good") / F.sum("n")).alias("rate"))  # one row
-    with_total = hosts.crossJoin(F.broadcast(total))
-    host_rates = (with_total.crossJoin(F.broadcast(_strength(with_total, F.col("rate"))))
-                  .select(F.col("host").alias("of_host"),
-                          ((F.col("good") + F.col("strength") * F.col("rate"))
-                           / (F.col("n") + F.col("strength"))).alias("host_rate")))
+    total = hosts.agg((F.sum("good") / F.sum("n")).alias("rate")).first().rate or 0.5
+    strength = _strength(hosts, F.lit(total))
+    host_rates = hosts.select(F.col("host").alias("of_host"),
+                              ((F.col("good") + strength * total) / (F.col("n") + strength)).alias("host_rate"))
     joined = paths.join(host_rates, paths["host"].eqNullSafe(host_rates["of_host"])).drop("of_host")
-    return written(joined.crossJoin(F.broadcast(_strength(joined, F.col("host_rate"))))
-                   .withColumn("path_rate", (F.col("good") + F.col("strength") * F.col("host_rate"))
-                               / (F.col("n") + F.col("strength"))), "sites")
+    strength = _strength(joined, F.col("host_rate"))
+    return written(joined.withColumn("strength", F.lit(strength))
+                   .withColumn("path_rate", (F.col("good") + strength * F.col("host_rate")) / (F.col("n") + strength)),
+                   "sites")
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep_from: float = KEEP_FROM,
