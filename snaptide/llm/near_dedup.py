@@ -7,12 +7,14 @@
    pairs, one of 0.8 once in 10**7.
 3. A key held by many documents is not expanded into pairs. Its pivot is the document that shares its keys
    with most others; every holder is compared with the pivot. Keys whose holders are then in one component
-   are settled: further links there change nothing. Where holders are in different components, those outside
-   the pivot's are compared with all others of the key, in blocks of ``BLOCK`` so that no key is one task's
-   work, and only pairs that pass the estimate leave the join.
-4. The estimate: bits that differ in any plane are counted by ``bit_count``; agreement by chance (2**-BITS)
+   are settled: further links there change nothing. Other keys join the pool of their pivot: its documents
+   outside the pivot's component are compared with all of the pool, in blocks of ``BLOCK_SHINGLES`` shingles
+   on either side, so a pool is spread over many tasks. A block counts the shingles that its whole texts share
+   by one matrix product and returns links only as far as they join components: never pairs, and no more
+   links than it has documents.
+4. The estimate, for pairs with a pivot: bits that differ in any plane are counted by ``bit_count``; agreement by chance (2**-BITS)
    is taken off. Pairs below the threshold by ``MARGIN`` (six standard errors) or of too different sizes go.
-5. What is left is confirmed on the full sets of the two whole texts. Components follow by smallest-label
+5. What is left of these is confirmed on the full sets of the two whole texts. Components follow by smallest-label
    steps with pointer jumping, each step written to the shared folder.
 
 Cases: texts without words are empty, linked with nothing and a component of their own row's id; texts of
@@ -27,6 +29,7 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +40,8 @@ SHINGLE = 5
 PERMUTATIONS, BAND_ROWS, BITS = 128, 4, 4
 WORDS = PERMUTATIONS // 64
 MARGIN = 0.2
-BLOCK = 256
+BLOCK_SHINGLES = 200_000
+COLUMNS = 2048
 NO_ID = -(2**63)
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -160,6 +164,83 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     return map_rows(both, make, "a bigint, b bigint")
 
 
+def _shared_counts(one: list[set], two: list[set]) -> np.ndarray:
+    """Sizes of all intersections of a set of ``one`` with a set of ``two``, by products of 0/1 matrices over the
+    elements that both sides have, ``COLUMNS`` at a time."""
+    both = set().union(*one) & set().union(*two)
+    number = {x: k for k, x in enumerate(both)}
+    out = np.zeros((len(one), len(two)), dtype=np.float32)
+    sides = []
+    for side in (one, two):
+        row = np.repeat(np.arange(len(side)), [sum(x in number for x in s) for s in side])
+        column = np.fromiter((number[x] for s in side for x in s if x in number), dtype=np.int64, count=len(row))
+        order = np.argsort(column, kind="stable")
+        sides.append((row[order], column[order]))
+    for at in range(0, len(number), COLUMNS):
+        parts = []
+        for (row, column), side in zip(sides, (one, two)):
+            lo, hi = np.searchsorted(column, (at, at + COLUMNS))
+            m = np.zeros((len(side), min(COLUMNS, len(number) - at)), dtype=np.float32)
+            m[row[lo:hi], column[lo:hi] - at] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def joining_links(one: list[tuple], two: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between ``one`` and ``two`` (node, component, text), as many as join components that were apart."""
+    sets = [[shingle_set(t) for _, _, t in side] for side in (one, two)]
+    sizes = [np.array([len(x) for x in side], dtype=np.float32) for side in sets]
+    common = _shared_counts(*sets)
+    near = 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
+    parent = {c: c for side in (one, two) for _, c, _ in side}
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    out = []
+    for i, j in np.argwhere(near):
+        a, b = root(one[i][1]), root(two[j][1])
+        if a != b:
+            parent[a] = b
+            out.append((one[i][0], two[j][0]))
+    return out
+
+
+def _pool_links(pool: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the documents of each pool. pool: pool, node, component, main, n_shingles."""
+    outside = F.col("component") != F.col("main")
+    sizes = (pool.groupBy("pool").agg(F.sum("n_shingles").alias("whole"), F.sum(F.when(outside, F.col("n_shingles"))).alias("part"))
+             .where("part is not null")
+             .select("pool", F.ceil(F.col("part") / BLOCK_SHINGLES).cast("int").alias("rows"),
+                     F.ceil(F.col("whole") / BLOCK_SHINGLES).cast("int").alias("columns")))
+    placed = (pool.withColumn("outside", outside).join(sizes, "pool")
+              .join(bodies.withColumnsRenamed({"doc_id": "node"}), "node"))
+
+    def block(count: str, seed: int):
+        return F.pmod(F.xxhash64("node", F.lit(seed)), F.col(count)).cast("int")
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    columns = ["pool", "i", "j", "side", "node", "component", "text"]
+    ones = (placed.where("outside").withColumn("i", block("rows", 1)).withColumn("j", every("columns"))
+            .withColumn("side", F.lit(0)).select(columns))
+    twos = (placed.withColumn("j", block("columns", 2)).withColumn("i", every("rows"))
+            .withColumn("side", F.lit(1)).select(columns))
+
+    def step(rows: pd.DataFrame) -> pd.DataFrame:
+        sides = [list(zip(r["node"].tolist(), r["component"].tolist(), r["text"].tolist()))
+                 for r in (rows[rows["side"] == 0], rows[rows["side"] == 1])]
+        found = joining_links(*sides, percent) if all(sides) else []
+        return pd.DataFrame({"a": np.array([a for a, _ in found], dtype=np.int64),
+                             "b": np.array([b for _, b in found], dtype=np.int64)})
+
+    return ones.unionByName(twos).groupBy("pool", "i", "j").applyInPandas(step, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest reachable node) for all nodes of ``edges`` (a, b)."""
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
@@ -206,33 +287,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
                                                   F.col("text").cast("binary").alias("text"))
     star_links = written(_confirmed(near, bodies, percent).distinct(), "star-links")
     first = components(star_links)
-    # keys whose holders are still in different components: all of their pairs that are not compared yet
+    # keys whose holders are still in different components: the pools of their pivots
     placed = (shared.join(first, "node", "left")
               .select("key", "node", F.coalesce("component", "node").alias("component")))
+    mixed = (placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where(F.col("lo") != F.col("hi")))
     main = (pivots.join(first.withColumnRenamed("node", "b"), "b", "left")
-            .select("key", F.coalesce("component", "b").alias("main")))
-    mixed = (placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                       F.count(F.lit(1)).alias("n")).where(F.col("lo") != F.col("hi"))
-             .join(main, "key").select("key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    open_rows = written(placed.join(mixed, "key").join(marks, "node")
-                        .withColumn("outside", F.col("component") != F.col("main")), "open-keys")
-    # of two different components one at least is not the pivot's: those rows against all rows of their key
-    outside = open_rows.where("outside").select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("a"),
-        F.col("component").alias("ca"), F.col("n_shingles").alias("a_n_shingles"), F.col("planes").alias("a_planes"))
-    everyone = open_rows.select(
-        "key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("b"),
-        F.col("component").alias("cb"), F.col("outside").alias("b_outside"), F.col("n_shingles").alias("b_n_shingles"),
-        F.col("planes").alias("b_planes"))
-    rest = (outside.join(everyone, ["key", "block"])
-            .where((F.col("ca") != F.col("cb")) & (~F.col("b_outside") | (F.col("a") < F.col("b")))
-                   & _plausible("a_", "b_", percent))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "rest-pairs")
+            .select("key", F.col("b").alias("pool"), F.coalesce("component", "b").alias("main")))
+    pool = written(placed.join(mixed.select("key"), "key", "left_semi").join(main, "key")
+                   .select("pool", "main", "node", "component").distinct()
+                   .join(marks.select("node", "n_shingles"), "node"), "pools")
     links = star_links
-    if not rest.isEmpty():
-        links = star_links.unionByName(written(_confirmed(rest, bodies, percent), "rest-links"))
+    if not pool.isEmpty():
+        more = written(_pool_links(pool, bodies, percent), "pool-links")
+        links = star_links.unionByName(more)
         first = components(links)
     reached = first.select(F.col("node").alias("of_node"), "component")
     members = (classes.select("digest", "node").join(reached, F.col("node") == F.col("of_node"), "left")

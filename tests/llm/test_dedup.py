@@ -101,8 +101,8 @@ def test_near_copies_that_share_a_hub_only(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == jaccard_components(rows, 83)
 
 
-def test_blocks_of_a_mixed_key(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+def test_pools_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 150)
     test_near_copies_that_share_a_hub_only(spark)
 
 
