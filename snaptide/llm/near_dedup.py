@@ -7,12 +7,12 @@
    pairs, one of 0.8 once in 10**7.
 3. A key held by many documents is not expanded into pairs. Its pivot is the document that shares its keys
    with most others; every holder is compared with the pivot. Keys whose holders are then in one component
-   are settled: further links there change nothing. Other keys join the pool of their pivot: its documents
-   outside the pivot's component are compared with all of the pool, in blocks of ``BLOCK_SHINGLES`` shingles
+   are settled: further links there change nothing. Of other keys, the holders that meet a plausible partner of
+   another component join the pool of the key's pivot: its documents outside the pivot's component are compared with all of the pool, in blocks of ``BLOCK_SHINGLES`` shingles
    on either side, so a pool is spread over many tasks. A block counts the shingles that its whole texts share
    by one matrix product and returns links only as far as they join components: never pairs, and no more
    links than it has documents.
-4. The estimate, for pairs with a pivot: bits that differ in any plane are counted by ``bit_count``; agreement by chance (2**-BITS)
+4. The estimate: bits that differ in any plane are counted by ``bit_count``; agreement by chance (2**-BITS)
    is taken off. Pairs below the threshold by ``MARGIN`` (six standard errors) or of too different sizes go.
 5. What is left of these is confirmed on the full sets of the two whole texts. Components follow by smallest-label
    steps with pointer jumping, each step written to the shared folder.
@@ -40,7 +40,7 @@ SHINGLE = 5
 PERMUTATIONS, BAND_ROWS, BITS = 128, 4, 4
 WORDS = PERMUTATIONS // 64
 MARGIN = 0.2
-BLOCK_SHINGLES = 200_000
+BLOCK_SHINGLES = 50_000
 COLUMNS = 2048
 NO_ID = -(2**63)
 
@@ -294,9 +294,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
              .where(F.col("lo") != F.col("hi")))
     main = (pivots.join(first.withColumnRenamed("node", "b"), "b", "left")
             .select("key", F.col("b").alias("pool"), F.coalesce("component", "b").alias("main")))
-    pool = written(placed.join(mixed.select("key"), "key", "left_semi").join(main, "key")
-                   .select("pool", "main", "node", "component").distinct()
-                   .join(marks.select("node", "n_shingles"), "node"), "pools")
+    open_rows = written(placed.join(mixed.select("key"), "key", "left_semi").join(main, "key").join(marks, "node"), "open-keys")
+    # only holders that meet a plausible partner of another component in a key, on either side
+    one = open_rows.where(F.col("component") != F.col("main"))
+    here = [c for c in open_rows.columns if c not in ("key", "planes")]
+
+    def meeting(rows: DataFrame, others: DataFrame) -> DataFrame:
+        near_by = others.select(F.col("key").alias("key_"), F.col("component").alias("component_"),
+                                F.col("n_shingles").alias("b_n_shingles"), F.col("planes").alias("b_planes"))
+        cond = ((F.col("key") == F.col("key_")) & (F.col("component") != F.col("component_"))
+                & _plausible("", "b_", percent))
+        return rows.join(near_by, cond, "left_semi").select(here)
+
+    pool = written(meeting(one, open_rows).unionByName(meeting(open_rows, one)).distinct(), "pools")
     links = star_links
     if not pool.isEmpty():
         more = written(_pool_links(pool, bodies, percent), "pool-links")
