@@ -123,16 +123,19 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None = None, id_col: str =
         known = labels.select(F.col(id_col).cast("long").alias("page_id"), "label").where(F.col("label").isin(*LABELS))
         labelled = split.join(known, "page_id").select("tokens", "label")
     rules = mine_rules(labelled, min_support, min_confidence)
-    # only distinct urls without a listed rule need the mined ones
-    open_urls = (split.where(F.col("listed").isNull() & (F.size("tokens") > 0))
-                 .groupBy("tokens").agg(F.count(F.lit(1)).alias("n"))
-                 .select(F.xxhash64("tokens").alias("key"), "tokens"))
-    fired = match_rules(open_urls, rules).withColumnRenamed("key", "mined_key")
-    return (split.withColumn("key", F.when(F.col("listed").isNull() & (F.size("tokens") > 0), F.xxhash64("tokens")))
-            .join(fired, F.col("key") == F.col("mined_key"), "left")
-            .select("page_id", "host", "path", F.col("listed.rule").alias("rule"),
-                    F.coalesce("listed.verdict", "mined.label", F.lit("allow")).alias("verdict"),
-                    F.col("mined.tokens").alias("mined_tokens"), F.col("mined.confidence").alias("confidence")))
+    # only urls without a listed rule need the mined ones, each distinct token set once
+    unlisted = F.col("listed").isNull() & (F.size("tokens") > 0)
+    open_rows = split.where(unlisted).withColumn("key", F.xxhash64("tokens"))
+    fired = match_rules(open_rows.groupBy("key", "tokens").agg(F.count(F.lit(1)).alias("n")).select("key", "tokens"), rules)
+    judged = (open_rows.join(fired, "key", "left")
+              .select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"),
+                      F.coalesce("mined.label", F.lit("allow")).alias("verdict"),
+                      F.col("mined.tokens").alias("mined_tokens"), F.col("mined.confidence").alias("confidence")))
+    settled = split.where(~unlisted).select(
+        "page_id", "host", "path", F.col("listed.rule").alias("rule"),
+        F.coalesce("listed.verdict", F.lit("allow")).alias("verdict"),
+        F.lit(None).cast("array<string>").alias("mined_tokens"), F.lit(None).cast("double").alias("confidence"))
+    return settled.unionByName(judged)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
