@@ -1,7 +1,7 @@
 from snaptide.functions.scalars import (
     unchanged, seconds_between, velocity, offset_or_null, millis_to_timestamp,
-    in_list, quorum_flag, surrogate_id,
+    in_list, quorum_flag,
 )
 
 __all__ = ["unchanged", "seconds_between", "velocity", "offset_or_null", "millis_to_timestamp",
-           "in_list", "quorum_flag", "surrogate_id"]
+           "in_list", "quorum_flag"]

@@ -56,8 +56,3 @@ def in_list(values: Column, item: Column) -> Column:
 def quorum_flag(quorum: Column, test: Column) -> Column:
     """NULL when the cluster reports no quorum, else the membership test."""
     return F.when(quorum.isNotNull(), test)
-
-
-def surrogate_id(*cols: str | Column) -> Column:
-    """Single-column id from a natural key, computed per row without a shuffle."""
-    return F.xxhash64(*cols)

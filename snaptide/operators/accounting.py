@@ -14,9 +14,8 @@ from snaptide.operators.merge import ACTIONS
 
 
 def accounting_metrics():
-    """The same counts as ``refresh_accounting`` as aggregate expressions over
-    a merge output made with ``dup_counts=True``, for ``DataFrame.observe``
-    (collected while the merge result is written, without another job)."""
+    """Aggregate expressions over a merge output made with ``dup_counts=True``:
+    rows and keys that reached the merge, and one count per action."""
     dups = F.col("_dups")
     return ([F.coalesce(F.sum(dups), F.lit(0)).alias("submitted"), F.count(dups).alias("keys"),
              F.count_if(dups > 1).alias("duplicate_keys")]
@@ -24,13 +23,16 @@ def accounting_metrics():
 
 
 def refresh_accounting(table: str, source: DataFrame, merged: DataFrame, keys) -> DataFrame:
-    """Long-form counts: ``table_name, metric, value``."""
-    per_key = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    src = per_key.agg(F.sum("n").cast("bigint").alias("submitted"),
-                      F.count(F.lit(1)).cast("bigint").alias("keys"),
-                      F.count_if(F.col("n") > 1).cast("bigint").alias("duplicate_keys"))
-    acts = merged.agg(*[F.count_if(F.col("action") == a).cast("bigint").alias(a) for a in ACTIONS])
-    long = (src.unpivot([], ["submitted", "keys", "duplicate_keys"], "metric", "value")
-            .unionByName(acts.unpivot([], list(ACTIONS), "metric", "value")))
+    """Long-form counts: ``table_name, metric, value``. ``source``: the rows
+    submitted, before any lookup; ``merged``: a merge output with ``_dups``.
+    ``unresolved`` = submitted rows that did not reach the merge."""
+    given = source.agg(F.count(F.lit(1)).alias("given"))
+    counts = merged.agg(*accounting_metrics())
+    names = ["submitted", "unresolved", "keys", "duplicate_keys", *ACTIONS]
+    both = (given.unpivot([], ["given"], "metric", "value")
+            .unionByName(counts.unpivot([], ["submitted", "keys", "duplicate_keys", *ACTIONS], "metric", "value")))
+    one = both.groupBy().pivot("metric", ["given", "submitted", "keys", "duplicate_keys", *ACTIONS]).agg(F.sum("value"))
+    one = one.withColumn("unresolved", F.col("given") - F.col("submitted")).withColumn("submitted", F.col("given"))
+    long = one.unpivot([], names, "metric", "value")
     return long.select(F.lit(table).alias("table_name"), "metric",
                        F.coalesce("value", F.lit(0)).cast("bigint").alias("value"))

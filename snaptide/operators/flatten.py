@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from snaptide.functions.scalars import in_list
 from snaptide.operators import nodes as nodes_op
-from snaptide.operators.joins import DEFAULT_BROADCAST_ROWS
+from snaptide.operators.joins import existing
 from snaptide.operators.merge import reduce_duplicates
 
 SNAP_KEY = ["k_cluster_id", "refreshed_at"]
@@ -67,17 +67,17 @@ def quorum_ids(snap: DataFrame) -> DataFrame:
     return _quorum_members(snap, "voters").unionByName(_quorum_members(snap, "observers")).distinct()
 
 
-def missing_nodes(snap: DataFrame, bound: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def missing_nodes(snap: DataFrame) -> DataFrame:
     """J12 + P12: quorum members that are not live nodes, as placeholder rows."""
-    return nodes_op.missing_nodes(quorum_ids(snap), live_nodes(snap), SNAP_KEY, bound)
+    return nodes_op.missing_nodes(quorum_ids(snap), live_nodes(snap), SNAP_KEY)
 
 
-def all_nodes(snap: DataFrame, bound: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def all_nodes(snap: DataFrame) -> DataFrame:
     """U1 + P1 + P2: live nodes and missing quorum members with controller and
     quorum flags (flags NULL when the cluster reports no quorum)."""
     meta = reduce_duplicates(_base(snap, "controller_id", F.col("quorum.leader_id").alias("leader_id")), SNAP_KEY)
     return nodes_op.all_nodes(live_nodes(snap), meta, _quorum_members(snap, "voters"),
-                              _quorum_members(snap, "observers"), SNAP_KEY, bound)
+                              _quorum_members(snap, "observers"), SNAP_KEY)
 
 
 def _config_cols(prefix: str = "e"):
@@ -91,8 +91,7 @@ def node_configs(snap: DataFrame) -> DataFrame:
     rows = (_base(_with(snap, "node_configs"), F.explode("node_configs").alias("nc"))
             .select(*SNAP_KEY, F.col("nc.node_id").alias("k_node_id"), F.explode("nc.entries").alias("e"))
             .select(*SNAP_KEY, "k_node_id", *_config_cols()))
-    live = live_nodes(snap).select(*SNAP_KEY, "k_node_id")
-    return rows.join(live, SNAP_KEY + ["k_node_id"], "left_semi")
+    return existing(rows, live_nodes(snap), SNAP_KEY + ["k_node_id"])
 
 
 def topics(snap: DataFrame) -> DataFrame:

@@ -1,39 +1,25 @@
-"""Join helpers: broadcast only behind a row-count check, else a shuffle join."""
+"""Lookups on natural keys.
+
+No size is probed and no side is forced: Spark broadcasts a side whose files or
+measured stage size are under its byte threshold, shuffles both on the whole
+key otherwise, and AQE splits a key that holds too much of a side.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Default bound on rows of a side that may be broadcast. A broadcast table is
-# held by every executor, so the bound is a row count checked at run time, not
-# an estimate.
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
-
-def bounded_count(df: DataFrame, bound: int) -> int:
-    """Row count, stopping early once it exceeds ``bound``; returns at most bound+1."""
-    return df.limit(bound + 1).count()
-
 
-def fits_broadcast(df: DataFrame, bound: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    return bounded_count(df, bound) <= bound
 
-
-def maybe_broadcast(df: DataFrame, bound: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its row count is within ``bound``, else ``df``
-    unchanged (the planner then shuffles both sides; AQE may still convert)."""
-    return F.broadcast(df) if fits_broadcast(df, bound) else df
-
-
-def lookup(rows: DataFrame, parent: DataFrame, on: list[str], how: str = "inner",
-           bound: int | None = None) -> DataFrame:
+def lookup(rows: DataFrame, parent: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Resolve ``rows`` against a parent table on natural-key columns.
 
     ``inner`` keeps rows whose parent exists and adds the parent's other
     columns; ``left_semi`` is a pure existence check; ``left_anti`` returns the
-    rows whose parent is unknown. With ``bound`` the parent side is broadcast
-    when its checked size allows.
+    rows whose parent is unknown.
     """
-    right = maybe_broadcast(parent, bound) if bound else parent
-    return rows.join(right, on=on, how=how)
+    return rows.join(parent, on=list(on), how=how)
+
+
+def existing(rows: DataFrame, parent: DataFrame, keys) -> DataFrame:
+    """Rows whose parent key exists (semi join on the whole key)."""
+    return lookup(rows, parent.select(*keys), list(keys), "left_semi")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaptide.operators.joins import maybe_broadcast
+from snaptide.operators.joins import existing, lookup
 
 CK = "k_cluster_id"
 
@@ -27,38 +27,30 @@ def duplicate_topic_names(topics: DataFrame) -> DataFrame:
             .filter(F.col("n") > 1))
 
 
-def resolve_topic(rows: DataFrame, topics: DataFrame, bound: int | None = None) -> DataFrame:
+def resolve_topic(rows: DataFrame, topics: DataFrame) -> DataFrame:
     """Replace the ``topic`` name column by ``k_topic_id``; unknown names
-    drop. The join key is (cluster, name); with ``bound`` the name table is
-    broadcast behind a row count, else Spark sizes it."""
-    ids = topic_ids_by_name(topics)
-    if bound:
-        ids = maybe_broadcast(ids, bound)
-    return rows.join(ids, [CK, "topic"], "inner").drop("topic")
+    drop. The join key is (cluster, name)."""
+    return lookup(rows, topic_ids_by_name(topics), [CK, "topic"]).drop("topic")
 
 
 def resolve_assignments(assignments: DataFrame, members: DataFrame, topics: DataFrame,
-                        partitions: DataFrame, bound: int | None = None) -> DataFrame:
+                        partitions: DataFrame) -> DataFrame:
     """Assignment (group, member, topic name, partition) -> member exists ->
     topic id by name -> partition exists. Each assignment stays with its own
     member."""
-    x = assignments.join(members.select(CK, "group_id", "member_id"), [CK, "group_id", "member_id"], "left_semi")
-    x = resolve_topic(x, topics, bound)
-    x = x.join(partitions.select(CK, "k_topic_id", "k_partition_id"), [CK, "k_topic_id", "k_partition_id"],
-               "left_semi")
-    return x.select(CK, "group_id", "member_id", "k_topic_id", "k_partition_id")
+    x = resolve_topic(existing(assignments, members, [CK, "group_id", "member_id"]), topics)
+    x = existing(x, partitions, [CK, "k_topic_id", "k_partition_id"])
+    kept = [c for c in ("refreshed_at",) if c in x.columns]
+    return x.select(CK, *kept, "group_id", "member_id", "k_topic_id", "k_partition_id")
 
 
-def resolve_group_offsets(offsets: DataFrame, groups: DataFrame, topics: DataFrame, partitions: DataFrame,
-                          bound: int | None = None) -> DataFrame:
+def resolve_group_offsets(offsets: DataFrame, groups: DataFrame, topics: DataFrame,
+                          partitions: DataFrame) -> DataFrame:
     """Committed offset -> group exists -> topic id by name -> partition exists."""
-    x = offsets.join(groups.select(CK, "group_id"), [CK, "group_id"], "left_semi")
-    x = resolve_topic(x, topics, bound)
-    return x.join(partitions.select(CK, "k_topic_id", "k_partition_id"), [CK, "k_topic_id", "k_partition_id"],
-                  "left_semi")
+    x = resolve_topic(existing(offsets, groups, [CK, "group_id"]), topics)
+    return existing(x, partitions, [CK, "k_topic_id", "k_partition_id"])
 
 
 def resolve_partition_offsets(offsets: DataFrame, partitions: DataFrame) -> DataFrame:
     """Partition offset -> (topic id, partition) exists."""
-    return offsets.join(partitions.select(CK, "k_topic_id", "k_partition_id"),
-                        [CK, "k_topic_id", "k_partition_id"], "left_semi")
+    return existing(offsets, partitions, [CK, "k_topic_id", "k_partition_id"])

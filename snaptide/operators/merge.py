@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snaptide.functions.scalars import unchanged, velocity
-from snaptide.operators.joins import DEFAULT_BROADCAST_ROWS, bounded_count
+from snaptide.operators.joins import lookup
 from snaptide.schemas import AUDIT, TableSpec
 
 NOW = "refreshed_at"
@@ -68,23 +68,9 @@ def reduce_duplicates(source: DataFrame, keys, order=(), count_col: str | None =
     return out.drop("_n")
 
 
-def choose_strategy(source: DataFrame, target: DataFrame, broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                    ratio: int = 10) -> str:
-    """``small`` when the snapshot has at most ``broadcast_rows`` rows and the
-    state at least ``ratio`` times as many (both checked with bounded
-    counts), else ``full``. A full capture is about as large as the state,
-    so only incremental captures take the broadcast path."""
-    n = bounded_count(source, broadcast_rows)
-    if n > broadcast_rows:
-        return "full"
-    need = max(ratio * max(n, 1), 1)
-    return "small" if bounded_count(target, need) >= need else "full"
-
-
 def merge_snapshot(target: DataFrame | None, source: DataFrame, spec: TableSpec, *,
-                   scope: DataFrame | None = None, strategy: str = "auto",
-                   broadcast_rows: int = DEFAULT_BROADCAST_ROWS, dedupe: bool = True,
-                   dedupe_order=(), dup_counts: bool = False, scope_small: bool = False) -> DataFrame:
+                   scope: DataFrame | None = None, incremental: bool = False, dedupe: bool = True,
+                   dedupe_order=(), dup_counts: bool = False) -> DataFrame:
     """Merge ``source`` (keys, compared attributes, ``refreshed_at``) into ``target``.
 
     ``scope``: rows of scope columns (a prefix of the key, normally
@@ -92,11 +78,11 @@ def merge_snapshot(target: DataFrame | None, source: DataFrame, spec: TableSpec,
     snapshot no longer holds and that are older than the scope's time are
     deleted when ``spec.delete_stale``. Without a scope nothing is deleted.
 
-    ``strategy``: ``full`` = full outer sort-merge join (both sides shuffled on
-    the whole natural key); ``small`` = the state is never shuffled: state
-    left-joins a broadcast of the snapshot, inserts are the snapshot rows
-    whose key matched nothing (the snapshot is counted first and the full
-    plan used if it exceeds ``broadcast_rows``); ``auto`` = ``choose_strategy``.
+    A full capture (about as large as the state) is one full outer join on the
+    whole natural key. ``incremental`` says that the capture is far smaller
+    than the state: the state left-joins it and inserts are the capture's rows
+    without a state row, so Spark can broadcast the capture by its size and
+    leave the state unshuffled. Both give the same rows at any size.
     """
     spark = source.sparkSession
     keys = list(spec.keys)
@@ -114,32 +100,17 @@ def merge_snapshot(target: DataFrame | None, source: DataFrame, spec: TableSpec,
     s = src.select(*keys, *[F.col(c).alias(_S + c) for c in attrs + [NOW, "_dups"]],
                    F.lit(True).alias(_S + "present"))
 
-    if strategy == "auto":
-        strategy = choose_strategy(src, target, broadcast_rows)
-    elif strategy == "small" and bounded_count(src, broadcast_rows) > broadcast_rows:
-        # a forced broadcast plan still needs a snapshot within the bound;
-        # beyond it the full outer plan is the way
-        strategy = "full"
-    if strategy == "full":
-        joined = t.join(s, keys, "full_outer")
-    elif strategy == "small":
-        bs = F.broadcast(s)
-        updated = t.join(bs, keys, "left")
-        matched_keys = t.select(*keys).join(F.broadcast(s.select(*keys)), keys, "left_semi")
-        inserts = s.join(F.broadcast(matched_keys), keys, "left_anti")
-        joined = updated.unionByName(inserts, allowMissingColumns=True)
+    if incremental:
+        inserts = lookup(s, t.select(*keys), keys, "left_anti")
+        joined = lookup(t, s, keys, "left").unionByName(inserts, allowMissingColumns=True)
     else:
-        raise ValueError(f"unknown strategy {strategy!r}")
+        joined = t.join(s, keys, "full_outer")
 
     if spec.delete_stale and scope is not None:
         scope_cols = [c for c in scope.columns if c != NOW]
         sc = scope.select(*scope_cols, F.col(NOW).alias("_scope_at"))
-        sc = reduce_duplicates(sc, scope_cols)
-        # the scope is joined on the cluster alone: broadcast it (size known
-        # to the caller, or checked here) so no cluster is shuffled to one task
-        if scope_small or bounded_count(sc, broadcast_rows) <= broadcast_rows:
-            sc = F.broadcast(sc)
-        joined = joined.join(sc, scope_cols, "left")
+        # one row per scope unit; a unit holding many rows is split by AQE
+        joined = lookup(joined, reduce_duplicates(sc, scope_cols), scope_cols, "left")
         stale = F.col(_T + NOW) < F.col("_scope_at")
     else:
         stale = F.lit(False)
@@ -197,11 +168,5 @@ def deleted(merged: DataFrame) -> DataFrame:
     return merged.filter(F.col("action") == "delete").drop("action")
 
 
-def action_counts(merged: DataFrame, table: str) -> DataFrame:
-    """Rows per action (refresh accounting): ``table, action, rows``."""
-    return (merged.groupBy("action").agg(F.count(F.lit(1)).alias("rows"))
-            .select(F.lit(table).alias("table"), "action", "rows"))
-
-
-__all__ = ["merge_snapshot", "reduce_duplicates", "survivors", "deleted", "action_counts",
+__all__ = ["merge_snapshot", "reduce_duplicates", "survivors", "deleted",
            "empty_state", "ACTIONS", "AUDIT", "NOW"]

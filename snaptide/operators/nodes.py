@@ -7,22 +7,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaptide.operators.joins import DEFAULT_BROADCAST_ROWS, maybe_broadcast
+from snaptide.functions.scalars import quorum_flag
+from snaptide.operators.joins import lookup
 
 
-def missing_nodes(quorum_ids: DataFrame, live: DataFrame, keys,
-                  bound: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def missing_nodes(quorum_ids: DataFrame, live: DataFrame, keys) -> DataFrame:
     """J12 + P12: quorum member ids with no live node, as placeholder rows
     (host NULL, port -1, rack NULL)."""
     keys = list(keys)
     ids = quorum_ids.select(*keys, "k_node_id").distinct()
-    gone = ids.join(live.select(*keys, "k_node_id"), keys + ["k_node_id"], "left_anti")
+    gone = lookup(ids, live.select(*keys, "k_node_id"), keys + ["k_node_id"], "left_anti")
     return gone.select(*keys, "k_node_id", F.lit(None).cast("string").alias("host"),
                        F.lit(-1).alias("port"), F.lit(None).cast("string").alias("rack"))
 
 
-def all_nodes(live: DataFrame, meta: DataFrame, voters: DataFrame, observers: DataFrame, keys,
-              bound: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def all_nodes(live: DataFrame, meta: DataFrame, voters: DataFrame, observers: DataFrame, keys) -> DataFrame:
     """U1 + P1 + P2.
 
     ``live``: keys, k_node_id, host, port, rack. ``meta``: one row per
@@ -33,20 +32,17 @@ def all_nodes(live: DataFrame, meta: DataFrame, voters: DataFrame, observers: Da
     keys = list(keys)
     quorum_ids = voters.select(*keys, "k_node_id").unionByName(observers.select(*keys, "k_node_id"))
     nodes = live.select(*keys, "k_node_id", "host", "port", "rack").unionByName(
-        missing_nodes(quorum_ids, live, keys, bound))
+        missing_nodes(quorum_ids, live, keys))
     nk = keys + ["k_node_id"]
     v = voters.select(*nk).distinct().withColumn("_v", F.lit(True))
     o = observers.select(*nk).distinct().withColumn("_o", F.lit(True))
     m = meta.select(*keys, "controller_id", "leader_id")
-    # meta is one row per capture and joined on the capture alone: broadcast
-    # behind a row count so no cluster is ever shuffled into one task
-    n = (nodes.join(maybe_broadcast(m, bound), keys, "inner")
-         .join(v, nk, "left")
-         .join(o, nk, "left"))
-    has_q = F.col("leader_id").isNotNull()
-    node = F.col("k_node_id")
+    # meta is one row per capture; the nodes of one capture are few, and AQE
+    # splits a capture that holds too many of them
+    n = lookup(lookup(lookup(nodes, m, keys), v, nk, "left"), o, nk, "left")
+    quorum, node = F.col("leader_id"), F.col("k_node_id")
     return n.select(*keys, "k_node_id", "host", "port", "rack",
                     (node == F.col("controller_id")).alias("controller"),
-                    F.when(has_q, node == F.col("leader_id")).alias("leader"),
-                    F.when(has_q, F.coalesce(F.col("_v"), F.lit(False))).alias("voter"),
-                    F.when(has_q, F.coalesce(F.col("_o"), F.lit(False))).alias("observer"))
+                    quorum_flag(quorum, node == quorum).alias("leader"),
+                    quorum_flag(quorum, F.coalesce(F.col("_v"), F.lit(False))).alias("voter"),
+                    quorum_flag(quorum, F.coalesce(F.col("_o"), F.lit(False))).alias("observer"))

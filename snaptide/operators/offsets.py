@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snaptide.functions.scalars import millis_to_timestamp, offset_or_null
-from snaptide.operators.joins import DEFAULT_BROADCAST_ROWS, maybe_broadcast
+from snaptide.operators.joins import lookup
 from snaptide.schemas import OFFSET_TYPES
 
 TP = ["topic", "partition"]
@@ -41,11 +41,9 @@ def offset_types(log: DataFrame, keys=TP) -> DataFrame:
     return agg.select(*keys, F.inline(rows))
 
 
-def within_bounds(commits: DataFrame, bounds: DataFrame, keys=TP,
-                  bound: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def within_bounds(commits: DataFrame, bounds: DataFrame, keys=TP) -> DataFrame:
     """W1 + W2 + J18: committed offsets with beginning <= offset < end."""
-    b = maybe_broadcast(bounds.select(*keys, "beginning_offset", "end_offset"), bound)
-    return (commits.join(b, list(keys), "inner")
+    return (lookup(commits, bounds.select(*keys, "beginning_offset", "end_offset"), list(keys))
             .filter((F.col("offset") >= F.col("beginning_offset")) & (F.col("offset") < F.col("end_offset"))))
 
 

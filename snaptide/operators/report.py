@@ -1,18 +1,15 @@
 """Snapshot report (A1, A3): twelve counts per capture, in long form.
 
-Every metric explodes only its own section (Parquet reads only that column)
-and counts distinct item keys per capture (a distinct on the typed key
-columns, then a grouped count, both with map-side partial aggregation).
-Counting distinct keys makes a capture split over several chunk rows count
-each item once. Missing nodes are |quorum members and live nodes| - |live
-nodes|, so no join is needed.
+One pass over the snapshot: every row emits its items as (metric, key) from all
+of its sections, one distinct aggregation counts each item of a capture once
+(also when the capture is split into chunk rows), one grouped count follows.
+Missing nodes are |quorum members and live nodes| - |live nodes|, so no join is
+needed.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snaptide.operators import flatten as fl
@@ -26,49 +23,62 @@ METRICS = ("Nodes", "Nodes (missing)", "Node Configs", "Topics", "Topic Configs"
 _ALL_NODES = "_quorum_or_live"
 
 
-def _items(df: DataFrame, metric: str, *keys) -> DataFrame:
-    """Distinct item count of one metric per capture."""
-    return (df.select(*SNAP_KEY, *keys).distinct().groupBy(*SNAP_KEY).agg(F.count(F.lit(1)).alias("value"))
-            .select(*SNAP_KEY, F.lit(metric).alias("metric"), "value"))
+def _key(*parts: Column) -> Column:
+    """An item's key as an array of text, NULL parts kept apart from empty ones."""
+    return F.array(*[p.cast("string") for p in parts])
+
+
+def _each(items: Column, metric: str, key) -> Column:
+    """(metric, key) of every element; an unread (NULL) section has none."""
+    empty = F.array().cast("array<struct<metric:string,key:array<string>>>")
+    return F.coalesce(F.transform(items, lambda e: F.struct(F.lit(metric).alias("metric"), key(e).alias("key"))), empty)
 
 
-def _replica_rows(snap: DataFrame) -> DataFrame:
-    parts = fl.partitions(snap)
-    return parts.select(*SNAP_KEY, "k_topic_id", "k_partition_id", F.explode("replica_ids").alias("k_node_id"))
+def _nested(outer: Column, inner: str, metric: str, key) -> Column:
+    """The same for the elements of an array field of each element."""
+    empty = F.array().cast("array<struct<metric:string,key:array<string>>>")
+    return F.coalesce(F.flatten(F.transform(outer, lambda o: _each(o[inner], metric, lambda i: key(o, i)))), empty)
 
 
-def _node_config_rows(snap: DataFrame) -> DataFrame:
-    """Every configured entry, live node or not (the report counts them all)."""
-    return (snap.filter(F.size("node_configs") > 0)
-            .select("k_cluster_id", F.col("captured_at").alias("refreshed_at"), F.explode("node_configs").alias("nc"))
-            .select(*SNAP_KEY, F.col("nc.node_id").alias("k_node_id"), F.explode("nc.entries").alias("e"))
-            .select(*SNAP_KEY, "k_node_id", F.col("e.name").alias("name")))
+def _items() -> Column:
+    c = F.col
+    members = lambda g: g["members"]
+    quorum = F.array_union(F.coalesce(c("quorum.voters"), F.array().cast("array<int>")),
+                           F.coalesce(c("quorum.observers"), F.array().cast("array<int>")))
+    assignments = F.coalesce(F.flatten(F.transform(c("consumer_groups"), lambda g: F.flatten(F.transform(
+        members(g), lambda m: _each(m["assignments"], "Consumer Group Assignments", lambda a: _key(
+            g["group_id"], m["member_id"], a["topic"], a["partition"])))))),
+        F.array().cast("array<struct<metric:string,key:array<string>>>"))
+    replicas = F.coalesce(F.flatten(F.transform(c("topic_descriptions"), lambda t: F.flatten(F.transform(
+        t["partitions"], lambda p: _each(p["replicas"], "Replicas", lambda r: _key(
+            t["k_topic_id"], p["partition"], r)))))),
+        F.array().cast("array<struct<metric:string,key:array<string>>>"))
+    return F.concat(
+        _each(c("nodes"), "Nodes", lambda n: _key(n["id"])),
+        _each(c("nodes"), _ALL_NODES, lambda n: _key(n["id"])),
+        _each(quorum, _ALL_NODES, lambda q: _key(q)),
+        _nested(c("node_configs"), "entries", "Node Configs", lambda o, e: _key(o["node_id"], e["name"])),
+        _each(c("topics"), "Topics", lambda t: _key(t["k_topic_id"])),
+        _nested(c("topic_configs"), "entries", "Topic Configs", lambda o, e: _key(o["k_topic_id"], e["name"])),
+        _nested(c("topic_descriptions"), "partitions", "Partitions", lambda o, p: _key(o["k_topic_id"], p["partition"])),
+        replicas,
+        _each(c("consumer_groups"), "Consumer Groups", lambda g: _key(g["group_id"])),
+        _nested(c("consumer_groups"), "members", "Consumer Group Members", lambda g, m: _key(g["group_id"], m["member_id"])),
+        assignments,
+        _each(c("acl_bindings"), "ACL Resources", lambda b: _key(b["resource_type"], b["name"], b["pattern_type"])),
+        _each(c("acl_bindings"), "ACL Entries",
+              lambda b: _key(b["principal"], b["host"], b["operation"], b["permission_type"])),
+        # a capture with nothing to count still has its row
+        F.array(F.struct(F.lit("").alias("metric"), F.array().cast("array<string>").alias("key"))))
 
 
 def snapshot_report(snap: DataFrame) -> DataFrame:
     """(k_cluster_id, refreshed_at, metric, value) for every capture; a metric
     with nothing to count is 0."""
-    live = fl.live_nodes(snap)
-    branches = [
-        _items(live, "Nodes", "k_node_id"),
-        _items(live.select(*SNAP_KEY, "k_node_id").unionByName(fl.quorum_ids(snap)), _ALL_NODES, "k_node_id"),
-        _items(_node_config_rows(snap), "Node Configs", "k_node_id", "name"),
-        _items(fl.topics(snap), "Topics", "k_topic_id"),
-        _items(fl.topic_configs(snap), "Topic Configs", "k_topic_id", "name"),
-        _items(fl.partitions(snap), "Partitions", "k_topic_id", "k_partition_id"),
-        _items(_replica_rows(snap), "Replicas", "k_topic_id", "k_partition_id", "k_node_id"),
-        _items(fl.consumer_groups(snap), "Consumer Groups", "group_id"),
-        _items(fl.group_members(snap), "Consumer Group Members", "group_id", "member_id"),
-        _items(fl.member_assignments(snap), "Consumer Group Assignments", "group_id", "member_id", "topic",
-               "k_partition_id"),
-        _items(fl.acl_bindings(snap), "ACL Resources", "resource_type", "resource_name", "pattern_type"),
-        _items(fl.acl_bindings(snap), "ACL Entries", "principal", "host", "operation", "permission_type"),
-    ]
-    counted = (reduce(DataFrame.unionByName, branches)
-               .groupBy(*SNAP_KEY).pivot("metric", list(METRICS) + [_ALL_NODES]).agg(F.first("value")))
-    captures = snap.select("k_cluster_id", F.col("captured_at").alias("refreshed_at")).distinct()
-    wide = captures.join(counted, SNAP_KEY, "left")
-    val = {m: F.coalesce(F.col(f"`{m}`"), F.lit(0)) for m in list(METRICS) + [_ALL_NODES]}
+    items = (snap.select("k_cluster_id", F.col("captured_at").alias("refreshed_at"), F.inline(_items()))
+             .groupBy(*SNAP_KEY, "metric", "key").agg(F.count(F.lit(1)).alias("_n")))
+    counted = items.groupBy(*SNAP_KEY).agg(*[F.count_if(F.col("metric") == m).alias(m) for m in (*METRICS, _ALL_NODES)])
+    val = {m: F.col(f"`{m}`") for m in (*METRICS, _ALL_NODES)}
     val["Nodes (missing)"] = val[_ALL_NODES] - val["Nodes"]
     grid = F.array(*[F.struct(F.lit(m).alias("metric"), val[m].cast("bigint").alias("value")) for m in METRICS])
-    return wide.select(*SNAP_KEY, F.inline(grid))
+    return counted.select(*SNAP_KEY, F.inline(grid))

@@ -1,16 +1,21 @@
 """A full refresh: nested snapshots in, fifteen current-state tables out.
 
-``refresh_metadata`` applies one metadata capture per cluster (the newest in
-the input whose time is after the cluster's state) to the state tables in
+``refresh_metadata`` applies metadata captures to the state tables in
 dependency order, resolving each child against its parent's new state,
 removing stale rows where the table does so and cascading removals to
-children. ``refresh_offsets`` does the same for the two offset tables from
-flat captures, with offset timestamps looked up in a record log.
-
-Each table's new state is written once into the new version of a
-``StateStore`` and read back for the steps after it (a lineage cut); the
-commit record is written last, so a failed refresh leaves the previous
-version in place.
+children. Every complete capture after the cluster's last one is applied, in
+the order of capture times: captures of the same rank in their clusters go
+together, one version for each rank. Chunk rows of a capture that is not
+complete yet are kept in the store until the rest arrives.
+
+``refresh_offsets`` does the same for the two offset tables from flat captures,
+with offset timestamps looked up in a record log. All captures of a batch are
+folded onto the stored rows at once (``operators.replay.fold``).
+
+Each table's new state is written once into the new version of a ``StateStore``,
+only for the clusters the batch holds, and read back for the steps after it (a
+lineage cut); the commit record is written last, so a failed refresh leaves the
+previous version in place.
 """
 
 from __future__ import annotations
@@ -20,22 +25,30 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snaptide.operators import flatten as fl
 from snaptide.operators.accounting import accounting_metrics
 from snaptide.operators.asof import DEFAULT_BUCKET, attach_offset_timestamps
 from snaptide.operators.cascade import cascade
-from snaptide.operators.joins import DEFAULT_BROADCAST_ROWS, maybe_broadcast
-from snaptide.operators.lookup_plans import resolve_group_offsets, resolve_partition_offsets, resolve_topic
-from snaptide.operators.merge import deleted, empty_state, merge_snapshot, survivors
+from snaptide.operators.joins import existing, lookup
+from snaptide.operators.lookup_plans import (
+    duplicate_topic_names, resolve_assignments, resolve_group_offsets, resolve_partition_offsets,
+)
+from snaptide.operators.merge import deleted, merge_snapshot, survivors
 from snaptide.operators.offsets import clean_partition_offsets
+from snaptide.operators.replay import capture_ranks, fold
 from snaptide.plans.state import StateStore
-from snaptide.schemas import EXTRA_PARENTS, TABLES
+from snaptide.schemas import EXTRA_PARENTS, OFFSET_TABLES, SNAPSHOT, TABLES
 
 CK = "k_cluster_id"
 NOW = "refreshed_at"
+METADATA_TABLES = tuple(n for n in TABLES if n not in OFFSET_TABLES)
+
+
+class DuplicateTopicName(ValueError):
+    """Two current topics of a cluster hold one name; the refresh is not committed."""
 
 
 @dataclass
@@ -46,137 +59,138 @@ class RefreshResult:
     version: int | None = None
 
 
-def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
-    return {name: empty_state(spark, spec) for name, spec in TABLES.items()}
-
-
-def newest_per_cluster(snap: DataFrame, clusters: DataFrame | None, bound: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Keep, per cluster, the rows of its newest capture, and only if that
-    capture is after the cluster's state (a replayed or older capture changes
-    nothing). All chunk rows of the capture survive."""
-    times = snap.groupBy(CK).agg(F.max("captured_at").alias("_newest"))
-    if clusters is not None:
-        seen = clusters.select(CK, F.col(NOW).alias("_seen"))
-        times = times.join(seen, CK, "left").filter(F.col("_seen").isNull() | (F.col("_newest") > F.col("_seen")))
-        times = times.drop("_seen")
-    times = maybe_broadcast(times, bound)
-    return snap.join(times, CK, "inner").filter(F.col("captured_at") == F.col("_newest")).drop("_newest")
-
-
-def _semi(rows: DataFrame, parent: DataFrame, keys) -> DataFrame:
-    """Existence check on the parent's whole natural key. The parent is a
-    staged Parquet table, so Spark sizes it from its files and broadcasts it
-    when under the broadcast threshold (AQE re-checks at run time); no join
-    here is on the cluster alone."""
-    return rows.join(parent.select(*keys), list(keys), "left_semi")
+def _after(rows: DataFrame, seen: DataFrame, kind: str) -> DataFrame:
+    """Rows of captures after the last applied one of their cluster (a
+    replayed or older capture changes nothing)."""
+    last = seen.filter(F.col("kind") == kind).select(CK, "seen_at")
+    return (lookup(rows, last, [CK], "left")
+            .filter(F.col("seen_at").isNull() | (F.col("captured_at") > F.col("seen_at"))).drop("seen_at"))
+
+
+def capture_order(rows: DataFrame) -> DataFrame:
+    """(k_cluster_id, captured_at, complete, rank): the captures in ``rows`` and, for complete ones, their
+    rank in the cluster. A capture is complete when all of its chunks are there."""
+    caps = rows.groupBy(CK, "captured_at").agg(F.max("chunk_count").alias("_count"),
+                                               F.count_distinct("chunk_index").alias("_chunks"))
+    caps = caps.select(CK, "captured_at",
+                       F.coalesce(F.col("_chunks") >= F.col("_count"), F.lit(True)).alias("complete"))
+    ranks = capture_ranks(caps.filter("complete").select(CK, F.col("captured_at").alias(NOW)), [CK])
+    return lookup(caps, ranks.select(CK, F.col(NOW).alias("captured_at"), F.col("_rank").alias("rank")),
+                  [CK, "captured_at"], "left")
+
+
+def _submitted(snap: DataFrame) -> dict[str, int]:
+    """Rows given for each table that resolves keys, before any lookup (one pass over the snapshot)."""
+    def n(items: Column) -> Column:
+        return F.coalesce(F.array_size(items).cast("long"), F.lit(0).cast("long"))
+
+    def inner(items: Column, count) -> Column:
+        total = F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + count(x))
+        return F.coalesce(total, F.lit(0).cast("long"))
+
+    counts = {
+        "node_configs": inner(F.col("node_configs"), lambda x: n(x["entries"])),
+        "topic_configs": inner(F.col("topic_configs"), lambda x: n(x["entries"])),
+        "topic_partitions": inner(F.col("topic_descriptions"), lambda x: n(x["partitions"])),
+        "partition_replicas": inner(F.col("topic_descriptions"),
+                                    lambda x: inner(x["partitions"], lambda p: n(p["replicas"]))),
+        "consumer_groups": n(F.col("consumer_groups")),
+        "consumer_group_members": inner(F.col("consumer_groups"), lambda x: n(x["members"])),
+        "consumer_group_member_assignments": inner(F.col("consumer_groups"),
+                                                   lambda x: inner(x["members"], lambda m: n(m["assignments"]))),
+        "acl_bindings": n(F.col("acl_bindings")),
+    }
+    row = snap.agg(*[F.sum(c).alias(t) for t, c in counts.items()]).first()
+    return {t: int(row[t] or 0) for t in counts}
 
 
 class _Run:
-    """One refresh in progress: merges, cascades and staged writes."""
-
-    def __init__(self, store: StateStore, epoch, strategy, bound, stream=None):
-        self.store, self.epoch, self.strategy, self.bound, self.stream = store, epoch, strategy, bound, stream
-        head = store.latest()                 # one read of the commit log per refresh
-        self.version, self.where = store.begin(head)
-        self.state = store.read_all(head=head)
-        self.scopes: dict[str, DataFrame] = {}
+    """One version in progress: merges, cascades and staged writes for the touched clusters."""
+
+    def __init__(self, store: StateStore, touched: DataFrame, incremental: bool = False):
+        self.store, self.incremental = store, incremental
+        self.head = store.latest()            # one read of the commit log per version
+        self.version = store.begin(self.head)
+        self.touched = store.stage_side(self.version, "clusters", touched.select(CK).distinct())
         self.new: dict[str, DataFrame] = {}
+        self.staged: dict[str, DataFrame] = {}
         self.removed: dict[str, DataFrame] = {}
         self.counts: list[tuple[str, str, int]] = []
+        self.given: dict[str, int] = {}
         self.lock = threading.Lock()
 
-    def resolve_strategy(self, batch_clusters: DataFrame) -> None:
-        """Pick the merge plan once per refresh from the two small cluster
-        tables: a batch holding under a tenth of the known clusters is an
-        incremental capture (per table: broadcast plan if the snapshot rows
-        are within the bound), anything else is a full capture (full outer
-        plan, no per-table counts)."""
-        if self.strategy != "auto":
-            return
-        n_batch = batch_clusters.select(CK).distinct().count()
-        known = self.state["clusters"].select(CK)
-        need = 10 * max(n_batch, 1)
-        self.strategy = "incremental" if known.limit(need).count() >= need else "full"
-
-    def _merge_strategy(self, source: DataFrame) -> str:
-        if self.strategy != "incremental":
-            return self.strategy
-        from snaptide.operators.joins import bounded_count
-        return "small" if bounded_count(source, self.bound) <= self.bound else "full"
+    def state(self, name: str) -> DataFrame:
+        """Stored rows of the touched clusters; other clusters' files are not read."""
+        return existing(self.store.read(name, head=self.head or {"tables": {}}), self.touched, [CK])
+
+    def table(self, name: str) -> DataFrame:
+        return self.new[name] if name in self.new else self.state(name)
 
     def scope(self, snap: DataFrame, section: str) -> DataFrame:
-        """Scope of a section: one row per cluster whose capture read it,
-        collected once (bounded) into a small local frame."""
-        if section not in self.scopes:
-            sc = fl.section_scope(snap, section)
-            rows = sc.limit(self.bound + 1).collect()
-            if len(rows) > self.bound:
-                raise ValueError(f"more than {self.bound} clusters in one refresh")
-            self.scopes[section] = sc.sparkSession.createDataFrame(rows, sc.schema)
-        return self.scopes[section]
+        """(k_cluster_id, refreshed_at) of the clusters whose capture read ``section``, as a small table."""
+        return self.store.stage_side(self.version, f"scope-{section}", fl.section_scope(snap, section))
 
     def _cascade(self, name: str, table: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         """Drop rows whose parent (declared or extra) was removed earlier in this run."""
         lost = []
         spec = TABLES[name]
         links = [(spec.parent, spec.parent_keys)] if spec.parent and spec.parent != "clusters" else []
-        links += [(p, keys) for p, keys, _ in EXTRA_PARENTS.get(name, [])]
-        for parent, keys in links:
+        for parent, keys in links + EXTRA_PARENTS.get(name, []):
             gone = self.removed.get(parent)
             if gone is None:
                 continue
             if parent == "acl_resources":
                 gone = gone.withColumnRenamed("name", "resource_name")
-            table, out = cascade(table, gone, list(keys), self.bound)
+            table, out = cascade(table, gone, list(keys))
             lost.append(out)
         return table, lost
 
-    def _stage(self, name: str, table: DataFrame, removed: list[DataFrame]) -> None:
+    def stage(self, name: str, table: DataFrame, touched: DataFrame | None = None) -> None:
         self.new[name] = self.store.stage(self.version, name, table)
-        self.where[name] = self.version
-        self._stage_removed(name, removed)
+        with self.lock:
+            self.staged[name] = self.touched if touched is None else touched
 
     def _stage_removed(self, name: str, removed: list[DataFrame]) -> None:
         cols = list(TABLES[name].columns)
         if removed:
             gone = reduce(DataFrame.unionByName, [r.select(*cols) for r in removed])
-            self.removed[name] = self.store.stage(self.version, f"_removed/{name}", gone, columns=cols)
+            self.removed[name] = self.store.stage_side(self.version, f"removed-{name}", gone)
 
-    def merge(self, name: str, source: DataFrame, scope: DataFrame | None = None) -> None:
-        spec = TABLES[name]
-        merged = merge_snapshot(self.state[name], source, spec, scope=scope if spec.delete_stale else None,
-                                strategy=self._merge_strategy(source), broadcast_rows=self.bound,
-                                dup_counts=True, scope_small=scope is not None).persist()
+    def write(self, name: str, merged: DataFrame) -> None:
+        """Stage the survivors of a merge (``action``, ``_dups``), count it (A5 / A6) and note what was removed."""
+        merged = merged.persist()
         try:
-            # A5 / A6 counted while the table is written (no extra job)
-            obs = Observation(f"refresh_{name}_{self.version}")
-            watched = merged.observe(obs, *accounting_metrics())
-            kept, lost = self._cascade(name, survivors(watched))
-            self.new[name] = self.store.stage(self.version, name, kept)
-            self.where[name] = self.version
-            metrics = obs.get
+            kept, lost = self._cascade(name, survivors(merged))
+            self.stage(name, kept)
+            # one small aggregate over the rows still cached from the write
+            counts = {m: int(v or 0) for m, v in merged.agg(*accounting_metrics()).first().asDict().items()}
+            found = counts["submitted"]
+            counts["submitted"] = self.given.get(name, found)
+            counts["unresolved"] = counts["submitted"] - found
             with self.lock:
-                self.counts += [(name, m, int(v or 0)) for m, v in metrics.items()]
-            self._stage_removed(name, ([deleted(merged)] if metrics.get("delete") else []) + lost)
+                self.counts += [(name, m, v) for m, v in counts.items()]
+            self._stage_removed(name, ([deleted(merged)] if counts["delete"] else []) + lost)
         finally:
             merged.unpersist()
 
+    def merge(self, name: str, source: DataFrame, scope: DataFrame | None = None) -> None:
+        spec = TABLES[name]
+        self.write(name, merge_snapshot(self.state(name), source, spec, scope=scope if spec.delete_stale else None,
+                                        incremental=self.incremental, dup_counts=True))
+
     def carry(self, name: str) -> None:
         """A table this refresh does not merge: only cascades may remove rows."""
-        kept, lost = self._cascade(name, self.state[name])
+        kept, lost = self._cascade(name, self.state(name))
         if lost:
-            self._stage(name, kept, lost)
-        else:
-            self.new[name] = kept
+            self.stage(name, kept)
+            self._stage_removed(name, lost)
 
-    def finish(self) -> RefreshResult:
-        for name in TABLES:
-            self.new.setdefault(name, self.state[name])
-        self.store.commit(self.version, self.where, self.epoch, self.stream)
+    def finish(self, epoch: int | None, stream: str | None) -> RefreshResult:
+        self.store.commit(self.version, self.staged, epoch, stream, self.head)
         acct = None
         if self.counts:
             acct = self.store.spark.createDataFrame(self.counts, "table_name string, metric string, value long")
-        return RefreshResult(dict(self.new), dict(self.removed), acct, self.version)
+        return RefreshResult(self.store.read_all(), dict(self.removed), acct, self.version)
 
 
 def _run_level(steps) -> None:
@@ -190,123 +204,232 @@ def _run_level(steps) -> None:
             f.result()
 
 
+def _seen_after(run: _Run, times: DataFrame, kind: str) -> DataFrame:
+    """The touched clusters' seen times with those of ``times`` (k_cluster_id, captured_at) for ``kind``."""
+    mine = times.groupBy(CK).agg(F.max("captured_at").alias("seen_at")).select(CK, F.lit(kind).alias("kind"), "seen_at")
+    both = run.state("_seen").unionByName(mine)
+    return both.groupBy(CK, "kind").agg(F.max("seen_at").alias("seen_at"))
+
+
+def _apply(run: _Run, snap: DataFrame, names: set[str], parallel: bool) -> None:
+    """Merge one capture of each touched cluster, parents before children."""
+    run.given = _submitted(snap)
+    topic_scope = run.scope(snap, "topics")
+    group_scope = run.scope(snap, "consumer_groups")
+    acl_scope = run.scope(snap, "acl_bindings")
+    t = run.table
+
+    def bindings():
+        b = existing(fl.acl_bindings(snap), t("acl_resources").withColumnRenamed("name", "resource_name"),
+                     [CK, "resource_type", "resource_name", "pattern_type"])
+        return existing(b, t("acl_entries"), [CK, "principal", "host", "operation", "permission_type"])
+
+    def replicas():
+        reps = existing(fl.replicas(snap), t("topic_partitions"), [CK, "k_topic_id", "k_partition_id"])
+        return existing(reps, t("nodes"), [CK, "k_node_id"])
+
+    def groups():
+        return existing(fl.consumer_groups(snap), t("nodes").withColumnRenamed("k_node_id", "coordinator_id"),
+                        [CK, "coordinator_id"])
+
+    def partitions():
+        return existing(fl.partitions(snap).select(CK, NOW, "k_topic_id", "k_partition_id"), t("topics"),
+                        [CK, "k_topic_id"])
+
+    def assignments():
+        return resolve_assignments(fl.member_assignments(snap), t("consumer_group_members"), t("topics"),
+                                   t("topic_partitions"))
+
+    sources = {
+        "clusters": (lambda: fl.clusters(snap), None),
+        "nodes": (lambda: fl.all_nodes(snap), None),
+        "topics": (lambda: fl.topics(snap), topic_scope),
+        "acl_resources": (lambda: fl.acl_resources(snap), acl_scope),
+        "acl_entries": (lambda: fl.acl_entries(snap), acl_scope),
+        "node_configs": (lambda: existing(fl.node_configs(snap), t("nodes"), [CK, "k_node_id"]), None),
+        "topic_configs": (lambda: existing(fl.topic_configs(snap), t("topics"), [CK, "k_topic_id"]), None),
+        "topic_partitions": (partitions, None),
+        "consumer_groups": (groups, group_scope),
+        "acl_bindings": (bindings, acl_scope),
+        "partition_replicas": (replicas, None),
+        "consumer_group_members": (lambda: existing(fl.group_members(snap), t("consumer_groups"), [CK, "group_id"]),
+                                   group_scope),
+        "consumer_group_member_assignments": (assignments, group_scope),
+    }
+    levels = [
+        ["clusters", "nodes", "topics", "acl_resources", "acl_entries"],
+        ["node_configs", "topic_configs", "topic_partitions", "consumer_groups", "acl_bindings"],
+        ["partition_replicas", "partition_offsets", "consumer_group_members"],
+        ["consumer_group_member_assignments", "consumer_group_offsets"],
+    ]
+
+    def step(name: str):
+        def go() -> None:
+            if name in names and name in sources:
+                make, scope = sources[name]
+                run.merge(name, make(), scope)
+            else:
+                run.carry(name)
+        return go
+
+    for level in levels:
+        steps = [step(name) for name in level]
+        if parallel:
+            _run_level(steps)
+        else:
+            for go in steps:
+                go()
+        if "topics" in level and "topics" in run.staged and not duplicate_topic_names(run.new["topics"]).isEmpty():
+            raise DuplicateTopicName("a topic name is held by several current topics of a cluster")  # Q11
+
+
 def refresh_metadata(store: StateStore, snapshots: DataFrame, *, epoch: int | None = None,
-                     strategy: str = "auto", bound: int = DEFAULT_BROADCAST_ROWS,
-                     stream: str | None = None, parallel: bool = True) -> RefreshResult:
-    """Apply the newest capture per cluster to the state in ``store`` and
-    commit a new version. Tables are processed parents first, level by level
-    (tables of one level do not depend on each other and run concurrently
-    when ``parallel``); each table's final state (merge, then removal of
-    children of removed parents) is written once and read back for the
-    tables after it."""
-    run = _Run(store, epoch, strategy, bound, stream)
-    snap = newest_per_cluster(snapshots, run.state["clusters"], bound).persist()
-    new = run.new
+                     incremental: bool = False, stream: str | None = None, parallel: bool = True,
+                     tables=None) -> RefreshResult:
+    """Apply every complete capture of ``snapshots`` (and of the chunks kept
+    from earlier inputs) that is after its cluster's last one, in order.
+
+    Tables are processed parents first, level by level (tables of one level do
+    not depend on each other and run concurrently when ``parallel``).
+    ``tables``: merge only these (children of removed rows go all the same).
+    ``incremental``: the captures are far smaller than the touched clusters'
+    state. The result's ``removed`` and ``accounting`` cover all captures.
+    """
+    names = set(METADATA_TABLES if tables is None else tables)
+    head = store.latest() or {"tables": {}}
+    marks = [F.col(c) if c in snapshots.columns else F.lit(None).cast("int").alias(c) for c in ("chunk_index", "chunk_count")]
+    given = snapshots.select(*[c for c in SNAPSHOT.fieldNames() if not c.startswith("chunk_")], *marks)
+    kept = store.read("_pending", head=head)
+    rows = _after(given.unionByName(kept), store.read("_seen", head=head), "metadata").persist()
     try:
-        run.resolve_strategy(snap)
-        topic_scope = run.scope(snap, "topics")
-        group_scope = run.scope(snap, "consumer_groups")
-        acl_scope = run.scope(snap, "acl_bindings")
-
-        def bindings():
-            b = _semi(fl.acl_bindings(snap), new["acl_resources"].withColumnRenamed("name", "resource_name"),
-                      [CK, "resource_type", "resource_name", "pattern_type"])
-            b = _semi(b, new["acl_entries"], [CK, "principal", "host", "operation", "permission_type"])
-            run.merge("acl_bindings", b, acl_scope)
-
-        def replicas():
-            reps = _semi(fl.replicas(snap), new["topic_partitions"], [CK, "k_topic_id", "k_partition_id"])
-            run.merge("partition_replicas", _semi(reps, new["nodes"], [CK, "k_node_id"]))
-
-        def groups():
-            coord = new["nodes"].select(CK, F.col("k_node_id").alias("coordinator_id"))
-            run.merge("consumer_groups", _semi(fl.consumer_groups(snap), coord, [CK, "coordinator_id"]), group_scope)
-
-        def assignments():
-            a = resolve_topic(fl.member_assignments(snap), new["topics"])
-            a = _semi(a, new["consumer_group_members"], [CK, "group_id", "member_id"])
-            a = _semi(a, new["topic_partitions"], [CK, "k_topic_id", "k_partition_id"])
-            run.merge("consumer_group_member_assignments", a, group_scope)
-
-        levels = [
-            [lambda: run.merge("clusters", fl.clusters(snap)),
-             lambda: run.merge("nodes", fl.all_nodes(snap, bound)),
-             lambda: run.merge("topics", fl.topics(snap), topic_scope),
-             lambda: run.merge("acl_resources", fl.acl_resources(snap), acl_scope),
-             lambda: run.merge("acl_entries", fl.acl_entries(snap), acl_scope)],
-            [lambda: run.merge("node_configs", _semi(fl.node_configs(snap), new["nodes"], [CK, "k_node_id"])),
-             lambda: run.merge("topic_configs", _semi(fl.topic_configs(snap), new["topics"], [CK, "k_topic_id"])),
-             lambda: run.merge("topic_partitions",
-                               _semi(fl.partitions(snap).select(CK, NOW, "k_topic_id", "k_partition_id"),
-                                     new["topics"], [CK, "k_topic_id"])),
-             groups, bindings],
-            [replicas, lambda: run.carry("partition_offsets"),
-             lambda: run.merge("consumer_group_members",
-                               _semi(fl.group_members(snap), new["consumer_groups"], [CK, "group_id"]),
-                               group_scope)],
-            [assignments, lambda: run.carry("consumer_group_offsets")],
-        ]
-        for level in levels:
-            if parallel:
-                _run_level(level)
-            else:
-                for step in level:
-                    step()
-        return run.finish()
+        version = store.begin(store.latest())
+        order = store.stage_side(version, "captures", capture_order(rows))
+        last = order.agg(F.max("rank").alias("r")).first().r or 0
+        removed: dict[str, DataFrame] = {}
+        counts: list[DataFrame] = []
+        result = None
+        for rank in range(1, last + 1):
+            now = order.filter(F.col("rank") == rank).select(CK, "captured_at")
+            snap = lookup(rows, now, [CK, "captured_at"], "left_semi").persist()
+            try:
+                run = _Run(store, now, incremental)
+                _apply(run, snap, names, parallel)
+                run.stage("_seen", _seen_after(run, now, "metadata"))
+                if rank == last:
+                    _keep_pending(run, rows, order)
+                result = run.finish(epoch if rank == last else None, stream)
+            finally:
+                snap.unpersist()
+            for name, gone in result.removed.items():
+                removed[name] = removed[name].unionByName(gone) if name in removed else gone
+            if result.accounting is not None:
+                counts.append(result.accounting)
+        if result is None:
+            # nothing complete: chunks are kept, the epoch is noted
+            run = _Run(store, order.select(CK))
+            _keep_pending(run, rows, order)
+            result = run.finish(epoch, stream)
+        result.removed = removed
+        if counts:
+            every = reduce(DataFrame.unionByName, counts)
+            result.accounting = every.groupBy("table_name", "metric").agg(F.sum("value").alias("value"))
+        return result
     finally:
-        snap.unpersist()
+        rows.unpersist()
 
 
-def _newest_capture(captures: DataFrame, state: DataFrame, bound: int) -> DataFrame:
-    """The newest capture per cluster, if newer than the cluster's rows in
-    ``state`` (a grouped max, tiny): re-running an old capture changes nothing."""
-    seen = state.groupBy(CK).agg(F.max(NOW).alias(NOW))
-    return newest_per_cluster(captures, seen, bound)
+def _keep_pending(run: _Run, rows: DataFrame, order: DataFrame) -> None:
+    """Keep chunk rows of captures that are not complete and after all complete ones of their cluster."""
+    done = order.filter("complete").groupBy(CK).agg(F.max("captured_at").alias("_done"))
+    open_caps = (lookup(order.filter("not complete").select(CK, "captured_at"), done, [CK], "left")
+                 .filter(F.col("_done").isNull() | (F.col("captured_at") > F.col("_done"))).select(CK, "captured_at"))
+    run.stage("_pending", lookup(rows, open_caps, [CK, "captured_at"], "left_semi"), order.select(CK).distinct())
 
 
 def refresh_offsets(store: StateStore, group_offsets: DataFrame | None = None,
                     partition_offsets: DataFrame | None = None, record_log: DataFrame | None = None, *,
-                    epoch: int | None = None, strategy: str = "auto", bucket: int = DEFAULT_BUCKET,
-                    bound: int = DEFAULT_BROADCAST_ROWS, metadata: StateStore | None = None,
-                    stream: str | None = None) -> RefreshResult:
+                    group_reads: DataFrame | None = None, epoch: int | None = None, bucket: int = DEFAULT_BUCKET,
+                    metadata: StateStore | None = None, stream: str | None = None) -> RefreshResult:
     """Offset refresh (M11 + V1 + X5, M12 + V2) against the committed
     metadata state; commits a new version holding the two offset tables.
 
-    ``group_offsets``: GROUP_OFFSETS rows (the newest capture per cluster is
-    applied). ``record_log``: (k_cluster_id?, topic, partition, offset,
-    timestamp), used to find the time of the record at each committed offset;
-    without it offset timestamps are NULL. ``partition_offsets``:
-    PARTITION_OFFSETS rows. ``metadata``: a separate store holding the
-    metadata tables (so a metadata stream and an offset stream each write
-    their own store); by default ``store`` itself."""
-    run = _Run(store, epoch, strategy, bound, stream)
-    tables = dict(run.state)
-    if metadata is not None:
-        meta = metadata.read_all()
-        tables.update({n: meta[n] for n in TABLES if n not in ("consumer_group_offsets", "partition_offsets")})
-    if group_offsets is not None:
-        go = _newest_capture(group_offsets, tables["consumer_group_offsets"], bound)
-        run.resolve_strategy(go)
-        if record_log is not None:
-            keys = ([CK] if CK in record_log.columns else []) + ["topic", "partition"]
-            log = record_log.select(*keys, "offset", "timestamp")
-            go = attach_offset_timestamps(go, log, keys, bucket=bucket, bound=bound)
+    ``group_offsets``: GROUP_OFFSETS rows of any number of captures.
+    ``group_reads``: GROUP_READS rows, the groups each capture read; offsets of
+    a group that was read and has no row go (X5), also when its cluster has no
+    commits at all. Without it a capture has read the groups it has rows of.
+    ``record_log``: RECORD_LOG rows, to find the time of the record at each
+    committed offset; without it offset timestamps are NULL.
+    ``partition_offsets``: PARTITION_OFFSETS rows. ``metadata``: a separate
+    store holding the metadata tables (so a metadata stream and an offset
+    stream each write their own store); by default ``store`` itself. Stored
+    offsets whose partition or group is no longer in the metadata go first (K3).
+    """
+    head = store.latest() or {"tables": {}}
+    seen = store.read("_seen", head=head)
+    go = reads = po = None
+    times: dict[str, DataFrame] = {}
+    if group_offsets is not None or group_reads is not None:
+        if group_offsets is not None:
+            go = _after(group_offsets, seen, "group_offsets")
+            reads = go.select(CK, "captured_at", "group_id").distinct()
+        if group_reads is not None:
+            listed = _after(group_reads, seen, "group_offsets").filter("read").select(CK, "captured_at", "group_id")
+            reads = listed.distinct() if reads is None else reads.unionByName(listed).distinct()
+            times["group_offsets"] = _after(group_reads, seen, "group_offsets").select(CK, "captured_at").distinct()
         else:
-            go = go.withColumn("offset_timestamp", F.lit(None).cast("timestamp"))
-        src = go.select(CK, F.col("captured_at").alias(NOW), "group_id", "topic",
-                        F.col("partition").alias("k_partition_id"), "offset", "offset_timestamp", "metadata",
-                        F.col("leader_epoch").cast("bigint").alias("leader_epoch"))
-        src = resolve_group_offsets(src, tables["consumer_groups"], tables["topics"], tables["topic_partitions"])
-        scope = go.select(CK, F.col("captured_at").alias(NOW)).distinct()
-        rows = scope.limit(bound + 1).collect()
-        if len(rows) > bound:
-            raise ValueError(f"more than {bound} clusters in one refresh")
-        run.merge("consumer_group_offsets", src, scope.sparkSession.createDataFrame(rows, scope.schema))
+            times["group_offsets"] = reads.select(CK, "captured_at").distinct()
     if partition_offsets is not None:
-        po = clean_partition_offsets(_newest_capture(partition_offsets, tables["partition_offsets"], bound))
-        run.resolve_strategy(po)
-        run.merge("partition_offsets", resolve_partition_offsets(po, tables["topic_partitions"]))
-    return run.finish()
-
-
-__all__ = ["refresh_metadata", "refresh_offsets", "newest_per_cluster", "empty_tables", "RefreshResult"]
+        po = _after(partition_offsets, seen, "partition_offsets")
+        times["partition_offsets"] = po.select(CK, "captured_at").distinct()
+    if not times:
+        raise ValueError("no captures given")
+    run = _Run(store, reduce(DataFrame.unionByName, list(times.values())))
+    source = metadata or store
+    meta_head = source.latest() or {"tables": {}}
+    meta = {n: existing(source.read(n, head=meta_head), run.touched, [CK])
+            for n in ("topics", "topic_partitions", "consumer_groups")}
+
+    if reads is not None:
+        spec = TABLES["consumer_group_offsets"]
+        history = _group_history(run, go, record_log, bucket, meta)
+        state = existing(run.state("consumer_group_offsets"), meta["consumer_groups"], [CK, "group_id"])
+        state = existing(state, meta["topic_partitions"], [CK, "k_topic_id", "k_partition_id"])
+        known = run.store.stage_side(run.version, "reads", reads.select(CK, "group_id", F.col("captured_at").alias(NOW)))
+        run.write("consumer_group_offsets", fold(state, history, spec, reads=known, scope=(CK, "group_id")))
+    if po is not None:
+        spec = TABLES["partition_offsets"]
+        cleaned = clean_partition_offsets(po)
+        history = run.store.stage_side(run.version, "history-partition", resolve_partition_offsets(
+            cleaned, meta["topic_partitions"]))
+        run.given["partition_offsets"] = po.count()
+        state = existing(run.state("partition_offsets"), meta["topic_partitions"], [CK, "k_topic_id", "k_partition_id"])
+        run.write("partition_offsets", fold(state, history, spec))
+    marks = reduce(DataFrame.unionByName, [t.withColumn("kind", F.lit(kind)) for kind, t in times.items()])
+    newest = marks.groupBy(CK, "kind").agg(F.max("captured_at").alias("seen_at"))
+    run.stage("_seen", run.state("_seen").unionByName(newest.select(CK, "kind", "seen_at"))
+               .groupBy(CK, "kind").agg(F.max("seen_at").alias("seen_at")))
+    return run.finish(epoch, stream)
+
+
+def _group_history(run: _Run, go: DataFrame | None, record_log: DataFrame | None, bucket: int, meta) -> DataFrame:
+    """Captured commits with their record times, keys resolved, as a written table."""
+    spec = TABLES["consumer_group_offsets"]
+    if go is None:
+        return run.store.spark.createDataFrame([], run.state("consumer_group_offsets").select(*spec.keys, *spec.attrs, NOW).schema)
+    run.given["consumer_group_offsets"] = go.count()
+    rows = go.select(CK, F.col("captured_at").alias(NOW), "group_id", "topic",
+                     F.col("partition").alias("k_partition_id"), "offset", "metadata",
+                     F.col("leader_epoch").cast("bigint").alias("leader_epoch"))
+    if record_log is not None:
+        if CK not in record_log.columns:
+            raise ValueError(f"a record log needs {CK}: topics of one name in two clusters are two logs")
+        keys = [CK, "topic", "k_partition_id"]
+        log = record_log.select(CK, "topic", F.col("partition").alias("k_partition_id"), "offset", "timestamp")
+        rows = attach_offset_timestamps(rows, log, keys, bucket=bucket)
+    else:
+        rows = rows.withColumn("offset_timestamp", F.lit(None).cast("timestamp"))
+    found = resolve_group_offsets(rows, meta["consumer_groups"], meta["topics"], meta["topic_partitions"])
+    return run.store.stage_side(run.version, "history-group", found.select(*spec.keys, *spec.attrs, NOW))
+
+
+__all__ = ["refresh_metadata", "refresh_offsets", "capture_order", "DuplicateTopicName", "RefreshResult"]

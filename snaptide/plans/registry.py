@@ -40,7 +40,7 @@ def register(name: str, sql: str | None = None):
 
 # ------------------------------------------------------------ topics (M4/X1) --
 
-def topics_merge(spark: SparkSession, sf_dir: str, delete: bool, strategy: str = "auto") -> DataFrame:
+def topics_merge(spark: SparkSession, sf_dir: str, delete: bool, incremental: bool = False) -> DataFrame:
     """Minimum slice: flatten the topics of two captures (F3), merge the second
     into the state built from the first (M4), remove stale topics (X1)."""
     orders = Tables(spark, sf_dir).orders.select("o_orderkey", "o_custkey", "o_orderpriority")
@@ -49,9 +49,9 @@ def topics_merge(spark: SparkSession, sf_dir: str, delete: bool, strategy: str =
     spec = TABLES["topics"]
     if not delete:
         spec = spec.__class__(**{**spec.__dict__, "delete_stale": False})
-    state = survivors(merge_snapshot(None, fl.topics(snap_a), spec, strategy=strategy))
+    state = survivors(merge_snapshot(None, fl.topics(snap_a), spec))
     merged = merge_snapshot(state, fl.topics(snap_b), spec, scope=fl.section_scope(snap_b, "topics"),
-                            strategy=strategy)
+                            incremental=incremental)
     return to_ntz(merged, *AUDIT_NTZ)
 
 
@@ -76,22 +76,21 @@ def merge_keep_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
           two_snapshot_merge_sql(TOPICS_SQL["A"], TOPICS_SQL["B"], ["k_cluster_id", "k_topic_id"],
                                  _TOPIC_CMP, delete="scope"))
 def merge_delete_stale_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Same as ``merge_delete_stale`` with the full outer sort-merge plan forced."""
-    return topics_merge(spark, sf_dir, delete=True, strategy="full")
+    """The same rows by the plan for captures far smaller than the state (left join, anti join, union)."""
+    return topics_merge(spark, sf_dir, delete=True, incremental=True)
 
 
 # ------------------------------------------------- generic two-capture merges --
 
-def two_capture_merge(a: DataFrame, b: DataFrame, spec, delete: bool, strategy: str = "full",
+def two_capture_merge(a: DataFrame, b: DataFrame, spec, delete: bool,
                       scope: DataFrame | None = None, dedupe_order=()) -> DataFrame:
     """State from capture A, then capture B merged into it. Both are full
-    captures (about as large as the state), so the full outer plan is the
-    right one and is stated, not probed."""
+    captures (about as large as the state)."""
     spec = spec.__class__(**{**spec.__dict__, "delete_stale": delete})
-    state = survivors(merge_snapshot(None, a, spec, strategy=strategy, dedupe_order=dedupe_order))
+    state = survivors(merge_snapshot(None, a, spec, dedupe_order=dedupe_order))
     if delete and scope is None:
         scope = b.select("k_cluster_id", "refreshed_at").distinct()
-    merged = merge_snapshot(state, b, spec, scope=scope, strategy=strategy, dedupe_order=dedupe_order)
+    merged = merge_snapshot(state, b, spec, scope=scope, dedupe_order=dedupe_order)
     return to_ntz(merged, *AUDIT_NTZ)
 
 
@@ -235,13 +234,16 @@ def merge_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_capture_merge(a, b, _spec("li", _LI_KEYS, _LI_CMP), delete=True)
 
 
+_ACC_KNOWN = "l_partkey IN (SELECT p_partkey FROM part WHERE p_partkey % 9 <> 0)"
 _ACC_SQL = f"""
-WITH src AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 10 <> 1),
-g AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM src GROUP BY ALL),
+WITH src AS (SELECT l_orderkey, l_linenumber, {_ACC_KNOWN} AS known FROM lineitem WHERE l_orderkey % 10 <> 1),
+g AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM src WHERE known GROUP BY ALL),
 m AS ({two_snapshot_merge_sql(_li_sql("l_orderkey % 10 <> 0", "l_quantity"),
-                              _li_sql("l_orderkey % 10 <> 1", _LI_QTY_B), _LI_KEYS, _LI_CMP, delete="scope")}),
+                              _li_sql(f"l_orderkey % 10 <> 1 AND {_ACC_KNOWN}", _LI_QTY_B), _LI_KEYS, _LI_CMP,
+                              delete="scope")}),
 acts AS (SELECT * FROM (VALUES ('insert'), ('update'), ('touch'), ('keep'), ('delete')) v(action))
-SELECT 'lineitem' AS table_name, 'submitted' AS metric, CAST(sum(n) AS BIGINT) AS value FROM g
+SELECT 'lineitem' AS table_name, 'submitted' AS metric, count(*) AS value FROM src
+UNION ALL SELECT 'lineitem', 'unresolved', count(*) FILTER (WHERE NOT known) FROM src
 UNION ALL SELECT 'lineitem', 'keys', count(*) FROM g
 UNION ALL SELECT 'lineitem', 'duplicate_keys', count(*) FILTER (WHERE n > 1) FROM g
 UNION ALL SELECT 'lineitem', acts.action, (SELECT count(*) FROM m WHERE m.action = acts.action) FROM acts
@@ -250,10 +252,16 @@ UNION ALL SELECT 'lineitem', acts.action, (SELECT count(*) FROM m WHERE m.action
 
 @register("refresh_accounting", _ACC_SQL)
 def refresh_accounting_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows submitted, keys, duplicate keys and rows per action."""
+    """Rows submitted, rows whose part is unknown, keys, duplicate keys and rows per action."""
     from snaptide.operators.accounting import refresh_accounting
+    from snaptide.operators.joins import existing
     a, b = _li_captures(spark, sf_dir)
-    merged = two_capture_merge(a, b, _spec("li", _LI_KEYS, _LI_CMP), delete=True)
+    parts = Tables(spark, sf_dir).part.filter(F.col("p_partkey") % 9 != 0).withColumnRenamed("p_partkey", "l_partkey")
+    spec = _spec("li", _LI_KEYS, _LI_CMP)
+    spec = spec.__class__(**{**spec.__dict__, "delete_stale": True})
+    state = survivors(merge_snapshot(None, a, spec))
+    merged = merge_snapshot(state, existing(b, parts, ["l_partkey"]), spec, dup_counts=True,
+                            scope=b.select("k_cluster_id", "refreshed_at").distinct())
     return refresh_accounting("lineitem", b, merged, _LI_KEYS)
 
 
@@ -287,8 +295,8 @@ def merge_small_source(spark: SparkSession, sf_dir: str) -> DataFrame:
          .select(*cols, F.when(k % 7 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")).alias("l_quantity"),
                  "l_discount", ts(T1).alias("refreshed_at")))
     spec = _spec("ls", _LS_KEYS, _LS_CMP)
-    state = survivors(merge_snapshot(None, a, spec, strategy="full"))
-    return to_ntz(merge_snapshot(state, b, spec, strategy="small"), *AUDIT_NTZ)
+    state = survivors(merge_snapshot(None, a, spec))
+    return to_ntz(merge_snapshot(state, b, spec, incremental=True), *AUDIT_NTZ)
 
 
 # ------------------------------------------------------------ cascade (K3) --
@@ -320,9 +328,8 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = (cust.filter(F.col("c_custkey") % 10 != 1)
          .select(cluster_of("c_custkey").alias("k_cluster_id"), "c_custkey", ts(T1).alias("refreshed_at")))
     spec = _spec("customers", keys).__class__(name="customers", keys=tuple(keys), delete_stale=True)
-    state = survivors(merge_snapshot(None, a, spec, strategy="full"))
-    gone_c = deleted(merge_snapshot(state, b, spec, scope=b.select("k_cluster_id", "refreshed_at").distinct(),
-                                    strategy="full"))
+    state = survivors(merge_snapshot(None, a, spec))
+    gone_c = deleted(merge_snapshot(state, b, spec, scope=b.select("k_cluster_id", "refreshed_at").distinct()))
     orders = t.orders.select(cluster_of("o_custkey").alias("k_cluster_id"), "o_custkey", "o_orderkey")
     # a line carries its order's cluster (children carry their parents' keys)
     lines = (t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
@@ -386,7 +393,7 @@ def lookup_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     x = lookup(lines, orders.withColumnRenamed("o_orderkey", "l_orderkey"), ["l_orderkey"])
     x = lookup(x, cust.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), ["o_custkey"])
-    x = lookup(x, nation.withColumnRenamed("n_nationkey", "c_nationkey"), ["c_nationkey"], bound=100_000)
+    x = lookup(x, nation.withColumnRenamed("n_nationkey", "c_nationkey"), ["c_nationkey"])
     return x.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "o_custkey", "c_nationkey",
                     "n_regionkey")
 
@@ -425,7 +432,7 @@ def lookup_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
              .select("resource_name", "principal").distinct())
     resources = sup.filter(F.col("s_nationkey") != 3).select(F.col("s_name").alias("resource_name"), "s_suppkey")
     entries = cust.select(F.col("c_name").alias("principal"), "c_custkey")
-    x = lookup(pairs, resources, ["resource_name"], bound=1_000_000)
+    x = lookup(pairs, resources, ["resource_name"])
     return lookup(x, entries, ["principal"]).select("resource_name", "principal", "s_suppkey", "c_custkey")
 
 
@@ -539,7 +546,7 @@ def live_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     configs = t.lineitem.select(F.col("l_suppkey").cast("int").alias("k_node_id"),
                                 F.concat(F.lit("flag-"), F.col("l_returnflag")).alias("name"),
                                 F.col("l_linestatus").alias("value")).distinct()
-    return lookup(configs, live.select("k_node_id"), ["k_node_id"], how="left_semi", bound=1_000_000)
+    return lookup(configs, live.select("k_node_id"), ["k_node_id"], how="left_semi")
 
 
 # ------------------------------------------ nested flatten, flags, log dirs --
@@ -714,15 +721,19 @@ def offset_timestamp_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --------------------------------------------------------------- velocity --
-# The two capture times of the velocity queries (day ends).
-_D1 = "2024-01-10 00:00:00"
-_D2 = "2024-01-11 00:00:00"
+# The two capture times of the velocity queries. The first capture
+# holds the events before its time, the second all events.
+_D1 = "2024-01-16 00:00:00"
+_D2 = "2024-02-01 00:00:00"
+
+
+def _until(day: str) -> str:
+    return f"WHERE ts < TIMESTAMP '{day}'" if day == _D1 else ""
 
 
 def _types_capture_sql(day: str) -> str:
     return f"""WITH log AS (SELECT event_type AS topic, CAST(user_id % 4 AS INTEGER) AS "partition",
-                                event_id AS "offset", ts AS "timestamp" FROM events
-                         WHERE ts < TIMESTAMP '{day}'),
+                                event_id AS "offset", ts AS "timestamp" FROM events {_until(day)}),
 agg AS (SELECT topic, "partition", min("offset") AS e, max("offset") + 1 AS l FROM log GROUP BY ALL),
 mx AS (SELECT topic, "partition", "offset", "timestamp" FROM (
          SELECT *, row_number() OVER (PARTITION BY topic, "partition" ORDER BY "timestamp" DESC, "offset") AS rn
@@ -746,13 +757,13 @@ def velocity_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _log(spark, sf_dir)
 
     def cap(day):
-        t = offset_types(log.filter(F.col("timestamp") < F.lit(day).cast("timestamp_ntz")))
+        t = offset_types(log.filter(F.col("timestamp") < F.lit(day).cast("timestamp_ntz")) if day == _D1 else log)
         return t.select(F.lit(CLUSTER).alias("k_cluster_id"), "*", ts(day).alias("refreshed_at"))
 
     spec = TABLES["partition_offsets"].__class__(name="po", keys=tuple(_PO_KEYS), compare=_PO_CMP,
                                                  extra=("velocity",), velocity="LATEST")
-    state = survivors(merge_snapshot(None, cap(_D1), spec, strategy="full"))
-    return to_ntz(merge_snapshot(state, cap(_D2), spec, strategy="full"), *AUDIT_NTZ)
+    state = survivors(merge_snapshot(None, cap(_D1), spec))
+    return to_ntz(merge_snapshot(state, cap(_D2), spec), *AUDIT_NTZ)
 
 
 _GO_KEYS = ["k_cluster_id", "group_id", "topic", "partition"]
@@ -762,12 +773,12 @@ _GO_CMP = (("offset", "<=>"),)
 def _group_capture_sql(day: str) -> str:
     return f"""SELECT {cluster_sql("user_id")} AS k_cluster_id, 'g' || CAST(user_id AS VARCHAR) AS group_id,
                       event_type AS topic, CAST(user_id % 4 AS INTEGER) AS "partition", max(event_id) + 1 AS "offset"
-               FROM events WHERE ts < TIMESTAMP '{day}' GROUP BY ALL"""
+               FROM events {_until(day)} GROUP BY ALL"""
 
 
 def _group_capture(ev: DataFrame, day: str) -> DataFrame:
     u = F.col("user_id")
-    return (ev.filter(F.col("ts") < F.lit(day).cast("timestamp_ntz"))
+    return ((ev.filter(F.col("ts") < F.lit(day).cast("timestamp_ntz")) if day == _D1 else ev)
             .groupBy("user_id", "event_type").agg((F.max("event_id") + 1).alias("offset"))
             .select(cluster_of("user_id").alias("k_cluster_id"),
                     F.concat(F.lit("g"), u.cast("string")).alias("group_id"),
@@ -784,9 +795,8 @@ def velocity_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = TABLES["consumer_group_offsets"].__class__(name="go", keys=tuple(_GO_KEYS), compare=_GO_CMP,
                                                       extra=("velocity",), velocity="all", delete_stale=True)
     b = _group_capture(ev, _D2)
-    state = survivors(merge_snapshot(None, _group_capture(ev, _D1), spec, strategy="full"))
-    return to_ntz(merge_snapshot(state, b, spec, scope=b.select("k_cluster_id", "refreshed_at").distinct(),
-                                 strategy="full"), *AUDIT_NTZ)
+    state = survivors(merge_snapshot(None, _group_capture(ev, _D1), spec))
+    return to_ntz(merge_snapshot(state, b, spec, scope=b.select("k_cluster_id", "refreshed_at").distinct()), *AUDIT_NTZ)
 
 
 # History replay: one capture per day, at the day's end. A partition's LATEST
@@ -972,3 +982,7 @@ def refresh_group_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("ts").cast("timestamp").alias("timestamp"))
     refresh_offsets(store, commits, None, log, bucket=_ASOF_BUCKET)
     return to_ntz(store.read("consumer_group_offsets"), "offset_timestamp", *AUDIT_NTZ)
+
+
+# The queries over several refreshes register themselves.
+from snaptide.plans import refresh_queries  # noqa: E402,F401

@@ -1,115 +1,180 @@
-"""Versioned current state on plain files, published atomically.
+"""Versioned current state on plain files, published atomically, written by cluster.
 
 Layout under ``root`` (a shared folder every executor can reach):
 
-    root/v=<n>/<table>/          Parquet files of table <table> written by version n
-    root/_commits/v=<n>/         one-row JSON commit record, written last; it maps
-                                 every table to the version holding its files, so
-                                 tables a refresh did not change are carried by
-                                 reference, not copied
-
-A version is visible only once its commit record exists, so a refresh that
-fails half-way (or an executor lost mid-write, retried by Spark) never exposes
-a partial state: readers take the highest committed version. A version is
-never overwritten, which also makes each publish a lineage cut: the next
-refresh reads the written files, not the plan that produced them.
+    root/<table>/v=<n>/k_cluster_id=<c>/   rows of the clusters that version n rewrote
+    root/_owners/v=<n>/                    (table_name, k_cluster_id, v): which version holds a cluster's rows
+    root/_commits/v=<n>/                   one-row JSON commit record, written last
+
+A version holds only the clusters its refresh touched; all others are carried
+by reference through the owner rows. A version is visible only once its commit
+record is complete, so a refresh that fails half-way (or an executor lost
+mid-write, retried by Spark) never exposes a partial state. A version is never
+overwritten once committed, which also makes each publish a lineage cut: the
+next refresh reads the written files, not the plan that produced them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snaptide.operators.merge import empty_state
-from snaptide.schemas import TABLES
+from snaptide.schemas import SEEN, SNAPSHOT, TABLES, relaxed
 
+CK = "k_cluster_id"
 COMMIT = T.StructType([
     T.StructField("version", T.LongType(), False),
-    T.StructField("epoch", T.LongType(), True),
-    T.StructField("stream", T.StringType(), True),
-    T.StructField("tables", T.MapType(T.StringType(), T.LongType()), False),
+    T.StructField("epochs", T.MapType(T.StringType(), T.LongType()), True),
+    T.StructField("tables", T.MapType(T.StringType(), T.ArrayType(T.LongType())), False),
     T.StructField("committed_at", T.TimestampType(), False),
 ])
+OWNERS = "table_name string, k_cluster_id string, v long"
+SCHEMAS: dict[str, T.StructType] = ({name: relaxed(spec.schema) for name, spec in TABLES.items()}
+                                    | {"_seen": relaxed(SEEN), "_pending": relaxed(SNAPSHOT)})
 
 
 class StateStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        # an empty commit folder, so the first read finds a (empty) log
-        spark.createDataFrame([], COMMIT).coalesce(1).write.mode("ignore").json(f"{self.root}/_commits/v=-1")
 
     # ------------------------------------------------------------ reading --
-    def commits(self) -> DataFrame:
-        return self.spark.read.schema(COMMIT).json(f"{self.root}/_commits").select(*COMMIT.fieldNames())
+    def _folder(self, path: str):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
+        return hadoop.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), hadoop
+
+    def versions(self) -> list[int]:
+        """Committed versions, newest first: complete folders of the commit log (names only, nothing is read)."""
+        fs, path = self._folder("_commits")
+        if not fs.exists(path):
+            return []
+        names = sorted((int(s.getPath().getName()[2:]) for s in fs.listStatus(path)), reverse=True)
+        return [v for v in names if fs.exists(self._folder(f"_commits/v={v}/_SUCCESS")[1])]
 
     def latest(self) -> dict | None:
-        """The newest commit record (a one-row aggregate on the driver)."""
-        rows = self.commits().orderBy(F.col("version").desc()).limit(1).collect()
-        return rows[0].asDict() if rows else None
+        """The newest commit record (one row)."""
+        found = self.versions()
+        return self._head(found[0]) if found else None
+
+    def _head(self, version: int) -> dict:
+        path = f"{self.root}/_commits/v={version}"
+        return self.spark.read.schema(COMMIT).json(path).first().asDict()
 
-    def _head(self, version: int | None) -> dict | None:
-        if version is None:
-            return self.latest()
-        rows = self.commits().filter(F.col("version") == version).collect()
-        return rows[0].asDict() if rows else None
+    def owners(self, head: dict) -> DataFrame:
+        return self.spark.read.schema(OWNERS).parquet(f"{self.root}/_owners/v={head['version']}")
 
     def read(self, table: str, version: int | None = None, head: dict | None = None) -> DataFrame:
         """A table as of a committed version (newest by default). Filters
-        on the result reach the Parquet scan."""
-        head = head or self._head(version)
-        where = None if head is None else (head["tables"] or {}).get(table)
-        if where is None:
-            return empty_state(self.spark, TABLES[table])
-        return self.spark.read.schema(TABLES[table].schema).parquet(f"{self.root}/v={where}/{table}")
+        on the result reach the Parquet scan, those on the cluster its folders."""
+        if head is None:
+            head = self.latest() if version is None else self._head(version)
+        held = (head["tables"] or {}).get(table) if head else None
+        schema = SCHEMAS[table]
+        if not held:
+            return empty_state(self.spark, TABLES[table]) if table in TABLES else self.spark.createDataFrame([], schema)
+        df = self._files(table, held, schema)
+        if len(held) > 1:
+            own = self.owners(head).filter(F.col("table_name") == table).select(CK, "v")
+            df = df.join(own, [CK, "v"], "left_semi")
+        return df.select(*schema.fieldNames())
+
+    def _files(self, table: str, versions, schema: T.StructType) -> DataFrame:
+        # cluster and version come from the folder names
+        folders = T.StructType([*[f for f in schema.fields if f.name != CK], T.StructField("v", T.LongType()),
+                                T.StructField(CK, T.StringType())])
+        paths = [f"{self.root}/{table}/v={v}" for v in versions]
+        return self.spark.read.schema(folders).option("basePath", f"{self.root}/{table}").parquet(*paths)
 
     def read_all(self, version: int | None = None, head: dict | None = None) -> dict[str, DataFrame]:
-        head = head or self._head(version)
-        return {name: self.read(name, head=head) for name in TABLES}
+        if head is None:
+            head = self.latest() if version is None else self._head(version)
+        return {name: self.read(name, head=head or {"tables": {}}) for name in TABLES}
 
-    def committed_epoch(self, epoch: int, stream: str | None = None) -> bool:
+    def committed_epoch(self, epoch: int, stream: str | None = None, head: dict | None = None) -> bool:
         """True when a micro-batch epoch of ``stream`` was already published
-        (retry guard)."""
-        c = self.commits().filter(F.col("epoch") == epoch)
-        c = c.filter(F.col("stream").isNull()) if stream is None else c.filter(F.col("stream") == stream)
-        return c.limit(1).count() > 0
+        (retry guard; epochs of a stream only grow)."""
+        head = head or self.latest()
+        last = ((head or {}).get("epochs") or {}).get(stream or "")
+        return last is not None and epoch <= last
 
     # ------------------------------------------------------------ writing --
-    def begin(self, head: dict | None = None) -> tuple[int, dict]:
-        """Start a version: its number and the table locations it starts from."""
+    def begin(self, head: dict | None = None) -> int:
+        """Start a version: its number."""
         head = head or self.latest()
-        version = 0 if head is None else head["version"] + 1
-        return version, dict((head or {}).get("tables") or {})
-
-    def stage(self, version: int, name: str, df: DataFrame, columns=None) -> DataFrame:
-        """Write one table (or side output) of an uncommitted version and
-        return it read back: the written files cut the lineage for the steps
-        that use it. Invisible to readers until ``commit``."""
-        cols = columns or (TABLES[name].columns if name in TABLES else df.columns)
-        path = f"{self.root}/v={version}/{name}"
-        out = df.select(*cols)
+        return 0 if head is None else head["version"] + 1
+
+    def stage(self, version: int, name: str, df: DataFrame) -> DataFrame:
+        """Write one table's rows of the touched clusters in an uncommitted
+        version and return them read back. Rows are dealt out by cluster, large
+        clusters over several files."""
+        schema = SCHEMAS[name]
+        out = df.select(*schema.fieldNames()).hint("rebalance", CK)
         # an uncommitted version is invisible to readers, so a retried refresh
         # (same version number, leftovers of the failed attempt) overwrites it
-        out.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(out.schema).parquet(path)
-
-    def commit(self, version: int, where: dict, epoch: int | None = None, stream: str | None = None) -> int:
-        """Write the commit record; from now on the version is the newest.
-        One writer per store: versions are numbered by the writer."""
-        record = self.spark.createDataFrame(
-            [(version, epoch, stream, where)], "version long, epoch long, stream string, tables map<string,long>"
+        out.write.mode("overwrite").partitionBy(CK).parquet(f"{self.root}/{name}/v={version}")
+        return self._files(name, [version], schema).select(*schema.fieldNames())
+
+    def stage_side(self, version: int, name: str, df: DataFrame) -> DataFrame:
+        """Write a side output of a version (small key tables, removed rows) and return it read back."""
+        path = f"{self.root}/_side/{name}/v={version}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def commit(self, version: int, staged: dict[str, DataFrame], epoch: int | None = None,
+               stream: str | None = None, head: dict | None = None) -> int:
+        """Write the owner rows and then the commit record; from now on the
+        version is the newest. ``staged``: each staged table with the clusters
+        (k_cluster_id) it was rewritten for. One writer per store."""
+        head = head or self.latest()
+        spark = self.spark
+        before = self.owners(head) if head else spark.createDataFrame([], OWNERS)
+        mine = [touched.select(F.lit(name).alias("table_name"), CK).distinct() for name, touched in sorted(staged.items())]
+        if mine:
+            now = reduce(DataFrame.unionByName, mine).withColumn("v", F.lit(version).cast("long"))
+            before = before.join(now, ["table_name", CK], "left_anti").unionByName(now)
+        path = f"{self.root}/_owners/v={version}"
+        before.write.mode("overwrite").parquet(path)
+        held = spark.read.schema(OWNERS).parquet(path)
+        tables = {r.table_name: sorted(r.vs) for r in
+                  held.groupBy("table_name").agg(F.collect_set("v").alias("vs")).collect()}
+        epochs = dict((head or {}).get("epochs") or {})
+        if epoch is not None:
+            epochs[stream or ""] = epoch
+        record = spark.createDataFrame(
+            [(version, epochs, tables)], "version long, epochs map<string,long>, tables map<string,array<long>>"
         ).withColumn("committed_at", F.current_timestamp())
-        record.coalesce(1).write.mode("errorifexists").json(f"{self.root}/_commits/v={version}")
+        record.coalesce(1).write.mode("overwrite").json(f"{self.root}/_commits/v={version}")
         return version
 
     def publish(self, tables: dict[str, DataFrame], epoch: int | None = None, stream: str | None = None) -> int:
-        """K4: write the changed tables of a new version, then its commit
-        record; tables not given keep their previous location."""
+        """K4: replace whole tables by new contents; tables not given keep their place."""
         head = self.latest()
-        version = 0 if head is None else head["version"] + 1
-        where = dict((head or {}).get("tables") or {})
+        version = self.begin(head)
+        staged = {}
         for name, df in tables.items():
-            df.select(*TABLES[name].columns).write.mode("overwrite").parquet(f"{self.root}/v={version}/{name}")
-            where[name] = version
-        return self.commit(version, where, epoch, stream)
+            staged[name] = (self.stage(version, name, df).select(CK)
+                            .unionByName(self.read(name, head=head or {"tables": {}}).select(CK)))
+        return self.commit(version, staged, epoch, stream, head)
+
+    def remove_old(self, keep: int) -> list[int]:
+        """Delete commit records beyond the newest ``keep`` and the files that none of those kept refers to.
+        Only on request; returns the removed commits."""
+        found = self.versions()
+        kept, gone = found[:max(keep, 1)], found[max(keep, 1):]
+        heads = [self._head(v) for v in kept]
+        live = {name: {v for h in heads for v in (h["tables"] or {}).get(name, [])} for name in SCHEMAS}
+        for v in gone:
+            for part in ("_commits", "_owners"):
+                fs, path = self._folder(f"{part}/v={v}")
+                fs.delete(path, True)
+        for name, used in live.items():
+            fs, path = self._folder(name)
+            for status in fs.listStatus(path) if fs.exists(path) else []:
+                v = int(status.getPath().getName()[2:])
+                if v not in used and v <= found[0]:
+                    fs.delete(status.getPath(), True)
+        return gone

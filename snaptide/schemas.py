@@ -128,6 +128,11 @@ SNAPSHOT = T.StructType([
     T.StructField("topic_descriptions", T.ArrayType(TOPIC_DESCRIPTION, False), True),
     T.StructField("consumer_groups", T.ArrayType(CONSUMER_GROUP, False), True),
     T.StructField("acl_bindings", T.ArrayType(ACL_BINDING, False), True),
+    # A capture of a large cluster may come as several chunk rows, in one input or in several: chunk_index runs
+    # from 0 to chunk_count - 1, and nothing of it is applied before all are there. NULL: the rows of the
+    # capture in this input are all of it.
+    T.StructField("chunk_index", T.IntegerType(), True),
+    T.StructField("chunk_count", T.IntegerType(), True),
 ])
 
 # ------------------------------------------------------------ flat captures ---
@@ -154,10 +159,19 @@ PARTITION_OFFSETS = T.StructType([
     T.StructField("leader_epoch", T.IntegerType(), True),
 ])
 
-# Same column names and types as the Kafka source of Structured Streaming, so a
-# live log and a captured Parquet log are interchangeable. Only these four
-# columns are ever read.
+# What an offset capture read: one row per group and capture. Offsets of a group that was read and has no
+# row any more are removed, those of a group that was not read stay.
+GROUP_READS = T.StructType([
+    T.StructField("k_cluster_id", T.StringType(), False),
+    T.StructField("captured_at", T.TimestampType(), False),
+    T.StructField("group_id", T.StringType(), False),
+    T.StructField("read", T.BooleanType(), False),
+])
+
+# The columns of the Kafka source of Structured Streaming, and the cluster: topics of the same name in two
+# clusters are two logs. Only these five columns are ever read.
 RECORD_LOG = T.StructType([
+    T.StructField("k_cluster_id", T.StringType(), False),
     T.StructField("topic", T.StringType(), False),
     T.StructField("partition", T.IntegerType(), False),
     T.StructField("offset", T.LongType(), False),
@@ -286,26 +300,22 @@ TABLES: dict[str, TableSpec] = {s.name: s for s in [
 # children here (orphans are never kept): consumer_group_members under
 # consumer_groups, assignments and offsets under topic_partitions, bindings
 # under acl_entries as well as acl_resources.
-EXTRA_PARENTS: dict[str, list[tuple[str, tuple[str, ...], dict[str, str]]]] = {
-    "consumer_group_member_assignments": [
-        ("topic_partitions", ("k_cluster_id", "k_topic_id", "k_partition_id"), {}),
-    ],
-    "consumer_group_offsets": [
-        ("topic_partitions", ("k_cluster_id", "k_topic_id", "k_partition_id"), {}),
-    ],
-    "acl_bindings": [
-        ("acl_entries", ("k_cluster_id", "principal", "host", "operation", "permission_type"), {}),
-    ],
+EXTRA_PARENTS: dict[str, list[tuple[str, tuple[str, ...]]]] = {
+    "consumer_group_member_assignments": [("topic_partitions", ("k_cluster_id", "k_topic_id", "k_partition_id"))],
+    "consumer_group_offsets": [("topic_partitions", ("k_cluster_id", "k_topic_id", "k_partition_id"))],
+    "acl_bindings": [("acl_entries", ("k_cluster_id", "principal", "host", "operation", "permission_type"))],
 }
 
-# Refresh order: each step resolves keys against the tables written before it.
-REFRESH_ORDER = (
-    "clusters", "nodes", "node_configs", "topics", "topic_configs", "topic_partitions",
-    "partition_replicas", "consumer_groups", "consumer_group_members",
-    "consumer_group_member_assignments", "acl_resources", "acl_entries", "acl_bindings",
-)
 OFFSET_TABLES = ("consumer_group_offsets", "partition_offsets")
 
+# Bookkeeping of a store, kept like its tables: the time of the last applied capture of each cluster and
+# kind, and chunk rows of captures that are not complete yet.
+SEEN = T.StructType([
+    T.StructField("k_cluster_id", T.StringType(), False),
+    T.StructField("kind", T.StringType(), False),
+    T.StructField("seen_at", T.TimestampType(), False),
+])
+
 
 def relaxed(dt: T.DataType) -> T.DataType:
     """The same type with every nested field and element nullable (what Spark

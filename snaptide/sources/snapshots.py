@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaptide.schemas import GROUP_OFFSETS, PARTITION_OFFSETS, RECORD_LOG, SNAPSHOT
+from snaptide.schemas import GROUP_OFFSETS, GROUP_READS, PARTITION_OFFSETS, RECORD_LOG, SNAPSHOT
 
 
 def read_snapshots(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -21,12 +21,16 @@ def read_group_offsets(spark: SparkSession, path: str, fmt: str = "parquet") ->
     return spark.read.schema(GROUP_OFFSETS).format(fmt).load(path)
 
 
+def read_group_reads(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    return spark.read.schema(GROUP_READS).format(fmt).load(path)
+
+
 def read_partition_offsets(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.schema(PARTITION_OFFSETS).format(fmt).load(path)
 
 
 def read_record_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Record log restricted to the four columns ever used; Parquet prunes the rest."""
+    """Record log restricted to the columns ever used; Parquet prunes the rest."""
     return spark.read.format(fmt).load(path).select(*[F.col(f.name).cast(f.dataType) for f in RECORD_LOG])
 
 

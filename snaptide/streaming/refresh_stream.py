@@ -12,8 +12,9 @@
   where ``foreachBatch`` cannot.
 
 Retries are safe: a micro-batch whose epoch (per stream name) is already
-committed is skipped, and a capture not newer than its cluster's state
-changes nothing. Each stream writes its own store (one writer per store);
+committed is skipped, and a capture not after its cluster's last applied one
+changes nothing. A micro-batch may hold any captures: several of a cluster
+are applied in order, chunks of one capture wait in the store for the rest. Each stream writes its own store (one writer per store);
 the offset streams read the metadata store for key resolution.
 """
 
@@ -24,7 +25,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from snaptide.plans.refresh import refresh_metadata, refresh_offsets
 from snaptide.plans.state import StateStore
-from snaptide.schemas import GROUP_OFFSETS, PARTITION_OFFSETS, SNAPSHOT
+from snaptide.sources.snapshots import read_record_log, stream_snapshots
+from snaptide.schemas import GROUP_OFFSETS, PARTITION_OFFSETS
 
 
 def _trigger(writer, trigger: str | None, available_now: bool):
@@ -54,7 +56,7 @@ def offset_batch(store_root: str, *, kind: str = "group", metadata_root: str | N
         if store.committed_epoch(epoch, name):
             return
         meta = StateStore(s, metadata_root) if metadata_root else None
-        log = s.read.parquet(record_log) if record_log else None
+        log = read_record_log(s, record_log) if record_log else None
         if kind == "group":
             refresh_offsets(store, df, None, log, epoch=epoch, metadata=meta, stream=name)
         else:
@@ -65,10 +67,8 @@ def offset_batch(store_root: str, *, kind: str = "group", metadata_root: str | N
 def start_metadata_refresh(spark: SparkSession, source: str, store_root: str, checkpoint: str, *,
                            fmt: str = "json", trigger: str = "30 seconds", available_now: bool = False,
                            max_files: int | None = None, name: str = "metadata") -> StreamingQuery:
-    reader = spark.readStream.schema(SNAPSHOT).format(fmt)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    writer = (reader.load(source).writeStream.foreachBatch(metadata_batch(store_root, name))
+    stream = stream_snapshots(spark, source, fmt, max_files)
+    writer = (stream.writeStream.foreachBatch(metadata_batch(store_root, name))
               .option("checkpointLocation", checkpoint))
     return _trigger(writer, trigger, available_now).start()
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from model import model_merge, survivors as model_survivors
 from snaptide.operators.merge import merge_snapshot, reduce_duplicates, survivors
-from snaptide.operators.replay import replay
+from snaptide.operators.replay import fold, replay
 from snaptide.schemas import TableSpec
 
 SCHEMA = "k_cluster_id string, id int, a string, b string, offset long, refreshed_at timestamp"
@@ -46,13 +46,13 @@ def norm(d):
     return {k: {c: (round(v, 9) if isinstance(v, float) else v) for c, v in r.items()} for k, r in d.items()}
 
 
-@pytest.mark.parametrize("strategy", ["full", "small"])
-def test_merge_matches_row_model(spark, strategy):
+@pytest.mark.parametrize("incremental", [False, True])
+def test_merge_matches_row_model(spark, incremental):
     state_df = None
     model = {}
     for now, rows in captures(7):
         src = spark.createDataFrame(rows, SCHEMA)
-        merged = merge_snapshot(state_df, src, SPEC, strategy=strategy,
+        merged = merge_snapshot(state_df, src, SPEC, incremental=incremental,
                                 scope=src.select("k_cluster_id", "refreshed_at").distinct())
         got = as_dict(merged.collect())
         want = model_merge(model, rows, ["k_cluster_id", "id"], SPEC.compare, now, delete=True, velocity="all",
@@ -143,13 +143,42 @@ def test_replay_matches_sequential_merges(spark, segment):
         assert (wv is None and hv is None) or wv == pytest.approx(hv), (k, wv, hv)
 
 
-def test_forced_small_plan_checks_the_bound(spark):
+def test_both_plans_give_the_same_rows(spark):
     (now, rows), = captures(5, n_caps=1)
     src = spark.createDataFrame(rows, SCHEMA)
-    state = survivors(merge_snapshot(None, src, SPEC, strategy="full"))
-    later_src = src.withColumn("refreshed_at", F.col("refreshed_at") + F.expr("INTERVAL 1 MINUTE"))
-    over = merge_snapshot(state, later_src, SPEC, strategy="small", broadcast_rows=3)
-    plan = over._jdf.queryExecution().executedPlan().toString()
-    assert "FullOuter" in plan                      # more than 3 snapshot rows: no broadcast of them
-    within = merge_snapshot(state, later_src, SPEC, strategy="small")
-    assert sorted(map(tuple, over.collect())) == sorted(map(tuple, within.collect()))
+    state = survivors(merge_snapshot(None, src, SPEC))
+    later_src = src.filter("id % 3 > 0").withColumn("refreshed_at", F.col("refreshed_at") + F.expr("INTERVAL 1 MINUTE"))
+    scope = later_src.select("k_cluster_id", "refreshed_at").distinct()
+    one, two = (merge_snapshot(state, later_src, SPEC, scope=scope, incremental=i) for i in (False, True))
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+
+
+@pytest.mark.parametrize("delete, segment", [(True, 1), (True, 3), (False, 2)])
+def test_fold_equals_merging_one_by_one(spark, delete, segment):
+    """A batch of captures onto a stored state, against the same captures merged in order; cluster c1 is read
+    without rows in one of them."""
+    spec = TableSpec("t", SPEC.keys, SPEC.compare, extra=SPEC.extra, delete_stale=delete, velocity="all")
+    caps = captures(11, n_caps=7, n_keys=6)
+    state = None
+    before = after = None
+    reads = []
+    for k, (now, rows) in enumerate(caps):
+        rows = [r for r in rows if not (k == 4 and r["k_cluster_id"] == "c1")]
+        read = spark.createDataFrame([("c0", now), ("c1", now)], "k_cluster_id string, refreshed_at timestamp")
+        src = spark.createDataFrame(rows, SCHEMA)
+        merged = survivors(merge_snapshot(state, src, spec, scope=read))
+        state = spark.createDataFrame(merged.collect(), merged.schema)
+        if k == 2:
+            before = state
+        if k > 2:
+            after = src if after is None else after.unionByName(src)
+            reads += [("c0", now), ("c1", now)]
+    reads = spark.createDataFrame(reads, "k_cluster_id string, refreshed_at timestamp")
+    got = fold(before, after, spec, reads=reads, segment=segment)
+    kept = got.filter("action <> 'delete'").select(*spec.columns)
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, state.select(*spec.columns).collect()))
+    had = {(r.k_cluster_id, r.id) for r in before.collect()}
+    now = {(r.k_cluster_id, r.id) for r in state.collect()}
+    gone = {(r.k_cluster_id, r.id) for r in got.filter("action = 'delete'").collect()}
+    assert gone == had - now
+    assert {(r.k_cluster_id, r.id) for r in got.filter("action = 'insert'").collect()} == now - had

@@ -1,9 +1,12 @@
 """Plan shape at scale: no cartesian or nested-loop joins, filters and column
 pruning reach the scan, no window runs over a whole partition of the log."""
 
+import os
+
 import pytest
 
 import __spark_entry__ as E
+from snaptide.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,7 +15,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_no_cartesian_or_nested_loop(spark, name):
     p = plan(E.queries()[name](spark, SF))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
@@ -25,10 +28,41 @@ def test_filter_and_columns_reach_scan(spark):
     assert scans and all(c not in line for line in scans for c in ("l_tax", "l_returnflag", "l_comment"))
 
 
-def test_small_source_merge_does_not_shuffle_state(spark):
-    p = plan(E.queries()["merge_small_source"](spark, SF))
-    # the state side of the final merge is joined against a broadcast snapshot
-    assert "BroadcastHashJoin" in p
+def test_incremental_merge_broadcasts_the_capture_by_its_size(spark):
+    """After the run: AQE saw the capture's size, broadcast it and left the state's rows unshuffled."""
+    df = E.queries()["merge_small_source"](spark, SF)
+    df.collect()
+    p = plan(df)
+    final = p.split("== Final Plan ==")[-1].split("== Initial Plan ==")[0]
+    assert "LeftOuter" in final and "FullOuter" not in final.split("Scan")[0]
+    assert "BroadcastHashJoin" in final
+
+
+@pytest.mark.parametrize("name", ["merge_delete_stale", "snapshot_report", "offset_timestamp_gaps", "velocity_replay_gaps",
+                                  "cascade_delete", "lookup_chain"])
+def test_no_rows_are_gathered_in_one_task(spark, name):
+    """No probe or limit sends rows to a single partition before an aggregate."""
+    p = plan(E.queries()[name](spark, SF))
+    assert "Exchange SinglePartition" not in p and "CollectLimit" not in p and "GlobalLimit" not in p
+
+
+def test_no_row_counts_decide_plans():
+    root = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "snaptide")
+    for folder in ("operators",):
+        for f in os.listdir(os.path.join(root, folder)):
+            if f.endswith(".py"):
+                text = open(os.path.join(root, folder, f)).read()
+                assert "limit(" not in text.replace("limit(0)", "") and "collect()" not in text and ".count()" not in text, f
+
+
+def test_report_scans_each_input_once(spark, tmp_root):
+    from fixtures import later, snapshot
+    from snaptide.operators.report import snapshot_report
+    from snaptide.schemas import SNAPSHOT, relaxed
+    from snaptide.sources.snapshots import read_snapshots
+    spark.createDataFrame([snapshot(later(0))], relaxed(SNAPSHOT)).write.json(f"{tmp_root}/s")
+    p = plan(snapshot_report(read_snapshots(spark, f"{tmp_root}/s")))
+    assert p.split("== Initial Plan ==")[-1].count("FileScan json") == 1
 
 
 def test_asof_window_is_bucketed(spark):
