@@ -30,6 +30,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,18 +141,31 @@ def _plausible(a: str, b: str, percent: int) -> Column:
     return (100 * small >= percent * large) & (estimate >= percent / 100 - MARGIN)
 
 
+def _bodies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, packed: the whole texts compressed, as they travel to the documents' pairs and pools."""
+    rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"),
+                                                F.col("text").cast("binary").alias("text"))
+
+    def make():
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return lambda columns: {"doc_id": columns[0], "packed": [pack(t) for t in columns[1]]}
+
+    return map_rows(rows, make, "doc_id bigint, packed binary")
+
+
 def _confirmed(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets meet the threshold: 100 * intersection >= percent * union."""
-    left = pairs.join(bodies.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
-    both = left.join(bodies.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
+    left = pairs.join(bodies.withColumnsRenamed({"doc_id": "a", "packed": "packed_a"}), "a")
+    both = left.join(bodies.withColumnsRenamed({"doc_id": "b", "packed": "packed_b"}), "b").select("a", "b", "packed_a", "packed_b")
 
     def make():
+        unpack = zstandard.ZstdDecompressor().decompress
         last: list = [None, set()]  # pairs with the same b come one after another
 
         def linked(x: bytes, y: bytes) -> bool:
             if last[0] != y:
-                last[:] = [y, shingle_set(y)]
-            own, other = shingle_set(x), last[1]
+                last[:] = [y, shingle_set(unpack(y))]
+            own, other = shingle_set(unpack(x)), last[1]
             common = len(own & other)
             return 100 * common >= percent * (len(own) + len(other) - common)
 
@@ -225,14 +239,15 @@ def _pool_links(pool: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     def every(count: str):
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    columns = ["pool", "i", "j", "side", "node", "component", "text"]
+    columns = ["pool", "i", "j", "side", "node", "component", "packed"]
     ones = (placed.where("outside").withColumn("i", block("rows", 1)).withColumn("j", every("columns"))
             .withColumn("side", F.lit(0)).select(columns))
     twos = (placed.withColumn("j", block("columns", 2)).withColumn("i", every("rows"))
             .withColumn("side", F.lit(1)).select(columns))
 
     def step(rows: pd.DataFrame) -> pd.DataFrame:
-        sides = [list(zip(r["node"].tolist(), r["component"].tolist(), r["text"].tolist()))
+        unpack = zstandard.ZstdDecompressor().decompress
+        sides = [list(zip(r["node"].tolist(), r["component"].tolist(), map(unpack, r["packed"].tolist())))
                  for r in (rows[rows["side"] == 0], rows[rows["side"] == 1])]
         found = joining_links(*sides, percent) if all(sides) else []
         return pd.DataFrame({"a": np.array([a for a, _ in found], dtype=np.int64),
@@ -283,8 +298,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     near = written(stars.join(a_side, "a").join(b_side, "b").where(_plausible("a_", "b_", percent)).select("a", "b").distinct(),
                    "star-pairs")
     # the text of a class's documents with the smallest id; other rows of the class have the same words
-    bodies = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"),
-                                                  F.col("text").cast("binary").alias("text"))
+    bodies = _bodies(docs, id_col, text_col)
     star_links = written(_confirmed(near, bodies, percent).distinct(), "star-links")
     first = components(star_links)
     # keys whose holders are still in different components: the pools of their pivots
