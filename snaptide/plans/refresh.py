@@ -126,9 +126,12 @@ class _Run:
     def table(self, name: str) -> DataFrame:
         return self.new[name] if name in self.new else self.state(name)
 
-    def scope(self, snap: DataFrame, section: str) -> DataFrame:
-        """(k_cluster_id, refreshed_at) of the clusters whose capture read ``section``, as a small table."""
-        return self.store.stage_side(self.version, f"scope-{section}", fl.section_scope(snap, section))
+    def scopes(self, snap: DataFrame, sections) -> dict[str, DataFrame]:
+        """Per section, (k_cluster_id, refreshed_at) of the clusters whose capture read it, from one small table."""
+        read = snap.groupBy(CK, F.col("captured_at").alias(NOW)).agg(
+            *[F.max(F.col(s).isNotNull()).alias(s) for s in sections])
+        staged = self.store.stage_side(self.version, "scopes", read)
+        return {s: staged.filter(F.col(s)).select(CK, NOW) for s in sections}
 
     def _cascade(self, name: str, table: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         """Drop rows whose parent (declared or extra) was removed earlier in this run."""
@@ -154,7 +157,9 @@ class _Run:
         cols = list(TABLES[name].columns)
         if removed:
             gone = reduce(DataFrame.unionByName, [r.select(*cols) for r in removed])
-            self.removed[name] = self.store.stage_side(self.version, f"removed-{name}", gone)
+            gone = self.store.stage_side(self.version, f"removed-{name}", gone)
+            if not gone.isEmpty():
+                self.removed[name] = gone
 
     def write(self, name: str, merged: DataFrame) -> None:
         """Stage the survivors of a merge (``action``, ``_dups``), count it (A5 / A6) and note what was removed."""
@@ -180,6 +185,8 @@ class _Run:
 
     def carry(self, name: str) -> None:
         """A table this refresh does not merge: only cascades may remove rows."""
+        if not ((self.head or {}).get("tables") or {}).get(name):
+            return                            # nothing stored
         kept, lost = self._cascade(name, self.state(name))
         if lost:
             self.stage(name, kept)
@@ -214,9 +221,8 @@ def _seen_after(run: _Run, times: DataFrame, kind: str) -> DataFrame:
 def _apply(run: _Run, snap: DataFrame, names: set[str], parallel: bool) -> None:
     """Merge one capture of each touched cluster, parents before children."""
     run.given = _submitted(snap)
-    topic_scope = run.scope(snap, "topics")
-    group_scope = run.scope(snap, "consumer_groups")
-    acl_scope = run.scope(snap, "acl_bindings")
+    scopes = run.scopes(snap, ("topics", "consumer_groups", "acl_bindings"))
+    topic_scope, group_scope, acl_scope = scopes.values()
     t = run.table
 
     def bindings():
