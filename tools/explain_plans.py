@@ -12,7 +12,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from snaptide.plans import registry  # noqa: E402
 from snaptide.session import get_spark  # noqa: E402
 
 OPS = ("Exchange hashpartitioning", "BroadcastExchange", "SortMergeJoin", "BroadcastHashJoin",
@@ -27,12 +27,12 @@ def main(argv):
     spark.sparkContext.setLogLevel("ERROR")
     out = ["# PLANS", "", f"Executed physical plans at `{sf}` (local[8], AQE on), generated by "
            "`tools/explain_plans.py`. Counts are operator occurrences in the final adaptive plan; "
-           "no query has a nested-loop join or cartesian product. `refresh_region_replicas` and `refresh_group_offsets` do their work "
+           "no query has a nested-loop join or cartesian product. queries named `refresh_*` do their work "
            "(refreshes with staged writes) while they are built; their returned frames only read the committed tables.", "",
            "| query | " + " | ".join(o.replace("Exchange hashpartitioning", "shuffle") for o in OPS) + " |",
            "|---|" + "---|" * len(OPS)]
     formatted = {}
-    for name, fn in E.queries().items():
+    for name, fn in registry.QUERIES.items():
         df = fn(spark, sf)
         df.collect()  # runs this frame's own plan, so the adaptive plan below is final
         plan = df._jdf.queryExecution().executedPlan().toString()
