@@ -38,7 +38,7 @@ def test_incremental_merge_broadcasts_the_capture_by_its_size(spark):
     assert "BroadcastHashJoin" in final
 
 
-@pytest.mark.parametrize("name", ["merge_delete_stale", "snapshot_report", "offset_timestamp_gaps", "velocity_replay_gaps",
+@pytest.mark.parametrize("name", ["merge_delete_stale", "snapshot_report", "offset_timestamp_gaps", "velocity_group",
                                   "cascade_delete", "lookup_chain"])
 def test_no_rows_are_gathered_in_one_task(spark, name):
     """No probe or limit sends rows to a single partition before an aggregate."""
