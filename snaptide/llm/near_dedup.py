@@ -75,7 +75,7 @@ def shingle_set(text: bytes) -> set:
 class Signer:
     """Signatures of one task; hashes of words are remembered up to a bound."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100_000):
         self.known: dict[bytes, int] = {}
         self.limit = limit
 
