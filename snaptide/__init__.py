@@ -2,7 +2,7 @@
 streaming-cluster metadata, written as Spark DataFrame jobs.
 
 Every operator takes DataFrames and returns DataFrames; nothing is collected to
-the driver except row counts used for size checks and publish bookkeeping.
+the driver except single numbers (ranks, counts) and publish bookkeeping.
 """
 
 from snaptide.session import get_spark, checkpoint_dir
