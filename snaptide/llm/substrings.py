@@ -24,6 +24,11 @@ initial bucket, so two independent hashes have to agree.
 Cases: null and empty texts and those shorter than ``length`` have nothing to remove. Repeated rows repeat
 each other's text. A null id is an id of its own; rows are told apart by id and a checksum of their text.
 Texts of any size are worked off in overlapping parts of ``PART`` bytes. No rows: no rows.
+
+The pipeline stage removes passages of over 50 words that two documents share as well, of any length in bytes
+(``shared_passages``): steps 1 and 2 over words instead of bytes, then single starts. Words are compared by their
+bytes, the white space between them is not. A document is an id with a text, so repeated rows share nothing
+with each other, and what a document repeats within itself is left to the strings of ``length`` bytes.
 """
 
 from __future__ import annotations
@@ -40,11 +45,15 @@ from snaptide.llm.common import fresh, map_rows, read_table, texts, written
 LENGTH = 400
 CELL = 256
 STEP = 16
+#: The least passage of over 50 words, the consecutive grams of words that share an anchor, and the longest word hashed by table.
+PASSAGE, WORD_CELL, LONG_WORD = 51, 32, 512
 PART = 1 << 20
 NO_ID = -(2**63)
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _BYTE = np.random.default_rng(400).integers(1, 2**63, 256).astype(np.uint64)
+_POWER = np.cumprod(np.full(LONG_WORD, _C, dtype=np.uint64))
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def _pair(a, b):
@@ -54,10 +63,10 @@ def _pair(a, b):
 
 
 class Identifiers:
-    """Bucket identifiers of all strings of 1, 2, 4, ... ``CELL`` bytes of a text."""
+    """Bucket identifiers of all strings of 1, 2, 4, ... ``top`` bytes of a text, or words of ``word_hashes``."""
 
-    def __init__(self, text: bytes, top: int = CELL):
-        self.levels = {1: _BYTE[np.frombuffer(text, dtype=np.uint8)]}
+    def __init__(self, text: bytes | np.ndarray, top: int = CELL):
+        self.levels = {1: text if isinstance(text, np.ndarray) else _BYTE[np.frombuffer(text, dtype=np.uint8)]}
         w = 1
         while 2 * w <= min(top, len(text)):
             f = self.levels[w]
@@ -81,17 +90,17 @@ class Identifiers:
         return _pair(f[:n], f[q - w:q - w + n])
 
 
-def anchors(text: bytes, length: int) -> list[np.ndarray]:
+def anchors(text: bytes | np.ndarray, length: int, cell: int = CELL) -> list[np.ndarray]:
     """[anchor, first start, last start, bucket, cover] of each run of starts with one anchor, for all starts of
-    strings of ``length`` bytes."""
-    q, out = length - CELL + 1, []
+    strings of ``length`` bytes (words)."""
+    q, out = length - cell + 1, []
     for at in range(0, len(text) - length + 1, PART):
         part = text[at:at + PART + length - 1]
-        ids = Identifiers(part)
+        ids = Identifiers(part, cell)
         low = ids.grams(q)
         place = np.arange(len(low))
         w = 1
-        while w < CELL:  # leftmost smallest of 2w q-grams from those of w
+        while w < cell:  # leftmost smallest of 2w q-grams from those of w
             a, b = low[:len(low) - w], low[w:]
             right = b < a
             place = np.where(right, place[w:], place[:len(a)])
@@ -105,6 +114,35 @@ def anchors(text: bytes, length: int) -> list[np.ndarray]:
     return list(np.concatenate(out, axis=1)) if out else [np.zeros(0, dtype=np.int64)] * 5
 
 
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words: runs without ASCII white space."""
+    inside = np.zeros(len(text) + 2, dtype=np.int8)
+    inside[1:-1] = ~_SPACE[np.frombuffer(text, dtype=np.uint8)]
+    change = np.diff(inside)
+    return np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+
+
+def word_hashes(text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words from start to end, in blocks of about ``PART`` bytes."""
+    size = end - start
+    out = np.zeros(len(size), dtype=np.uint64)
+    short = np.flatnonzero(size <= LONG_WORD)
+    total = np.cumsum(size[short])
+    at = 0
+    while at < len(short):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PART)))
+        own = short[at:stop]
+        n = size[own]
+        first = np.cumsum(n) - n
+        inner = np.arange(int(n.sum())) - np.repeat(first, n)
+        symbols = _BYTE[np.frombuffer(text, dtype=np.uint8)[np.repeat(start[own], n) + inner]] * _POWER[inner]
+        out[own] = _pair(np.add.reduceat(symbols, first), n.astype(np.uint64))
+        at = stop
+    for k in np.flatnonzero(size > LONG_WORD):
+        out[k] = int.from_bytes(hashlib.blake2b(text[start[k]:end[k]], digest_size=8).digest(), "little")
+    return out
+
+
 def _tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = texts(docs, id_col, text_col)
     return rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.crc32(F.col("text").cast("binary")).alias("tag"),
@@ -241,10 +279,83 @@ def _refined(covers: DataFrame, length: int) -> DataFrame:
     return done.unionByName(last)
 
 
-def _remove(text: bytes, spans: list[int], length: int) -> tuple[bytes, list[int], list[int]]:
+def shared_passages(docs: DataFrame, words: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id (NO_ID for null), tag, passages: [first word, last word] of starts of passages of ``words`` words that
+    another document has too, flat, unordered."""
+    if not WORD_CELL < words <= 2 * WORD_CELL:
+        raise ValueError(f"words: {WORD_CELL + 1} to {2 * WORD_CELL}")
+    rows = _tagged(docs, id_col, text_col)
+
+    def find():
+        def step(columns: list) -> dict:
+            found = []
+            for doc_id, tag, text in zip(*columns):
+                start, end = word_bounds(text)
+                if len(start) >= words:
+                    found.append((doc_id, tag, anchors(word_hashes(text, start, end), words, WORD_CELL)))
+            sizes = [len(f[0]) for _, _, f in found]
+            whole = [np.concatenate([f[k] for _, _, f in found]) if found else [] for k in range(1, 5)]
+            return {"doc_id": np.repeat([d for d, _, _ in found], sizes).astype(np.int64),
+                    "tag": np.repeat([g for _, g, _ in found], sizes).astype(np.int64)} | dict(
+                        zip(("first", "last", "bucket", "cover"), whole))
+        return step
+
+    found = written(map_rows(rows, find, "doc_id bigint, tag bigint, first int, last int, bucket bigint, cover bigint"),
+                    "passage-anchors")
+    least, most = F.min(F.struct("doc_id", "tag")), F.max(F.struct("doc_id", "tag"))
+    # kinds of runs with equal cover; buckets that only one document has hold nothing shared
+    every = found.groupBy("bucket", "cover").agg(
+        least.alias("least"), most.alias("most"), F.min(F.struct("doc_id", "tag", "first", "last")).alias("one"))
+    both = (found.groupBy("bucket").agg(least.alias("lo"), most.alias("hi")).where("lo < hi").select("bucket"))
+    kinds = written(every.join(both, "bucket").select("bucket", "cover", "one", (F.col("least") < F.col("most")).alias("shared")),
+                    "passage-covers")
+    whole = kinds.where("shared").select("bucket", "cover", F.lit(None).cast("int").alias("offset"))
+    # buckets with a kind of one document beside others: single starts, one run for each kind
+    several = kinds.groupBy("bucket").agg(F.min("shared").alias("all_shared")).where("not all_shared").select("bucket")
+    wanted = written(kinds.join(several, "bucket").select("one.*", "bucket", "cover", "shared")
+                     .groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "last", "bucket", "cover", "shared")).alias("runs")),
+                     "passage-runs")
+    names = ("doc_id", "tag", "bucket", "cover", "shared", "offset", "string")
+
+    def starts():
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def step(columns: list) -> dict:
+            out: list[list] = [[] for _ in names]
+            for doc_id, tag, packed, runs in zip(*columns):
+                text = unpack(packed)
+                start, end = word_bounds(text)
+                for r in runs:
+                    own = slice(r["first"], r["last"] + words)
+                    offset = np.arange(r["last"] - r["first"] + 1)
+                    string = Identifiers(word_hashes(text, start[own], end[own]), WORD_CELL).of(offset, np.full(len(offset), words))
+                    for column, x in zip(out, (doc_id, tag, r["bucket"], r["cover"], r["shared"])):
+                        column.append(np.full(len(offset), x))
+                    out[5].append(offset)
+                    out[6].append(string.view(np.int64))
+            return {n: np.concatenate(c) if c else [] for n, c in zip(names, out)}
+        return step
+
+    single = written(map_rows(_compressed(rows).join(wanted, ["doc_id", "tag"]), starts,
+                              "doc_id bigint, tag bigint, bucket bigint, cover bigint, shared boolean, offset int, string bigint"),
+                     "passage-starts")
+    met = (single.groupBy("bucket", "string").agg(least.alias("lo"), most.alias("hi"), F.max("shared").alias("shared"))
+           .where("shared or lo < hi").select("bucket", "string"))
+    part = single.where("not shared").join(met, ["bucket", "string"]).select("bucket", "cover", "offset").distinct()
+    spans = found.join(whole.unionByName(part), ["bucket", "cover"]).select(
+        "doc_id", "tag", F.coalesce(F.col("first") + F.col("offset"), "first").alias("first"),
+        (F.coalesce(F.col("first") + F.col("offset"), "last") + words - 1).alias("last"))
+    return spans.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list(F.array("first", "last"))).alias("passages"))
+
+
+def _remove(text: bytes, spans: list[int], length: int, passages: list[int] = ()) -> tuple[bytes, list[int], list[int]]:
     """(what is left, starts and ends of the maximal removed runs)."""
     first = np.asarray(spans[::2], dtype=np.int64)
     last = np.asarray(spans[1::2], dtype=np.int64) + length
+    if len(passages):
+        start, end = word_bounds(text)
+        first = np.r_[first, start[np.asarray(passages[::2])]]
+        last = np.r_[last, end[np.asarray(passages[1::2])]]
     order = np.argsort(first, kind="stable")
     first, last = first[order], np.maximum.accumulate(last[order])
     new = np.r_[True, first[1:] > last[:-1]]
@@ -257,9 +368,10 @@ def _remove(text: bytes, spans: list[int], length: int) -> tuple[bytes, list[int
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
-                   keep_text: bool = True) -> DataFrame:
+                   keep_text: bool = True, words: int | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, span_starts, span_ends and
-    (``keep_text``) tag and kept_text: what is left, without characters that a removed run cuts in two."""
+    (``keep_text``) tag and kept_text: what is left, without characters that a removed run cuts in two. With ``words``,
+    passages of so many words that documents share go as well."""
     rows = _tagged(docs, id_col, text_col)
     spans = repeated_spans(docs, length, id_col, text_col)
 
@@ -268,9 +380,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
         def step(columns: list) -> dict:
             out = []
-            for doc_id, tag, packed, own in zip(*columns):
+            for doc_id, tag, packed, own, passages in zip(*columns):
                 text = unpack(packed)
-                left, begin, end = _remove(text, own, length) if own else (text, [], [])
+                left, begin, end = _remove(text, own or [], length, passages or []) if own or passages else (text, [], [])
                 out.append((None if doc_id == NO_ID else doc_id, tag, len(text), len(text) - len(left), len(begin),
                             hashlib.sha256(left).hexdigest(), begin, end,
                             left.decode("utf-8", "ignore") if keep_text else None))
@@ -278,7 +390,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         return step
 
     names = ("doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256", "span_starts", "span_ends", "kept_text")
-    joined = _compressed(rows).join(spans, ["doc_id", "tag"], "left").select("doc_id", "tag", "packed", "spans")
+    joined = _compressed(rows).join(spans, ["doc_id", "tag"], "left")
+    if words:
+        joined = joined.join(shared_passages(docs, words, id_col, text_col), ["doc_id", "tag"], "left")
+    else:
+        joined = joined.withColumn("passages", F.lit(None).cast("array<int>"))
+    joined = joined.select("doc_id", "tag", "packed", "spans", "passages")
     return map_rows(joined, make, "doc_id bigint, tag bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "
                                   "kept_sha256 string, span_starts array<bigint>, span_ends array<bigint>, kept_text string")
 
@@ -289,9 +406,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without their repeated passages. Characters that a removed run cuts in two go
+    """Pipeline stage: documents without their repeated strings of ``LENGTH`` bytes and the passages of over 50 words
+    that they share. Characters that a removed run cuts in two go
     with it; ``n_chars``, where there is such a column, counts what is left. Documents stay, even empty ones."""
-    found = remove_repeats(docs)
+    found = remove_repeats(docs, words=PASSAGE)
     left = (found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("left_id"), F.col("tag").alias("left_tag"), "kept_text")
             .dropDuplicates(["left_id", "left_tag"]))
     names = {"text": fresh(docs, "whole_text"), "tag": fresh(docs, "text_tag"), "id": fresh(docs, "text_id")}
