@@ -60,11 +60,19 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataF
     return docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids[right]), "left_semi")
 
 
-def drop_rows(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``dropped.doc_id``."""
-    right = fresh(docs, "dropped_id")
-    ids = dropped.select(F.col("doc_id").alias(right)).distinct()
-    return docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids[right]), "left_anti")
+def text_digest(text_col: str = "text") -> Column:
+    """SHA-256 of the text, null text as empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame, digest: Column, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id and ``digest`` (of their text) are not together in ``dropped`` (doc_id, digest); null
+    ids match null ids. An id, null too, may have several texts with a verdict for each."""
+    own, right, mark = (fresh(docs, n) for n in ("own_digest", "dropped_id", "dropped_digest"))
+    gone = dropped.select(F.col("doc_id").alias(right), F.col("digest").alias(mark)).distinct()
+    rows = docs.withColumn(own, digest)
+    same = rows[id_col].cast("long").eqNullSafe(gone[right]) & (rows[own] == gone[mark])
+    return rows.join(gone, same, "left_anti").drop(own)
 
 
 ARROW = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(),

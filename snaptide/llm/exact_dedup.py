@@ -100,7 +100,9 @@ def exact_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, id_col: st
 def drop_exact_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of equal texts the row with the largest id stays."""
     found = exact_duplicates(docs)
-    return drop_rows(docs, found.where(~F.col("kept")).select("doc_id"))
+    norm = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return drop_rows(docs, found.where(~F.col("kept")).select("doc_id", F.unhex("text_sha256").alias("digest")),
+                     F.unhex(F.sha2(norm, 256)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

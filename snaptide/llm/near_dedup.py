@@ -2,7 +2,8 @@
 
 1. Each text gives its set of 5-word shingles (A-Z lower-cased), ``PERMUTATIONS`` minima and, of each
    minimum, the lowest ``BITS`` bits: bit ``p`` of all minima is packed into the longs of plane ``p``. Rows of
-   one word sequence are one class from here on; its smallest id stands for it.
+   one word sequence are one class from here on; the smallest row key (64 bits of id and text) of its rows is its
+   node, its smallest id only a label.
 2. Bands of ``BAND_ROWS`` minima give candidate keys. A similarity of 0.85 misses all bands once in 10**10
    pairs, one of 0.8 once in 10**7.
 3. A key held by many documents is not expanded into pairs. Its pivot is the document that shares its keys
@@ -15,7 +16,7 @@
 4. The estimate: bits that differ in any plane are counted by ``bit_count``; agreement by chance (2**-BITS)
    is taken off. Pairs below the threshold by ``MARGIN`` (six standard errors) or of too different sizes go.
 5. What is left of these is confirmed on the full sets of the two whole texts. Components follow by smallest-label
-   steps with pointer jumping, each step written to the shared folder.
+   steps with pointer jumping, each step written to the shared folder, and are named by their smallest id.
 
 Cases: texts without words are empty, linked with nothing and a component of their own row's id; texts of
 fewer than five words are one shingle and linked with equal word sequences only. A null id counts as one
@@ -111,20 +112,26 @@ class Signer:
         return digest, len(x), np.concatenate(planes).tolist(), keys.view(np.int64).tolist()
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """64 bits of id and text."""
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)),
+                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id (NO_ID for null), digest, n_shingles, planes, bands."""
+    """doc_id (NO_ID for null), row (its key), digest, n_shingles, planes, bands."""
     def make():
         signer = Signer()
 
         def step(columns: list) -> dict:
             found = [signer(t) for t in columns[1]]
-            return {"doc_id": columns[0]} | {n: [f[k] for f in found]
+            return {"doc_id": columns[0], "row": columns[2]} | {n: [f[k] for f in found]
                                              for k, n in enumerate(("digest", "n_shingles", "planes", "bands"))}
         return step
 
     rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"),
-                                                F.col("text").cast("binary").alias("text"))
-    return map_rows(rows, make, "doc_id bigint, digest binary, n_shingles bigint, planes array<bigint>, bands array<bigint>")
+                                                F.col("text").cast("binary").alias("text"), row_key().alias("row"))
+    return map_rows(rows, make, "doc_id bigint, row bigint, digest binary, n_shingles bigint, planes array<bigint>, bands array<bigint>")
 
 
 def _plausible(a: str, b: str, percent: int) -> Column:
@@ -142,21 +149,20 @@ def _plausible(a: str, b: str, percent: int) -> Column:
 
 
 def _bodies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, packed: the whole texts compressed, as they travel to the documents' pairs and pools."""
-    rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"),
-                                                F.col("text").cast("binary").alias("text"))
+    """node (the row's key), packed: the whole texts compressed, as they travel to the documents' pairs and pools."""
+    rows = texts(docs, id_col, text_col).select(row_key().alias("node"), F.col("text").cast("binary").alias("text"))
 
     def make():
         pack = zstandard.ZstdCompressor(level=1).compress
-        return lambda columns: {"doc_id": columns[0], "packed": [pack(t) for t in columns[1]]}
+        return lambda columns: {"node": columns[0], "packed": [pack(t) for t in columns[1]]}
 
-    return map_rows(rows, make, "doc_id bigint, packed binary")
+    return map_rows(rows, make, "node bigint, packed binary")
 
 
 def _confirmed(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets meet the threshold: 100 * intersection >= percent * union."""
-    left = pairs.join(bodies.withColumnsRenamed({"doc_id": "a", "packed": "packed_a"}), "a")
-    both = left.join(bodies.withColumnsRenamed({"doc_id": "b", "packed": "packed_b"}), "b").select("a", "b", "packed_a", "packed_b")
+    left = pairs.join(bodies.withColumnsRenamed({"node": "a", "packed": "packed_a"}), "a")
+    both = left.join(bodies.withColumnsRenamed({"node": "b", "packed": "packed_b"}), "b").select("a", "b", "packed_a", "packed_b")
 
     def make():
         unpack = zstandard.ZstdDecompressor().decompress
@@ -231,7 +237,7 @@ def _pool_links(pool: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
              .select("pool", F.ceil(F.col("part") / BLOCK_SHINGLES).cast("int").alias("rows"),
                      F.ceil(F.col("whole") / BLOCK_SHINGLES).cast("int").alias("columns")))
     placed = (pool.withColumn("outside", outside).join(sizes, "pool")
-              .join(bodies.withColumnsRenamed({"doc_id": "node"}), "node"))
+              .join(bodies, "node"))
 
     def block(count: str, seed: int):
         return F.pmod(F.xxhash64("node", F.lit(seed)), F.col(count)).cast("int")
@@ -275,12 +281,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept — one row for each row of ``docs``."""
+def near_groups(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row, n_shingles, node (of the component), component (its smallest id) — one row for each row of ``docs``,
+    NO_ID for null."""
     signed = written(signatures(docs, id_col, text_col), "signatures")
     # one class for each word sequence, empty texts aside
     of_class = (signed.where(F.col("n_shingles") > 0).groupBy("digest")
-                .agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n_shingles"),
+                .agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"),
                      F.max("planes").alias("planes"), F.max("bands").alias("bands")))
     classes = written(of_class, "classes")
     held = classes.select("node", F.explode("bands").alias("key")).distinct()
@@ -297,7 +304,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     b_side = marks.withColumnsRenamed({"node": "b", "n_shingles": "b_n_shingles", "planes": "b_planes"})
     near = written(stars.join(a_side, "a").join(b_side, "b").where(_plausible("a_", "b_", percent)).select("a", "b").distinct(),
                    "star-pairs")
-    # the text of a class's documents with the smallest id; other rows of the class have the same words
+    # the text of a class's node; other rows of the class have the same words
     bodies = _bodies(docs, id_col, text_col)
     star_links = written(_confirmed(near, bodies, percent).distinct(), "star-links")
     first = components(star_links)
@@ -326,21 +333,30 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         more = written(_pool_links(pool, bodies, percent), "pool-links")
         links = star_links.unionByName(more)
         first = components(links)
-    reached = first.select(F.col("node").alias("of_node"), "component")
-    members = (classes.select("digest", "node").join(reached, F.col("node") == F.col("of_node"), "left")
-               .select("digest", F.coalesce("component", "node").alias("component")))
-    found = signed.select("doc_id", "digest", "n_shingles").join(members, "digest", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
+    # the smallest id of each component of several classes
+    labels = (first.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("label")))
+    reached = first.join(labels, "component").select(F.col("node").alias("of_node"), "component", "label")
+    members = (classes.select("digest", "node", "least").join(reached, F.col("node") == F.col("of_node"), "left")
+               .select("digest", F.coalesce("component", "node").alias("node"), F.coalesce("label", "least").alias("component")))
+    found = signed.select("doc_id", "row", "digest", "n_shingles").join(members, "digest", "left")
+    bare = F.col("n_shingles") == 0
+    return found.select("doc_id", "row", "n_shingles", F.when(bare, F.col("row")).otherwise(F.col("node")).alias("node"),
+                        F.when(bare, F.col("doc_id")).otherwise(F.col("component")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept — one row for each row of ``docs``."""
     back = lambda c: F.when(c != NO_ID, c)
-    return (found.select("doc_id", "n_shingles", component.alias("component_id"))
+    return (near_groups(docs, percent, id_col, text_col).withColumnRenamed("component", "component_id")
             .select(back(F.col("doc_id")).alias("doc_id"), "n_shingles", back(F.col("component_id")).alias("component_id"),
                     (F.col("doc_id") == F.col("component_id")).alias("kept")))
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the smallest id stays; similarity from 0.8."""
-    found = near_duplicates(docs, percent=80)
-    return drop_rows(docs, found.where(~F.col("kept")).select("doc_id"))
+    found = near_groups(docs, percent=80).where(F.col("doc_id") != F.col("component"))
+    return drop_rows(docs, found.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
+                                        F.col("row").alias("digest")), row_key())
 
 
 def query(spark, sf_dir: str) -> DataFrame:

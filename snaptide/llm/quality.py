@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaptide.llm.common import drop_rows, map_rows, read_table, texts
+from snaptide.llm.common import drop_rows, map_rows, read_table, text_digest, texts
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 WINDOW = 5
@@ -205,8 +205,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING
 
 
 def judge(docs: DataFrame, model: Trees | None, keep_from: float = KEEP_FROM, id_col: str = "doc_id",
-          text_col: str = "text") -> DataFrame:
-    """doc_id, the BASE counts, base_failed, score, kept."""
+          text_col: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id, the BASE counts, base_failed, score, kept and (``digest``) the digest of the text."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -217,20 +217,22 @@ def judge(docs: DataFrame, model: Trees | None, keep_from: float = KEEP_FROM, id
             base = {name: [b[k] for b, _ in found] for k, name in enumerate(BASE)}
             failed = [b[0] < MIN_WORDS or 100 * b[4] > MAX_REPEAT_PERCENT * b[0] for b, _ in found]
             score = trees.probability(np.array([f for _, f in found])) if trees and found else np.ones(len(found))
-            return base | {"doc_id": columns[0], "base_failed": failed, "score": score.tolist(),
+            return base | {"doc_id": columns[0], "digest": columns[-1], "base_failed": failed, "score": score.tolist(),
                            "kept": [bool(not bad and s >= keep_from) for bad, s in zip(failed, score)]}
 
         return step
 
-    rows = texts(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = texts(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"),
+                                                *[text_digest()] * digest)
     return map_rows(rows, make, "doc_id bigint, " + ", ".join(f"{b} bigint" for b in BASE)
-                    + ", base_failed boolean, score double, kept boolean")
+                    + ", base_failed boolean, score double, kept boolean" + ", digest binary" * digest)
 
 
 def drop_low_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go."""
     model = fit_quality(docs, read_table(spark, sf_dir, "labels"))
-    return drop_rows(docs, judge(docs, model).where(~F.col("kept")).select("doc_id"))
+    found = judge(docs, model, digest=True)
+    return drop_rows(docs, found.where(~F.col("kept")).select("doc_id", "digest"), text_digest())
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -5,10 +5,10 @@ from collections import defaultdict
 
 import pytest
 from cases import documents
-from test_dedup import brute_removed
+from test_dedup import brute_removed, jaccard_components
 
 import corpus_pipeline
-from snaptide.llm import substrings
+from snaptide.llm import near_dedup, quality, substrings
 from snaptide.llm.common import read_table
 
 SF = "/root/testdata/sf0.001"
@@ -91,3 +91,47 @@ def test_words_of_any_length(monkeypatch):
     monkeypatch.setattr(substrings, "PART", 700)
     assert substrings.word_hashes(text, start, end).tolist() == whole
     assert len(set(whole)) == len(set(WORD.findall(text)))
+
+
+# --- rows that share an id ------------------------------------------------------------------------------------
+
+def kept_rows(spark, stage, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return sorted(((r.doc_id, r.text) for r in STAGES[stage](spark, docs, SF).collect()), key=repr)
+
+
+def test_quality_verdict_is_of_the_row(spark):
+    """Several null ids, and an id with a good and a poor text: only the poor rows go."""
+    rows = [(r.doc_id, r.text) for r in read_table(spark, SF, "documents").collect()]
+    rows += [(None, t + " so") for _, t in rows[:20]] + [(7000, t + " so") for _, t in rows[20:40]]
+    rows += [(None, "poor"), (None, None), (7000, "a a a a a a a a a a a a"), (7001, "")]
+    model = quality.fit_quality(spark.createDataFrame(rows, "doc_id long, text string"), read_table(spark, SF, "labels"))
+    numbered = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    good = {r.doc_id for r in quality.judge(numbered, model).collect() if r.kept}
+    want = [r for k, r in enumerate(rows) if k in good]
+    assert {None, 7000} <= {i for i, _ in want} and not {len(rows) - k for k in range(1, 5)} & good
+    assert kept_rows(spark, "quality_rules", rows) == sorted(want, key=repr)
+
+
+def test_exact_verdict_is_of_the_row(spark):
+    rows = [(1, "One text"), (None, "one TEXT"), (None, "only here"), (None, None), (5, "two"), (5, "three"), (9, "Two"),
+            (5, "")]
+    assert kept_rows(spark, "exact_dedup", rows) == sorted(
+        [(1, "One text"), (None, "only here"), (5, "three"), (9, "Two"), (5, "")], key=repr)
+
+
+def near_rows():
+    a, b, c, d = (words_from(k, 80) for k in (61, 62, 63, 64))
+    text = lambda w, tail="": " ".join([*w, *tail.split()])
+    return [(3, text(a, "x")), (4, text(b, "y")), (5, text(a)), (5, text(b)),
+            (None, text(c)), (None, text(d)), (None, "alone with these few words here"), (None, ""), (8, text(c, "z"))]
+
+
+def test_near_verdict_is_of_the_row(spark):
+    """An id with two texts does not join their groups; null ids with different texts stay apart."""
+    rows = near_rows()
+    want = [rows[k] for k in (0, 1, 4, 5, 6, 7)]
+    assert kept_rows(spark, "near_dedup", rows) == sorted(want, key=repr)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, 80).collect()), key=repr)
+    assert got == jaccard_components([(i, t or "") for i, t in rows], 80)
