@@ -21,7 +21,7 @@
 Cases: texts without words are empty, linked with nothing and a component of their own row's id; texts of
 fewer than five words are one shingle and linked with equal word sequences only. A null id counts as one
 document that comes before all others. Repeated rows are one document: each keeps its row, with the same
-verdict; an id with several texts has a verdict for each, by that text's links. No rows: no rows.
+verdict (the pipeline stage keeps one of them); an id with several texts has a verdict for each, by that text's links. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snaptide.llm.common import drop_rows, map_rows, read_table, texts, written
+from snaptide.llm.common import fresh, map_rows, read_table, texts, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE = 5
@@ -353,10 +353,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays; similarity from 0.8."""
-    found = near_groups(docs, percent=80).where(F.col("doc_id") != F.col("component"))
-    return drop_rows(docs, found.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
-                                        F.col("row").alias("digest")), row_key())
+    """Pipeline stage: of each component one row stays, of the document with the smallest id (of several rows with it,
+    that of the smallest row key); similarity from 0.8. Of rows that repeat id and text one stays, empty texts too."""
+    own, key = fresh(docs, "own_id"), fresh(docs, "own_row")
+    right, mark, n = (fresh(docs, c) for c in ("kept_doc_id", "kept_row", "copies"))
+    one = (near_groups(docs, percent=80).groupBy("node", "doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
+           .groupBy("node").agg(F.min(F.struct("doc_id", "row", "n")).alias("one")))
+    kept = written(one.select(F.col("one.doc_id").alias(right), F.col("one.row").alias(mark), F.col("one.n").alias(n)), "kept-rows")
+    rows = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), key: row_key()})
+    joined = rows.join(kept, (F.col(own) == F.col(right)) & (F.col(key) == F.col(mark)))
+    if not kept.where(F.col(n) > 1).isEmpty():
+        joined = joined.where(F.col(n) == 1).unionByName(joined.where(F.col(n) > 1).dropDuplicates([own, key]))
+    return joined.select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

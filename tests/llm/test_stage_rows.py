@@ -135,3 +135,32 @@ def test_near_verdict_is_of_the_row(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, 80).collect()), key=repr)
     assert got == jaccard_components([(i, t or "") for i, t in rows], 80)
+
+
+def test_repeated_rows_stay_once(spark, tmp_path):
+    """One of several rows with id and text stays in the stages before packing: long, empty, null id; so does one of a
+    text's null-id copies and of an id's near copies."""
+    base = read_table(spark, SF, "documents")
+    long_rows = [r for r in base.collect() if len(r.text or "") > 3000][:12]
+    schema = base.schema
+    twice = [tuple(r) for r in long_rows] * 2
+    near = [(6000, long_rows[0].text + tail, "en", "a", 1) for tail in (" k", " l")]
+    far = [(None, " ".join(words_from(71, 300)), "en", "a", 1)] * 3 + [(6001, "", "en", "a", 0)] * 2
+    docs = spark.createDataFrame(twice + near + far, schema)
+    got = STAGES["near_dedup"](spark, STAGES["exact_dedup"](spark, docs, SF), SF)
+    assert got.columns == docs.columns
+    rows = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    assert len(rows) == len(set(rows)) and {i for i, _ in rows} >= {None, 6001}
+    components = {c for _, _, c in jaccard_components([(r[0], r[1] or "") for r in twice + near + far], 80)}
+    assert {i for i, _ in rows} == components
+    left = {r.doc_id: r.text for r in STAGES["repeated_passages"](spark, got, SF).collect()}
+    want = dict(brute_left([(i, t.encode()) for i, t in rows], 400, 51))
+    assert left == want and any(len(t) > 2000 for t in left.values())
+
+
+def test_run_keeps_a_document_ingested_twice(spark, tmp_path):
+    table = read_table(spark, SF, "documents")
+    alone = corpus_pipeline.run(spark, SF).select("doc_id").distinct().orderBy("doc_id").collect()
+    table.unionByName(table).write.parquet(f"{tmp_path}/documents.parquet")
+    read_table(spark, SF, "labels").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().orderBy("doc_id").collect() == alone
