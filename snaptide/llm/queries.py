@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from snaptide.llm import bpe, chat, exact_dedup, licenses, near_dedup, packing, quality, site_quality, substrings, urls
+from snaptide.llm import (
+    bpe, chat, exact_dedup, licenses, near_dedup, packing, quality, repair, sentence_pieces, site_quality, substrings, urls,
+    vector_codes,
+)
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -15,5 +18,9 @@ QUERIES = {
     "op8_chat_format": chat.query,
     "op9_url_filter": urls.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_vector_codes": vector_codes.query,
+    "op12_sentence_pieces": sentence_pieces.query,
+    "op13_conversation_repair": repair.query,
 }
-ORACLES = {"op8_chat_format": chat.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op8_chat_format": chat.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE,
+           "op11_vector_codes": vector_codes.ORACLE}
