@@ -15,12 +15,14 @@ their matrices side by side, one pass over a conversation's matrices gives each
 follows it, then segments unroll their choices side by side, for every state they may be entered in, again
 in cached blocks of powers of two; the states are chained afterwards. So a conversation that holds a third
 of all rows is spread over many tasks; what meets in one task for a conversation is one matrix for each
-``SEGMENT`` of its rows. Texts travel only to the rows that keep them.
-
-Cases: rows are ordered by turn, null turns first, rows of one turn by role and by the SHA-256 of the text.
-Null roles and texts are one space. Repeated rows are duplicates of the first. Null ids form one
-conversation. Roles of any other initial are kept by no pattern. No rows: no conversations. Very long texts
-are read once for their faults and travel once if they stay. Extra columns of any name are not read.
+``SEGMENT`` of its rows. Texts stay out of it
+until the edits are known.
+
+Cases: rows are ordered by turn, null turns first, rows of one turn by role and by the SHA-256 of the
+text (its first 128 bits stand for the text). Null roles and texts are one space. Repeated rows are duplicates
+of the first. Null ids form one conversation. Roles of any other initial are kept by no pattern. No rows: no
+conversations. Very long texts are read once for their faults and travel to their edits and to the digest.
+Extra columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -199,7 +201,7 @@ def turn_rows(turns: DataFrame) -> DataFrame:
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                         F.coalesce(F.col("role").cast("string"), F.lit(" ")).alias("role"),
                         F.coalesce(F.col("text").cast("string"), F.lit(" ")).alias("text"))
-    return rows.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    return rows.withColumn("digest", F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16))
 
 
 def elements(rows: DataFrame) -> DataFrame:
@@ -411,12 +413,16 @@ def repair(turns: DataFrame) -> Repaired:
 def messages(turns: DataFrame, edits: DataFrame) -> DataFrame:
     """One row for each edit: conv_id, position, nth, edit, role, text. (position, nth) is the order; role and
     text are null for deleted rows."""
-    said = turn_rows(turns).dropDuplicates(["conv_id", "turn", "role", "digest"]).select(
-        F.col("conv_id").alias("s_conv"), F.col("turn").alias("s_turn"), F.col("role").alias("s_role"),
-        F.col("digest").alias("s_digest"), "text")
-    stays = F.col("edits").rlike("[KR]")
-    joined = edits.join(said, _same_conversation("conv_id", "s_conv") & F.col("turn").eqNullSafe(F.col("s_turn"))
-                        & (F.col("role") == F.col("s_role")) & (F.col("digest") == F.col("s_digest")) & stays, "left")
+    # one exchange brings equal texts together and to their edits: both group and join by the same plain columns
+    def keyed(rows: DataFrame) -> DataFrame:
+        nulls = {f"{c}_null": F.col(c).isNull() for c in ("conv_id", "turn")}
+        return rows.withColumns(nulls).fillna(0, ["conv_id", "turn"])
+
+    keys = ["conv_id_null", "conv_id", "turn_null", "turn", "role", "digest"]
+    said = keyed(turn_rows(turns)).dropDuplicates(keys).select(*keys, "text")
+    stays = keyed(edits).withColumn("digest", F.when(F.col("edits").rlike("[KR]"), F.col("digest")))
+    joined = stays.join(said, keys, "left").withColumn(
+        "conv_id", F.when(~F.col("conv_id_null"), F.col("conv_id")))
     one = joined.select("conv_id", "position", "role", "text", "roles", F.posexplode(F.split("edits", "")).alias("nth", "edit"))
     given = F.substring(F.col("roles"), F.col("nth") + 1, F.lit(1))
     full = F.when(given == "u", "user").when(given == "a", "assistant").otherwise(F.col("role"))
