@@ -58,7 +58,7 @@ def _ranked(history: DataFrame, spec: TableSpec, reads: DataFrame | None, scope)
     return lookup(history.select(*spec.keys, *spec.attrs, NOW), capture_ranks(known, scope), [*scope, NOW])
 
 
-def _replayed(rows: DataFrame, spec: TableSpec, gaps: bool, segment: int) -> DataFrame:
+def replayed_steps(rows: DataFrame, spec: TableSpec, gaps: bool, segment: int) -> DataFrame:
     """``rows``: keys, attrs, refreshed_at, _rank, _mod0, _disc0. Stored rows have rank 0 and both of their
     times; captured rows have neither. Returns the captured rows with their state columns and ``action``."""
     keys, attrs = list(spec.keys), list(spec.attrs)
@@ -133,7 +133,7 @@ def replay(history: DataFrame, spec: TableSpec, *, gaps: bool | None = None, seg
     gaps = spec.delete_stale if gaps is None else gaps
     none = F.lit(None).cast(history.schema[NOW].dataType)
     rows = _ranked(history, spec, reads, scope).withColumns({"_mod0": none, "_disc0": none})
-    return _replayed(rows, spec, gaps, segment).drop("_rank")
+    return replayed_steps(rows, spec, gaps, segment).drop("_rank")
 
 
 def fold(state: DataFrame, history: DataFrame, spec: TableSpec, *, reads: DataFrame | None = None, scope=None,
@@ -149,7 +149,7 @@ def fold(state: DataFrame, history: DataFrame, spec: TableSpec, *, reads: DataFr
               .withColumns({"_mod0": none, "_disc0": none}))
     stored = state.select(*keys, *spec.attrs, NOW, F.lit(0).cast("bigint").alias("_rank"),
                           F.col("modified_at").alias("_mod0"), F.col("discovered_at").alias("_disc0"))
-    steps = _replayed(ranked.unionByName(stored), spec, spec.delete_stale, segment)
+    steps = replayed_steps(ranked.unionByName(stored), spec, spec.delete_stale, segment)
     kept = state.select(*spec.columns, F.lit(0).cast("bigint").alias("_rank"), F.lit("keep").alias("action"))
     rest = [c for c in spec.columns if c not in keys]
     last = (steps.unionByName(kept).groupBy(*keys)

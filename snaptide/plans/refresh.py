@@ -3,10 +3,15 @@
 ``refresh_metadata`` applies metadata captures to the state tables in
 dependency order, resolving each child against its parent's new state,
 removing stale rows where the table does so and cascading removals to
-children. Every complete capture after the cluster's last one is applied, in
-the order of capture times: captures of the same rank in their clusters go
-together, one version for each rank. Chunk rows of a capture that is not
-complete yet are kept in the store until the rest arrives.
+children. A batch that holds one capture of each cluster is merged
+(``operators.merge``); one that holds several is folded in one pass, to the
+same state (``plans.backlog``). Either way it is one new version.
+
+Each capture of a cluster is applied or left out on its own (``capture_order``):
+a capture whose chunks are not all there holds back the later ones of its
+cluster until it is complete or given up, a capture that breaks a rule (two
+topics of one name) is left out; both are counted and listed in ``_failed``, and
+the other clusters and captures go on.
 
 ``refresh_offsets`` does the same for the two offset tables from flat captures,
 with offset timestamps looked up in a record log. All captures of a batch are
@@ -33,22 +38,30 @@ from snaptide.operators.accounting import accounting_metrics
 from snaptide.operators.asof import DEFAULT_BUCKET, attach_offset_timestamps
 from snaptide.operators.cascade import cascade
 from snaptide.operators.joins import existing, lookup
-from snaptide.operators.lookup_plans import (
-    duplicate_topic_names, resolve_assignments, resolve_group_offsets, resolve_partition_offsets,
-)
+from snaptide.operators.lookup_plans import resolve_assignments, resolve_group_offsets, resolve_partition_offsets
 from snaptide.operators.merge import deleted, merge_snapshot, survivors
 from snaptide.operators.offsets import clean_partition_offsets
 from snaptide.operators.replay import capture_ranks, fold
+from snaptide.plans.backlog import SECTIONS, Backlog
 from snaptide.plans.state import StateStore
 from snaptide.schemas import EXTRA_PARENTS, OFFSET_TABLES, SNAPSHOT, TABLES
 
 CK = "k_cluster_id"
 NOW = "refreshed_at"
 METADATA_TABLES = tuple(n for n in TABLES if n not in OFFSET_TABLES)
+# Seconds by which a complete capture may be later than an incomplete one of its cluster before that is given up:
+# twenty refresh periods of 30 s.
+HOLD_BACK = 600
+LEVELS = [
+    ["clusters", "nodes", "topics", "acl_resources", "acl_entries"],
+    ["node_configs", "topic_configs", "topic_partitions", "consumer_groups", "acl_bindings"],
+    ["partition_replicas", "partition_offsets", "consumer_group_members"],
+    ["consumer_group_member_assignments", "consumer_group_offsets"],
+]
 
 
 class DuplicateTopicName(ValueError):
-    """Two current topics of a cluster hold one name; the refresh is not committed."""
+    """Two topics of a capture hold one name (raised by a strict refresh; nothing is committed)."""
 
 
 @dataclass
@@ -57,6 +70,7 @@ class RefreshResult:
     removed: dict[str, DataFrame] = field(default_factory=dict)
     accounting: DataFrame | None = None
     version: int | None = None
+    failed: DataFrame | None = None
 
 
 def _after(rows: DataFrame, seen: DataFrame, kind: str) -> DataFrame:
@@ -67,20 +81,38 @@ def _after(rows: DataFrame, seen: DataFrame, kind: str) -> DataFrame:
             .filter(F.col("seen_at").isNull() | (F.col("captured_at") > F.col("seen_at"))).drop("seen_at"))
 
 
-def capture_order(rows: DataFrame) -> DataFrame:
-    """(k_cluster_id, captured_at, complete, rank): the captures in ``rows`` and, for complete ones, their
-    rank in the cluster. A capture is complete when all of its chunks are there."""
-    caps = rows.groupBy(CK, "captured_at").agg(F.max("chunk_count").alias("_count"),
+def capture_order(rows: DataFrame, hold_back: float = HOLD_BACK, give_up: bool = False) -> DataFrame:
+    """(k_cluster_id, captured_at, n_rows, status, rank): the captures in ``rows``. A capture is complete when all of
+    its chunks are there. Status, each cluster for itself:
+
+    applied   complete, and no earlier capture is open; ``rank`` is its place among these
+    open      incomplete
+    held      complete, but an earlier capture is open
+    given_up  incomplete, and a complete one is more than ``hold_back`` seconds later (or ``give_up``)
+    failed    would be applied, but two of its topics hold one name (Q11)
+    """
+    caps = rows.groupBy(CK, "captured_at").agg(F.max("chunk_count").alias("_count"), F.count(F.lit(1)).alias("n_rows"),
                                                F.count_distinct("chunk_index").alias("_chunks"))
-    caps = caps.select(CK, "captured_at",
-                       F.coalesce(F.col("_chunks") >= F.col("_count"), F.lit(True)).alias("complete"))
-    ranks = capture_ranks(caps.filter("complete").select(CK, F.col("captured_at").alias(NOW)), [CK])
+    whole = F.coalesce(F.col("_chunks") >= F.col("_count"), F.lit(True))
+    named = (fl.topics(rows).groupBy(CK, NOW, "name").agg(F.min("k_topic_id").alias("_a"), F.max("k_topic_id").alias("_b"))
+             .filter("_a <> _b").select(CK, F.col(NOW).alias("captured_at"), F.lit(True).alias("_bad")).distinct())
+    newest = caps.filter(whole).groupBy(CK).agg(F.max("captured_at").alias("_newest"))
+    late = F.lit(give_up) | F.coalesce(
+        F.unix_micros("_newest") - F.unix_micros("captured_at") > int(hold_back * 1_000_000), F.lit(False))
+    caps = lookup(lookup(caps, newest, [CK], "left"), named, [CK, "captured_at"], "left")
+    caps = caps.withColumn("_open", ~whole & ~late)
+    first = caps.filter("_open").groupBy(CK).agg(F.min("captured_at").alias("_first_open"))
+    status = (F.when(F.col("_open"), "open").when(~whole, "given_up")
+              .when(F.col("captured_at") > F.col("_first_open"), "held").when(F.col("_bad"), "failed").otherwise("applied"))
+    caps = lookup(caps, first, [CK], "left").select(CK, "captured_at", "n_rows", status.alias("status"))
+    ranks = capture_ranks(caps.filter("status = 'applied'").select(CK, F.col("captured_at").alias(NOW)), [CK])
     return lookup(caps, ranks.select(CK, F.col(NOW).alias("captured_at"), F.col("_rank").alias("rank")),
                   [CK, "captured_at"], "left")
 
 
-def _submitted(snap: DataFrame) -> dict[str, int]:
-    """Rows given for each table that resolves keys, before any lookup (one pass over the snapshot)."""
+def _given(snap: DataFrame) -> tuple[dict[str, int], dict[str, bool]]:
+    """Rows given for each table before any lookup, and whether any capture read a section (one pass over the
+    snapshot). The access rules are counted as bindings."""
     def n(items: Column) -> Column:
         return F.coalesce(F.array_size(items).cast("long"), F.lit(0).cast("long"))
 
@@ -89,6 +121,8 @@ def _submitted(snap: DataFrame) -> dict[str, int]:
         return F.coalesce(total, F.lit(0).cast("long"))
 
     counts = {
+        "nodes": n(F.col("nodes")) + n(F.col("quorum.voters")) + n(F.col("quorum.observers")),
+        "topics": n(F.col("topics")),
         "node_configs": inner(F.col("node_configs"), lambda x: n(x["entries"])),
         "topic_configs": inner(F.col("topic_configs"), lambda x: n(x["entries"])),
         "topic_partitions": inner(F.col("topic_descriptions"), lambda x: n(x["partitions"])),
@@ -98,10 +132,18 @@ def _submitted(snap: DataFrame) -> dict[str, int]:
         "consumer_group_members": inner(F.col("consumer_groups"), lambda x: n(x["members"])),
         "consumer_group_member_assignments": inner(F.col("consumer_groups"),
                                                    lambda x: inner(x["members"], lambda m: n(m["assignments"]))),
+        "acl_resources": n(F.col("acl_bindings")), "acl_entries": n(F.col("acl_bindings")),
         "acl_bindings": n(F.col("acl_bindings")),
     }
-    row = snap.agg(*[F.sum(c).alias(t) for t, c in counts.items()]).first()
-    return {t: int(row[t] or 0) for t in counts}
+    sections = list(dict.fromkeys(SECTIONS.values()))
+    row = snap.agg(*[F.sum(c).alias(t) for t, c in counts.items()],
+                   *[F.max(F.col(s).isNotNull()).alias(f"read_{s}") for s in sections]).first()
+    return {t: int(row[t] or 0) for t in counts}, {s: bool(row[f"read_{s}"]) for s in sections}
+
+
+# Tables for which a given row is one source row (others combine or repeat rows on the way to the merge).
+RESOLVING = ("node_configs", "topic_configs", "topic_partitions", "partition_replicas", "consumer_groups",
+             "consumer_group_members", "consumer_group_member_assignments", "acl_bindings")
 
 
 class _Run:
@@ -119,6 +161,10 @@ class _Run:
         self.given: dict[str, int] = {}
         self.lock = threading.Lock()
 
+    def stored(self, name: str) -> bool:
+        """Whether the version before this one holds rows of a table."""
+        return bool(((self.head or {}).get("tables") or {}).get(name))
+
     def state(self, name: str) -> DataFrame:
         """Stored rows of the touched clusters; other clusters' files are not read."""
         return existing(self.store.read(name, head=self.head or {"tables": {}}), self.touched, [CK])
@@ -185,8 +231,8 @@ class _Run:
 
     def carry(self, name: str) -> None:
         """A table this refresh does not merge: only cascades may remove rows."""
-        if not ((self.head or {}).get("tables") or {}).get(name):
-            return                            # nothing stored
+        if not self.stored(name):
+            return
         kept, lost = self._cascade(name, self.state(name))
         if lost:
             self.stage(name, kept)
@@ -218,9 +264,11 @@ def _seen_after(run: _Run, times: DataFrame, kind: str) -> DataFrame:
     return both.groupBy(CK, "kind").agg(F.max("seen_at").alias("seen_at"))
 
 
-def _apply(run: _Run, snap: DataFrame, names: set[str], parallel: bool) -> None:
-    """Merge one capture of each touched cluster, parents before children."""
-    run.given = _submitted(snap)
+def _apply(run: _Run, snap: DataFrame, names: set[str], parallel: bool, given: dict[str, int],
+           read: dict[str, bool]) -> None:
+    """Merge one capture of each touched cluster, parents before children. A table that the captures say nothing
+    about (no rows, and no section read that could make its rows stale) is not merged."""
+    run.given = {n: c for n, c in given.items() if n in RESOLVING}
     scopes = run.scopes(snap, ("topics", "consumer_groups", "acl_bindings"))
     topic_scope, group_scope, acl_scope = scopes.values()
     t = run.table
@@ -262,44 +310,45 @@ def _apply(run: _Run, snap: DataFrame, names: set[str], parallel: bool) -> None:
                                    group_scope),
         "consumer_group_member_assignments": (assignments, group_scope),
     }
-    levels = [
-        ["clusters", "nodes", "topics", "acl_resources", "acl_entries"],
-        ["node_configs", "topic_configs", "topic_partitions", "consumer_groups", "acl_bindings"],
-        ["partition_replicas", "partition_offsets", "consumer_group_members"],
-        ["consumer_group_member_assignments", "consumer_group_offsets"],
-    ]
-
     def step(name: str):
         def go() -> None:
-            if name in names and name in sources:
+            stale = TABLES[name].delete_stale and read.get(SECTIONS.get(name), False) and run.stored(name)
+            if name in names and name in sources and (given.get(name, 1) or stale):
                 make, scope = sources[name]
                 run.merge(name, make(), scope)
             else:
                 run.carry(name)
         return go
 
-    for level in levels:
+    _by_level(step, parallel)
+
+
+def _by_level(step, parallel: bool) -> None:
+    for level in LEVELS:
         steps = [step(name) for name in level]
         if parallel:
             _run_level(steps)
         else:
             for go in steps:
                 go()
-        if "topics" in level and "topics" in run.staged and not duplicate_topic_names(run.new["topics"]).isEmpty():
-            raise DuplicateTopicName("a topic name is held by several current topics of a cluster")  # Q11
 
 
 def refresh_metadata(store: StateStore, snapshots: DataFrame, *, epoch: int | None = None,
                      incremental: bool = False, stream: str | None = None, parallel: bool = True,
-                     tables=None) -> RefreshResult:
-    """Apply every complete capture of ``snapshots`` (and of the chunks kept
-    from earlier inputs) that is after its cluster's last one, in order.
+                     tables=None, hold_back: float = HOLD_BACK, give_up: bool = False,
+                     strict: bool = False) -> RefreshResult:
+    """Apply the captures of ``snapshots`` (and the rows kept from earlier inputs) that are after their cluster's
+    last applied one, in order, as one new version.
 
     Tables are processed parents first, level by level (tables of one level do
     not depend on each other and run concurrently when ``parallel``).
     ``tables``: merge only these (children of removed rows go all the same).
     ``incremental``: the captures are far smaller than the touched clusters'
-    state. The result's ``removed`` and ``accounting`` cover all captures.
+    state (one capture of each cluster). ``hold_back``, ``give_up``: see
+    ``capture_order``; rows of open and held captures stay in the store.
+    ``strict``: raise for a failed capture instead of leaving it out. The
+    result's ``failed`` lists captures that were left out for good;
+    ``accounting`` counts captures by status under ``_captures``.
     """
     names = set(METADATA_TABLES if tables is None else tables)
     head = store.latest() or {"tables": {}}
@@ -309,49 +358,44 @@ def refresh_metadata(store: StateStore, snapshots: DataFrame, *, epoch: int | No
     rows = _after(given.unionByName(kept), store.read("_seen", head=head), "metadata").persist()
     try:
         version = store.begin(store.latest())
-        order = store.stage_side(version, "captures", capture_order(rows))
-        last = order.agg(F.max("rank").alias("r")).first().r or 0
-        removed: dict[str, DataFrame] = {}
-        counts: list[DataFrame] = []
-        result = None
-        for rank in range(1, last + 1):
-            now = order.filter(F.col("rank") == rank).select(CK, "captured_at")
-            snap = lookup(rows, now, [CK, "captured_at"], "left_semi").persist()
-            try:
-                run = _Run(store, now, incremental)
-                _apply(run, snap, names, parallel)
-                run.stage("_seen", _seen_after(run, now, "metadata"))
-                if rank == last:
-                    _keep_pending(run, rows, order)
-                result = run.finish(epoch if rank == last else None, stream)
-            finally:
-                snap.unpersist()
-            for name, gone in result.removed.items():
-                removed[name] = removed[name].unionByName(gone) if name in removed else gone
-            if result.accounting is not None:
-                counts.append(result.accounting)
-        if result is None:
-            # nothing complete: chunks are kept, the epoch is noted
-            run = _Run(store, order.select(CK))
-            _keep_pending(run, rows, order)
-            result = run.finish(epoch, stream)
-        result.removed = removed
-        if counts:
-            every = reduce(DataFrame.unionByName, counts)
-            result.accounting = every.groupBy("table_name", "metric").agg(F.sum("value").alias("value"))
+        order = store.stage_side(version, "captures", capture_order(rows, hold_back, give_up))
+        found = {r.status: r for r in order.groupBy("status").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("n_rows").alias("n_rows"), F.max("rank").alias("last")).collect()}
+        if strict and "failed" in found:
+            raise DuplicateTopicName("a topic name is held by several topics of a capture")
+        now = order.filter("status = 'applied'").select(CK, "captured_at")
+        run = _Run(store, now if "applied" in found else order, incremental)
+        counts = None
+        if "applied" in found:
+            snap = lookup(rows, now, [CK, "captured_at"], "left_semi")
+            submitted, read = _given(snap)
+            if found["applied"].last == 1:
+                _apply(run, snap, names, parallel, submitted, read)
+            else:
+                run.given = {n: c for n, c in submitted.items() if n in RESOLVING}
+                backlog = Backlog(run, snap, names, submitted, read)
+                _by_level(lambda name: lambda: backlog.apply(name), parallel)
+                counts = backlog.accounting()
+            run.stage("_seen", _seen_after(run, now, "metadata"))
+        clusters = order.select(CK).distinct()
+        waiting = order.filter("status IN ('open', 'held')").select(CK, "captured_at")
+        if {"open", "held"} & set(found) or run.stored("_pending"):
+            run.stage("_pending", lookup(rows, waiting, [CK, "captured_at"], "left_semi"), clusters)
+        lost = order.filter("status IN ('failed', 'given_up')").select(CK, "captured_at", F.col("status").alias("reason"), "n_rows")
+        if {"failed", "given_up"} & set(found):
+            before = existing(store.read("_failed", head=head), clusters, [CK])
+            run.stage("_failed", before.unionByName(lost).distinct(), clusters)
+        run.counts += [("_captures", status, r.n) for status, r in found.items()]
+        run.counts += [("_captures", "given_up_rows", found["given_up"].n_rows)] if "given_up" in found else []
+        result = run.finish(epoch, stream)
+        if counts is not None:
+            result.accounting = result.accounting.unionByName(counts)
+        result.failed = lost
         return result
     finally:
         rows.unpersist()
 
 
-def _keep_pending(run: _Run, rows: DataFrame, order: DataFrame) -> None:
-    """Keep chunk rows of captures that are not complete and after all complete ones of their cluster."""
-    done = order.filter("complete").groupBy(CK).agg(F.max("captured_at").alias("_done"))
-    open_caps = (lookup(order.filter("not complete").select(CK, "captured_at"), done, [CK], "left")
-                 .filter(F.col("_done").isNull() | (F.col("captured_at") > F.col("_done"))).select(CK, "captured_at"))
-    run.stage("_pending", lookup(rows, open_caps, [CK, "captured_at"], "left_semi"), order.select(CK).distinct())
-
-
 def refresh_offsets(store: StateStore, group_offsets: DataFrame | None = None,
                     partition_offsets: DataFrame | None = None, record_log: DataFrame | None = None, *,
                     group_reads: DataFrame | None = None, epoch: int | None = None, bucket: int = DEFAULT_BUCKET,
@@ -438,4 +482,4 @@ def _group_history(run: _Run, go: DataFrame | None, record_log: DataFrame | None
     return run.store.stage_side(run.version, "history-group", found.select(*spec.keys, *spec.attrs, NOW))
 
 
-__all__ = ["refresh_metadata", "refresh_offsets", "capture_order", "DuplicateTopicName", "RefreshResult"]
+__all__ = ["refresh_metadata", "refresh_offsets", "capture_order", "DuplicateTopicName", "RefreshResult", "HOLD_BACK"]

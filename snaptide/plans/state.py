@@ -4,6 +4,7 @@ Layout under ``root`` (a shared folder every executor can reach):
 
     root/<table>/v=<n>/k_cluster_id=<c>/   rows of the clusters that version n rewrote
     root/_owners/v=<n>/                    (table_name, k_cluster_id, v): which version holds a cluster's rows
+    root/_side/v=<n>/<name>/               work tables of version n (resolved captures, removed rows)
     root/_commits/v=<n>/                   one-row JSON commit record, written last
 
 A version holds only the clusters its refresh touched; all others are carried
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snaptide.operators.merge import empty_state
-from snaptide.schemas import SEEN, SNAPSHOT, TABLES, relaxed
+from snaptide.schemas import FAILED, SEEN, SNAPSHOT, TABLES, relaxed
 
 CK = "k_cluster_id"
 COMMIT = T.StructType([
@@ -34,7 +35,7 @@ COMMIT = T.StructType([
 ])
 OWNERS = "table_name string, k_cluster_id string, v long"
 SCHEMAS: dict[str, T.StructType] = ({name: relaxed(spec.schema) for name, spec in TABLES.items()}
-                                    | {"_seen": relaxed(SEEN), "_pending": relaxed(SNAPSHOT)})
+                                    | {"_seen": relaxed(SEEN), "_pending": relaxed(SNAPSHOT), "_failed": relaxed(FAILED)})
 
 
 class StateStore:
@@ -120,7 +121,7 @@ class StateStore:
 
     def stage_side(self, version: int, name: str, df: DataFrame) -> DataFrame:
         """Write a side output of a version (small key tables, removed rows) and return it read back."""
-        path = f"{self.root}/_side/{name}/v={version}"
+        path = f"{self.root}/_side/v={version}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -171,7 +172,7 @@ class StateStore:
             for part in ("_commits", "_owners"):
                 fs, path = self._folder(f"{part}/v={v}")
                 fs.delete(path, True)
-        for name, used in live.items():
+        for name, used in [*live.items(), ("_side", set(kept))]:
             fs, path = self._folder(name)
             for status in fs.listStatus(path) if fs.exists(path) else []:
                 v = int(status.getPath().getName()[2:])

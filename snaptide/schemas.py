@@ -316,6 +316,14 @@ SEEN = T.StructType([
     T.StructField("seen_at", T.TimestampType(), False),
 ])
 
+# Captures that were left out for good: two topics of one name, or given up incomplete.
+FAILED = T.StructType([
+    T.StructField("k_cluster_id", T.StringType(), False),
+    T.StructField("captured_at", T.TimestampType(), False),
+    T.StructField("reason", T.StringType(), False),
+    T.StructField("n_rows", T.LongType(), False),
+])
+
 
 def relaxed(dt: T.DataType) -> T.DataType:
     """The same type with every nested field and element nullable (what Spark
