@@ -14,15 +14,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snaptide.plans.refresh import refresh_metadata, refresh_offsets
-from snaptide.plans.registry import AUDIT_NTZ, register
+from snaptide.plans.registry import AUDIT_NTZ, ORACLES, register
 from snaptide.plans.state import StateStore
 from snaptide.plans.table_snapshots import (
     T0, T1, TOPICS_SQL, chunk, cluster_of, cluster_sql, events_snapshot_rows, sql_ts, to_ntz, topic_snapshot_rows, ts,
     two_snapshot_merge_sql,
 )
-from snaptide.schemas import PARTITION_OFFSETS, TABLES
+from snaptide.operators.integrity import integrity_report
+from snaptide.schemas import GROUP_EVENTS, PARTITION_OFFSETS, TABLES
 from snaptide.session import checkpoint_dir
+from snaptide.sources.snapshots import read_checked_snapshots
 from snaptide.sources.tables import Tables
+from snaptide.streaming.refresh_stream import offset_batch, start_capture_history, start_resolved_offsets
 
 T2 = "2024-02-03 00:00:00"
 
@@ -582,3 +585,225 @@ def stream_merge_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = history.select(*spec.keys, *spec.attrs, "refreshed_at")
     state = fold(empty_state(spark, spec, like=history), history, spec)
     return to_ntz(state.select(*spec.columns), *AUDIT_NTZ)
+
+
+# --------------------------------------------------- a backlog of captures --
+
+BACKLOG = 30
+_BACKLOG_CAPS = f"""
+SELECT {cluster_sql("c_custkey")} AS k_cluster_id, 't' || CAST(c_custkey AS VARCHAR) AS k_topic_id, 0 AS k_partition_id,
+       'topic-' || CAST(c_custkey AS VARCHAR) || CASE WHEN c_custkey % 7 < d % 7 THEN '-r' ELSE '' END AS name,
+       c_mktsegment = 'BUILDING' AS internal, {sql_ts(T0)} + d * INTERVAL 1 MINUTE AS captured_at
+FROM customer, range(1, {BACKLOG + 1}) AS t(d) WHERE (c_custkey + d) % 5 <> 0"""
+
+
+def _backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty captures of every cluster: a topic is not listed in every fifth one, but always described."""
+    cust = Tables(spark, sf_dir).customer.select("c_custkey", "c_mktsegment")
+    rows = cust.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(BACKLOG))))
+    k, d = F.col("c_custkey"), F.col("d")
+    tid, name = F.concat(F.lit("t"), k.cast("string")), F.concat(
+        F.lit("topic-"), k.cast("string"), F.when(k % 7 < d % 7, "-r").otherwise(""))
+    listed = F.when((k + d) % 5 != 0, 1).otherwise(0)
+    topic = F.struct(tid.alias("k_topic_id"), name.alias("name"), (F.col("c_mktsegment") == "BUILDING").alias("internal"))
+    part = F.struct(F.lit(0).alias("partition"), F.lit(None).cast("int").alias("leader"),
+                    F.array().cast("array<int>").alias("replicas"), F.array().cast("array<int>").alias("isr"))
+    described = F.struct(tid.alias("k_topic_id"), name.alias("name"), F.array(part).alias("partitions"))
+    return chunk(rows, k_cluster_id=cluster_of("c_custkey"), cluster_name=cluster_of("c_custkey"),
+                 captured_at=ts(T0) + F.make_dt_interval(mins=d), controller_id=F.lit(0), nodes=F.array(),
+                 topics=F.slice(F.array(topic), F.lit(1), listed), topic_descriptions=F.array(described))
+
+
+def _backlog_sql() -> str:
+    def rows(name: str, keys, attrs) -> str:
+        def text(cols):
+            return "concat_ws('|', " + ", ".join(f'CAST("{c}" AS VARCHAR)' for c in cols) + ")" if cols else "''"
+        return f"""SELECT '{name}' AS table_name, {text(keys)} AS row_key, {text(attrs)} AS row_attrs,
+                          discovered_at, modified_at, refreshed_at
+                   FROM ({fold_sql(_BACKLOG_CAPS, keys, attrs, ["k_cluster_id"], None, True)})"""
+
+    return " UNION ALL ".join([rows("topics", ["k_cluster_id", "k_topic_id"], ["name", "internal"]),
+                               rows("topic_partitions", ["k_cluster_id", "k_topic_id", "k_partition_id"], [])])
+
+
+@register("refresh_backlog_topics", _backlog_sql())
+def refresh_backlog_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4, M6, X1, K3 over a backlog: thirty captures in one call and one version. A partition is described in every
+    capture but lives with its topic only: it starts anew whenever the topic comes back."""
+    store = new_store(spark)
+    refresh_metadata(store, _backlog(spark, sf_dir), tables=("topics", "topic_partitions"))
+    return _state_rows(store, ("topics", "topic_partitions"))
+
+
+@register("refresh_backlog_accounting", f"""
+WITH caps AS ({_BACKLOG_CAPS}),
+kept AS (SELECT k_cluster_id, k_topic_id FROM caps WHERE captured_at = {sql_ts(T0)} + {BACKLOG} * INTERVAL 1 MINUTE),
+n AS (SELECT count(*) AS given, (SELECT count(*) FROM kept) AS kept,
+             (SELECT count(*) FROM customer) * {BACKLOG} AS described FROM caps)
+SELECT '_captures' AS table_name, 'applied' AS metric, (SELECT count(*) FROM (SELECT DISTINCT k_cluster_id, captured_at FROM caps)) AS value
+UNION ALL SELECT 'topics', 'keys', given FROM n UNION ALL SELECT 'topics', 'insert', kept FROM n
+UNION ALL SELECT 'topic_partitions', 'submitted', described FROM n UNION ALL SELECT 'topic_partitions', 'keys', given FROM n
+UNION ALL SELECT 'topic_partitions', 'unresolved', described - given FROM n
+UNION ALL SELECT 'topic_partitions', 'insert', kept FROM n""")
+def refresh_backlog_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 / A6 of the same backlog: captures applied, rows given, resolved or not, and the net effect on the state."""
+    result = refresh_metadata(new_store(spark), _backlog(spark, sf_dir), tables=("topics", "topic_partitions"))
+    return result.accounting.filter("table_name IN ('_captures', 'topics', 'topic_partitions')")
+
+
+@register("refresh_one_bad_cluster", f"""
+WITH a AS (SELECT {cluster_sql("s_suppkey")} AS k_cluster_id, 't' || CAST(s_suppkey AS VARCHAR) AS k_topic_id,
+                  s_name AS name, s_suppkey FROM supplier)
+SELECT k_cluster_id, k_topic_id, CASE WHEN k_cluster_id = 'c1' THEN name ELSE name || '-2' END AS name, false AS internal,
+       {sql_ts(T0)} AS discovered_at, CASE WHEN k_cluster_id = 'c1' THEN {sql_ts(T0)} ELSE {sql_ts(T1)} END AS modified_at,
+       CASE WHEN k_cluster_id = 'c1' THEN {sql_ts(T0)} ELSE {sql_ts(T1)} END AS refreshed_at
+FROM a WHERE k_cluster_id = 'c1' OR s_suppkey % 4 <> 0""")
+def refresh_one_bad_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4, Q11: in the second capture all topics of cluster c1 hold one name. It keeps what it had; the two others are
+    refreshed, their missing topics removed."""
+    sup, store = Tables(spark, sf_dir).supplier.select("s_suppkey", "s_name"), new_store(spark)
+
+    def capture(rows: DataFrame, at: str, name: Column) -> DataFrame:
+        topic = F.struct(F.concat(F.lit("t"), F.col("s_suppkey").cast("string")).alias("k_topic_id"), name.alias("name"),
+                         F.lit(False).alias("internal"))
+        return chunk(rows, k_cluster_id=cluster_of("s_suppkey"), cluster_name=cluster_of("s_suppkey"), captured_at=ts(at),
+                     controller_id=F.lit(0), nodes=F.array(), topics=F.array(topic))
+
+    refresh_metadata(store, capture(sup, T0, F.col("s_name")), tables=("topics",))
+    second = F.when(F.col("s_suppkey") % 3 == 1, "the same").otherwise(F.concat("s_name", F.lit("-2")))
+    refresh_metadata(store, capture(sup.filter("s_suppkey % 4 <> 0"), T1, second), tables=("topics",))
+    return to_ntz(store.read("topics"), *AUDIT_NTZ)
+
+
+@register("refresh_late_chunk", fold_sql(
+    _TOPIC_CAPS, ["k_cluster_id", "k_topic_id"], ["name", "internal"], ["k_cluster_id"], None, True))
+def refresh_late_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 out of order: the second capture's first chunk comes with the first, third and fourth capture, its second
+    chunk afterwards; the result is that of the four captures in order."""
+    caps, store = _topic_captures(spark, sf_dir), new_store(spark)
+    part = F.pmod(F.xxhash64(F.col("topics")[0]["k_topic_id"]), F.lit(2)).cast("int")
+    second = caps[2].withColumns({"chunk_index": part, "chunk_count": F.lit(2)})
+    refresh_metadata(store, caps[1].unionByName(second.filter("chunk_index = 0")).unionByName(caps[3]).unionByName(caps[4]),
+                     tables=("topics",))
+    refresh_metadata(store, second.filter("chunk_index = 1"), tables=("topics",))
+    return to_ntz(store.read("topics"), *AUDIT_NTZ)
+
+
+# ------------------------------------------------------------------- streams --
+
+def _stream_dirs(spark: SparkSession, label: str) -> tuple[str, str, str]:
+    root = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{root}/in", f"{root}/out", f"{root}/checkpoint"
+
+
+def _finished(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+
+
+@register("stream_group_events", ORACLES["refresh_group_offsets_partial"])
+def stream_group_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits and read marks arrive as one stream, go through its file sink, and a micro-batch of them
+    removes the offsets of groups that were read and have none left."""
+    ev = _events(spark, sf_dir)
+    meta, offs = new_store(spark), new_store(spark)
+    refresh_metadata(meta, events_snapshot_rows(ev), tables=("nodes", "topics", "topic_partitions", "consumer_groups"))
+    u = F.col("user_id")
+    kept = ev.filter((u % 5).isin(1, 2) | ((u % 5 == 3) & (F.col("event_type") == "click")))
+    user = F.substring("group_id", 2, 20).cast("bigint")
+    commits = _commit_rows(ev, ts(T1)).unionByName(
+        _commit_rows(kept, ts(T2)).withColumn("offset", F.col("offset") + user % 5 - 1))
+    reads = ev.select(cluster_of("user_id").alias("k_cluster_id"), ts(T2).alias("captured_at"),
+                      F.concat(F.lit("g"), u.cast("string")).alias("group_id"), (u % 5 != 4).alias("read")).distinct()
+    events = (commits.withColumn("kind", F.lit("commit")).unionByName(reads.withColumn("kind", F.lit("read")),
+                                                                      allowMissingColumns=True)
+              .select(*GROUP_EVENTS.fieldNames()))
+    source, history, checkpoint = _stream_dirs(spark, "group-events")
+    events.write.parquet(source)
+    _finished(start_capture_history(spark, source, history, checkpoint, schema=GROUP_EVENTS, available_now=True))
+    offset_batch(offs.root, kind="group_events", metadata_root=meta.root)(
+        spark.read.schema(GROUP_EVENTS).parquet(history), 0)
+    return to_ntz(offs.read("consumer_group_offsets"), "offset_timestamp", *AUDIT_NTZ)
+
+
+@register("stream_offsets_resolved", f"""
+SELECT {cluster_sql("user_id")} AS k_cluster_id, 'T-' || event_type AS k_topic_id, CAST(user_id % 4 AS INTEGER) AS k_partition_id,
+       'LATEST' AS offset_type, max(event_id) + 1 AS "offset", date_trunc('day', ts) + INTERVAL 1 DAY AS refreshed_at
+FROM events WHERE user_id % 4 <> 3 OR event_type = 'click'
+GROUP BY user_id % 3, user_id % 4, event_type, date_trunc('day', ts)""")
+def stream_offsets_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of partition offsets joined with the known partitions inside the streaming plan. The
+    metadata does not know partition 3 but of one topic."""
+    ev, meta = _events(spark, sf_dir), new_store(spark)
+    at = F.lit(T0).cast("timestamp")
+    known = ev.filter("user_id % 4 <> 3 OR event_type = 'click'").select(
+        cluster_of("user_id").alias("k_cluster_id"), F.concat(F.lit("T-"), "event_type").alias("k_topic_id"),
+        (F.col("user_id") % 4).cast("int").alias("k_partition_id")).distinct()
+    meta.publish({"topic_partitions": known.withColumns({a: at for a in AUDIT_NTZ})})
+    day = (F.date_trunc("day", "ts") + F.expr("INTERVAL 1 DAY")).cast("timestamp")
+    caps = (ev.groupBy((F.col("user_id") % 3).alias("c"), (F.col("user_id") % 4).cast("int").alias("partition"), "event_type",
+                       day.alias("captured_at")).agg((F.max("event_id") + 1).alias("offset"))
+            .select(cluster_of("c").alias("k_cluster_id"), "captured_at", F.concat(F.lit("T-"), "event_type").alias("k_topic_id"),
+                    "partition", F.lit("LATEST").alias("offset_type"), "offset", F.lit(-1).cast("bigint").alias("timestamp_ms"),
+                    F.lit(None).cast("int").alias("leader_epoch")))
+    source, output, checkpoint = _stream_dirs(spark, "resolved")
+    caps.write.parquet(source)
+    _finished(start_resolved_offsets(spark, source, meta.root, output, checkpoint, available_now=True))
+    rows = spark.read.parquet(output).select("k_cluster_id", "k_topic_id", "k_partition_id", "offset_type", "offset", "refreshed_at")
+    return to_ntz(rows, "refreshed_at")
+
+
+# ------------------------------------------------- bad documents, integrity --
+
+@register("quarantine_bad_documents", f"""
+SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'malformed' WHEN o_orderkey % 13 = 0 THEN 'incomplete' ELSE 'topic' END AS found,
+       CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 THEN {cluster_sql("o_custkey")} END AS k_cluster_id,
+       count(*) AS n
+FROM orders GROUP BY ALL""")
+def quarantine_bad_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON document for each order, some cut off in the middle, some without a capture time. The refresh gets
+    the others only; the bad ones are kept apart with their reason."""
+    orders = Tables(spark, sf_dir).orders.select("o_orderkey", "o_custkey", "o_orderpriority")
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("t"), k.cast("string"))
+    topic = F.struct(name.alias("k_topic_id"), name.alias("name"), F.lit(False).alias("internal"))
+    doc = orders.select(k.alias("key"), cluster_of("o_custkey").alias("k_cluster_id"), cluster_of("o_custkey").alias("cluster_name"),
+                        F.when(k % 13 != 0, ts(T0)).alias("captured_at"), F.lit(0).alias("controller_id"),
+                        F.array().cast(_NODES_OF).alias("nodes"), F.array(topic).alias("topics"))
+    text = F.to_json(F.struct(*[c for c in doc.columns if c != "key"]))
+    path = _stream_dirs(spark, "documents")[0]
+    cut_off = F.when(F.col("key") % 11 == 0, F.expr("substring(t, 1, length(t) div 2)")).otherwise(F.col("t"))
+    doc.select("key", text.alias("t")).select(cut_off.alias("value")).write.text(path)
+    good, bad = read_checked_snapshots(spark, path)
+    store = new_store(spark)
+    refresh_metadata(store, good, tables=("topics",))
+    topics = store.read("topics").groupBy("k_cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return (topics.select(F.lit("topic").alias("found"), "k_cluster_id", "n")
+            .unionByName(kept.select(F.col("reason").alias("found"), F.lit(None).cast("string").alias("k_cluster_id"), "n")))
+
+
+@register("integrity_report", f"""
+WITH t AS (SELECT {cluster_sql("o_custkey")} AS k_cluster_id, o_orderkey FROM orders),
+l AS (SELECT {cluster_sql("o_custkey")} AS k_cluster_id, l_orderkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+twice AS (SELECT k_cluster_id, l_orderkey, l_linenumber FROM l GROUP BY ALL HAVING count(*) > 1)
+SELECT k_cluster_id, 'duplicate_key' AS "check", 'topic_partitions' AS table_name, CAST(NULL AS VARCHAR) AS parent, count(*) AS n_keys
+FROM twice GROUP BY ALL
+UNION ALL SELECT k_cluster_id, 'orphan', 'topic_partitions', 'topics', count(*) FROM l WHERE l_orderkey % 9 = 0 GROUP BY ALL
+UNION ALL SELECT k_cluster_id, 'orphan', 'topics', 'clusters', count(*) FROM t WHERE k_cluster_id = 'c2' AND o_orderkey % 9 <> 0 GROUP BY ALL
+UNION ALL SELECT k_cluster_id, 'orphan', 'topic_partitions', 'clusters', count(*) FROM l WHERE k_cluster_id = 'c2' GROUP BY ALL""")
+def integrity_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q13, 1.4: a store with planted faults. Lines as partitions of their orders' topics: repeated line numbers are
+    keys held twice; some topics and one cluster are missing."""
+    t = Tables(spark, sf_dir)
+    at = {a: F.lit(T0).cast("timestamp") for a in AUDIT_NTZ}
+    orders = t.orders.select("o_orderkey", cluster_of("o_custkey").alias("k_cluster_id"))
+    tid = F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("k_topic_id")
+    lines = t.lineitem.select("l_orderkey", "l_linenumber").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    store = new_store(spark)
+    store.publish({
+        "clusters": orders.select("k_cluster_id").distinct().filter("k_cluster_id <> 'c2'").withColumn("name", F.col("k_cluster_id")).withColumns(at),
+        "topics": orders.filter("o_orderkey % 9 <> 0").select("k_cluster_id", tid, tid.alias("name"), F.lit(False).alias("internal")).withColumns(at),
+        "topic_partitions": lines.select("k_cluster_id", tid, F.col("l_linenumber").cast("int").alias("k_partition_id")).withColumns(at)})
+    return integrity_report(store.read_all())

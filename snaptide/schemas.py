@@ -168,6 +168,15 @@ GROUP_READS = T.StructType([
     T.StructField("read", T.BooleanType(), False),
 ])
 
+# Commits and read marks of offset captures in one input, so that a micro-batch says all it has to: rows of
+# ``kind`` "commit" are GROUP_OFFSETS rows, those of ``kind`` "read" say that a group was read (or not).
+GROUP_EVENTS = T.StructType([
+    T.StructField("kind", T.StringType(), False),
+    *[T.StructField(f.name, f.dataType, f.name not in ("k_cluster_id", "captured_at", "group_id"))
+      for f in GROUP_OFFSETS.fields],
+    T.StructField("read", T.BooleanType(), True),
+])
+
 # The columns of the Kafka source of Structured Streaming, and the cluster: topics of the same name in two
 # clusters are two logs. Only these five columns are ever read.
 RECORD_LOG = T.StructType([

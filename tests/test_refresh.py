@@ -4,7 +4,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 
 from fixtures import later, snapshot
-from snaptide.plans.refresh import DuplicateTopicName, refresh_metadata, refresh_offsets
+from snaptide.plans.refresh import refresh_metadata, refresh_offsets
 from snaptide.plans.state import StateStore
 from snaptide.schemas import GROUP_OFFSETS, PARTITION_OFFSETS, RECORD_LOG, SNAPSHOT, TABLES, relaxed
 from snaptide.sources.snapshots import read_group_offsets, read_group_reads, read_record_log, read_snapshots
@@ -260,15 +260,6 @@ def test_split_capture_waits_for_its_chunks(spark, tmp_root):
     assert split.read("_pending").count() == 0
 
 
-def test_chunks_overtaken_by_a_later_capture_are_dropped(spark, tmp_root):
-    store = StateStore(spark, tmp_root)
-    one, _ = chunks(snapshot(later(0)))
-    refresh_metadata(store, snaps(spark, one))
-    refresh_metadata(store, snaps(spark, snapshot(later(1)), dict(snapshot(later(0), cluster="k2"), chunk_index=0, chunk_count=3)))
-    assert [r.k_cluster_id for r in store.read("_pending").collect()] == ["k2"]
-    assert {r.k_cluster_id for r in store.read("topics").collect()} == {"k1"}
-
-
 def two_groups(snap):
     g = snap["consumer_groups"][0]
     snap["consumer_groups"].append(dict(g, group_id="g2", members=[]))
@@ -325,14 +316,14 @@ def test_record_log_of_two_clusters(spark, tmp_root):
         refresh_offsets(store, commits(spark, ("k1", later(2), "g1", "alpha", 0, 2)), record_log=log.drop("k_cluster_id"))
 
 
-def test_doubled_topic_name_is_not_committed(spark, tmp_root):
+def test_doubled_topic_name_changes_nothing(spark, tmp_root):
     store = StateStore(spark, tmp_root)
     refresh_metadata(store, snaps(spark, snapshot(later(0))))
     double = snapshot(later(1))
     double["topics"][1]["name"] = "alpha"
-    with pytest.raises(DuplicateTopicName):
-        refresh_metadata(store, snaps(spark, double))
-    assert store.latest()["version"] == 0 and rows(store.read("topics"), "name") == [("alpha",), ("beta",)]
+    res = refresh_metadata(store, snaps(spark, double))
+    assert rows(res.failed, "k_cluster_id", "reason") == [("k1", "failed")]
+    assert rows(store.read("topics"), "name") == [("alpha",), ("beta",)]
 
 
 def test_a_refresh_writes_the_clusters_it_holds(spark, tmp_root):
