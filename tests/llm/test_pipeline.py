@@ -7,7 +7,8 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 from cases import NAMES, ascii_fold, documents, empty
-from test_dedup import brute_removed, jaccard_components
+from test_dedup import jaccard_components
+from test_stage_rows import brute_left
 from test_text_ops import LIBRARY
 
 import __spark_entry__ as E
@@ -67,12 +68,8 @@ def test_near_stage(spark, docs):
 def test_passage_stage(spark, docs):
     got = STAGES["repeated_passages"](spark, docs, SF)
     assert got.columns == docs.columns and got.dtypes == docs.dtypes
-    given = [(i, t.encode()) for i, t in rows_of(docs)]
-    left = {(i, n): n - gone for i, n, gone, _, _ in brute_removed(given, 400)}
-    assert sorted(i if i is not None else -1 for i, _ in rows_of(got)) == sorted(i if i is not None else -1 for i, _ in given)
-    sizes = sorted(left[(i, len(t))] for i, t in given)
-    for a, b in zip(sizes, sorted(len(t.encode()) for _, t in rows_of(got))):
-        assert a - 6 * 10 <= b <= a   # characters that a run cuts in two go with it
+    want = brute_left([(i, t.encode()) for i, t in rows_of(docs)], 400, 51)
+    assert sorted(rows_of(got), key=repr) == want
     assert all(r.n_chars == len(r.text) for r in got.collect())
     if "kept" in docs.columns:
         assert {r["kept"] for r in got.collect()} == {"kept!"}
