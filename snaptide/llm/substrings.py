@@ -144,8 +144,9 @@ def word_hashes(text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, tag, text): rows of one id, null too, are told apart by 64 bits of their text."""
     rows = texts(docs, id_col, text_col)
-    return rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.crc32(F.col("text").cast("binary")).alias("tag"),
+    return rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.col("text").cast("binary")).alias("tag"),
                        F.col("text").cast("binary").alias("text"))
 
 
@@ -415,7 +416,7 @@ def drop_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = {"text": fresh(docs, "whole_text"), "tag": fresh(docs, "text_tag"), "id": fresh(docs, "text_id")}
     rest = docs.withColumns({
         names["id"]: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
-        names["tag"]: F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))}).drop("text")
+        names["tag"]: F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))}).drop("text")
     joined = rest.join(left, (rest[names["id"]] == left["left_id"]) & (rest[names["tag"]] == left["left_tag"]))
     out = joined.withColumn("text", F.col("kept_text"))
     if "n_chars" in docs.columns:

@@ -164,3 +164,17 @@ def test_run_keeps_a_document_ingested_twice(spark, tmp_path):
     table.unionByName(table).write.parquet(f"{tmp_path}/documents.parquet")
     read_table(spark, SF, "labels").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().orderBy("doc_id").collect() == alone
+
+
+def test_rows_of_one_id_with_equal_checksums(spark):
+    """Two texts of no id that share 501 bytes and a CRC-32: what they share goes, the rest stays."""
+    import random
+    import zlib
+
+    rng = random.Random(1)
+    start = "".join(rng.choice("abcdefghij klmnop") for _ in range(500))
+    two = [start + " AxlffoDFsdAb", start + " qrdqAyysgezd"]
+    assert zlib.crc32(two[0].encode()) == zlib.crc32(two[1].encode())
+    docs = spark.createDataFrame([(None, t) for t in two], "doc_id long, text string")
+    got = substrings.remove_repeats(docs, keep_text=False).collect()
+    assert [(r.n_bytes, r.n_removed) for r in got] == [(513, 501), (513, 501)]
