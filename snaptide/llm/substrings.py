@@ -9,7 +9,8 @@ have equal identifiers everywhere, so sorting and counting them needs no pointer
 1. Initial buckets. Of every ``CELL`` consecutive q-grams (q = length - CELL + 1: all that begin inside a
    string of ``length`` bytes) the one with the smallest identifier, leftmost of equals, is the anchor of that
    string's start. Equal strings have the same anchor at the same distance, so only anchors are kept (about
-   one in ``CELL / 2.4`` bytes), each with the run of starts that it stands for. Buckets of one anchor go.
+   one in ``CELL / 2.4`` bytes), each with the run of starts that it stands for. Buckets are counted first;
+   those of one anchor go before anything else is shuffled.
 2. Whole runs. Anchors of a bucket are refined by the identifier of the whole text that their run's strings
    cover: where two agree, every start of the run is repeated, and one of them speaks for all in what follows.
 3. Refinement. What is left in a bucket with several members is cut into cells of ``STEP`` starts by distance
@@ -21,9 +22,12 @@ cover of open runs (under ``2 * CELL + length`` bytes each) is written once for
 with partial sums; no bucket is gathered in a task. Identifiers are 64 bits each and compared within their
 initial bucket, so two independent hashes have to agree.
 
+Intermediate tables are freed as soon as what was made from them is written.
+
 Cases: null and empty texts and those shorter than ``length`` have nothing to remove. Repeated rows repeat
-each other's text. A null id is an id of its own; rows are told apart by id and a checksum of their text.
-Texts of any size are worked off in overlapping parts of ``PART`` bytes. No rows: no rows.
+each other's text. A null id is an id of its own; rows are told apart by id and 128 bits of their text.
+Texts of any size are worked off in overlapping parts of ``PART`` bytes. No rows: no rows. Other columns, of
+any name, never meet the operator's own. ``length`` is 257 to 512 bytes, ``words`` 33 to 64; others raise.
 
 The pipeline stage removes passages of over 50 words that two documents share as well, of any length in bytes
 (``shared_passages``): steps 1 and 2 over words instead of bytes, then single starts. Words are compared by their
@@ -35,12 +39,16 @@ from __future__ import annotations
 
 import hashlib
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from snaptide.llm.common import fresh, map_rows, read_table, texts, written
+from snaptide.llm.common import BATCH_ROWS, forget, fresh, map_rows, read_table, scratch, texts, written
 
 LENGTH = 400
 CELL = 256
@@ -49,6 +57,9 @@ STEP = 16
 PASSAGE, WORD_CELL, LONG_WORD = 51, 32, 512
 PART = 1 << 20
 NO_ID = -(2**63)
+#: A row: its id and 128 bits of its text.
+KEY = ["doc_id", "tag", "mark"]
+KEY_KINDS = "doc_id bigint, tag bigint, mark bigint"
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _BYTE = np.random.default_rng(400).integers(1, 2**63, 256).astype(np.uint64)
@@ -143,84 +154,171 @@ def word_hashes(text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+class Folders:
+    """Written tables of a step, freed together."""
+
+    def __init__(self, spark) -> None:
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch(self.spark, label)
+        self.paths.append(path)
+        return written(df, label, path)
+
+    def free(self) -> None:
+        while self.paths:
+            forget(self.spark, self.paths.pop())
+
+
+def _text_marks(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(F.lit("mark"), text)
+
+
 def _tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, tag, text): rows of one id, null too, are told apart by 64 bits of their text."""
-    rows = texts(docs, id_col, text_col)
-    return rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.col("text").cast("binary")).alias("tag"),
-                       F.col("text").cast("binary").alias("text"))
+    """(doc_id, tag, mark, text): rows of one id, null too, are told apart by 128 bits of their text."""
+    rows = texts(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))
+    tag, mark = _text_marks(F.col("text"))
+    return rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), tag.alias("tag"), mark.alias("mark"), "text")
 
 
-def _compressed(rows: DataFrame) -> DataFrame:
-    def make():
-        pack = zstandard.ZstdCompressor(level=1).compress
-        return lambda c: {"doc_id": c[0], "tag": c[1], "packed": [pack(t) for t in c[2]]}
+def _last_replaced(rows: DataFrame, taken: int, make: Callable[[], Callable[..., object]], name: str, kind: T.DataType) -> DataFrame:
+    """``rows`` with their last ``taken`` columns replaced by one made from them row by row; the others pass unread."""
+    kept = rows.schema.fields[:len(rows.columns) - taken]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in kept), T.StructField(name, kind)])
+    arrow = pa.binary() if isinstance(kind, T.BinaryType) else pa.string()
 
-    return map_rows(rows, make, "doc_id bigint, tag bigint, packed binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                made = [step(*row) for row in zip(*(c.to_pylist() for c in part.columns[len(kept):]))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], pa.array(made, type=arrow)],
+                                                 names=[f.name for f in schema.fields])
 
+    return rows.mapInArrow(run, schema)
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id (NO_ID for null), tag, spans: [first start, last start] of runs of repeated strings, flat, unordered."""
-    if not CELL < length <= 2 * CELL:
-        raise ValueError(f"length: {CELL + 1} to {2 * CELL}")
-    rows = _tagged(docs, id_col, text_col)
 
+def _compressed(rows: DataFrame, name: str = "packed") -> DataFrame:
+    """The last column, a text as bytes, compressed."""
+    return _last_replaced(rows, 1, lambda: zstandard.ZstdCompressor(level=1).compress, name, T.BinaryType())
+
+
+def _place(anchor, first, last):
+    """A run in one number: anchors and starts of a run are less than 256 apart."""
+    return anchor << 16 | (anchor - first) << 8 | (last - first)
+
+
+def _run(place: int) -> tuple[int, int, int]:
+    """(anchor, first start, last start)."""
+    anchor = place >> 16
+    first = anchor - (place >> 8 & 255)
+    return anchor, first, first + (place & 255)
+
+
+def _run_columns() -> tuple[Column, Column]:
+    """First and last start of ``place``."""
+    first = F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(F.lit(255))
+    return first.cast("int"), (first + F.col("place").bitwiseAND(F.lit(255))).cast("int")
+
+
+def _anchor_rows(rows: DataFrame, runs_of: Callable[[bytes], list | None]) -> DataFrame:
+    """KEY, place, bucket, cover of the runs that ``runs_of`` finds in a text."""
     def find():
         def step(columns: list) -> dict:
-            found = [(d, g, anchors(t, length)) for d, g, t in zip(*columns) if len(t) >= length]
-            sizes = [len(f[0]) for _, _, f in found]
-            whole = [np.concatenate([f[k] for _, _, f in found]) if found else [] for k in range(5)]
-            return {"doc_id": np.repeat([d for d, _, _ in found], sizes).astype(np.int64),
-                    "tag": np.repeat([g for _, g, _ in found], sizes).astype(np.int64)} | dict(
-                        zip(("anchor", "first", "last", "bucket", "cover"), whole))
+            keys, found = [], []
+            for *key, text in zip(*columns):
+                runs = runs_of(text)
+                if runs is not None:
+                    keys.append(key)
+                    found.append((_place(*runs[:3]), runs[3], runs[4]))
+            sizes = [len(f[0]) for f in found]
+            out = {n: np.repeat(np.array([k[i] for k in keys], dtype=np.int64), sizes) for i, n in enumerate(KEY)}
+            for i, n in enumerate(("place", "bucket", "cover")):
+                out[n] = np.concatenate([f[i] for f in found]) if found else []
+            return out
         return step
 
-    found = written(map_rows(rows, find, "doc_id bigint, tag bigint, anchor int, first int, last int, bucket bigint, "
-                                         "cover bigint"), "anchors")
+    return map_rows(rows, find, f"{KEY_KINDS}, place bigint, bucket bigint, cover bigint")
+
+
+def _in_shared_buckets(found: DataFrame) -> DataFrame:
+    """Anchors whose bucket has several: counted from identifiers alone, with partial sums."""
+    met = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    return found.join(met, "bucket", "left_semi").select(*KEY, "place", "bucket", "cover")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """KEY (doc_id NO_ID for null), spans: [first start, last start] of runs of repeated strings, flat, unordered."""
+    if not CELL < length <= 2 * CELL:
+        raise ValueError(f"length: {CELL + 1} to {2 * CELL}")
+    rows = _tagged(docs, id_col, text_col)
+    every, own, refined = (Folders(docs.sparkSession) for _ in range(3))
+    found = every.written(_anchor_rows(rows, lambda t: anchors(t, length) if len(t) >= length else None), "anchors")
+    shared = own.written(_in_shared_buckets(found), "shared-anchors")
+    every.free()
     # members of a bucket with equal cover, one of which speaks for all
-    kinds = written(found.groupBy("bucket", "cover").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tag", "anchor", "first", "last")).alias("one")), "covers")
+    kinds = own.written(shared.groupBy("bucket", "cover").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "place")).alias("one")), "covers")
     repeated = kinds.where(F.col("n") > 1).select("bucket", "cover")
-    runs = found.join(repeated, ["bucket", "cover"]).select("doc_id", "tag", "first", "last")
+    first, last = _run_columns()
+    runs = shared.join(repeated, ["bucket", "cover"]).select(*KEY, first.alias("first"), last.alias("last"))
     # buckets with an unrepeated kind beside others: all their kinds take part in the refinement
     single = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
     several = single.where((F.col("kinds") > 1) & (F.col("least") == 1)).select("bucket")
-    parts = (kinds.join(several, "bucket")
-             .select("one.*", "bucket", (F.col("n") == 1).alias("open")))
-    wanted = parts.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "first", "last", "bucket", "open")).alias("runs"))
-    covers = written(_covers(_compressed(rows).join(wanted, ["doc_id", "tag"]), length), "open-covers")
-    more = _refined(covers, length)
-    spans = runs.select("doc_id", "tag", "first", "last").unionByName(more)
-    return spans.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list(F.array("first", "last"))).alias("spans"))
+    parts = kinds.join(several, "bucket").select("one.*", "bucket", (F.col("n") == 1).alias("open"))
+    wanted = parts.groupBy(*KEY).agg(F.collect_list(F.struct("place", "bucket", "open")).alias("runs"))
+    covers = refined.written(_covers(_compressed(rows).join(wanted, KEY), length), "open-covers")
+    more = _refined(covers, length, refined)
+    spans = written(runs.unionByName(more).groupBy(*KEY).agg(F.flatten(F.collect_list(F.array("first", "last"))).alias("spans")),
+                    "repeated-spans")
+    own.free()
+    refined.free()
+    return spans
 
 
 def _covers(rows: DataFrame, length: int) -> DataFrame:
-    """doc_id, tag, anchor, first, last, bucket, open, cover: the text of each run that takes part. Runs of repeated
-    rows come more than once, which changes nothing: they are not open."""
+    """KEY, bucket, open, place, cover, run: the text of each run that takes part, and a number of its own. Runs of
+    repeated rows come more than once, which changes nothing: they are not open."""
+    names = (*KEY, "bucket", "open", "place", "cover")
+
     def make():
         unpack = zstandard.ZstdDecompressor().decompress
 
         def step(columns: list) -> dict:
             out = []
-            for doc_id, tag, packed, runs in zip(*columns):
+            for *key, packed, runs in zip(*columns):
                 text = unpack(packed)
-                out += [(doc_id, tag, r["anchor"], r["first"], r["last"], r["bucket"], r["open"],
-                         text[r["first"]:r["last"] + length]) for r in runs]
-            names = ("doc_id", "tag", "anchor", "first", "last", "bucket", "open", "cover")
+                for r in runs:
+                    _, first, last = _run(r["place"])
+                    out.append((*key, r["bucket"], r["open"], r["place"], text[first:last + length]))
             return dict(zip(names, map(list, zip(*out)))) if out else {n: [] for n in names}
         return step
 
-    return map_rows(rows, make, "doc_id bigint, tag bigint, anchor int, first int, last int, bucket bigint, open boolean, "
-                                "cover binary")
+    return (map_rows(rows.select(*KEY, "packed", "runs"), make,
+                     f"{KEY_KINDS}, bucket bigint, open boolean, place bigint, cover binary")
+            .withColumn("run", F.monotonically_increasing_id()))
+
+
+def _columns(names: tuple, parts: list[tuple]) -> dict:
+    """Columns from arrays of equal length, single values repeated."""
+    out: list[list] = [[] for _ in names]
+    for part in parts:
+        size = max(len(x) for x in part if isinstance(x, np.ndarray))
+        for column, x in zip(out, part):
+            column.append(x if isinstance(x, np.ndarray) else np.full(size, x))
+    return {n: np.concatenate(c) if c else [] for n, c in zip(names, out)}
 
 
-def _refined(covers: DataFrame, length: int) -> DataFrame:
-    """doc_id, tag, first, last of the repeated starts among open runs."""
-    names = ("doc_id", "tag", "bucket", "open", "cell", "first", "last", "common", "whole")
+def _refined(covers: DataFrame, length: int, folders: Folders) -> DataFrame:
+    """KEY, first, last of the repeated starts among open runs."""
+    names = ("run", "bucket", "open", "cell", "first", "last", "common", "whole")
 
     def cells():
         def step(columns: list) -> dict:
-            out: list[list] = [[] for _ in names]
-            for doc_id, tag, anchor, first, last, bucket, is_open, cover in zip(*columns):
+            out = []
+            for run, bucket, is_open, place, cover in zip(*columns):
+                anchor, first, last = _run(place)
                 ids = Identifiers(cover)
                 # distance from the anchor, cut at multiples of STEP
                 cell = np.arange((anchor - last) // STEP, (anchor - first) // STEP + 1)
@@ -230,123 +328,106 @@ def _refined(covers: DataFrame, length: int) -> DataFrame:
                 inner = anchor - cell * STEP - first
                 common = ids.of(inner, np.full(len(cell), length - STEP + 1))
                 whole = _pair(ids.of(begin - first, end - begin + length), (begin - anchor + cell * STEP).astype(np.uint64))
-                for column, x in zip(out, (np.full(len(cell), doc_id), np.full(len(cell), tag), np.full(len(cell), bucket),
-                                           np.full(len(cell), is_open), cell, begin, end, common.view(np.int64),
-                                           whole.view(np.int64))):
-                    column.append(x)
-            return {n: np.concatenate(c) if c else [] for n, c in zip(names, out)}
+                out.append((run, bucket, is_open, cell, begin, end, common.view(np.int64), whole.view(np.int64)))
+            return _columns(names, out)
         return step
 
-    cut = written(map_rows(covers.select("doc_id", "tag", "anchor", "first", "last", "bucket", "open", "cover"), cells,
-                           "doc_id bigint, tag bigint, bucket bigint, open boolean, cell int, first int, last int, "
-                           "common bigint, whole bigint"), "cells")
+    cut = folders.written(map_rows(covers.select("run", "bucket", "open", "place", "cover"), cells,
+                                   "run bigint, bucket bigint, open boolean, cell int, first int, last int, "
+                                   "common bigint, whole bigint"), "cells")
     key = ["bucket", "cell", "common"]
-    kinds = written(cut.groupBy(*key, "whole").agg(
+    kinds = folders.written(cut.groupBy(*key, "whole").agg(
         F.count(F.lit(1)).alias("n"), F.max("open").alias("open"),
-        F.min(F.struct("doc_id", "tag", "first", "last")).alias("one")), "cell-covers")
+        F.min(F.struct("run", "first", "last")).alias("one")), "cell-covers")
     done = (cut.where("open").join(kinds.where(F.col("n") > 1).select(*key, "whole"), [*key, "whole"])
-            .select("doc_id", "tag", "first", "last"))
+            .select("run", "first", "last"))
     left = F.max((F.col("n") == 1) & F.col("open"))
     several = kinds.groupBy(*key).agg(F.count(F.lit(1)).alias("kinds"), left.alias("left")).where("left and kinds > 1")
-    parts = kinds.join(several.select(*key), key).select(
-        "bucket", "cell", ((F.col("n") == 1) & F.col("open")).alias("open"), F.col("one.doc_id").alias("doc_id"),
-        F.col("one.tag").alias("tag"), F.col("one.first").alias("first"), F.col("one.last").alias("last"))
+    parts = kinds.join(several.select(*key), key).select(((F.col("n") == 1) & F.col("open")).alias("open"), "one.*")
     # single starts of what is left, from the covers of their runs
-    runs = covers.select("doc_id", "tag", "bucket", "anchor", F.col("first").alias("run_first"),
-                         F.col("last").alias("run_last"), "cover")
-    owner = parts.join(runs, ["doc_id", "tag", "bucket"]).where(
-        (F.col("run_first") <= F.col("first")) & (F.col("last") <= F.col("run_last")))
-    one = ("doc_id", "tag", "bucket", "open", "distance", "start", "string")
+    owner = parts.join(covers.select("run", "bucket", "place", "cover"), "run")
+    one = ("run", "bucket", "open", "distance", "start", "string")
 
     def starts():
         def step(columns: list) -> dict:
-            out: list[list] = [[] for _ in one]
-            for doc_id, tag, bucket, is_open, anchor, first, last, run_first, cover in zip(*columns):
+            out = []
+            for run, bucket, is_open, place, first, last, cover in zip(*columns):
+                anchor, run_first, _ = _run(place)
                 body = cover[first - run_first:last - run_first + length]
                 start = np.arange(first, last + 1)
                 string = Identifiers(body).of(start - first, np.full(len(start), length))
-                for column, x in zip(out, (np.full(len(start), doc_id), np.full(len(start), tag), np.full(len(start), bucket),
-                                           np.full(len(start), is_open), anchor - start, start, string.view(np.int64))):
-                    column.append(x)
-            return {n: np.concatenate(c) if c else [] for n, c in zip(one, out)}
+                out.append((run, bucket, is_open, anchor - start, start, string.view(np.int64)))
+            return _columns(one, out)
         return step
 
-    single = written(map_rows(owner.select("doc_id", "tag", "bucket", "open", "anchor", "first", "last", "run_first", "cover"),
-                              starts, "doc_id bigint, tag bigint, bucket bigint, open boolean, distance int, start int, "
-                                      "string bigint"), "starts")
+    single = folders.written(map_rows(owner.select("run", "bucket", "open", "place", "first", "last", "cover"), starts,
+                                      "run bigint, bucket bigint, open boolean, distance int, start int, string bigint"), "starts")
     met = single.groupBy("bucket", "distance", "string").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     last = (single.where("open").join(met.select("bucket", "distance", "string"), ["bucket", "distance", "string"])
-            .select("doc_id", "tag", F.col("start").alias("first"), F.col("start").alias("last")))
-    return done.unionByName(last)
+            .select("run", F.col("start").alias("first"), F.col("start").alias("last")))
+    return done.unionByName(last).join(covers.select("run", *KEY), "run").select(*KEY, "first", "last")
 
 
 def shared_passages(docs: DataFrame, words: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id (NO_ID for null), tag, passages: [first word, last word] of starts of passages of ``words`` words that
+    """KEY (doc_id NO_ID for null), passages: [first word, last word] of starts of passages of ``words`` words that
     another document has too, flat, unordered."""
     if not WORD_CELL < words <= 2 * WORD_CELL:
         raise ValueError(f"words: {WORD_CELL + 1} to {2 * WORD_CELL}")
     rows = _tagged(docs, id_col, text_col)
+    every, own = Folders(docs.sparkSession), Folders(docs.sparkSession)
 
-    def find():
-        def step(columns: list) -> dict:
-            found = []
-            for doc_id, tag, text in zip(*columns):
-                start, end = word_bounds(text)
-                if len(start) >= words:
-                    found.append((doc_id, tag, anchors(word_hashes(text, start, end), words, WORD_CELL)))
-            sizes = [len(f[0]) for _, _, f in found]
-            whole = [np.concatenate([f[k] for _, _, f in found]) if found else [] for k in range(1, 5)]
-            return {"doc_id": np.repeat([d for d, _, _ in found], sizes).astype(np.int64),
-                    "tag": np.repeat([g for _, g, _ in found], sizes).astype(np.int64)} | dict(
-                        zip(("first", "last", "bucket", "cover"), whole))
-        return step
+    def runs_of(text: bytes) -> list | None:
+        start, end = word_bounds(text)
+        return anchors(word_hashes(text, start, end), words, WORD_CELL) if len(start) >= words else None
 
-    found = written(map_rows(rows, find, "doc_id bigint, tag bigint, first int, last int, bucket bigint, cover bigint"),
-                    "passage-anchors")
-    least, most = F.min(F.struct("doc_id", "tag")), F.max(F.struct("doc_id", "tag"))
+    found = every.written(_anchor_rows(rows, runs_of), "passage-anchors")
+    shared = own.written(_in_shared_buckets(found), "shared-passage-anchors")
+    every.free()
+    least, most = F.min(F.struct(*KEY)), F.max(F.struct(*KEY))
     # kinds of runs with equal cover; buckets that only one document has hold nothing shared
-    every = found.groupBy("bucket", "cover").agg(
-        least.alias("least"), most.alias("most"), F.min(F.struct("doc_id", "tag", "first", "last")).alias("one"))
-    both = (found.groupBy("bucket").agg(least.alias("lo"), most.alias("hi")).where("lo < hi").select("bucket"))
-    kinds = written(every.join(both, "bucket").select("bucket", "cover", "one", (F.col("least") < F.col("most")).alias("shared")),
-                    "passage-covers")
+    kinds_of = shared.groupBy("bucket", "cover").agg(
+        least.alias("least"), most.alias("most"), F.min(F.struct(*KEY, "place")).alias("one"))
+    both = shared.groupBy("bucket").agg(least.alias("lo"), most.alias("hi")).where("lo < hi").select("bucket")
+    kinds = own.written(kinds_of.join(both, "bucket").select("bucket", "cover", "one", (F.col("least") < F.col("most")).alias("shared")),
+                        "passage-covers")
     whole = kinds.where("shared").select("bucket", "cover", F.lit(None).cast("int").alias("offset"))
     # buckets with a kind of one document beside others: single starts, one run for each kind
     several = kinds.groupBy("bucket").agg(F.min("shared").alias("all_shared")).where("not all_shared").select("bucket")
-    wanted = written(kinds.join(several, "bucket").select("one.*", "bucket", "cover", "shared")
-                     .groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "last", "bucket", "cover", "shared")).alias("runs")),
-                     "passage-runs")
-    names = ("doc_id", "tag", "bucket", "cover", "shared", "offset", "string")
+    wanted = own.written(kinds.join(several, "bucket").select("one.*", "bucket", "cover", "shared")
+                         .groupBy(*KEY).agg(F.collect_list(F.struct("place", "bucket", "cover", "shared")).alias("runs")),
+                         "passage-runs")
+    names = (*KEY, "bucket", "cover", "shared", "offset", "string")
 
     def starts():
         unpack = zstandard.ZstdDecompressor().decompress
 
         def step(columns: list) -> dict:
-            out: list[list] = [[] for _ in names]
-            for doc_id, tag, packed, runs in zip(*columns):
+            out = []
+            for *key, packed, runs in zip(*columns):
                 text = unpack(packed)
                 start, end = word_bounds(text)
                 for r in runs:
-                    own = slice(r["first"], r["last"] + words)
-                    offset = np.arange(r["last"] - r["first"] + 1)
-                    string = Identifiers(word_hashes(text, start[own], end[own]), WORD_CELL).of(offset, np.full(len(offset), words))
-                    for column, x in zip(out, (doc_id, tag, r["bucket"], r["cover"], r["shared"])):
-                        column.append(np.full(len(offset), x))
-                    out[5].append(offset)
-                    out[6].append(string.view(np.int64))
-            return {n: np.concatenate(c) if c else [] for n, c in zip(names, out)}
+                    _, first, last = _run(r["place"])
+                    part = slice(first, last + words)
+                    offset = np.arange(last - first + 1)
+                    string = Identifiers(word_hashes(text, start[part], end[part]), WORD_CELL).of(offset, np.full(len(offset), words))
+                    out.append((*key, r["bucket"], r["cover"], r["shared"], offset, string.view(np.int64)))
+            return _columns(names, out)
         return step
 
-    single = written(map_rows(_compressed(rows).join(wanted, ["doc_id", "tag"]), starts,
-                              "doc_id bigint, tag bigint, bucket bigint, cover bigint, shared boolean, offset int, string bigint"),
-                     "passage-starts")
+    single = own.written(map_rows(_compressed(rows).join(wanted, KEY).select(*KEY, "packed", "runs"), starts,
+                                  f"{KEY_KINDS}, bucket bigint, cover bigint, shared boolean, offset int, string bigint"),
+                         "passage-starts")
     met = (single.groupBy("bucket", "string").agg(least.alias("lo"), most.alias("hi"), F.max("shared").alias("shared"))
            .where("shared or lo < hi").select("bucket", "string"))
     part = single.where("not shared").join(met, ["bucket", "string"]).select("bucket", "cover", "offset").distinct()
-    spans = found.join(whole.unionByName(part), ["bucket", "cover"]).select(
-        "doc_id", "tag", F.coalesce(F.col("first") + F.col("offset"), "first").alias("first"),
-        (F.coalesce(F.col("first") + F.col("offset"), "last") + words - 1).alias("last"))
-    return spans.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list(F.array("first", "last"))).alias("passages"))
+    first, last = _run_columns()
+    spans = shared.join(whole.unionByName(part), ["bucket", "cover"]).select(
+        *KEY, F.coalesce(first + F.col("offset"), first).alias("first"),
+        (F.coalesce(first + F.col("offset"), last) + words - 1).alias("last"))
+    passages = written(spans.groupBy(*KEY).agg(F.flatten(F.collect_list(F.array("first", "last"))).alias("passages")), "passages")
+    own.free()
+    return passages
 
 
 def _remove(text: bytes, spans: list[int], length: int, passages: list[int] = ()) -> tuple[bytes, list[int], list[int]]:
@@ -368,37 +449,49 @@ def _remove(text: bytes, spans: list[int], length: int, passages: list[int] = ()
     return b"".join([*kept, text[at:]]), begin.tolist(), end.tolist()
 
 
+def _with_spans(rows: DataFrame, docs: DataFrame, length: int, words: int | None, id_col: str, text_col: str,
+                key: list[str] = KEY) -> DataFrame:
+    """``rows`` (with ``key``) and their ``spans`` and ``passages``, null where there are none, as the last columns. The
+    searches run one after the other, so that only one's tables are there at a time."""
+    for name, found in (("spans", repeated_spans(docs, length, id_col, text_col)),
+                        ("passages", shared_passages(docs, words, id_col, text_col) if words else None)):
+        own = fresh(rows, name)
+        if found is None:
+            rows = rows.withColumn(own, F.lit(None).cast("array<int>"))
+            continue
+        other = [fresh(rows, f"of_{k}") for k in KEY]
+        found = found.select(*(F.col(k).alias(o) for k, o in zip(KEY, other)), F.col(name).alias(own))
+        same = [rows[k] == found[o] for k, o in zip(key, other)]
+        rows = rows.join(found, same, "left").drop(*other)
+    return rows
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
                    keep_text: bool = True, words: int | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, span_starts, span_ends and
-    (``keep_text``) tag and kept_text: what is left, without characters that a removed run cuts in two. With ``words``,
+    (``keep_text``) kept_text: what is left, without characters that a removed run cuts in two. With ``words``,
     passages of so many words that documents share go as well."""
     rows = _tagged(docs, id_col, text_col)
-    spans = repeated_spans(docs, length, id_col, text_col)
 
     def make():
         unpack = zstandard.ZstdDecompressor().decompress
 
         def step(columns: list) -> dict:
             out = []
-            for doc_id, tag, packed, own, passages in zip(*columns):
+            for doc_id, packed, own, passages in zip(*columns):
                 text = unpack(packed)
                 left, begin, end = _remove(text, own or [], length, passages or []) if own or passages else (text, [], [])
-                out.append((None if doc_id == NO_ID else doc_id, tag, len(text), len(text) - len(left), len(begin),
+                out.append((None if doc_id == NO_ID else doc_id, len(text), len(text) - len(left), len(begin),
                             hashlib.sha256(left).hexdigest(), begin, end,
                             left.decode("utf-8", "ignore") if keep_text else None))
             return dict(zip(names, map(list, zip(*out)))) if out else {n: [] for n in names}
         return step
 
-    names = ("doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256", "span_starts", "span_ends", "kept_text")
-    joined = _compressed(rows).join(spans, ["doc_id", "tag"], "left")
-    if words:
-        joined = joined.join(shared_passages(docs, words, id_col, text_col), ["doc_id", "tag"], "left")
-    else:
-        joined = joined.withColumn("passages", F.lit(None).cast("array<int>"))
-    joined = joined.select("doc_id", "tag", "packed", "spans", "passages")
-    return map_rows(joined, make, "doc_id bigint, tag bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "
-                                  "kept_sha256 string, span_starts array<bigint>, span_ends array<bigint>, kept_text string")
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "span_starts", "span_ends", "kept_text")
+    joined = _with_spans(_compressed(rows), docs, length, words, id_col, text_col)
+    return map_rows(joined.select("doc_id", "packed", "spans", "passages"), make,
+                    "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
+                    "span_starts array<bigint>, span_ends array<bigint>, kept_text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -408,17 +501,29 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def drop_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without their repeated strings of ``LENGTH`` bytes and the passages of over 50 words
-    that they share. Characters that a removed run cuts in two go
-    with it; ``n_chars``, where there is such a column, counts what is left. Documents stay, even empty ones."""
-    found = remove_repeats(docs, words=PASSAGE)
-    left = (found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("left_id"), F.col("tag").alias("left_tag"), "kept_text")
-            .dropDuplicates(["left_id", "left_tag"]))
-    names = {"text": fresh(docs, "whole_text"), "tag": fresh(docs, "text_tag"), "id": fresh(docs, "text_id")}
-    rest = docs.withColumns({
-        names["id"]: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
-        names["tag"]: F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))}).drop("text")
-    joined = rest.join(left, (rest[names["id"]] == left["left_id"]) & (rest[names["tag"]] == left["left_tag"]))
-    out = joined.withColumn("text", F.col("kept_text"))
+    that they share. Characters that a removed run cuts in two go with it; ``n_chars``, where there is such a column,
+    counts what is left. Documents stay, even empty ones; null texts become empty. Repeated rows repeat each other's
+    strings of ``LENGTH`` bytes; null ids, nulls in other columns and clashing names change nothing."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    key = []
+    rows = docs
+    for name, made in zip(KEY, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), *_text_marks(text))):
+        key.append(fresh(rows, f"own_{name}"))
+        rows = rows.withColumn(key[-1], made)
+    packed = fresh(rows, "packed")
+    others = [c for c in docs.columns if c != "text"]
+    rows = _compressed(rows.select(*others, *key, text.alias(packed)), packed)
+    rows = _with_spans(rows, docs, LENGTH, PASSAGE, "doc_id", "text", key)
+
+    def make():
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def left(whole: bytes, spans: list | None, passages: list | None) -> str:
+            body = unpack(whole)
+            return (_remove(body, spans or [], LENGTH, passages or [])[0] if spans or passages else body).decode("utf-8", "ignore")
+        return left
+
+    out = _last_replaced(rows.drop(*key), 3, make, "text", T.StringType())
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
