@@ -154,8 +154,12 @@ def word_hashes(text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Frees a query's shuffle files at its end; what is written needs them no more.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Folders:
-    """Written tables of a step, freed together."""
+    """Written tables of a step, freed together; the shuffles of each write are freed when it is done."""
 
     def __init__(self, spark) -> None:
         self.spark, self.paths = spark, []
@@ -163,7 +167,12 @@ class Folders:
     def written(self, df: DataFrame, label: str) -> DataFrame:
         path = scratch(self.spark, label)
         self.paths.append(path)
-        return written(df, label, path)
+        before = self.spark.conf.get(FREE_SHUFFLES, None)
+        self.spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            return written(df, label, path)
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, before) if before else self.spark.conf.unset(FREE_SHUFFLES)
 
     def free(self) -> None:
         while self.paths:
