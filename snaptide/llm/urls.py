@@ -1,18 +1,21 @@
 """URL filter: listed rules first, then rules mined from labels by FP-growth.
 
-A url becomes a set of tokens (host suffixes, leading path segments, words of the path and query keys).
-FP-growth mines the token sets that occur often among labelled urls together with their label; rules
-``tokens -> block`` or ``tokens -> allow`` stay if support and confidence reach the parameters. The rules
-are kept in an inverted index under their rarest token; a url's tokens are joined with that index, and a
-rule fires if all of its tokens are there. Of the rules that fire the most confident decides (then the
-better supported; ``allow`` of equals). Urls without a firing rule are allowed.
+A url becomes a set of tokens (host suffixes and labels, leading path segments, words of every path segment,
+query keys). FP-growth mines the token sets that occur often among labelled urls together with their label;
+rules ``tokens -> block`` or ``tokens -> allow`` stay if they have ``MIN_COUNT`` urls, the confidence, and a
+lift over the label's own share. A rule has to be labelled on ``MIN_LABELLED`` of all urls that it fits, so that
+labels of a small part of a domain do not decide all of it. The rules are kept in an inverted index under their
+rarest token; a url's tokens are joined with that index, and a rule fires if all of its tokens are there. Of
+the rules that fire the most confident decides (then the better supported; ``allow`` of equals). Urls without a
+firing rule are allowed.
 
 Labels of the registered query: ``pages`` carry none of their own, so a page is labelled by the listed rule
-that covers it, and counts as allowed if none does: a mined rule blocks only combinations that are blocked
-nearly always. Any (id, label) table can be given instead.
+that covers it; pages that none covers are not labelled and take no part in the training. Any (id, label) table
+can be given instead.
 
 Cases: a null url or one without ``://`` has an empty host and path, no tokens and no rule: it is allowed.
-Repeated ids: each row keeps its own verdict. Without labels there are no mined rules.
+Repeated ids: each row keeps its own verdict. Without labels there are no mined rules; no rows give no rows. Ties
+are settled as above. Very long urls are read whole. Only id and url are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -31,8 +34,10 @@ LISTED = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-MIN_SUPPORT = 0.01
+MIN_COUNT = 20
 MIN_CONFIDENCE = 0.95
+MIN_LIFT = 1.2
+MIN_LABELLED = 0.3
 LABELS = ("allow", "block")
 
 
@@ -54,40 +59,42 @@ def listed_rule(host: Column, path: Column, rules: tuple = LISTED) -> Column:
 
 
 def url_tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens: host suffixes, the leading one and two path segments, words of segments that hold
-    several, query keys. Digits become 0, so that numbered pages share tokens."""
+    """Distinct tokens: host suffixes, host labels, the leading one and two path segments, words of all segments,
+    query keys. Digits become 0, so that numbered pages share tokens."""
     labels = F.split(host, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
                            lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(labels, -k, k), ".")))
     parts = F.filter(F.split(F.regexp_replace(ascii_lower(path), "[0-9]+", "0"), "/"), lambda p: p != "")
     heads = F.filter(F.array(F.array_join(F.slice(parts, 1, 1), "/"), F.array_join(F.slice(parts, 1, 2), "/")),
                      lambda p: p != "")
-    several = F.filter(parts, lambda p: p.rlike("[a-z0-9][^a-z0-9]+[a-z0-9]"))
-    words = F.filter(F.flatten(F.transform(several, lambda p: F.split(p, "[^a-z0-9]+"))), lambda w: w != "")
+    words = F.filter(F.flatten(F.transform(parts, lambda p: F.split(p, "[^a-z0-9]+"))), lambda w: ~w.isin("", "0"))
     query = F.regexp_extract(ascii_lower(F.coalesce(url, F.lit(""))), r"(?s)\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(query, "&"), lambda q: q != ""), lambda q: F.substring_index(q, "=", 1))
     some = F.array_distinct(F.concat(
-        suffixes, F.transform(heads, lambda p: F.concat(F.lit("path:"), p)),
+        suffixes, F.transform(F.filter(labels, lambda w: w != ""), lambda w: F.concat(F.lit("part:"), w)),
+        F.transform(heads, lambda p: F.concat(F.lit("path:"), p)),
         F.transform(words, lambda w: F.concat(F.lit("word:"), w)), F.transform(keys, lambda k: F.concat(F.lit("key:"), k))))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(some)
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """labelled: tokens, label. -> rule_id, tokens, label, confidence, support, n_tokens, token (index key),
+def mine_rules(labelled: DataFrame, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE,
+               min_lift: float = MIN_LIFT) -> DataFrame:
+    """labelled: tokens, label. -> rule_id, tokens, label, confidence, support (urls), n_tokens, token (index key),
     written to the shared folder."""
     spark = labelled.sparkSession
     baskets = labelled.where(F.size("tokens") > 0).select(
         F.array_append("tokens", F.concat(F.lit("label:"), F.col("label"))).alias("items"))
-    kind = "tokens array<string>, label string, confidence double, support double, n_tokens int, token string, rule_id bigint"
-    if baskets.isEmpty():
+    kind = "tokens array<string>, label string, confidence double, support bigint, n_tokens int, token string, rule_id bigint"
+    total = baskets.count()
+    if total < min_count:
         return written(spark.createDataFrame([], kind), "url-rules")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / total, minConfidence=min_confidence).fit(baskets)
     is_label = F.col("consequent")[0].startswith("label:")
     clean = ~F.exists("antecedent", lambda t: t.startswith("label:"))
-    # the confidence that FP-growth gives; a rule that a shorter one makes needless stays out by the order of firing
-    rules = model.associationRules.where(is_label & clean).select(
+    # a rule that a shorter one makes needless stays out by the order of firing
+    rules = model.associationRules.where(is_label & clean & (F.col("lift") >= min_lift)).select(
         F.sort_array("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 7, 2**30).alias("label"),
-        "confidence", "support", F.size("antecedent").alias("n_tokens"))
+        "confidence", F.round(F.col("support") * total).cast("long").alias("support"), F.size("antecedent").alias("n_tokens"))
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     rarest = (rules.withColumn("token", F.explode("tokens")).join(single, "token")
               .groupBy("tokens", "label", "confidence", "support", "n_tokens")
@@ -96,21 +103,33 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     return written(rarest, "url-rules")
 
 
+def _fits(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rows`` (tokens and others) with each rule of the inverted index that fits: the index gives the rules whose
+    rarest token is there, the rest is checked."""
+    probes = rows.withColumnRenamed("tokens", "own").withColumn("token", F.explode("own"))
+    return probes.join(rules, "token").where(F.size(F.array_except("tokens", "own")) == 0)
+
+
+def labelled_rules(sets: DataFrame, rules: DataFrame, min_labelled: float = MIN_LABELLED) -> DataFrame:
+    """Rules labelled on at least ``min_labelled`` of the urls they fit. sets: tokens, n (urls), n_labelled. Counted by
+    partial sums, one number pair for each rule."""
+    share = (_fits(sets.select("tokens", "n", "n_labelled"), rules).groupBy("rule_id")
+             .agg((F.sum("n_labelled") / F.sum("n")).alias("share")).where(F.col("share") >= min_labelled))
+    return written(rules.join(share.select("rule_id"), "rule_id", "left_semi").select(rules.columns), "labelled-rules")
+
+
 def match_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """rows: key, tokens -> key, mined (verdict, confidence, support, tokens) of rows for which a rule fires."""
-    # one pass over each row's tokens: the index gives the rules whose rarest token is there, the rest is checked
-    probes = rows.select("key", F.col("tokens").alias("own"), F.explode("tokens").alias("token"))
-    fired = probes.join(rules, "token").where(F.size(F.array_except("tokens", "own")) == 0)
-    return fired.groupBy("key").agg(F.max(F.struct(
+    return _fits(rows.select("key", "tokens"), rules).groupBy("key").agg(F.max(F.struct(
         "confidence", "support", (F.col("label") == "allow").alias("allows"), "tokens", "label")).alias("mined"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url",
-               min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+               min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT,
+               min_labelled: float = MIN_LABELLED) -> DataFrame:
     """page_id, host, path, rule, verdict, mined_tokens, confidence for each row of ``pages``.
 
-    ``labels`` (page_id, label of LABELS) gives the training verdicts; without it the listed rules do,
-    urls without one counting as allowed.
+    ``labels`` (page_id, label of LABELS) gives the training verdicts; without it the listed rules do.
     """
     host, path = split_url(F.col("url"))
     base = (pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
@@ -118,15 +137,22 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None = None, id_col: str =
     base = base.select("page_id", "url", "host", "path", listed_rule(F.col("host"), F.col("path")).alias("listed"))
     split = base.withColumn("tokens", url_tokens(F.col("url"), F.col("host"), F.col("path")))
     if labels is None:
-        labelled = split.select("tokens", F.coalesce("listed.verdict", F.lit("allow")).alias("label"))
-    else:
-        known = labels.select(F.col(id_col).cast("long").alias("page_id"), "label").where(F.col("label").isin(*LABELS))
-        labelled = split.join(known, "page_id").select("tokens", "label")
-    rules = mine_rules(labelled, min_support, min_confidence)
-    # only urls without a listed rule need the mined ones, each distinct token set once
+        split = split.withColumn("label", F.col("listed.verdict"))
+    else:  # rows of one id count as one label, the stricter of two
+        known = (labels.select(F.col(id_col).cast("long").alias("page_id"), "label").where(F.col("label").isin(*LABELS))
+                 .groupBy("page_id").agg(F.max("label").alias("label")))
+        split = split.join(known, "page_id", "left")
+    # each distinct token set once
+    split = split.withColumn("key", F.xxhash64("tokens"))
+    sets = written(split.where(F.size("tokens") > 0).groupBy("key", "tokens").agg(
+        F.count(F.lit(1)).alias("n"), F.count("label").alias("n_labelled"),
+        F.max(F.col("listed").isNull()).alias("open")), "token-sets")
+    rules = labelled_rules(sets, mine_rules(split.where("label is not null").select("tokens", "label"), min_count,
+                                            min_confidence, min_lift), min_labelled)
+    # only urls without a listed rule need the mined ones
     unlisted = F.col("listed").isNull() & (F.size("tokens") > 0)
-    open_rows = split.where(unlisted).withColumn("key", F.xxhash64("tokens"))
-    fired = match_rules(open_rows.groupBy("key", "tokens").agg(F.count(F.lit(1)).alias("n")).select("key", "tokens"), rules)
+    open_rows = split.where(unlisted)
+    fired = match_rules(sets.where("open"), rules)
     judged = (open_rows.join(fired, "key", "left")
               .select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"),
                       F.coalesce("mined.label", F.lit("allow")).alias("verdict"),
