@@ -9,11 +9,13 @@
    the sum of hosts, so a host with a third of all rows is pre-aggregated before it is shuffled.
 3. Shrinkage: a host's rate is drawn to the global rate, a path's to its host's, each with the strength (in
    documents) that the spread of the rates between groups asks for by the method of moments.
-4. Posterior of a document: the path's odds without its own contribution, times its own evidence.
+4. Posterior of a document: the odds of its path without its own contribution to path and host, times its
+   own evidence, which so counts once.
 
 Cases: null and empty texts have evidence 0; null hosts and paths are groups of their own. Without labels of
-two classes all evidence is 0 and every document is kept. A site with one document has its parent's rate.
-Every input row gives one row, repeated ones too.
+two classes all evidence is 0 and every document is kept. A document alone on its site has the global rate as
+its prior. Every input row gives one row, repeated ones too; no rows give no rows. Ties need no order: only
+sums enter. Very long texts are read whole. Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -108,11 +110,13 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAININ
 
         def step(columns: list) -> dict:
             # each half is scored with the other half's weights
-            return {"x": [_mean(terms_of(t), both[1 - (d or 0) % 2]) for d, t in zip(columns[0], columns[1])],
-                    "good": [int(q > 0) for q in columns[2]]}
+            return {"doc_id": columns[0], "good": [int(q > 0) for q in columns[2]],
+                    "x": [_mean(terms_of(t), both[1 - (d or 0) % 2]) for d, t in zip(columns[0], columns[1])]}
         return step
 
-    scored = map_rows(own, make_scores, "x double, good bigint").collect()  # at most max_rows rows (and their copies)
+    # rows of one id count once, so at most max_rows rows come back
+    scored = (map_rows(own, make_scores, "doc_id bigint, x double, good bigint")
+              .groupBy("doc_id").agg(F.avg("x").alias("x"), F.min("good").alias("good")).collect())
     x, y = np.array([r.x for r in scored]), np.array([float(r.good) for r in scored])
     scale, offset = _logistic(x, y)
     prior = np.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6))
@@ -170,14 +174,16 @@ def _strength(groups: DataFrame, rate: Column) -> float:
 
 
 def site_posteriors(scored: DataFrame) -> DataFrame:
-    """host, path, n, good, host_rate, path_rate, strength — every group shrunk toward its parent. Three numbers
-    (the global rate and the two strengths) pass through the driver."""
+    """host, path, n, good, strength, path_rate of each path and of_n, of_good, of_strength, host_rate of its host, with
+    the global rate: every group shrunk toward its parent. Three numbers (the rate and the two strengths) pass through
+    the driver."""
     own = 1 / (1 + F.exp(-F.col("llr")))
     paths = written(scored.groupBy("host", "path").agg(F.sum(own).alias("good"), F.count(F.lit(1)).alias("n")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
     total = hosts.agg((F.sum("good") / F.sum("n")).alias("rate")).first().rate or 0.5
     strength = _strength(hosts, F.lit(total))
-    host_rates = hosts.select(F.col("host").alias("of_host"),
+    host_rates = hosts.select(F.col("host").alias("of_host"), F.col("good").alias("of_good"), F.col("n").alias("of_n"),
+                              F.lit(strength).alias("of_strength"), F.lit(total).alias("global_rate"),
                               ((F.col("good") + strength * total) / (F.col("n") + strength)).alias("host_rate"))
     joined = paths.join(host_rates, paths["host"].eqNullSafe(host_rates["of_host"])).drop("of_host")
     strength = _strength(joined, F.col("host_rate"))
@@ -186,22 +192,26 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
                    "sites")
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep_from: float = KEEP_FROM,
-             max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """doc_id, host, path, doc_probability, host_rate, path_rate, probability, kept."""
-    model = fit_evidence(docs, labels, max_rows)
-    scored = written(evidence(docs, model, host, path), "evidence")
-    sites = site_posteriors(scored).select(F.col("host").alias("site_host"), F.col("path").alias("site_path"),
-                                           "good", "n", "strength", "host_rate", "path_rate")
+def posteriors(scored: DataFrame) -> DataFrame:
+    """doc_id, host, path, doc_probability, host_rate, path_rate, probability for each row of doc_id, host, path, llr."""
+    sites = site_posteriors(scored).withColumnsRenamed({"host": "site_host", "path": "site_path"})
     own = 1 / (1 + F.exp(-F.col("llr")))
-    rate = ((F.col("good") - own + F.col("strength") * F.col("host_rate"))
-            / (F.col("n") - 1 + F.col("strength")))
+    others = ((F.col("of_good") - own + F.col("of_strength") * F.col("global_rate"))
+              / (F.col("of_n") - 1 + F.col("of_strength")))
+    rate = (F.col("good") - own + F.col("strength") * others) / (F.col("n") - 1 + F.col("strength"))
     rate = F.least(F.greatest(rate, F.lit(1e-4)), F.lit(1 - 1e-4))
     logit = F.col("llr") + F.log(rate / (1 - rate))
     return (scored.join(sites, scored["host"].eqNullSafe(sites["site_host"]) & scored["path"].eqNullSafe(sites["site_path"]))
             .select("doc_id", "host", "path", own.alias("doc_probability"), "host_rate", "path_rate",
-                    (1 / (1 + F.exp(-logit))).alias("probability"))
-            .withColumn("kept", F.col("probability") >= keep_from))
+                    (1 / (1 + F.exp(-logit))).alias("probability")))
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep_from: float = KEEP_FROM,
+             max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """doc_id, host, path, doc_probability, host_rate, path_rate, probability, kept."""
+    model = fit_evidence(docs, labels, max_rows)
+    scored = written(evidence(docs, model, host, path), "evidence")
+    return posteriors(scored).withColumn("kept", F.col("probability") >= keep_from)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
