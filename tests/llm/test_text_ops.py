@@ -1,10 +1,12 @@
 """License scan, quality rules, codec, packing, URL rules and site quality against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -290,7 +292,7 @@ def test_mined_rules(spark):
     rows += [(k, f"http://h{k % 7}.org/casino/{k}") for k in range(300, 306)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
     labels = spark.createDataFrame([(k, "block" if k % 3 == 0 else "allow") for k in range(300)], "page_id long, label string")
-    got = {r.page_id: r for r in urls.judge_urls(pages, labels, min_support=0.05).collect()}
+    got = {r.page_id: r for r in urls.judge_urls(pages, labels, min_count=15).collect()}
     assert all(got[k].verdict == ("block" if k % 3 == 0 or k >= 300 else "allow") for k in got)
     # support and confidence of the rule that decides, by counting
     for k in (0, 303):
@@ -302,6 +304,63 @@ def test_mined_rules(spark):
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
+def brute_verdicts(tokens, labels, min_count, min_confidence, min_lift, min_labelled):
+    """{id: (verdict, tokens, confidence)} by counting every subset of every labelled url's tokens."""
+    counts, total = {}, Counter(labels.values())
+    for i, label in labels.items():
+        own = sorted(tokens[i])
+        for size in range(1, len(own) + 1):
+            for some in combinations(own, size):
+                counts.setdefault(some, Counter())[label] += 1
+    rules = []
+    for some, by in counts.items():
+        for label, n in by.items():
+            confidence = n / sum(by.values())
+            fit = [i for i in tokens if set(some) <= set(tokens[i])]
+            if (n >= min_count and confidence >= min_confidence and confidence / (total[label] / len(labels)) >= min_lift
+                    and sum(i in labels for i in fit) >= min_labelled * len(fit)):
+                rules.append((confidence, n, label == "allow", list(some), label))
+    out = {}
+    for i, own in tokens.items():
+        best = max((r for r in rules if set(r[3]) <= set(own)), default=None)
+        out[i] = (best[4], best[3], best[0]) if best else ("allow", None, None)
+    return out
+
+
+def test_mined_rules_by_counting(spark):
+    rows = [(k, f"http://{'blog' if k % 2 else 'm'}.h{k % 3}.org/{('news', 'casino', 'en')[k % 5 % 3]}/{('a', 'b', 'spin')[k % 7 % 3]}/{k}")
+            for k in range(120)] + [(200, "http://h0.org"), (201, None), (202, "http://x.net/q/r/s/spin?z=1")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = {k: "block" if (k % 5 % 3 == 1 and k % 11) or (k % 7 % 3 == 2 and k % 2) else "allow" for k in range(120) if k % 4}
+    host, path = urls.split_url(F.col("url"))
+    tokens = {r.page_id: r.t for r in pages.withColumns({"host": host, "path": path}).select(
+        "page_id", urls.url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("t")).collect()}
+    assert "word:spin" in tokens[202] and "part:blog" in tokens[1]      # one-word segments of any depth
+    for limits in ((5, 0.8, 1.1, 0.3), (8, 0.9, 1.2, 0.76)):
+        want = brute_verdicts(tokens, labels, *limits)
+        got = urls.judge_urls(pages, spark.createDataFrame(list(labels.items()), "page_id long, label string"), "page_id",
+                              "url", *limits).collect()
+        assert {r.page_id: (r.verdict, r.mined_tokens, r.confidence) for r in got} == want
+        assert {v for v, t, _ in want.values() if t} == {"allow", "block"}
+
+
+def test_held_out_urls(spark):
+    """Rules of one half of the pages that a listed rule covers, judged on the other half."""
+    host, path = urls.split_url(F.col("url"))
+    pages = read_table(spark, "/root/testdata/sf0.1", "pages").select("page_id", "url").withColumns({"host": host, "path": path})
+    split = pages.select("page_id", urls.url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"),
+                         urls.listed_rule(F.col("host"), F.col("path"))["verdict"].alias("label")).where("label is not null")
+    rules = urls.mine_rules(split.where("page_id % 2 = 0").select("tokens", "label"))
+    held = split.where("page_id % 2 = 1").withColumnRenamed("page_id", "key")
+    found = held.join(urls.match_rules(held, rules), "key").select("label", F.col("mined.label").alias("mined")).collect()
+    right = sum(r.label == r.mined for r in found)
+    print("held out", held.count(), "fired", len(found), "right", right, Counter((r.label, r.mined) for r in found))
+    assert len(found) > 0.5 * held.count() and right >= 0.95 * len(found)
+    open_pages = [r for r in urls.judge_urls(pages.select("page_id", "url")).collect() if r.rule is None]
+    print("no listed rule", len(open_pages), Counter((r.verdict, r.mined_tokens is not None) for r in open_pages))
+    assert {r.verdict for r in open_pages if r.mined_tokens} == {"allow", "block"}
+
+
 # --- site quality ---------------------------------------------------------------------------------------------
 
 def test_held_out_site_quality(spark):
@@ -327,6 +386,43 @@ def test_sparse_sites_are_shrunk(spark):
         assert min(r.good / r.n, r.host_rate) - 1e-9 <= r.path_rate <= max(r.good / r.n, r.host_rate) + 1e-9
 
 
+def test_posteriors_by_hand(spark):
+    """Every probability from sums over the other documents of path and host; strengths by the method of moments."""
+    rng = random.Random(5)
+    rows = [(k, f"h{k % 5}" if k % 9 else None, f"p{k % 3}" if k % 4 else None, rng.uniform(-4, 4) + k % 5) for k in range(150)]
+    rows += [(None, "one", "one/p", -3.0), (7, "h1", "p0", 2.0), (7, "h1", "p0", 2.0)]
+    own = [1 / (1 + math.exp(-r[3])) for r in rows]
+    total = sum(own) / len(own)
+
+    def sums(part):
+        out = {}
+        for r, p in zip(rows, own):
+            n, good = out.get(r[part], (0, 0.0))
+            out[r[part]] = (n + 1, good + p)
+        return out
+
+    def strength(groups, rate):
+        n = sum(g[0] for g in groups.values())
+        within = {k: rate(k) * (1 - rate(k)) for k in groups}
+        between = sum(m * (good / m - rate(k)) ** 2 for k, (m, good) in groups.items())
+        variance = sum(m * within[k] for k, (m, _) in groups.items()) / n
+        return max(variance / max((between - sum(within.values())) / n, variance * 1e-4, 1e-12), 1e-6)
+
+    rows = [(*r, (r[1], r[2])) for r in rows]
+    hosts, paths = sums(1), sums(4)
+    a = strength(hosts, lambda k: total)
+    b = strength(paths, lambda k: (hosts[k[0]][1] + a * total) / (hosts[k[0]][0] + a))
+    want = []
+    for r, p in zip(rows, own):
+        (n, good), (m, well) = hosts[r[1]], paths[r[4]]
+        rate = (well - p + b * (good - p + a * total) / (n - 1 + a)) / (m - 1 + b)
+        rate = min(max(rate, 1e-4), 1 - 1e-4)
+        want.append((r[0], round(1 / (1 + math.exp(-r[3]) * (1 - rate) / rate), 9)))
+    scored = spark.createDataFrame([r[:4] for r in rows], "doc_id long, host string, path string, llr double")
+    got = [(r.doc_id, round(r.probability, 9)) for r in site_quality.posteriors(scored).collect()]
+    same(got, want)
+
+
 def test_site_quality_edge_cases(spark):
     docs = documents(spark)
     host, path = F.col("source"), F.concat_ws("/", "source", "lang")
