@@ -251,10 +251,11 @@ def _anchor_rows(rows: DataFrame, runs_of: Callable[[bytes], list | None]) -> Da
     return map_rows(rows, find, f"{KEY_KINDS}, place bigint, bucket bigint, cover bigint")
 
 
-def _in_shared_buckets(found: DataFrame) -> DataFrame:
-    """Anchors whose bucket has several: counted from identifiers alone, with partial sums."""
-    met = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    return found.join(met, "bucket", "left_semi").select(*KEY, "place", "bucket", "cover")
+def _in_shared_buckets(found: DataFrame, folders: Folders) -> DataFrame:
+    """Anchors whose bucket has several: counted from identifiers alone, with partial sums. The counts are written, so
+    that the join reads two plain shuffles, of which AQE can split a bucket that holds much."""
+    met = folders.written(found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "shared-buckets")
+    return found.join(met.hint("merge"), "bucket", "left_semi").select(*KEY, "place", "bucket", "cover")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,7 +265,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     rows = _tagged(docs, id_col, text_col)
     every, own, refined = (Folders(docs.sparkSession) for _ in range(3))
     found = every.written(_anchor_rows(rows, lambda t: anchors(t, length) if len(t) >= length else None), "anchors")
-    shared = own.written(_in_shared_buckets(found), "shared-anchors")
+    shared = own.written(_in_shared_buckets(found, every), "shared-anchors")
     every.free()
     # members of a bucket with equal cover, one of which speaks for all
     kinds = own.written(shared.groupBy("bucket", "cover").agg(
@@ -390,7 +391,7 @@ def shared_passages(docs: DataFrame, words: int = PASSAGE, id_col: str = "doc_id
         return anchors(word_hashes(text, start, end), words, WORD_CELL) if len(start) >= words else None
 
     found = every.written(_anchor_rows(rows, runs_of), "passage-anchors")
-    shared = own.written(_in_shared_buckets(found), "shared-passage-anchors")
+    shared = own.written(_in_shared_buckets(found, every), "shared-passage-anchors")
     every.free()
     least, most = F.min(F.struct(*KEY)), F.max(F.struct(*KEY))
     # kinds of runs with equal cover; buckets that only one document has hold nothing shared
