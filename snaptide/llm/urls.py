@@ -1,6 +1,6 @@
 """URL filter: listed rules first, then rules mined from labels by FP-growth.
 
-A url becomes a set of tokens (host suffixes and labels, leading path segments, words of every path segment,
+A url becomes a set of tokens (host suffixes, leading path segments, words of every path segment,
 query keys). FP-growth mines the token sets that occur often among labelled urls together with their label;
 rules ``tokens -> block`` or ``tokens -> allow`` stay if they have ``MIN_COUNT`` urls, the confidence, and a
 lift over the label's own share. A rule has to be labelled on ``MIN_LABELLED`` of all urls that it fits, so that
@@ -59,20 +59,21 @@ def listed_rule(host: Column, path: Column, rules: tuple = LISTED) -> Column:
 
 
 def url_tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens: host suffixes, host labels, the leading one and two path segments, words of all segments,
-    query keys. Digits become 0, so that numbered pages share tokens."""
+    """Distinct tokens: host suffixes, the leading one and two path segments, words of all segments, query keys.
+    Digits become 0, so that numbered pages share tokens."""
     labels = F.split(host, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
                            lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(labels, -k, k), ".")))
     parts = F.filter(F.split(F.regexp_replace(ascii_lower(path), "[0-9]+", "0"), "/"), lambda p: p != "")
     heads = F.filter(F.array(F.array_join(F.slice(parts, 1, 1), "/"), F.array_join(F.slice(parts, 1, 2), "/")),
                      lambda p: p != "")
-    words = F.filter(F.flatten(F.transform(parts, lambda p: F.split(p, "[^a-z0-9]+"))), lambda w: ~w.isin("", "0"))
+    # a first segment of one word is a path token already
+    several = F.filter(parts, lambda p, k: (k > 0) | p.rlike("[a-z0-9][^a-z0-9]+[a-z0-9]"))
+    words = F.filter(F.flatten(F.transform(several, lambda p: F.split(p, "[^a-z0-9]+"))), lambda w: ~w.isin("", "0"))
     query = F.regexp_extract(ascii_lower(F.coalesce(url, F.lit(""))), r"(?s)\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(query, "&"), lambda q: q != ""), lambda q: F.substring_index(q, "=", 1))
     some = F.array_distinct(F.concat(
-        suffixes, F.transform(F.filter(labels, lambda w: w != ""), lambda w: F.concat(F.lit("part:"), w)),
-        F.transform(heads, lambda p: F.concat(F.lit("path:"), p)),
+        suffixes, F.transform(heads, lambda p: F.concat(F.lit("path:"), p)),
         F.transform(words, lambda w: F.concat(F.lit("word:"), w)), F.transform(keys, lambda k: F.concat(F.lit("key:"), k))))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(some)
 

@@ -335,7 +335,7 @@ def test_mined_rules_by_counting(spark):
     host, path = urls.split_url(F.col("url"))
     tokens = {r.page_id: r.t for r in pages.withColumns({"host": host, "path": path}).select(
         "page_id", urls.url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("t")).collect()}
-    assert "word:spin" in tokens[202] and "part:blog" in tokens[1]      # one-word segments of any depth
+    assert "word:spin" in tokens[202]      # one-word segments of any depth
     for limits in ((5, 0.8, 1.1, 0.3), (8, 0.9, 1.2, 0.76)):
         want = brute_verdicts(tokens, labels, *limits)
         got = urls.judge_urls(pages, spark.createDataFrame(list(labels.items()), "page_id long, label string"), "page_id",
