@@ -4,7 +4,8 @@ A word is held as its parts' ids and the merge ranks of adjacent parts. While a
 (leftmost of equals) is found by a scan, the boundary is deleted and the two neighbouring ranks are looked
 up again. Words are short, so scanning beats a heap; all new words of a batch with equal length are rows of
 one matrix and take these steps together. Longer words than ``SHORT`` merge every place of the smallest
-rank in one pass, which is the same order: a merge cannot make a pair of smaller rank than its own.
+rank in one pass, which is the same order if no merge makes a pair of smaller rank than its own. That is looked up
+when a file is read; with one that fails it, words of any length are worked off boundary by boundary.
 
 The vocabulary comes from a tokenizer file (its path is a parameter) with byte-level pieces, merges and one
 or more special tokens; the driver reads it and broadcasts it (tens of thousands of entries, a fixed size).
@@ -52,8 +53,13 @@ class Vocabulary:
         self.base = max(ids.values()) + 1
         keys = np.array([ids[a] * self.base + ids[b] for a, b in sides], dtype=np.int64)
         order = np.argsort(keys)
+        merged = [ids[a + b] for a, b in sides]
+        last = np.full(self.base, -1, dtype=np.int64)
+        np.maximum.at(last, merged, np.arange(len(sides)))
+        #: Each side of a merge is made by merges of smaller ranks only.
+        self.ordered = bool((np.maximum(last[keys // self.base], last[keys % self.base]) < np.arange(len(keys))).all())
         self.keys, self.ranks = keys[order], order.astype(np.int64)
-        self.merged = np.array([ids[a + b] for a, b in sides], dtype=np.int64)
+        self.merged = np.array(merged, dtype=np.int64)
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pieces = {i: piece for piece, i in ids.items()} | {i: s.encode() for s, i in self.specials.items()}
         longest_first = sorted(self.specials, key=len, reverse=True)
@@ -123,23 +129,28 @@ def vocabulary(raw: str) -> Vocabulary:
 
 
 class Codec:
-    """Encoder and decoder of one task, with a bounded cache of words."""
+    """Encoder and decoder of one task, with a cache of ``cache_words`` words of up to ``SHORT`` bytes."""
 
     def __init__(self, vocab: Vocabulary, cache_words: int = CACHE_WORDS):
         self.vocab, self.limit = vocab, cache_words
         self.cache: dict[str, bytes] = {}
         self.split = regex.compile(PATTERN).findall
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: set[str]) -> list[str]:
+        """Words to the cache; those that must not stay there."""
+        long: list[str] = []
         by_length: dict[int, list[tuple[str, bytes]]] = {}
         for word in words:
             raw = word.encode()
             by_length.setdefault(len(raw), []).append((word, raw))
         for length, group in by_length.items():
             if length > SHORT:
-                self.cache.update((w, self.vocab.encode_long(raw)) for w, raw in group)
+                one = self.vocab.encode_long if self.vocab.ordered else lambda raw: self.vocab.encode_equal([raw])[0]
+                self.cache.update((w, one(raw)) for w, raw in group)
+                long += [w for w, _ in group]
             else:
                 self.cache.update(zip([w for w, _ in group], self.vocab.encode_equal([raw for _, raw in group])))
+        return long
 
     def encode_batch(self, bodies: list[str], group_chars: int = 2_000_000) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -168,11 +179,14 @@ class Codec:
                 unknown.update(words)
         if len(self.cache) + len(unknown) > self.limit:
             self.cache.clear()
-        self._learn(unknown.difference(self.cache))
+        long = self._learn(unknown.difference(self.cache))
         known, specials = self.cache, self.vocab.specials
-        return [b"".join([b"".join([known[w] for w in section]) if k % 2 == 0
-                          else specials[section].to_bytes(4, "little") for k, section in enumerate(sections)])
-                for sections in split]
+        out = [b"".join([b"".join([known[w] for w in section]) if k % 2 == 0
+                         else specials[section].to_bytes(4, "little") for k, section in enumerate(sections)])
+               for sections in split]
+        for word in long:
+            del known[word]
+        return out
 
     def decode(self, ids: bytes) -> str:
         pieces = self.vocab.pieces

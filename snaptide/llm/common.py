@@ -5,13 +5,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snaptide.session import checkpoint_dir
 
 BATCH_ROWS = 500
+BATCH_BYTES = 16 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -86,17 +89,31 @@ ARROW = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "do
          "array<int>": pa.list_(pa.int32()), "int": pa.int32()}
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes of text, but one row at least."""
+    size = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    held = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        room = (held[at - 1] if at else 0) + BATCH_BYTES
+        stop = min(at + BATCH_ROWS, max(at + 1, int(np.searchsorted(held, room, side="right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def map_rows(rows: DataFrame, make: Callable[[], Callable[[list], dict]], schema: str) -> DataFrame:
     """Arrow batches of ``rows`` through ``make()()``: the inner function, built once for each task, gets
-    the columns as lists and returns the output columns as lists. Batches are bounded by rows and bytes."""
+    the columns as lists and returns the output columns as lists. They come in the slices of ``parts``."""
     names = [part.split()[0] for part in schema.split(", ")]
     kinds = [ARROW[part.split()[1]] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for start in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(start, BATCH_ROWS)
+            for part in parts(batch):
                 out = step([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[n], type=k) for n, k in zip(names, kinds)], names=names)

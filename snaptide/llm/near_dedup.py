@@ -44,6 +44,7 @@ WORDS = PERMUTATIONS // 64
 MARGIN = 0.2
 BLOCK_SHINGLES = 50_000
 COLUMNS = 2048
+LONG_WORD = 512
 NO_ID = -(2**63)
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -74,7 +75,7 @@ def shingle_set(text: bytes) -> set:
 
 
 class Signer:
-    """Signatures of one task; hashes of words are remembered up to a bound."""
+    """Signatures of one task; hashes of up to ``limit`` words of at most ``LONG_WORD`` bytes are remembered."""
 
     def __init__(self, limit: int = 100_000):
         self.known: dict[bytes, int] = {}
@@ -84,9 +85,14 @@ class Signer:
         if len(self.known) > self.limit:
             self.known.clear()
         known = self.known
-        for w in set(words).difference(known):
+        new = set(words).difference(known)
+        for w in new:
             known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        return np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
+        found = np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
+        for w in new:
+            if len(w) > LONG_WORD:
+                del known[w]
+        return found
 
     def __call__(self, text: bytes) -> tuple[bytes, int, list[int], list[int]]:
         """(digest of the word sequence, set size, planes, band keys); planes and keys empty below five words."""

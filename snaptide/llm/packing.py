@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snaptide.llm.bpe import PATTERN, Codec, byte_alphabet, read_vocabulary, vocabulary
-from snaptide.llm.common import BATCH_ROWS, read_table, texts, written
+from snaptide.llm.common import parts, read_table, texts, written
 
 CAPACITY = 2048
 CLOSING_ID = 0
@@ -39,8 +39,8 @@ CLOSING_ID = 0
 
 @lru_cache(maxsize=2)
 def fast_encoding(raw: str):
-    """The tokenizer file's vocabulary in the encoder library that is fastest for whole texts: merges of such
-    files are in the order of their ids, which gives the same ids."""
+    """The tokenizer file's vocabulary in the encoder library that is fastest for whole texts. It merges by the order of
+    ids, which gives the same ids where the file's merges are in the order of their ids; else None."""
     import tiktoken
 
     spec = json.loads(raw)
@@ -51,18 +51,26 @@ def fast_encoding(raw: str):
         a, b = merge.split(" ") if isinstance(merge, str) else merge
         new = spec["model"]["vocab"][a + b]
         if new <= last:
-            raise ValueError("the vocabulary's ids are not in the order of its merges")
+            return None
         last = new
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ids,
                              special_tokens={t["content"]: t["id"] for t in spec["added_tokens"]})
 
 
+@lru_cache(maxsize=2)
+def rank_codec(raw: str) -> Codec:
+    return Codec(vocabulary(raw), 10_000)
+
+
 def encode(raw: str, text: str) -> np.ndarray:
     """Ids of a text as unsigned 32-bit integers."""
-    try:
-        return np.asarray(fast_encoding(raw).encode(text, allowed_special="all"), dtype="<u4")
-    except ValueError:  # its pattern engine gives up on white space of some hundred thousand characters
-        return np.frombuffer(Codec(vocabulary(raw), 10_000).encode_batch([text])[0], dtype="<u4")
+    fast = fast_encoding(raw)
+    if fast:
+        try:
+            return np.asarray(fast.encode(text, allowed_special="all"), dtype="<u4")
+        except ValueError:  # its pattern engine gives up on white space of some hundred thousand characters
+            pass
+    return np.frombuffer(rank_codec(raw).encode_batch([text])[0], dtype="<u4")
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -86,8 +94,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, clos
         task, closing = TaskContext.get().partitionId(), np.array([closing_id], dtype="<u4")
         seen = [0] * (capacity + 1)
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for part in parts(batch):
                 out = []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     ids = np.concatenate([encode(raw.value, text), closing])

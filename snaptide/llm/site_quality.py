@@ -38,13 +38,13 @@ LETTERS = re.compile(rb"[a-z\x80-\xff]+")
 CAPITALS = re.compile(rb"[A-Z]+")
 
 
-CACHE_WORDS = 300_000
+CACHE_WORDS, LONG_WORD = 300_000, 512
 REPEATED = zlib.crc32(b"repeated") % DIMENSIONS
 
 
 class Terms:
     """Words, word shapes (letters folded to a, capitals to A) and words equal to the one before, of a whole
-    text, as counts by bucket. Buckets of words are remembered up to a bound."""
+    text, as counts by bucket. Buckets of words are remembered up to a number of words and their length."""
 
     def __init__(self) -> None:
         self.known: dict[bytes, tuple[int, int]] = {}
@@ -61,7 +61,9 @@ class Terms:
         for word, n in Counter(words).items():
             pair = self.known.get(word)
             if pair is None:
-                pair = self.known[word] = self._buckets(word)
+                pair = self._buckets(word)
+                if len(word) <= LONG_WORD:
+                    self.known[word] = pair
             counts[pair[0]] += n
             counts[pair[1]] += n
         if same := sum(map(bytes.__eq__, words, words[1:])):

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snaptide.llm.common import BATCH_ROWS, forget, fresh, map_rows, read_table, scratch, texts, written
+from snaptide.llm.common import forget, fresh, map_rows, parts, read_table, scratch, texts, written
 
 LENGTH = 400
 CELL = 256
@@ -199,8 +199,7 @@ def _last_replaced(rows: DataFrame, taken: int, make: Callable[[], Callable[...,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for part in parts(batch):
                 made = [step(*row) for row in zip(*(c.to_pylist() for c in part.columns[len(kept):]))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], pa.array(made, type=arrow)],
                                                  names=[f.name for f in schema.fields])

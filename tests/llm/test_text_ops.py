@@ -1,6 +1,7 @@
 """License scan, quality rules, codec, packing, URL rules and site quality against brute force."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -10,6 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from cases import documents, empty, long_text
 from hypothesis import given, settings
@@ -17,7 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from snaptide.llm import bpe, licenses, packing, quality, site_quality, urls
+from snaptide.llm import bpe, common, licenses, near_dedup, packing, quality, site_quality, urls
 from snaptide.llm.common import read_table
 
 SF = "/root/testdata/sf0.001"
@@ -189,6 +191,47 @@ def test_codec_any_text(text):
     assert CODEC.decode(found) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab", min_size=1, max_size=150))
+def test_merges_that_make_pairs_of_smaller_rank(text):
+    spec = json.loads(bpe.read_vocabulary(VOCABULARY))
+    singles = {c: b for c, b in bpe.byte_alphabet().items()}
+    spec["model"]["vocab"] = singles | {"aa": 256, "aaa": 257, "ab": 258, "bab": 259}
+    spec["model"]["merges"] = ["aa a", "b ab", "a a", "a b"]
+    spec["added_tokens"] = []
+    raw = json.dumps(spec)
+    want = Tokenizer.from_str(raw).encode(text, add_special_tokens=False).ids
+    assert not bpe.vocabulary(raw).ordered and packing.fast_encoding(raw) is None
+    got = bpe.Codec(bpe.vocabulary(raw)).encode_batch([text])[0]
+    assert np.frombuffer(got, dtype="<u4").tolist() == want == packing.encode(raw, text).tolist()
+
+
+def test_long_words_do_not_stay_in_caches():
+    assert CODEC.vocab.ordered
+    codec, signer, terms = bpe.Codec(CODEC.vocab), near_dedup.Signer(), site_quality.Terms()
+    text = "a few words " + "x" * 100_000 + " and " + "y" * 40 + " more"
+    for _ in range(2):
+        assert np.frombuffer(codec.encode_batch([text])[0], dtype="<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+        signed, counted = signer(text.encode()), terms(text.encode())
+    assert max(map(len, codec.cache)) == 41
+    assert signed == near_dedup.Signer()(text.encode()) and max(map(len, signer.known)) == 40
+    assert counted == site_quality.Terms()(text.encode()) and max(map(len, terms.known)) == 40
+
+
+@pytest.mark.parametrize("sizes", [[], [0], [5], [30], [30, 30, 30], [1, 2, 3, 30, 4, 4, 4, 0, 0, 0, 10], [0] * 9, [4, 3, 3, 1]])
+def test_batches_are_bounded_by_rows_and_bytes(monkeypatch, sizes):
+    monkeypatch.setattr(common, "BATCH_ROWS", 4)
+    monkeypatch.setattr(common, "BATCH_BYTES", 10)
+    ids = list(range(len(sizes)))
+    texts = ["t" * n if n else None for n in sizes]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    found = [p.to_pydict() for p in common.parts(batch)]
+    assert [i for p in found for i in p["doc_id"]] == ids and [t for p in found for t in p["text"]] == texts
+    for p in found:
+        held = sum(len(t or "") for t in p["text"])
+        assert 1 <= len(p["doc_id"]) <= 4 and (held <= 10 or len(p["doc_id"]) == 1)
+
+
 def test_codec_of_no_rows(spark):
     assert bpe.round_trip(empty(spark), VOCABULARY).count() == 0
 
