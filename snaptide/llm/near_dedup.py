@@ -2,15 +2,15 @@
 
 1. Each text gives its set of 5-word shingles (A-Z lower-cased), ``PERMUTATIONS`` minima and, of each
    minimum, the lowest ``BITS`` bits: bit ``p`` of all minima is packed into the longs of plane ``p``. Rows of
-   one word sequence are one class from here on; the smallest row key (64 bits of id and text) of its rows is its
-   node, its smallest id only a label.
+   one word sequence are one class from here on. Its node is a number given to it when the classes are written,
+   so no two classes share one; the row with the smallest key (64 bits of id and text) lends its text.
 2. Bands of ``BAND_ROWS`` minima give candidate keys. A similarity of 0.85 misses all bands once in 10**10
    pairs, one of 0.8 once in 10**7.
 3. A key held by many documents is not expanded into pairs. Its pivot is the document that shares its keys
    with most others; every holder is compared with the pivot. Keys whose holders are then in one component
    are settled: further links there change nothing. Of other keys, the holders that meet a plausible partner of
    another component join the pool of the key's pivot: its documents outside the pivot's component are compared with all of the pool, in blocks of ``BLOCK_SHINGLES`` shingles
-   on either side, so a pool is spread over many tasks. A block counts the shingles that its whole texts share
+   on either side (a text counts as ``ROW_SHINGLES`` at least, which bounds the texts of a block), so a pool is spread over many tasks. A block counts the shingles that its whole texts share
    by one matrix product and returns links only as far as they join components: never pairs, and no more
    links than it has documents.
 4. The estimate: bits that differ in any plane are counted by ``bit_count``; agreement by chance (2**-BITS)
@@ -42,7 +42,7 @@ SHINGLE = 5
 PERMUTATIONS, BAND_ROWS, BITS = 128, 4, 4
 WORDS = PERMUTATIONS // 64
 MARGIN = 0.2
-BLOCK_SHINGLES = 50_000
+BLOCK_SHINGLES, ROW_SHINGLES = 50_000, 50
 COLUMNS = 2048
 LONG_WORD = 512
 NO_ID = -(2**63)
@@ -155,20 +155,21 @@ def _plausible(a: str, b: str, percent: int) -> Column:
 
 
 def _bodies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node (the row's key), packed: the whole texts compressed, as they travel to the documents' pairs and pools."""
-    rows = texts(docs, id_col, text_col).select(row_key().alias("node"), F.col("text").cast("binary").alias("text"))
+    """row, packed: the whole texts compressed, as they travel to the documents' pairs and pools."""
+    rows = texts(docs, id_col, text_col).select(row_key().alias("row"), F.col("text").cast("binary").alias("text"))
 
     def make():
         pack = zstandard.ZstdCompressor(level=1).compress
-        return lambda columns: {"node": columns[0], "packed": [pack(t) for t in columns[1]]}
+        return lambda columns: {"row": columns[0], "packed": [pack(t) for t in columns[1]]}
 
-    return map_rows(rows, make, "node bigint, packed binary")
+    return map_rows(rows, make, "row bigint, packed binary")
 
 
 def _confirmed(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets meet the threshold: 100 * intersection >= percent * union."""
-    left = pairs.join(bodies.withColumnsRenamed({"node": "a", "packed": "packed_a"}), "a")
-    both = left.join(bodies.withColumnsRenamed({"node": "b", "packed": "packed_b"}), "b").select("a", "b", "packed_a", "packed_b")
+    """Pairs (a, b, with the rows a_row, b_row) whose full sets meet the threshold: 100 * intersection >= percent * union."""
+    left = pairs.join(bodies.withColumnsRenamed({"row": "a_row", "packed": "a_packed"}), "a_row")
+    both = (left.join(bodies.withColumnsRenamed({"row": "b_row", "packed": "b_packed"}), "b_row")
+            .select("a", "b", "a_packed", "b_packed"))
 
     def make():
         unpack = zstandard.ZstdDecompressor().decompress
@@ -236,14 +237,15 @@ def joining_links(one: list[tuple], two: list[tuple], percent: int) -> list[tupl
 
 
 def _pool_links(pool: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among the documents of each pool. pool: pool, node, component, main, n_shingles."""
+    """Links (a, b) among the documents of each pool. pool: pool, node, row, component, main, n_shingles."""
     outside = F.col("component") != F.col("main")
-    sizes = (pool.groupBy("pool").agg(F.sum("n_shingles").alias("whole"), F.sum(F.when(outside, F.col("n_shingles"))).alias("part"))
+    weight = F.greatest("n_shingles", F.lit(ROW_SHINGLES))
+    sizes = (pool.groupBy("pool").agg(F.sum(weight).alias("whole"), F.sum(F.when(outside, weight)).alias("part"))
              .where("part is not null")
              .select("pool", F.ceil(F.col("part") / BLOCK_SHINGLES).cast("int").alias("rows"),
                      F.ceil(F.col("whole") / BLOCK_SHINGLES).cast("int").alias("columns")))
     placed = (pool.withColumn("outside", outside).join(sizes, "pool")
-              .join(bodies, "node"))
+              .join(bodies, "row"))
 
     def block(count: str, seed: int):
         return F.pmod(F.xxhash64("node", F.lit(seed)), F.col(count)).cast("int")
@@ -288,14 +290,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row, n_shingles, node (of the component), component (its smallest id) — one row for each row of ``docs``,
-    NO_ID for null."""
+    """doc_id, row, n_shingles, node (of the component, null without words), component (its smallest id) — one row for each
+    row of ``docs``, NO_ID for null."""
     signed = written(signatures(docs, id_col, text_col), "signatures")
     # one class for each word sequence, empty texts aside
     of_class = (signed.where(F.col("n_shingles") > 0).groupBy("digest")
-                .agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"),
+                .agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"),
                      F.max("planes").alias("planes"), F.max("bands").alias("bands")))
-    classes = written(of_class, "classes")
+    classes = written(of_class.withColumn("node", F.monotonically_increasing_id()), "classes")
     held = classes.select("node", F.explode("bands").alias("key")).distinct()
     shared_keys = held.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") > 1)
     shared = written(held.join(shared_keys, "key"), "shared")
@@ -305,12 +307,12 @@ def near_groups(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col:
     pivots = written(pivots, "pivots")
     stars = (shared.join(pivots, "key").where(F.col("node") != F.col("b"))
              .select(F.col("node").alias("a"), "b").distinct())
-    marks = classes.select("node", "n_shingles", "planes")
-    a_side = marks.withColumnsRenamed({"node": "a", "n_shingles": "a_n_shingles", "planes": "a_planes"})
-    b_side = marks.withColumnsRenamed({"node": "b", "n_shingles": "b_n_shingles", "planes": "b_planes"})
-    near = written(stars.join(a_side, "a").join(b_side, "b").where(_plausible("a_", "b_", percent)).select("a", "b").distinct(),
+    marks = classes.select("node", "row", "n_shingles", "planes")
+    a_side, b_side = (marks.withColumnsRenamed({"node": side} | {c: f"{side}_{c}" for c in marks.columns[1:]}) for side in "ab")
+    near = written(stars.join(a_side, "a").join(b_side, "b").where(_plausible("a_", "b_", percent))
+                   .select("a", "b", "a_row", "b_row").distinct(),
                    "star-pairs")
-    # the text of a class's node; other rows of the class have the same words
+    # the text of a class's row; other rows of the class have the same words
     bodies = _bodies(docs, id_col, text_col)
     star_links = written(_confirmed(near, bodies, percent).distinct(), "star-links")
     first = components(star_links)
@@ -346,7 +348,7 @@ def near_groups(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col:
                .select("digest", F.coalesce("component", "node").alias("node"), F.coalesce("label", "least").alias("component")))
     found = signed.select("doc_id", "row", "digest", "n_shingles").join(members, "digest", "left")
     bare = F.col("n_shingles") == 0
-    return found.select("doc_id", "row", "n_shingles", F.when(bare, F.col("row")).otherwise(F.col("node")).alias("node"),
+    return found.select("doc_id", "row", "n_shingles", F.when(~bare, F.col("node")).alias("node"),
                         F.when(bare, F.col("doc_id")).otherwise(F.col("component")).alias("component"))
 
 
@@ -363,8 +365,9 @@ def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     that of the smallest row key); similarity from 0.8. Of rows that repeat id and text one stays, empty texts too."""
     own, key = fresh(docs, "own_id"), fresh(docs, "own_row")
     right, mark, n = (fresh(docs, c) for c in ("kept_doc_id", "kept_row", "copies"))
+    alone = F.when(F.col("node").isNull(), F.struct("doc_id", "row"))
     one = (near_groups(docs, percent=80).groupBy("node", "doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
-           .groupBy("node").agg(F.min(F.struct("doc_id", "row", "n")).alias("one")))
+           .groupBy("node", alone.alias("alone")).agg(F.min(F.struct("doc_id", "row", "n")).alias("one")))
     kept = written(one.select(F.col("one.doc_id").alias(right), F.col("one.row").alias(mark), F.col("one.n").alias(n)), "kept-rows")
     rows = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), key: row_key()})
     joined = rows.join(kept, (F.col(own) == F.col(right)) & (F.col(key) == F.col(mark)))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from cases import ascii_fold, documents, empty
+from pyspark.sql import functions as F
 from snaptide.llm import exact_dedup, near_dedup, substrings
 from snaptide.llm.common import read_table
 
@@ -106,6 +107,34 @@ def test_pools_in_many_blocks(spark, monkeypatch):
     test_near_copies_that_share_a_hub_only(spark)
 
 
+def test_blocks_of_short_texts_are_bounded(spark, monkeypatch):
+    """Templated short texts: a block's texts are bounded, not only its shingles; links stay whole."""
+    rows = [(i, " ".join(["same words in all of them but one at the end of each", f"w{i % 40}", f"v{i // 40}"])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = jaccard_components(rows, 80)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, 80).collect()),
+                  key=repr) == want
+    pool = spark.range(3000).selectExpr("1L AS pool", "id AS node", "id AS row", "id AS component", "-1L AS main", "7L AS n_shingles")
+    bodies = spark.range(3000).selectExpr("id AS row", "encode('', 'utf-8') AS packed")
+    placed = []
+    kind, group = type(pool), type(pool).groupBy
+    monkeypatch.setattr(kind, "groupBy", lambda self, *columns: placed.append(self) or group(self, *columns))
+    near_dedup._pool_links(pool, bodies, 85)
+    monkeypatch.undo()
+    sides = placed[-1].groupBy("pool", "i", "j", "side").count().agg({"count": "max"}).first()[0]
+    assert sides < 1.25 * near_dedup.BLOCK_SHINGLES / near_dedup.ROW_SHINGLES
+
+
+def test_nodes_do_not_depend_on_row_keys(spark, monkeypatch):
+    """Rows with equal keys: their classes stay apart, their links are found."""
+    key = near_dedup.row_key
+    monkeypatch.setattr(near_dedup, "row_key", lambda *columns: F.pmod(key(*columns), F.lit(3)))
+    rows = [(i, " ".join([*(f"x{i // 2}y{k}" for k in range(40)), f"z{i}"])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs, 85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i - i % 2) for i in range(40)]
+
+
 def test_estimate_is_corrected():
     sign = near_dedup.Signer()
     words = [f"w{i}" for i in range(2000)]
