@@ -309,8 +309,9 @@ def near_groups(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col:
              .select(F.col("node").alias("a"), "b").distinct())
     marks = classes.select("node", "row", "n_shingles", "planes")
     a_side, b_side = (marks.withColumnsRenamed({"node": side} | {c: f"{side}_{c}" for c in marks.columns[1:]}) for side in "ab")
+    # each pair comes once; without an aggregation above them, AQE can split the joins of a pivot of many
     near = written(stars.join(a_side, "a").join(b_side, "b").where(_plausible("a_", "b_", percent))
-                   .select("a", "b", "a_row", "b_row").distinct(),
+                   .select("a", "b", "a_row", "b_row"),
                    "star-pairs")
     # the text of a class's row; other rows of the class have the same words
     bodies = _bodies(docs, id_col, text_col)
