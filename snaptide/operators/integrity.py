@@ -40,13 +40,15 @@ def integrity_report(tables: dict[str, DataFrame], scope: DataFrame | None = Non
     held = {n: t if scope is None else lookup(t, scope.select(CK).distinct(), [CK], "left_semi") for n, t in tables.items()}
     found = []
     for name, rows in held.items():
-        twice = rows.groupBy(*TABLES[name].keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        # keys rarely repeat: dealt out first, so that no task collects the keys of whole files in memory
+        keys = TABLES[name].keys
+        twice = rows.select(*keys).repartition(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
         found.append(twice.select(CK, F.lit("duplicate_key").alias("check"), F.lit(name).alias("table_name"),
                                   F.lit(None).cast("string").alias("parent")))
     for child, parent, columns in links():
         if child not in held or parent not in held:
             continue
-        known = held[parent].select(*[F.col(p).alias(c) for c, p in columns]).distinct()
+        known = held[parent].select(*[F.col(p).alias(c) for c, p in columns])
         lost = lookup(held[child], known, [c for c, _ in columns], "left_anti")
         found.append(lost.select(CK, F.lit("orphan").alias("check"), F.lit(child).alias("table_name"),
                                  F.lit(parent).alias("parent")))

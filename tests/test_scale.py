@@ -55,3 +55,26 @@ def test_absent_tables_cost_no_shuffle(spark, tmp_root):
     rows = spark.range(100).select(F.lit("k1").alias("k_cluster_id"), F.col("id").cast("string").alias("k_topic_id"))
     p = plan(rows.join(store.read("topics").select("k_cluster_id", "k_topic_id"), ["k_cluster_id", "k_topic_id"], "left_anti"))
     assert "Exchange" not in p and "Join" not in p
+
+
+def test_integrity_collects_no_keys_of_files(spark, tmp_root):
+    """Keys are dealt out before they are counted; a parent's keys are not made distinct for an anti join."""
+    from snaptide.operators.integrity import integrity_report
+    store = StateStore(spark, tmp_root)
+    refresh_metadata(store, many_topics(spark, 40, 2), tables=("topics",))
+    before = [node for node in plan(integrity_report({"topics": store.read("topics")})).split("\n")]
+    scan = next(i for i, line in enumerate(before) if "FileScan" in line)
+    above = [line for line in before[:scan] if "Exchange" in line or "HashAggregate" in line]
+    assert "Exchange hashpartitioning(k_cluster_id" in above[-1] and "HashAggregate" in above[-2]
+
+
+def test_binding_lookup_deals_pairs_out_once(spark):
+    """With no broadcast: lines twice (order, supplier), pairs by principal, pairs by resource."""
+    from snaptide.plans import registry
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(registry.QUERIES["lookup_binding"](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert p.count("hashpartitioning(principal") == 2 and p.count("hashpartitioning(resource_name") == 2
