@@ -423,17 +423,18 @@ def lookup_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from snaptide.operators.joins import lookup
     t, _, cust, _ = _lookup_states(spark, sf_dir)
     sup = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
-    pairs = (t.lineitem.select("l_orderkey", "l_suppkey")
-             .join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    # names are joined to orders, not to their many lines; dealt out by principal once, for the distinct and its lookup
+    owners = (t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+              .join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("principal")),
+                    "o_custkey").select("l_orderkey", "principal"))
+    pairs = (t.lineitem.select("l_orderkey", "l_suppkey").join(owners, "l_orderkey")
              .join(sup.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("resource_name")),
                    "l_suppkey")
-             .join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("principal")),
-                   "o_custkey")
-             .select("resource_name", "principal").distinct())
+             .select("resource_name", "principal").repartition("principal").distinct())
     resources = sup.filter(F.col("s_nationkey") != 3).select(F.col("s_name").alias("resource_name"), "s_suppkey")
     entries = cust.select(F.col("c_name").alias("principal"), "c_custkey")
-    x = lookup(pairs, resources, ["resource_name"])
-    return lookup(x, entries, ["principal"]).select("resource_name", "principal", "s_suppkey", "c_custkey")
+    x = lookup(pairs, entries, ["principal"])
+    return lookup(x, resources, ["resource_name"]).select("resource_name", "principal", "s_suppkey", "c_custkey")
 
 
 # ----------------------------------------------------- assignments (J7/M10) --
