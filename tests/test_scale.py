@@ -78,3 +78,22 @@ def test_binding_lookup_deals_pairs_out_once(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert p.count("hashpartitioning(principal") == 2 and p.count("hashpartitioning(resource_name") == 2
+
+
+def test_report_items_are_made_by_compiled_code(spark):
+    """No lambda over arrays: those are interpreted element by element, outside of compiled stages."""
+    from snaptide.operators.report import snapshot_report
+    p = plan(snapshot_report(many_topics(spark, 40, 4)))
+    assert "lambda" not in p and "transform(" not in p
+
+
+def test_report_tells_null_from_empty_and_counts_items_once(spark):
+    from snaptide.operators.report import METRICS, snapshot_report
+    row = snapshot(T0)
+    found = {(r.metric, r.value) for r in snapshot_report(spark.createDataFrame([row, row], relaxed(SNAPSHOT))).collect()}
+    once = {(r.metric, r.value) for r in snapshot_report(spark.createDataFrame([row], relaxed(SNAPSHOT))).collect()}
+    assert found == once and len(found) == len(METRICS)
+    empty = spark.createDataFrame([("k1", "k1", T0, 0, [])], "k_cluster_id string, cluster_name string, captured_at timestamp, "
+                                  "controller_id int, nodes array<struct<id:int,host:string,port:int,rack:string>>")
+    none = {f.name: F.lit(None).cast(f.dataType) for f in relaxed(SNAPSHOT).fields if f.name not in empty.columns}
+    assert [r.value for r in snapshot_report(empty.withColumns(none)).collect()] == [0] * len(METRICS)
