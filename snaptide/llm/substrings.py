@@ -29,8 +29,8 @@ each other's text. A null id is an id of its own; rows are told apart by id and
 Texts of any size are worked off in overlapping parts of ``PART`` bytes. No rows: no rows. Other columns, of
 any name, never meet the operator's own. ``length`` is 257 to 512 bytes, ``words`` 33 to 64; others raise.
 
-The pipeline stage removes passages of over 50 words that two documents share as well, of any length in bytes
-(``shared_passages``): steps 1 and 2 over words instead of bytes, then single starts. Words are compared by their
+The pipeline stage, and the query's ``text``, go without passages of over 50 words that two documents share as well, of
+any length in bytes (``shared_passages``): steps 1 and 2 over words instead of bytes, then single starts. Words are compared by their
 bytes, the white space between them is not. A document is an id with a text, so repeated rows share nothing
 with each other, and what a document repeats within itself is left to the strings of ``length`` bytes.
 """
@@ -478,8 +478,8 @@ def _with_spans(rows: DataFrame, docs: DataFrame, length: int, words: int | None
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
                    keep_text: bool = True, words: int | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, span_starts, span_ends and
-    (``keep_text``) kept_text: what is left, without characters that a removed run cuts in two. With ``words``,
-    passages of so many words that documents share go as well."""
+    (``keep_text``) kept_text: what is left, without characters that a removed run cuts in two. With ``words``, also
+    ``text``: what is left when the passages of so many words that documents share go as well; the others are as without."""
     rows = _tagged(docs, id_col, text_col)
 
     def make():
@@ -489,23 +489,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             out = []
             for doc_id, packed, own, passages in zip(*columns):
                 text = unpack(packed)
-                left, begin, end = _remove(text, own or [], length, passages or []) if own or passages else (text, [], [])
+                left, begin, end = _remove(text, own, length) if own else (text, [], [])
+                fewer = _remove(text, own or [], length, passages)[0] if passages else left
                 out.append((None if doc_id == NO_ID else doc_id, len(text), len(text) - len(left), len(begin),
                             hashlib.sha256(left).hexdigest(), begin, end,
-                            left.decode("utf-8", "ignore") if keep_text else None))
+                            left.decode("utf-8", "ignore") if keep_text else None, fewer.decode("utf-8", "ignore") if words else None))
             return dict(zip(names, map(list, zip(*out)))) if out else {n: [] for n in names}
         return step
 
-    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "span_starts", "span_ends", "kept_text")
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "span_starts", "span_ends", "kept_text", "text")
     joined = _with_spans(_compressed(rows), docs, length, words, id_col, text_col)
-    return map_rows(joined.select("doc_id", "packed", "spans", "passages"), make,
-                    "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
-                    "span_starts array<bigint>, span_ends array<bigint>, kept_text string")
+    found = map_rows(joined.select("doc_id", "packed", "spans", "passages"), make,
+                     "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
+                     "span_starts array<bigint>, span_ends array<bigint>, kept_text string, text string")
+    return found if words else found.drop("text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(read_table(spark, sf_dir, "documents"), keep_text=False).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """The contract's columns (strings of ``LENGTH`` bytes alone) and ``text``, without shared passages as well."""
+    return remove_repeats(read_table(spark, sf_dir, "documents"), keep_text=False, words=PASSAGE).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
 def drop_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -197,6 +197,22 @@ def test_passages_shorter_and_longer_than_the_limit(spark):
     assert sorted(got) == brute_removed([(i, t.encode()) for i, t in rows], 400)
 
 
+def test_text_goes_without_shared_passages_and_the_rest_stays(spark):
+    """60 short words are under 400 bytes: only ``text`` loses them, in both documents."""
+    def own(k, n):
+        return " ".join(f"{(i * k) % 9973:x}" for i in range(1, n))
+
+    passage = own(271, 61)
+    rows = [(1, f"{own(811, 90)} {passage} end"), (2, f"begin {passage} {own(1733, 90)}"), (3, own(4409, 120)), (4, None)]
+    assert len(passage) < 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in substrings.remove_repeats(docs, words=substrings.PASSAGE).collect()}
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.values()) == brute_removed(
+        [(i, (t or "").encode()) for i, t in rows], 400)
+    assert {i: r.text.split() for i, r in got.items()} == {
+        1: [*own(811, 90).split(), "end"], 2: ["begin", *own(1733, 90).split()], 3: own(4409, 120).split(), 4: []}
+
+
 @pytest.mark.parametrize("run", [exact_dedup.exact_duplicates, near_dedup.near_duplicates, substrings.remove_repeats])
 def test_no_rows(spark, run):
     assert run(empty(spark)).count() == 0
