@@ -97,3 +97,15 @@ def test_report_tells_null_from_empty_and_counts_items_once(spark):
                                   "controller_id int, nodes array<struct<id:int,host:string,port:int,rack:string>>")
     none = {f.name: F.lit(None).cast(f.dataType) for f in relaxed(SNAPSHOT).fields if f.name not in empty.columns}
     assert [r.value for r in snapshot_report(empty.withColumns(none)).collect()] == [0] * len(METRICS)
+
+
+def test_children_of_removed_parents_are_joined_once(spark, tmp_root):
+    """What stays and what goes of a table come from one join with the removed parents."""
+    store = StateStore(spark, tmp_root)
+    run = refresh._Run(store, spark.createDataFrame([("k1",)], "k_cluster_id string"))
+    keys = spark.createDataFrame([("k1", "a"), ("k1", "b"), ("k1", None)], "k_cluster_id string, k_topic_id string")
+    run.removed["topics"] = keys.filter("k_topic_id = 'a'").unionByName(keys.filter("k_topic_id = 'a'"))
+    marked = run._marked("topic_partitions", keys)
+    assert marked.columns == ["k_cluster_id", "k_topic_id", "_lost"]
+    assert sorted((r.k_topic_id or "", r._lost) for r in marked.collect()) == [("", False), ("a", True), ("b", False)]
+    assert plan(marked).split("== Initial Plan ==")[-1].count("Join") == 1
