@@ -56,6 +56,8 @@ STEP = 16
 #: The least passage of over 50 words, the consecutive grams of words that share an anchor, and the longest word hashed by table.
 PASSAGE, WORD_CELL, LONG_WORD = 51, 32, 512
 PART = 1 << 20
+#: Texts are worked off together up to so many bytes (words): arrays long enough for numpy that stay in a core's cache.
+BLOCK = 1 << 16
 NO_ID = -(2**63)
 #: A row: its id and 128 bits of its text.
 KEY = ["doc_id", "tag", "mark"]
@@ -63,14 +65,35 @@ KEY_KINDS = "doc_id bigint, tag bigint, mark bigint"
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _BYTE = np.random.default_rng(400).integers(1, 2**63, 256).astype(np.uint64)
-_POWER = np.cumprod(np.full(LONG_WORD, _C, dtype=np.uint64))
+#: Powers of ``_C`` from the first, and of its inverse from the power 0.
+_POWER = np.cumprod(np.full(1 << 16, _C, dtype=np.uint64))
+_BACK = np.cumprod(np.r_[np.uint64(1), np.full(len(_POWER) - 1, pow(int(_C), -1, 1 << 64), dtype=np.uint64)])
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def _pair(a, b):
-    x = a * _A + b * _B
-    x = (x ^ (x >> np.uint64(29))) * _C
-    return x ^ (x >> np.uint64(32))
+    x = a * _A
+    y = b * _B
+    x += y
+    x ^= np.right_shift(x, np.uint64(29), out=y)
+    x *= _C
+    x ^= np.right_shift(x, np.uint64(32), out=y)
+    return x
+
+
+def _blocks(sizes) -> Iterator[slice]:
+    """Consecutive texts that hold ``BLOCK`` together at most, but one at least."""
+    held, at = np.cumsum(sizes), 0
+    while at < len(held):
+        stop = max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + BLOCK, side="right")))
+        yield slice(at, stop)
+        at = stop
+
+
+def _numbered(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ``counts[i]`` items of each i: i, and the item's number from 0."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 class Identifiers:
@@ -104,25 +127,51 @@ class Identifiers:
 def anchors(text: bytes | np.ndarray, length: int, cell: int = CELL) -> list[np.ndarray]:
     """[anchor, first start, last start, bucket, cover] of each run of starts with one anchor, for all starts of
     strings of ``length`` bytes (words)."""
-    q, out = length - cell + 1, []
-    for at in range(0, len(text) - length + 1, PART):
-        part = text[at:at + PART + length - 1]
-        ids = Identifiers(part, cell)
-        low = ids.grams(q)
-        place = np.arange(len(low))
-        w = 1
-        while w < cell:  # leftmost smallest of 2w q-grams from those of w
-            a, b = low[:len(low) - w], low[w:]
-            right = b < a
-            place = np.where(right, place[w:], place[:len(a)])
-            low = np.where(right, b, a)
-            w *= 2
-        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        last = np.r_[first[1:], len(place)] - 1
-        anchor = place[first]
-        cover = _pair(ids.of(first, last - first + length), (anchor - first).astype(np.uint64))
-        out.append(np.stack([anchor + at, first + at, last + at, low[first].view(np.int64), cover.view(np.int64)]))
-    return list(np.concatenate(out, axis=1)) if out else [np.zeros(0, dtype=np.int64)] * 5
+    return anchors_of([text], length, cell)[1:]
+
+
+def anchors_of(texts: list, length: int, cell: int = CELL) -> list[np.ndarray]:
+    """[number of the text, anchor, first start, last start, bucket, cover]: ``anchors`` of several texts. They are
+    laid end to end, a block at a time; strings that would cross an end are left out."""
+    pieces = [(i, at) for i, text in enumerate(texts) for at in range(0, len(text) - length + 1, PART)]
+    parts = [texts[i][at:at + PART + length - 1] for i, at in pieces]
+    sizes, out = np.array([len(p) for p in parts], dtype=np.int64), []
+    for own in _blocks(sizes):
+        joined = b"".join(parts[own]) if isinstance(parts[own][0], bytes) else np.concatenate(parts[own])
+        begin = np.cumsum(sizes[own]) - sizes[own]
+        piece, anchor, first, last, bucket, cover = _runs(joined, begin, length, cell)
+        number, at = np.array(pieces[own], dtype=np.int64).T
+        shift = (at - begin)[piece]
+        out.append(np.stack([number[piece], anchor + shift, first + shift, last + shift, bucket.view(np.int64), cover.view(np.int64)]))
+    return list(np.concatenate(out, axis=1)) if out else [np.zeros(0, dtype=np.int64)] * 6
+
+
+def _runs(joined: bytes | np.ndarray, begin: np.ndarray, length: int, cell: int) -> tuple[np.ndarray, ...]:
+    """(piece, anchor, first start, last start, bucket, cover) for pieces of at least ``length``, laid end to end."""
+    ids = Identifiers(joined, cell)
+    least = [ids.grams(length - cell + 1)]
+    ids.levels = {cell: ids.levels[cell]}
+    w = 1
+    while w < cell:  # smallest of 2w q-grams from those of w
+        least.append(np.minimum(least[-1][:-w], least[-1][w:]))
+        w *= 2
+    low = least.pop()
+    # the next start has another anchor where this one is its own anchor or the smallest q-gram changes
+    new = np.ones(len(low), dtype=bool)
+    new[1:] = (low[1:] != low[:-1]) | (least[0][:len(low) - 1] == low[:-1])
+    over = np.r_[begin[1:], len(joined)] - length + 1
+    new[begin] = True
+    new[over[:-1]] = True
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(low)] - 1
+    piece = np.searchsorted(begin, first, side="right") - 1
+    inside = first < over[piece]
+    piece, first, last = piece[inside], first[inside], last[inside]
+    anchor = first.copy()
+    for part in reversed(least):  # leftmost smallest, halving the window
+        w //= 2
+        anchor += w * (part[anchor + w] < part[anchor])
+    return piece, anchor, first, last, low[first], _pair(ids.of(first, last - first + length), (anchor - first).astype(np.uint64))
 
 
 def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -134,26 +183,36 @@ def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words from start to end, in blocks of about ``PART`` bytes."""
+    """64-bit hashes of the words from start to end, by differences of running sums in spans of ``_POWER``."""
     size = end - start
     out = np.zeros(len(size), dtype=np.uint64)
-    short = np.flatnonzero(size <= LONG_WORD)
-    total = np.cumsum(size[short])
+    symbols, span = np.frombuffer(text, dtype=np.uint8), min(PART, len(_POWER))
     at = 0
-    while at < len(short):
-        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PART)))
-        own = short[at:stop]
-        n = size[own]
-        first = np.cumsum(n) - n
-        inner = np.arange(int(n.sum())) - np.repeat(first, n)
-        symbols = _BYTE[np.frombuffer(text, dtype=np.uint8)[np.repeat(start[own], n) + inner]] * _POWER[inner]
-        out[own] = _pair(np.add.reduceat(symbols, first), n.astype(np.uint64))
+    while at < len(size):
+        base = int(start[at])
+        stop = max(at + 1, int(np.searchsorted(end, base + span, side="right")))
+        if size[at] <= span:
+            sums = _BYTE[symbols[base:end[stop - 1]]]
+            sums *= _POWER[:len(sums)]
+            sums = np.r_[np.uint64(0), np.cumsum(sums)]
+            a, b = start[at:stop] - base, end[at:stop] - base
+            out[at:stop] = _pair((sums[b] - sums[a]) * _BACK[a], size[at:stop].astype(np.uint64))
         at = stop
     for k in np.flatnonzero(size > LONG_WORD):
         out[k] = int.from_bytes(hashlib.blake2b(text[start[k]:end[k]], digest_size=8).digest(), "little")
     return out
 
 
+def words_of(texts: list[bytes]) -> list[np.ndarray]:
+    """``word_hashes`` of all words of each text; texts are laid end to end, a block at a time."""
+    sizes, out = np.array([len(t) + 1 for t in texts], dtype=np.int64), []
+    for own in _blocks(sizes):
+        joined = b" ".join(texts[own])
+        start, end = word_bounds(joined)
+        out += np.split(word_hashes(joined, start, end), np.searchsorted(start, np.cumsum(sizes[own])[:-1]))
+    return out
+
+
 #: Frees a query's shuffle files at its end; what is written needs them no more.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -217,7 +276,7 @@ def _place(anchor, first, last):
     return anchor << 16 | (anchor - first) << 8 | (last - first)
 
 
-def _run(place: int) -> tuple[int, int, int]:
+def _run(place):
     """(anchor, first start, last start)."""
     anchor = place >> 16
     first = anchor - (place >> 8 & 255)
@@ -230,21 +289,13 @@ def _run_columns() -> tuple[Column, Column]:
     return first.cast("int"), (first + F.col("place").bitwiseAND(F.lit(255))).cast("int")
 
 
-def _anchor_rows(rows: DataFrame, runs_of: Callable[[bytes], list | None]) -> DataFrame:
-    """KEY, place, bucket, cover of the runs that ``runs_of`` finds in a text."""
+def _anchor_rows(rows: DataFrame, runs_of: Callable[[list[bytes]], list]) -> DataFrame:
+    """KEY, place, bucket, cover of the runs that ``runs_of`` finds in texts."""
     def find():
         def step(columns: list) -> dict:
-            keys, found = [], []
-            for *key, text in zip(*columns):
-                runs = runs_of(text)
-                if runs is not None:
-                    keys.append(key)
-                    found.append((_place(*runs[:3]), runs[3], runs[4]))
-            sizes = [len(f[0]) for f in found]
-            out = {n: np.repeat(np.array([k[i] for k in keys], dtype=np.int64), sizes) for i, n in enumerate(KEY)}
-            for i, n in enumerate(("place", "bucket", "cover")):
-                out[n] = np.concatenate([f[i] for f in found]) if found else []
-            return out
+            number, *run, bucket, cover = runs_of(columns[-1])
+            out = {n: np.array(c, dtype=np.int64)[number] for n, c in zip(KEY, columns)}
+            return out | {"place": _place(*run), "bucket": bucket, "cover": cover}
         return step
 
     return map_rows(rows, find, f"{KEY_KINDS}, place bigint, bucket bigint, cover bigint")
@@ -263,7 +314,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         raise ValueError(f"length: {CELL + 1} to {2 * CELL}")
     rows = _tagged(docs, id_col, text_col)
     every, own, refined = (Folders(docs.sparkSession) for _ in range(3))
-    found = every.written(_anchor_rows(rows, lambda t: anchors(t, length) if len(t) >= length else None), "anchors")
+    found = every.written(_anchor_rows(rows, lambda texts: anchors_of(texts, length)), "anchors")
     shared = own.written(_in_shared_buckets(found, every), "shared-anchors")
     every.free()
     # members of a bucket with equal cover, one of which speaks for all
@@ -310,13 +361,8 @@ def _covers(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _columns(names: tuple, parts: list[tuple]) -> dict:
-    """Columns from arrays of equal length, single values repeated."""
-    out: list[list] = [[] for _ in names]
-    for part in parts:
-        size = max(len(x) for x in part if isinstance(x, np.ndarray))
-        for column, x in zip(out, part):
-            column.append(x if isinstance(x, np.ndarray) else np.full(size, x))
-    return {n: np.concatenate(c) if c else [] for n, c in zip(names, out)}
+    """Columns from arrays of equal length."""
+    return {n: np.concatenate(c) for n, c in zip(names, zip(*parts))} if parts else {n: [] for n in names}
 
 
 def _refined(covers: DataFrame, length: int, folders: Folders) -> DataFrame:
@@ -325,19 +371,23 @@ def _refined(covers: DataFrame, length: int, folders: Folders) -> DataFrame:
 
     def cells():
         def step(columns: list) -> dict:
-            out = []
-            for run, bucket, is_open, place, cover in zip(*columns):
-                anchor, first, last = _run(place)
-                ids = Identifiers(cover)
+            out, covers = [], columns[4]
+            sizes = np.array([len(c) for c in covers])
+            run, bucket, is_open, place = (np.array(c) for c in columns[:4])
+            for own in _blocks(sizes):
+                ids = Identifiers(b"".join(covers[own]))
+                anchor, first, last = _run(place[own])
                 # distance from the anchor, cut at multiples of STEP
-                cell = np.arange((anchor - last) // STEP, (anchor - first) // STEP + 1)
+                low = (anchor - last) // STEP
+                of, inner = _numbered((anchor - first) // STEP + 1 - low)
+                cell, anchor, first, last = low[of] + inner, anchor[of], first[of], last[of]
                 near, far = np.maximum(cell * STEP, anchor - last), np.minimum(cell * STEP + STEP - 1, anchor - first)
                 begin, end = anchor - far, anchor - near  # starts of this cell
+                at = (np.cumsum(sizes[own]) - sizes[own])[of] - first  # from places in the text to those in the block
                 # the part that all strings of the cell, owned or not, have in common
-                inner = anchor - cell * STEP - first
-                common = ids.of(inner, np.full(len(cell), length - STEP + 1))
-                whole = _pair(ids.of(begin - first, end - begin + length), (begin - anchor + cell * STEP).astype(np.uint64))
-                out.append((run, bucket, is_open, cell, begin, end, common.view(np.int64), whole.view(np.int64)))
+                common = ids.of(at + anchor - cell * STEP, np.full(len(cell), length - STEP + 1))
+                whole = _pair(ids.of(at + begin, end - begin + length), (begin - anchor + cell * STEP).astype(np.uint64))
+                out.append((run[own][of], bucket[own][of], is_open[own][of], cell, begin, end, common.view(np.int64), whole.view(np.int64)))
             return _columns(names, out)
         return step
 
@@ -359,13 +409,16 @@ def _refined(covers: DataFrame, length: int, folders: Folders) -> DataFrame:
 
     def starts():
         def step(columns: list) -> dict:
-            out = []
-            for run, bucket, is_open, place, first, last, cover in zip(*columns):
-                anchor, run_first, _ = _run(place)
-                body = cover[first - run_first:last - run_first + length]
-                start = np.arange(first, last + 1)
-                string = Identifiers(body).of(start - first, np.full(len(start), length))
-                out.append((run, bucket, is_open, anchor - start, start, string.view(np.int64)))
+            out, covers = [], columns[6]
+            run, bucket, is_open, place, first, last = (np.array(c) for c in columns[:6])
+            anchor, run_first, _ = _run(place)
+            bodies = [c[a:b] for c, a, b in zip(covers, first - run_first, last - run_first + length)]
+            sizes = np.array([len(b) for b in bodies])
+            for own in _blocks(sizes):
+                of, inner = _numbered((last - first + 1)[own])
+                start = first[own][of] + inner
+                string = Identifiers(b"".join(bodies[own])).of((np.cumsum(sizes[own]) - sizes[own])[of] + inner, np.full(len(of), length))
+                out.append((run[own][of], bucket[own][of], is_open[own][of], anchor[own][of] - start, start, string.view(np.int64)))
             return _columns(one, out)
         return step
 
@@ -385,11 +438,7 @@ def shared_passages(docs: DataFrame, words: int = PASSAGE, id_col: str = "doc_id
     rows = _tagged(docs, id_col, text_col)
     every, own = Folders(docs.sparkSession), Folders(docs.sparkSession)
 
-    def runs_of(text: bytes) -> list | None:
-        start, end = word_bounds(text)
-        return anchors(word_hashes(text, start, end), words, WORD_CELL) if len(start) >= words else None
-
-    found = every.written(_anchor_rows(rows, runs_of), "passage-anchors")
+    found = every.written(_anchor_rows(rows, lambda texts: anchors_of(words_of(texts), words, WORD_CELL)), "passage-anchors")
     shared = own.written(_in_shared_buckets(found, every), "shared-passage-anchors")
     every.free()
     least, most = F.min(F.struct(*KEY)), F.max(F.struct(*KEY))
@@ -412,15 +461,21 @@ def shared_passages(docs: DataFrame, words: int = PASSAGE, id_col: str = "doc_id
 
         def step(columns: list) -> dict:
             out = []
-            for *key, packed, runs in zip(*columns):
-                text = unpack(packed)
-                start, end = word_bounds(text)
-                for r in runs:
-                    _, first, last = _run(r["place"])
-                    part = slice(first, last + words)
-                    offset = np.arange(last - first + 1)
-                    string = Identifiers(word_hashes(text, start[part], end[part]), WORD_CELL).of(offset, np.full(len(offset), words))
-                    out.append((*key, r["bucket"], r["cover"], r["shared"], offset, string.view(np.int64)))
+            hashes = words_of([unpack(packed) for packed in columns[3]])
+            keys = [np.array(c, dtype=np.int64) for c in columns[:3]]
+            # words of each run of each text, end to end
+            number = np.repeat(np.arange(len(hashes)), [len(runs) for runs in columns[4]])
+            every_run = [r for runs in columns[4] for r in runs]
+            place, bucket, cover, shared = (np.array([r[n] for r in every_run]) for n in ("place", "bucket", "cover", "shared"))
+            _, first, last = _run(place)
+            bodies = [hashes[i][a:b] for i, a, b in zip(number, first, last + words)]
+            sizes = np.array([len(b) for b in bodies])
+            for part in _blocks(sizes):
+                of, offset = _numbered((last - first + 1)[part])
+                ids = Identifiers(np.concatenate(bodies[part]), WORD_CELL)
+                string = ids.of((np.cumsum(sizes[part]) - sizes[part])[of] + offset, np.full(len(of), words))
+                out.append((*(k[number[part]][of] for k in keys), bucket[part][of], cover[part][of], shared[part][of],
+                            offset, string.view(np.int64)))
             return _columns(names, out)
         return step
 

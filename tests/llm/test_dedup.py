@@ -1,9 +1,11 @@
 """Exact copies, near copies and repeated substrings against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from cases import ascii_fold, documents, empty
 from pyspark.sql import functions as F
@@ -187,6 +189,33 @@ def test_repeated_substrings_in_parts(spark, monkeypatch):
     assert owners(whole) == owners(parts) and len(owners(whole)) == len(text) - 399
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_texts_worked_off_together_are_taken_one_by_one(monkeypatch, words):
+    """Anchors against the smallest q-gram of each start by itself, with texts laid end to end or not; few calls for many texts."""
+    rng = random.Random(5)
+    texts = [b"", b"ab" * 700, b"q" * 399, b"q" * 401, "é ".encode() * 500, b" "] + [
+        bytes(rng.choice(b"ab c") for _ in range(rng.choice((10, 390, 400, 900)))) for _ in range(60)]
+    length, cell = (51, 32) if words else (400, 256)
+    own = substrings.words_of(texts) if words else texts
+    if words:
+        for t, found in zip(texts, own):
+            start, end = substrings.word_bounds(t)
+            assert found.tolist() == substrings.word_hashes(t, start, end).tolist() and len(found) == len(t.split())
+    calls = []
+    runs = substrings._runs
+    monkeypatch.setattr(substrings, "_runs", lambda *a: calls.append(1) or runs(*a))
+    together = np.stack(substrings.anchors_of(own, length, cell)).tolist()
+    assert len(calls) == 1
+    monkeypatch.setattr(substrings, "BLOCK", 1)
+    assert np.stack(substrings.anchors_of(own, length, cell)).tolist() == together
+    starts = [(i, f) for i, _, a, b, _, _ in zip(*together) for f in range(a, b + 1)]
+    assert starts == [(i, f) for i, t in enumerate(own) for f in range(len(t) - length + 1)]
+    for i, anchor, first, last, bucket, _ in zip(*together):
+        low = substrings.Identifiers(own[i], cell).grams(length - cell + 1)
+        assert all(f + int(np.argmin(low[f:f + cell])) == anchor for f in range(first, last + 1))
+        assert low[anchor].view(np.int64) == bucket
+
+
 def test_passages_shorter_and_longer_than_the_limit(spark):
     a, b, c = ("".join(f"{(i * k) % 2**32:x}" for i in range(1, 200)) for k in (2654435761, 40503, 97531357))
     shared, short = c[:700], b[:399]
