@@ -58,7 +58,8 @@ def _under(rows: DataFrame, lives: DataFrame, keys: list[str]) -> DataFrame:
     """Captured rows whose parent lives at their time, with the start and end of what they belong to."""
     held = lives.select(*keys, "_from", UNTIL)
     inside = (F.col("_from") <= F.col(NOW)) & (F.col(NOW) < F.col(UNTIL))
-    return (lookup(rows, held, keys).filter(inside)
+    # captured rows repeat themselves and take next to nothing in files: by their bytes millions of them would be broadcast
+    return (lookup(rows.hint("merge"), held, keys).filter(inside)
             .withColumns({EPOCH: F.greatest(EPOCH, "_from"), END: F.least(END, UNTIL)}).drop("_from", UNTIL))
 
 

@@ -109,3 +109,17 @@ def test_children_of_removed_parents_are_joined_once(spark, tmp_root):
     assert marked.columns == ["k_cluster_id", "k_topic_id", "_lost"]
     assert sorted((r.k_topic_id or "", r._lost) for r in marked.collect()) == [("", False), ("a", True), ("b", False)]
     assert plan(marked).split("== Initial Plan ==")[-1].count("Join") == 1
+
+
+def test_captured_rows_of_a_backlog_are_not_broadcast(spark, tmp_root):
+    """Many rows of few values make small files; they are dealt out by the parent's key all the same."""
+    from snaptide.plans import backlog
+    key = [F.lit("k1").alias("k_cluster_id"), (F.col("id") % 3).cast("string").alias("k_topic_id")]
+    at = F.timestamp_seconds(F.lit(60)).alias("refreshed_at")
+    store = StateStore(spark, tmp_root)
+    rows = store.stage_side(0, "r", backlog._free(spark.range(1000).select(*key, at)))
+    lives = store.stage_side(0, "l", spark.range(2).select(*key, F.timestamp_seconds(F.lit(30)).alias("_from"),
+                                                           F.timestamp_seconds(30 + F.col("id") * 60).alias("_until")))
+    found = backlog._under(rows, lives, ["k_cluster_id", "k_topic_id"])
+    assert "Broadcast" not in plan(found)
+    assert found.count() == 333 and {r.k_topic_id for r in found.select("k_topic_id").distinct().collect()} == {"1"}
