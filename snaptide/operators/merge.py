@@ -64,6 +64,8 @@ def reduce_duplicates(source: DataFrame, keys, order=(), count_col: str | None =
     others = [c for c in source.columns if c not in keys]
     if not others:
         out = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    elif len(others) == 1:  # a struct of one, held by hash: structs are sorted by key first, all rows of a task in memory
+        out = source.groupBy(*keys).agg(F.max(others[0]).alias(others[0]), F.count(F.lit(1)).alias("_n"))
     else:
         order = [c for c in order if c in others]
         packed = F.struct(*[F.col(c) for c in order + [c for c in others if c not in order]])

@@ -111,6 +111,16 @@ def test_children_of_removed_parents_are_joined_once(spark, tmp_root):
     assert plan(marked).split("== Initial Plan ==")[-1].count("Join") == 1
 
 
+def test_rows_of_keys_alone_are_not_sorted_to_be_reduced(spark):
+    """Tables without attributes: one time a key, combined by hash before the shuffle."""
+    from snaptide.operators.merge import reduce_duplicates
+    rows = spark.createDataFrame([("k1", "a", 2), ("k1", "a", None), ("k1", "a", 5), ("k1", "b", None), (None, "b", 1)],
+                                 "k string, r string, t int")
+    found = reduce_duplicates(rows, ["k", "r"], order=("t",), count_col="_dups")
+    assert "SortAggregate" not in plan(found) and found.columns == ["k", "r", "t", "_dups"]
+    assert sorted(map(tuple, found.collect()), key=repr) == [("k1", "a", 5, 3), ("k1", "b", None, 1), (None, "b", 1, 1)]
+
+
 def test_captured_rows_of_a_backlog_are_not_broadcast(spark, tmp_root):
     """Many rows of few values make small files; they are dealt out by the parent's key all the same."""
     from snaptide.plans import backlog
