@@ -133,3 +133,85 @@ def test_captured_rows_of_a_backlog_are_not_broadcast(spark, tmp_root):
     found = backlog._under(rows, lives, ["k_cluster_id", "k_topic_id"])
     assert "Broadcast" not in plan(found)
     assert found.count() == 333 and {r.k_topic_id for r in found.select("k_topic_id").distinct().collect()} == {"1"}
+
+
+def test_rows_are_sorted_by_columns_of_many_values_first(spark):
+    """The cluster is the same in nearly all rows: sorted by it first, every two rows have to be looked at whole."""
+    from snaptide.operators.joins import lookup
+    from snaptide.operators.merge import merge_snapshot, reduce_duplicates
+    from snaptide.schemas import TABLES
+    spec = TABLES["topics"]
+    rows = spark.createDataFrame([("k1", "a", "n", False, T0), ("k1", "a", "o", False, T0)], "k_cluster_id string, "
+                                 "k_topic_id string, name string, internal boolean, refreshed_at timestamp")
+    state = rows.limit(1).select("*", *[F.col("refreshed_at").alias(c) for c in ("discovered_at", "modified_at")])
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = lookup(rows, state.select("k_cluster_id", "k_topic_id", "modified_at"), ["k_cluster_id", "k_topic_id"])
+        plans = [plan(found), plan(merge_snapshot(state, rows, spec)), plan(reduce_duplicates(rows, spec.keys))]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert found.columns == [*rows.columns, "modified_at"]
+    for p in plans:
+        sorts = [line for line in p.split("\n") if "Sort [" in line]
+        assert sorts and all("Sort [k_topic_id" in line for line in sorts)
+    assert [(r.name, r.n) for r in reduce_duplicates(rows, spec.keys, count_col="n").collect()] == [("o", 2)]
+
+
+def test_topic_names_are_compared_without_sorting_topics(spark):
+    rows = spark.createDataFrame([snapshot(T0)], relaxed(SNAPSHOT))
+    grouped = [line for line in plan(refresh.capture_order(rows)).split("\n") if "Aggregate(keys=[name#" in line]
+    assert grouped and not any("SortAggregate" in line for line in grouped)
+    twice = rows.withColumn("topics", F.array_append("topics", F.struct(F.lit("T-new").alias("k_topic_id"),
+                                                     F.col("topics")[0]["name"].alias("name"), F.lit(False).alias("internal"))))
+    assert [r.status for r in refresh.capture_order(rows).collect()] == ["applied"]
+    assert [r.status for r in refresh.capture_order(twice).collect()] == ["failed"]
+    same = rows.withColumn("topics", F.concat("topics", "topics"))
+    assert [r.status for r in refresh.capture_order(same).collect()] == ["applied"]
+
+
+def test_given_rows_are_counted_as_they_are_written(spark):
+    """By compiled code, from columns of their own; lists that are NULL count for nothing, the others of their row do."""
+    entry = "named_struct('name', 'a', 'value', 'b', 'source', 's', 'sensitive', false, 'read_only', false, 'type', 't', 'documentation', '')"
+    of = lambda n: f"named_struct('k_topic_id', 'T', 'entries', array({', '.join([entry] * n)}))"
+    parts = ("array(named_struct('k_topic_id', 'T', 'name', 'n', 'partitions', array(named_struct('partition', 0, 'leader', 1, "
+             "'replicas', array(1, 2), 'isr', array(1)), named_struct('partition', 1, 'leader', 1, 'replicas', {}, 'isr', array(1)))))")
+    rows = spark.createDataFrame([snapshot(T0)], relaxed(SNAPSHOT)).withColumns(
+        {"topics": F.lit(None).cast(relaxed(SNAPSHOT)["topics"].dataType), "acl_bindings": F.array().cast(relaxed(SNAPSHOT)["acl_bindings"].dataType)})
+    whole = rows.withColumns({"topic_configs": F.expr(f"array({of(2)}, {of(3)})"), "topic_descriptions": F.expr(parts.format("array(3)"))})
+    torn = rows.withColumns({"topic_configs": F.expr(f"array({of(2)}, named_struct('k_topic_id', 'U', 'entries', null))"),
+                             "topic_descriptions": F.expr(parts.format("null"))})
+    assert "lambda" not in plan(refresh._counted(whole))
+    for df, configs, replicas in ((whole, 5, 3), (torn, 2, 2), (whole.unionByName(torn, allowMissingColumns=True), 7, 5)):
+        given, read = refresh._given(refresh._counted(df))
+        assert (given["topic_configs"], given["partition_replicas"]) == (configs, replicas)
+        assert given["topics"] == 0 and read == {"topics": False, "consumer_groups": True, "acl_bindings": True}
+
+
+def test_merged_rows_are_written_once_and_never_cached(spark, tmp_root, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+    monkeypatch.setattr(Classic, "persist", lambda self, *a: (_ for _ in ()).throw(AssertionError("cached")))
+    from fixtures import later
+    store = StateStore(spark, tmp_root)
+    first = spark.createDataFrame([snapshot(T0)], relaxed(SNAPSHOT))
+    refresh_metadata(store, first)
+    before = {n: store.read(n).count() for n in ("topics", "topic_configs", "topic_partitions", "partition_replicas")}
+    # leftovers of a failed attempt at the next version are replaced
+    store.stage(1, "topics", store.read("topics").withColumn("k_topic_id", F.lit("left over")))
+    second = spark.createDataFrame([snapshot(later(1), drop_topic=True)], relaxed(SNAPSHOT))
+    result = refresh_metadata(store, second)
+    after = {n: store.read(n) for n in before}
+    gone = {r.k_topic_id for r in result.removed["topics"].collect()}
+    assert len(gone) == 1 and all(after[n].count() + result.removed[n].count() == before[n] for n in before if n in result.removed)
+    assert all(not {r.k_topic_id for r in after[n].collect()} & (gone | {"left over"}) for n in before)
+    acct = {(r.table_name, r.metric): r.value for r in result.accounting.collect()}
+    assert acct["topics", "delete"] == 1 and acct["topics", "touch"] + acct["topics", "update"] == before["topics"] - 1
+    assert not glob.glob(f"{tmp_root}/_side/v=*/parts-*")
+
+
+def test_derived_captures_are_made_without_casts(spark):
+    from snaptide.plans.refresh_queries import _topic_rows
+    from snaptide.sources.tables import Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    rows = _topic_rows(t.orders, t.lineitem, True)
+    assert "cast(array" not in plan(rows) and relaxed(rows.schema) == relaxed(SNAPSHOT)
